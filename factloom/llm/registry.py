@@ -1,9 +1,11 @@
 """The numbered queries and their SQL."""
 
-from . import exact_dedup
+from . import exact_dedup, sharding, simhash
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
+    "op7_sharding": sharding.query,
+    "op10_simhash": simhash.query,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
