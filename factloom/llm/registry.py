@@ -1,8 +1,9 @@
 """The numbered queries and their SQL."""
 
-from . import exact_dedup, sharding, simhash
+from . import exact_dedup, packing, sharding, simhash
 
 QUERIES = {
+    "op3_packing": packing.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_sharding": sharding.query,
     "op10_simhash": simhash.query,
