@@ -1,13 +1,15 @@
 """The numbered queries and their SQL."""
 
-from . import exact_dedup, packing, sharding, simhash
+from . import exact_dedup, packing, sharding, simhash, url_filter
 
 QUERIES = {
+    "op2_url_filter": url_filter.query,
     "op3_packing": packing.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_sharding": sharding.query,
     "op10_simhash": simhash.query,
 }
 ORACLES = {
+    "op2_url_filter": url_filter.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }
