@@ -1,10 +1,11 @@
 """The numbered queries and their SQL."""
 
-from . import exact_dedup, packing, sharding, simhash, url_filter
+from . import exact_dedup, packing, quality, sharding, simhash, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.query,
     "op3_packing": packing.query,
+    "op4_quality": quality.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_sharding": sharding.query,
     "op10_simhash": simhash.query,
