@@ -1,8 +1,9 @@
 """The numbered queries and their SQL."""
 
-from . import exact_dedup, packing, quality, sharding, simhash, url_filter
+from . import exact_dedup, packing, quality, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_url_filter": url_filter.query,
     "op3_packing": packing.query,
     "op4_quality": quality.query,
