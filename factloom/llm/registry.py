@@ -1,6 +1,6 @@
 """The numbered queries and their SQL."""
 
-from . import exact_dedup, licenses, packing, quality, sharding, simhash, toxicity, url_filter
+from . import exact_dedup, licenses, packing, quality, sentencepiece_bpe, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_quality": quality.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_sharding": sharding.query,
+    "op8_sentencepiece": sentencepiece_bpe.query,
     "op9_licenses": licenses.query,
     "op10_simhash": simhash.query,
 }
