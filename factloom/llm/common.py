@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,21 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Documents and bytes of text that an operator takes together.
+BATCH_DOCS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most BATCH_DOCS rows and about BATCH_BYTES of text (one row at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < batch.num_rows:
+        start = ends[a - 1] if a else 0
+        b = min(int(np.searchsorted(ends, start + BATCH_BYTES)) + 1, a + BATCH_DOCS, batch.num_rows)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, slices, table
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a partition, about, and the most rounds of exchange.
 PARTITION_PIECES, ROUNDS = 50_000, 6
 #: Entries after which a worker's cache of words is emptied.
-CACHE = 300_000
+CACHE = 600_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -44,14 +44,14 @@ class WordTokenizer:
     """The ids of a tokenizer file of the word_bpe kind, with caches of words.
 
     White space never belongs to a token, so a text's ids are those of its parts between
-    white space. Parts of plain characters (ASCII and Latin letters, which normalisation
+    white space. Texts and parts of plain characters (ASCII and Latin letters, which normalisation
     lower-cases and nothing more) are split into words here, and words go to the file's BPE
     model; every other part goes to the whole tokenizer as it is.
     """
 
-    PLAIN = re.compile(r"[!-~À-įı-ſ]+")
+    PLAIN = re.compile(r"[ \t-\r!-~À-įı-ſ]*")
     WORDS = re.compile(
-        r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+"
+        r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ \t-\ra-z0-9ß-öø-ſ]+"
     )
 
     def __init__(self, path: str) -> None:
@@ -76,11 +76,23 @@ class WordTokenizer:
         plain: list[tuple[bytes, list[str]]] = []
         for part in parts:
             s = part.decode("utf-8", "replace")
-            if self.PLAIN.fullmatch(s) and not any(x in s for x in self.special):
-                plain.append((part, self.WORDS.findall(s.lower())))
-            else:
+            words = self._plain_words(s)
+            if words is None:
                 self.parts[part] = self._whole(s)
-        new = list({w for _, words in plain for w in words if w not in self.words})
+            else:
+                plain.append((part, words))
+        self._learn_words({w for _, words in plain for w in words})
+        for part, words in plain:
+            self.parts[part] = b"".join([self.words[w] for w in words])
+
+    def _plain_words(self, s: str) -> list[str] | None:
+        """The words of a string of plain characters; None for any other."""
+        if not self.PLAIN.fullmatch(s) or ("<|" in s and any(x in s for x in self.special)):
+            return None
+        return self.WORDS.findall(s.lower())
+
+    def _learn_words(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.words]
         for a in range(0, len(new), 256):
             some = new[a : a + 256]
             ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -90,18 +102,22 @@ class WordTokenizer:
             data, at = ids.tobytes(), 0
             for w, end in zip(some, cut, strict=True):
                 self.words[w], at = data[4 * at : 4 * end], end
-        for part, words in plain:
-            self.parts[part] = b"".join([self.words[w] for w in words])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
         if len(self.parts) > CACHE or len(self.words) > CACHE:
             self.parts.clear()
             self.words.clear()
-        self._learn(list({p for parts in split for p in parts if p not in self.parts}))
-        known = self.parts.__getitem__
-        return [b"".join(map(known, parts)) for parts in split]
+        texts = [(t or "").encode("utf-8", "replace").decode() for t in texts]
+        split = [self._plain_words(t) for t in texts]
+        self._learn_words({w for words in split if words for w in words})
+        odd = [None if words is not None else t.encode().split() for t, words in zip(texts, split, strict=True)]
+        self._learn(list({p for parts in odd if parts for p in parts if p not in self.parts}))
+        word, part = self.words.__getitem__, self.parts.__getitem__
+        return [
+            b"".join(map(word, words) if words is not None else map(part, parts))
+            for words, parts in zip(split, odd, strict=True)
+        ]
 
 
 @lru_cache(maxsize=2)
@@ -115,8 +131,7 @@ def pieces(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                batch = whole.slice(a, 500)
+            for batch in slices(whole):
                 rows: list[tuple] = []
                 data: list[bytes] = []
                 for doc, ids in zip(
