@@ -61,7 +61,11 @@ class PieceBpe:
         if len(self.byte) != 256 or model.encode("a  bＡ")[-1] == model.unk_id() or model.normalize("Ａ a") != BLANK + "Ａ" + BLANK + "a":
             raise ValueError("only models with byte fallback, no normalisation and a blank in front are meant")
         self._pairs()
-        # symbols beyond the pieces: characters without a piece, as n + code point
+        # the symbol of each code point: its piece, or n + code point where there is none
+        self.symbol = n + np.arange(0x110000)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
         inner = {c for p in self.ids if len(p) > 1 for c in p} - {BLANK}
         kept = "".join(map(re.escape, sorted(inner)))
         self.segment = re.compile(f" *[{kept}]+| +[^{kept} ]|[^ ]| +", re.S)
@@ -70,6 +74,8 @@ class PieceBpe:
         for i in range(n):
             if model.is_control(i):
                 self.text_of[i] = b""
+        for x, i in self.byte.items():
+            self.text_of[i] = bytes([x])
         self.text_of[self.unknown] = " ⁇ ".encode()
 
     def _pairs(self) -> None:
@@ -135,8 +141,9 @@ class PieceBpe:
             into = np.concatenate((into, [-1]))[stay]
             symbols, segment = symbols[stay], segment[stay]
             at = place - np.arange(len(place))
-            beside = np.unique(np.concatenate((at, at - 1)))
-            beside = beside[(beside >= 0) & (beside < len(symbols) - 1)]
+            touched = np.zeros(len(symbols) + 1, bool)
+            touched[at] = touched[at - 1] = True  # -1 falls on the last, which is cut off
+            beside = np.flatnonzero(touched[: len(symbols) - 1])
             into = into[:-1]
             into[beside] = self._lookup(symbols[beside], symbols[beside + 1])
         symbols, segment = np.concatenate(out_symbols), np.concatenate(out_segment)
@@ -151,10 +158,8 @@ class PieceBpe:
             some = segments[a:b]
             a = b
             points = np.frombuffer("".join(some).replace(" ", BLANK).encode("utf-32-le"), "<u4").astype(np.int64)
-            chars, inverse = np.unique(points, return_inverse=True)
-            known = np.array([self.ids.get(chr(c), self.size + c) for c in chars.tolist()], np.int64)
             segment = np.repeat(np.arange(len(some)), [len(s) for s in some])
-            symbols, segment = self._merge(known[inverse], segment)
+            symbols, segment = self._merge(self.symbol[points], segment)
             if (symbols >= self.size).any():
                 symbols, segment = self._bytes(symbols, segment)
             data, ends = symbols.astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(segment, minlength=len(some)))).tolist()
@@ -184,24 +189,25 @@ class PieceBpe:
 
     def decode(self, ids: np.ndarray) -> str:
         pieces = list(map(self.text_of.__getitem__, ids.tolist()))
-        raw = self.byte_of[ids]
-        if (raw >= 0).any():
-            flags, values, out, i = (raw >= 0).tolist(), raw.tolist(), [], 0
-            while i < len(flags):
-                j = i
-                while j < len(flags) and flags[j]:
-                    j += 1
-                if j > i:
-                    out.append(_utf8(bytes(values[i:j])).encode())
-                    i = j
-                else:
-                    out.append(pieces[i])
-                    i += 1
-            pieces = out
-        text = b"".join(pieces).decode()
+        try:
+            # all other pieces are whole characters, so runs of bytes are too if this succeeds
+            text = b"".join(pieces).decode()
+        except UnicodeDecodeError:
+            text = self._decode_runs(pieces, (self.byte_of[ids] >= 0).tolist())
         blank = len(ids) and self.pieces[int(ids[0])].startswith(BLANK)
         return text[1:] if blank else text
 
+    @staticmethod
+    def _decode_runs(pieces: list[bytes], is_byte: list[bool]) -> str:
+        out, run = [], b""
+        for p, byte in zip(pieces, is_byte, strict=True):
+            if byte:
+                run += p
+            else:
+                out += [_utf8(run), p.decode()]
+                run = b""
+        return "".join(out) + _utf8(run)
+
 
 def _utf8(data: bytes) -> str:
     """data as UTF-8, each byte that doesn't belong to a character as U+FFFD."""
