@@ -1,12 +1,13 @@
 """The numbered queries and their SQL."""
 
-from . import exact_dedup, licenses, packing, quality, sentencepiece_bpe, sharding, simhash, toxicity, url_filter
+from . import chat, exact_dedup, licenses, packing, quality, sentencepiece_bpe, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_url_filter": url_filter.query,
     "op3_packing": packing.query,
     "op4_quality": quality.query,
+    "op5_chat": chat.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_sharding": sharding.query,
     "op8_sentencepiece": sentencepiece_bpe.query,
