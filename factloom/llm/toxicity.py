@@ -73,7 +73,8 @@ def log_odds(counts: dict[str, tuple[int, int]], toxic: int, other: int) -> dict
     share: dict[str, float] = {}
     for key in sorted(counts, key=len):
         t, o = counts[key]
-        share[key] = (t + PRIOR * share.get(_shorter(key), base)) / (t + o + PRIOR)
+        up = (t + PRIOR * share.get(_shorter(key), base)) / (t + o + PRIOR)
+        share[key] = min(max(up, 1e-9), 1 - 1e-9)
     least = math.log(base / (1 - base))
     return {k: min(math.log(s / (1 - s)) - least, MOST) for k, s in share.items()}
 
