@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import queries_series, queries_tables
+
+QUERIES: dict = queries_series.QUERIES | queries_tables.QUERIES
+ORACLES: dict = queries_series.ORACLES | queries_tables.ORACLES

@@ -12,6 +12,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import display as show
 from ..functions.inference import correlation_p, t_critical, t_two_sided
@@ -350,7 +351,7 @@ def facts_of(table: Table, question: str | None = None) -> list[Fact]:
 
 
 def to_frame(spark: SparkSession, facts: list[Fact]) -> DataFrame:
-    names = [c.strip().split()[0] for c in re.split(r",(?![^<]*>)", SCHEMA)]
+    names = StructType.fromDDL(SCHEMA).names
     return spark.createDataFrame([tuple(asdict(f)[n] for n in names) for f in facts], SCHEMA)
 
 

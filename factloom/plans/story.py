@@ -150,7 +150,7 @@ def audit_texts(texts: DataFrame, allowed: DataFrame) -> DataFrame:
     The band is cut into cells that grow with the numbers, so that the comparison is an equi-join.
     """
     said = texts.select("text_id", F.explode(F.array_distinct(prose.numbers_in(F.col("text")))).alias("number"), F.lit(1).alias("one"))
-    size = lambda x: F.floor(F.log(F.lit(1.02), x + F.lit(1.0)))
+    size = lambda x: F.floor(F.log(1.02, x + F.lit(1.0)))
     # a number's partners are at most 1.5 % or 0.05 away: two cells up or down at the least width
     said = said.withColumn("cell", F.explode(F.array(*[size(F.col("number")) + k for k in range(-3, 4)])))
     free, own = allowed.where("text_id IS NULL"), allowed.where("text_id IS NOT NULL")
