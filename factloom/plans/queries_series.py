@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.inference import t_critical, t_two_sided
 from ..functions.numbers import half_up
@@ -181,12 +182,12 @@ def trend_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CRIT = "(1.959963985 + (1.959963985 ** 3 + 1.959963985) / (4 * (n - 2)) + (5 * 1.959963985 ** 5 + 16 * 1.959963985 ** 3 + 3 * 1.959963985) / (96 * (n - 2) ** 2))"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _critical(df: pd.Series) -> pd.Series:
     return df.map(t_critical)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(a, b) for a, b in zip(t, df, strict=True)])
 
