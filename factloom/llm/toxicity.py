@@ -294,8 +294,9 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFram
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "passages")
 
 
-def passages(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFrame:
-    """The significant passages themselves: doc_id, start and end in words, score and text."""
+def passages(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, chance: float = 0.001) -> DataFrame:
+    """The passages that clean text has with at most a small chance: doc_id, start and end in words,
+    score and text."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +308,7 @@ def passages(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataF
                     continue
                 found, n = model.value.passages(t, cache)
                 words = words_of(t) if found else []
-                rows += [(doc, x, y, s, " ".join(words[x:y])) for x, y, s in found if model.value.significant(s, n)]
+                rows += [(doc, x, y, s, " ".join(words[x:y])) for x, y, s in found if model.value.significant(s, n, chance)]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string())
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]

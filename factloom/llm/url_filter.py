@@ -55,10 +55,10 @@ MAX_BYTES = 256 << 20
 # ---- one cascade ----------------------------------------------------------------------
 
 
-def _places(h: np.ndarray, g: np.ndarray, level: int, bits: int) -> np.ndarray:
-    """The HASHES bits of each key in a level, from two 64-bit hashes of the key."""
+def _places(h: np.ndarray, g: np.ndarray, level: int, bits: int, hashes: int) -> np.ndarray:
+    """The bits of each key in a level, from two 64-bit hashes of the key."""
     step = (g | np.uint64(1)) * np.uint64(2 * level + 1)
-    at = h[:, None] + step[:, None] * np.arange(1, HASHES + 1, dtype=np.uint64)
+    at = h[:, None] + step[:, None] * np.arange(1, hashes + 1, dtype=np.uint64)
     at ^= at >> np.uint64(31)
     return at % np.uint64(bits)
 
@@ -68,6 +68,7 @@ class Cascade:
     """Levels of packed bits; a level without keys is empty."""
 
     levels: list[np.ndarray]
+    hashes: int = HASHES
 
     def nbytes(self) -> int:
         return sum(x.nbytes for x in self.levels)
@@ -76,7 +77,7 @@ class Cascade:
         words = self.levels[level]
         if not len(words):
             return np.zeros(len(h), bool)
-        at = _places(h, g, level, 64 * len(words))
+        at = _places(h, g, level, 64 * len(words), self.hashes)
         return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).all(axis=1)
 
     def contains(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -95,15 +96,15 @@ def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array([digest(k, s) for k in keys], np.uint64) for s in (1, 2))
 
 
-def _level(keys: DataFrame, level: int, n: int) -> np.ndarray:
+def _level(keys: DataFrame, level: int, n: int, bits_per_key: int, hashes: int) -> np.ndarray:
     """The bits of one level; keys has n rows, (h, g)."""
     if not n:
         return np.zeros(0, np.uint64)
-    words = -(-n * BITS_PER_KEY // 64)
+    words = -(-n * bits_per_key // 64)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = _places(*(b.column(c).to_numpy().view(np.uint64) for c in "hg"), level, 64 * words).ravel()
+            at = _places(*(b.column(c).to_numpy().view(np.uint64) for c in "hg"), level, 64 * words, hashes).ravel()
             mask = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(mask)], ["w", "m"])
 
@@ -126,15 +127,17 @@ def _only(keys: DataFrame, cascade: Cascade, level: int) -> DataFrame:
     return keys.mapInArrow(passing, keys.schema)
 
 
-def build(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYTES) -> Cascade | None:
+def build(
+    listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYTES, bits_per_key: int = BITS_PER_KEY, hashes: int = HASHES
+) -> Cascade | None:
     """The cascade of the keys listed (h, g) over the universe (h, g); None if it is too large."""
     inside = checkpoint(listed.select("h", "g").distinct())
     outside = universe.select("h", "g").join(inside, ["h", "g"], "left_anti")
-    cascade, n = Cascade([]), inside.count()
+    cascade, n = Cascade([], hashes), inside.count()
     for level in range(LEVELS):
-        if cascade.nbytes() + n * BITS_PER_KEY // 8 > max_bytes:
+        if cascade.nbytes() + n * bits_per_key // 8 > max_bytes:
             return None
-        cascade.levels.append(_level(inside, level, n))
+        cascade.levels.append(_level(inside, level, n, bits_per_key, hashes))
         wrong = checkpoint(_only(outside, cascade, level))
         n = wrong.count()
         if not n:
