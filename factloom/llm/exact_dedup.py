@@ -62,28 +62,34 @@ def dedup(docs: DataFrame, id_bits: int = 64) -> DataFrame:
         .where("v0 <> v1 OR w0 <> w1")
         .select("h")
     )
-    # texts with such a chunk also compare the digests of these chunks
-    told = (
-        refs.join(clashing, "h", "left_semi")
-        .distinct()
-        .groupBy("text_sha256")
-        .agg(F.sort_array(F.collect_set(F.struct("pos", "v", "w"))).alias("told"))
+    clashing = checkpoint(clashing)
+    rows = rows.withColumn("ids", F.transform("recipe", lambda c: short(c["h"])))
+    none = F.array().cast("array<struct<pos:int,v:bigint,w:bigint>>")
+    if clashing.isEmpty():
+        rows = rows.withColumn("told", none)
+    else:
+        # texts with such a chunk also compare the digests of these chunks
+        told = (
+            refs.join(clashing, "h", "left_semi")
+            .distinct()
+            .groupBy("text_sha256")
+            .agg(F.sort_array(F.collect_set(F.struct("pos", "v", "w"))).alias("told"))
+        )
+        rows = rows.join(told, "text_sha256", "left").withColumn("told", F.coalesce("told", none))
+    # a group's digest stands for its recipe from here on: texts with one recipe are equal. The groups
+    # are written down, so that the join with a group of very many copies can be split
+    groups = checkpoint(
+        rows.groupBy("ids", "told")
+        .agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count(F.lit(1)).alias("group_size"), F.max("text_sha256").alias("text_sha256"))
+        .select("text_sha256", "top", "group_size")
     )
-    rows = rows.withColumn("ids", F.transform("recipe", lambda c: short(c["h"]))).join(told, "text_sha256", "left")
-    rows = rows.withColumn("told", F.coalesce("told", F.array().cast("array<struct<pos:int,v:bigint,w:bigint>>")))
-    groups = rows.groupBy("ids", "told").agg(
-        F.max(F.struct("doc_id", "rid")).alias("top"), F.count(F.lit(1)).alias("group_size")
-    )
-    joined = rows.alias("r").join(
-        groups.alias("g"), (F.col("r.ids") == F.col("g.ids")) & (F.col("r.told") == F.col("g.told"))
-    )
-    return joined.select(
-        "r.doc_id",
-        F.col("g.top.doc_id").alias("keep_id"),
-        "g.group_size",
-        (F.col("r.rid") == F.col("g.top.rid")).alias("kept"),
-        "r.text_sha256",
-        F.size("r.ids").cast("long").alias("n_chunks"),
+    return rows.join(groups, "text_sha256").select(
+        "doc_id",
+        F.col("top.doc_id").alias("keep_id"),
+        "group_size",
+        (F.col("rid") == F.col("top.rid")).alias("kept"),
+        "text_sha256",
+        F.size("ids").cast("long").alias("n_chunks"),
     )
 
 
