@@ -82,14 +82,15 @@ def top_and_other(groups: DataFrame, top: int) -> DataFrame:
     return out.select(label.alias("label"), "sum", "place")
 
 
-def thinned_line(series: DataFrame, most: int = 120) -> DataFrame:
-    """(bucket, v, label, row_id): at most so many means of neighbouring points of one series."""
-    n = series.agg(F.count(F.lit(1)).alias("n"))
-    both = series.crossJoin(F.broadcast(n))  # one row
-    size = F.ceil(F.col("n") / most)
+def thinned_line(series: DataFrame, by: list[str] | None = None, most: int = 120) -> DataFrame:
+    """(by, bucket, size, v, label, row_id): at most so many means of neighbouring points of each series."""
+    by = by or []
+    n = series.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))  # a row for each series
+    both = series.join(F.broadcast(n), by) if by else series.crossJoin(F.broadcast(n))
+    both = both.withColumn("size", F.ceil(F.col("n") / most))
     return (
-        both.groupBy(F.floor(F.col("i") / size).alias("bucket"))
-        .agg(F.avg("v").alias("v"), F.min_by("label", "i").alias("label"), F.min_by("row_id", "i").alias("row_id"))
+        both.groupBy(*by, F.floor(F.col("i") / F.col("size")).alias("bucket"))
+        .agg(F.max("size").alias("size"), F.avg("v").alias("v"), F.min_by("label", "i").alias("label"), F.min_by("row_id", "i").alias("row_id"))
     )
 
 

@@ -20,6 +20,7 @@ from ..functions.numbers import finite
 from ..operators import groups, ordered, series, spread
 from ..session import checkpoint
 from ..sources.delimited import InputError, Table
+from . import charts
 
 #: How many measures get series facts, correlations and category facts, and category columns (fixed values).
 SERIES_MEASURES, PAIR_MEASURES, CATEGORY_MEASURES, CATEGORIES = 6, 8, 2, 2
@@ -148,15 +149,16 @@ def _series_facts(table: Table, axis: Axis, metrics: list[str]) -> list[Fact]:
     changes = rows(ordered.welch(ordered.changepoint(long, by)))
     streaks, peaks = rows(ordered.streak(long, by)), rows(ordered.peak(long, by))
     far = spread.outliers(long, by)
-    tops = rows(far.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.max_by(F.struct("v", "median", "score", "row_id", "label"), F.struct("score", -F.col("i"))).alias("top")))
+    tops = rows(far.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.max_by(F.struct("v", "median", "score", "row_id", "label", "i"), F.struct("score", -F.col("i"))).alias("top")))
     # provenance: the first rows of each series and the labels at its ends and breaks
     first = {}
     for r in long.where(F.col("i") < groups.PROVENANCE).select("metric", "i", "row_id").collect():
         first.setdefault(r["metric"], []).append((r["i"], r["row_id"]))
     marks = [(m, i) for m in metrics if m in about for i in _marks(about[m], changes.get(m), streaks.get(m), peaks[m])]
     wanted = table.df.sparkSession.createDataFrame(marks, "metric string, i long") if marks else None
-    labels = {(r["metric"], r["i"]): (r["label"], r["row_id"]) for r in long.join(F.broadcast(wanted), ["metric", "i"]).collect()} if marks else {}
+    labels = {(r["metric"], r["i"]): (r["label"], r["row_id"], r["v"]) for r in long.join(F.broadcast(wanted), ["metric", "i"]).collect()} if marks else {}
     season = _seasons(table, axis, long) if axis.kind == "date" else {}
+    points = charts.lines(long)
     facts = []
     for m in metrics:
         if m not in about or about[m]["n"] < 3:
@@ -166,11 +168,16 @@ def _series_facts(table: Table, axis: Axis, metrics: list[str]) -> list[Fact]:
         span = {"from": labels[m, 0][0], "to": labels[m, n - 1][0]}
         if n >= ordered.TREND_POINTS:
             facts.append(_trend(m, t, own, span))
+            facts[-1].chart = charts.line(points[m], t["slope"], t["intercept"])
         c = changes.get(m)
         if c and c["strength"] is not None and c["strength"] >= ordered.CHANGE_STRENGTH:
-            facts.append(_change(m, c, own, span, labels[m, c["split"]][0]))
+            where, _, value = labels[m, c["split"]]
+            facts.append(_change(m, c, own, span, where))
+            facts[-1].chart = charts.line(points[m], mark=(c["split"], value, where))
         if m in tops:
+            top = tops[m]["top"]
             facts.append(_outlier(m, tops[m]))
+            facts[-1].chart = charts.line(points[m], mark=(top["i"], top["v"], top["label"]))
         s = streaks.get(m)
         if s and s["moves"] >= 4:
             facts.append(_streak(m, s, own, labels))
@@ -261,7 +268,11 @@ def _seasons(table: Table, axis: Axis, long: DataFrame) -> dict[str, dict]:
         rows = long.where(F.col("metric").isin(some) & F.col("at").isNotNull())
         for r in spread.season_range(spread.seasons(rows, ["metric"], of(F.col("at"))), ["metric"]).collect():
             if r["buckets"] >= spread.BUCKETS and r["worst_mean"] and (r["spread_pct"] or 0) >= spread.SEASON_SPREAD:
-                out[r["metric"]] = r.asDict() | {"unit": unit}
+                out[r["metric"]] = r.asDict() | {"unit": unit, "means": {}}
+        # twelve means at most for each measure
+        for r in spread.seasons(rows, ["metric"], of(F.col("at"))).collect():
+            if r["metric"] in out and out[r["metric"]]["unit"] == unit:
+                out[r["metric"]]["means"][r["bucket"]] = r["mean"]
     return out
 
 
@@ -269,7 +280,7 @@ def _season(m: str, s: dict, axis: Axis) -> Fact:
     days = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
     name = lambda i: days[i] if s["unit"] == "weekday" else show.MONTHS[i]
     values = {"best": show.half_up(s["best_mean"], 2), "worst": show.half_up(s["worst_mean"], 2), "spreadPct": show.half_up(s["spread_pct"], 2)}
-    return Fact("seasonal", f"{m} follows the {s['unit']}", f"{m} is highest on average in {name(s['best'])} ({show.number(s['best_mean'])}) and lowest in {name(s['worst'])} ({show.number(s['worst_mean'])}).", _clamped(30 + 0.35 * s["spread_pct"], 72), [m], values, f"Means by {s['unit']}.")
+    return Fact("seasonal", f"{m} follows the {s['unit']}", f"{m} is highest on average in {name(s['best'])} ({show.number(s['best_mean'])}) and lowest in {name(s['worst'])} ({show.number(s['worst_mean'])}).", _clamped(30 + 0.35 * s["spread_pct"], 72), [m], values, f"Means by {s['unit']}.", chart=charts.bars([name(b) for b in sorted(s["means"])], [s["means"][b] for b in sorted(s["means"])]))
 
 
 def _pair_facts(table: Table, metrics: list[str]) -> list[Fact]:
@@ -289,7 +300,7 @@ def _pair_facts(table: Table, metrics: list[str]) -> list[Fact]:
             both = table.df.where(finite(F.col(f"`{a}`")) & finite(F.col(f"`{b}`"))).select("row_id").orderBy("row_id").limit(groups.PROVENANCE)
             facts.append(
                 Fact("correlation", f"{a} and {b} move {how}", f"{a} and {b} move {word} {how} (r = {show.fixed(show.half_up(r, 2), 2)}).", _clamped(34 + 44 * abs(r), 86), [a, b],
-                     {"r": show.half_up(r, 2), "n": float(n)}, "Pearson correlation.", [x[0] for x in both.collect()], confidence)
+                     {"r": show.half_up(r, 2), "n": float(n)}, "Pearson correlation.", [x[0] for x in both.collect()], confidence, chart=charts.scatter(table.df, a, b))
             )
     return facts
 
@@ -309,13 +320,13 @@ def _category_facts(table: Table, categories: list[str], metrics: list[str]) ->
             more = f", {show.number(lead)} times the runner-up {second['key']}" if lead > 1.15 else ""
             values = {"leader": show.half_up(top["sum"], 2), "share": show.half_up(top["share"], 2), "runnerUp": show.half_up(second["sum"], 2), "groups": float(len(got)), "leadRatio": show.half_up(lead, 2)}
             facts.append(
-                Fact("category_leader", f"{top['key']} leads {m}", f"{top['key']} has {show.fixed(top['share'], 1)}% of {m} by {c}{more}.", _clamped(38 + 0.4 * top["share"], 84), [c, m], values, f"Sums by {c}.", own([top["key"]]), category=top["key"])
+                Fact("category_leader", f"{top['key']} leads {m}", f"{top['key']} has {show.fixed(top['share'], 1)}% of {m} by {c}{more}.", _clamped(38 + 0.4 * top["share"], 84), [c, m], values, f"Sums by {c}.", own([top["key"]]), category=top["key"], chart=charts.parts("bar", [(r["key"], r["sum"]) for r in got], charts.BARS))
             )
             share = sum(r["sum"] for r in got[:3]) / total * 100
             if len(got) > groups.MANY_GROUPS and share > groups.CONCENTRATED:
                 facts.append(
                     Fact("concentration", f"{m} is concentrated", f"The top 3 of {len(got)} values of {c} have {show.fixed(share, 1)}% of {m}.", _clamped(34 + 0.42 * share, 80), [c, m],
-                         {"topShare": show.half_up(share, 2), "topN": 3.0, "groups": float(len(got))}, f"Shares by {c}.", own([r["key"] for r in got[:3]]))
+                         {"topShare": show.half_up(share, 2), "topN": 3.0, "groups": float(len(got))}, f"Shares by {c}.", own([r["key"] for r in got[:3]]), chart=charts.parts("donut", [(r["key"], r["sum"]) for r in got], charts.SLICES))
                 )
     return facts
 

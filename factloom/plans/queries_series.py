@@ -343,5 +343,5 @@ def seasonal_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("at")).agg(F.sum("o_totalprice").alias("v"))
     rows = series.ordinals(rows.withColumns({"label": F.col("at"), "row_id": F.unix_date("at").cast("long")}), [], ["at"])
-    out = groups.thinned_line(rows)
+    out = groups.thinned_line(rows, most=120)
     return rounded(out.select(F.col("bucket").cast("long").alias("bucket"), "v", F.col("label").alias("at")), 2, "v")

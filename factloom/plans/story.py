@@ -11,6 +11,7 @@ import re
 import secrets
 import string
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame
@@ -50,6 +51,9 @@ FREE_NUMBERS = frozenset(float(x) for x in (*range(4), *range(1990, 2036)))
 DIRECTED = 3.0
 NAME_LENGTH, QUESTION_LENGTH = 60, 300
 
+#: Says something about each of some facts: texts by the facts' ids.
+Narrator = Callable[[list[Fact]], dict[str, str]]
+
 _OPENERS = ("First,", "Next,", "Then,", "Meanwhile,", "Also,", "Further on,", "Finally,")
 
 
@@ -182,14 +186,36 @@ def hero(scenes: list[Fact]) -> dict | None:
     return None
 
 
-def narrate(facts: list[Fact], name: str) -> tuple[str, list[dict]]:
+def told(chosen: list[Fact], narrator: Narrator, metrics: list[str]) -> tuple[dict[str, str], dict[str, int]]:
+    """What a narrator says of facts, by id, as far as the audit lets it pass, and the audit's counts."""
+    counts = {"checked": 0, "verified": 0, "rewritten": 0}
+    try:
+        texts = narrator(chosen)
+    except Exception:  # whatever goes wrong out there, the own wording is always at hand
+        return {}, counts | {"rewritten": len(chosen)}
+    out = {}
+    for f in chosen:
+        text = texts.get(f.id)
+        if text:
+            found, stray = numbers_in(text), stray_numbers(text, allowed_numbers(f) | FREE_NUMBERS)
+            counts["checked"] += len(found)
+            counts["verified"] += len(found) - len(stray)
+        if text and objection(f, text, metrics) is None:
+            out[f.id] = text
+        else:
+            counts["rewritten"] += 1
+    return out, counts
+
+
+def narrate(facts: list[Fact], name: str, narrator: Narrator | None = None, metrics: list[str] | None = None) -> tuple[str, list[dict]]:
     """A title and scenes: an opening, one for each selected fact with its claim, and a closing."""
     chosen = select_scenes(facts)
+    said, _ = told(chosen, narrator, metrics or []) if narrator else ({}, {})
     top = hero(chosen)
     scenes = [{"kind": "hero", "headline": chosen[0].headline if chosen else name, "body": "", "factIds": [], "stat": top}]
     for i, f in enumerate(chosen):
-        body = f"{_OPENERS[i % len(_OPENERS)]} {f.statement}"
-        if f.kind == "trend" and f.values["r2"] < 0.5:
+        body = said.get(f.id) or f"{_OPENERS[i % len(_OPENERS)]} {f.statement}"
+        if f.id not in said and f.kind == "trend" and f.values["r2"] < 0.5:
             body += " The path was uneven."
         scenes.append({"kind": "insight", "headline": f.headline, "body": body, "factIds": [f.id], "claim": claim(f)})
     scenes.append({"kind": "closing", "headline": "What the data say", "body": f"{len(chosen)} findings out of {len(facts)}.", "factIds": []})
@@ -197,7 +223,14 @@ def narrate(facts: list[Fact], name: str) -> tuple[str, list[dict]]:
 
 
 def create(
-    table: Table, source: str, question: str | None = None, theme: str = "", tone: str = "", signer=None, engine: str = "factloom"
+    table: Table,
+    source: str,
+    question: str | None = None,
+    theme: str = "",
+    tone: str = "",
+    signer=None,
+    engine: str = "factloom",
+    narrator: Narrator | None = None,
 ) -> dict:
     """The story of a table as one document; signed if there is a signer."""
     from . import proof
@@ -209,7 +242,7 @@ def create(
     facts = facts_of(table, question)
     if len(facts) < 2:
         raise InputError("there is too little in this table: it takes a measure with three values")
-    title, scenes = narrate(facts, name)
+    title, scenes = narrate(facts, name, narrator, table.of_kind("number"))
     story = {
         "id": "".join(secrets.choice(string.ascii_lowercase + string.digits) for _ in range(10)),
         "createdAt": dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds"),

@@ -55,6 +55,41 @@ def test_ledger(facts):
     assert trend.values["changePct"] == 126 and trend.source_rows == list(range(14)) and trend.confidence["level"] == "high"
 
 
+def test_charts(facts):
+    import json
+
+    by = {f.kind: json.loads(f.chart) for f in facts if f.chart}
+    assert by["trend"]["type"] == "line" and len(by["trend"]["points"]) == 14 and "slope" in by["trend"]["trend"]
+    assert by["changepoint"]["mark"] == 8 and by["changepoint"]["points"][8]["value"] in (200, 98)
+    assert by["correlation"]["type"] == "scatter" and len(by["correlation"]["points"]) == 14
+
+
+def test_store(spark, signed, tmp_path):
+    from factloom.sources import stories
+
+    _, made = signed
+    path = str(tmp_path / "stories")
+    stories.save(spark, path, [made])
+    stories.save(spark, path, [made | {"id": "0123456789"}])
+    assert stories.count(spark, path) == 2 and stories.find(spark, path, made["id"])["title"] == made["title"]
+    assert stories.find(spark, path, "x' OR 1=1") is None and stories.find(spark, path, "zzzzzzzzzz") is None
+
+
+def test_narrator_is_audited(facts):
+    chosen = story.select_scenes(facts)
+    honest = chosen[0].statement
+    _, scenes = story.narrate(facts, "demo", lambda fs: {fs[0].id: honest, fs[1].id: "It hit 987654."}, ["revenue", "users"])
+    bodies = [s["body"] for s in scenes if s["kind"] == "insight"]
+    assert bodies[0] == honest and "987654" not in bodies[1]
+
+    def broken(fs):
+        raise RuntimeError
+
+    assert story.narrate(facts, "demo", broken)[1] == story.narrate(facts, "demo")[1]
+    _, counts = story.told(chosen, lambda fs: {fs[0].id: "It hit 987654."}, [])
+    assert counts["checked"] == 1 and counts["verified"] == 0 and counts["rewritten"] == len(chosen)
+
+
 def test_question_lifts_its_facts(spark, facts):
     asked = ledger.facts_of(delimited.from_text(spark, SOURCE, "demo"), "what about users?")
     of = lambda fs: max(f.importance for f in fs if f.columns[:1] == ["users"])
@@ -121,7 +156,7 @@ def test_unsigned_forgeries(spark, signed):
 
 def test_left_out_facts_need_strict(spark, signed):
     _, made = signed
-    bare = forged({k: v for k, v in made.items() if k != "proof"}, lambda x: x["facts"].pop())
+    bare = forged({k: v for k, v in made.items() if k != "proof"}, lambda x: (x["facts"].pop(), x["scenes"][-1].update(body="")))
     assert verify.verify(spark, SOURCE, bare, set()).verdict == "LEGACY_UNVERIFIED"
     assert verify.verify(spark, SOURCE, bare, set(), strict=True).verdict == "TAMPERED"
 
