@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, table
+from .common import held_out, labelled_sample, slices, table
 
 #: Most labelled rows that the model comes from, and most entries of its table of words.
-LABELLED, ENTRIES = 20_000, 100_000
+LABELLED, ENTRIES = 12_000, 100_000
 #: A document is toxic from this score on.
 TOXIC = 0.7
 #: Strength of the prior in documents, least and most score of an entry (in nats), cost of a word.
@@ -232,7 +232,7 @@ def _counts(rows: DataFrame, toxic: int, other: int) -> list:
     """For the ENTRIES keys that tell most, the documents with it: by fold, toxic (t) and other (o)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             fold, label, key = [], [], []
             columns = (b.column(c).to_pylist() for c in ("fold", "label", "text"))
             for f, y, t in zip(*columns, strict=True):
