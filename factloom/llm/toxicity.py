@@ -39,7 +39,7 @@ LABELLED, ENTRIES = 12_000, 100_000
 #: A document is toxic from this score on.
 TOXIC = 0.7
 #: Strength of the prior in documents, least and most score of an entry (in nats), cost of a word.
-PRIOR, LEAST, MOST, BACKGROUND = 1.0, 2.0, 8.0, -0.6
+PRIOR, LEAST, MOST, BACKGROUND = 1.0, 2.0, 12.0, -0.6
 #: Fewest documents with a key that counts.
 FEWEST = 3
 #: The shortest beginning of a word, and the longest.
