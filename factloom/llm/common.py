@@ -18,7 +18,7 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 #: Documents and bytes of text that an operator takes together.
-BATCH_DOCS, BATCH_BYTES = 2_000, 8 << 20
+BATCH_DOCS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -69,3 +69,10 @@ def labelled_sample(labels: DataFrame, column: str, limit: int, train_only: bool
         rows = rows.where(~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+
+
+def repeated_ids(docs: DataFrame, name: str) -> DataFrame | None:
+    """The ids that several rows have, in a column of the given name; None if there are none."""
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(name))
+    again = checkpoint(again)
+    return None if again.isEmpty() else again

@@ -17,7 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, lower_ascii, table
+from .common import checkpoint, lower_ascii, repeated_ids, table
+
+#: Names of columns that no table has.
+ID, SHA = "factloom_kept_id", "factloom_kept_sha256"
 
 #: A chunk has at least 512 characters and ends after a white space that follows one of a
 #: few letters; where none comes within 4096 characters it ends there.
@@ -95,14 +98,16 @@ def dedup(docs: DataFrame, id_bits: int = 64) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns and in no order."""
-    stay = dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    stay = dedup(docs).where("kept").select(F.col("doc_id").alias(ID), F.col("text_sha256").alias(SHA))
     sha = F.sha2(lower_ascii(F.coalesce(docs["text"], F.lit(""))), 256)
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_semi")
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col(ID)) & (sha == F.col(SHA)), "left_semi")
+    again = repeated_ids(docs, ID)
+    if again is None:
+        return kept
     # rows that repeat id and text: one of them stays
-    again = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    same = kept["doc_id"].eqNullSafe(F.col("_id"))
+    same = kept["doc_id"].eqNullSafe(F.col(ID))
     once = kept.join(again, same, "left_anti")
-    more = kept.join(again, same, "left_semi").withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    more = kept.join(again, same, "left_semi").withColumn(SHA, sha).dropDuplicates(["doc_id", SHA]).drop(SHA)
     return once.unionByName(more)
 
 

@@ -28,13 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, repeated_ids, table
 
 SHINGLE_WORDS, SEED, LINK_BITS = 4, 42, 4
 #: Groups of coordinates. Seven give grids of three groups (35 grids of about 2^21 cells);
 #: more groups give more grids of more cells, for tables of over some 10^8 fingerprints.
 AXES = 7
 _ROOM = 1 << 16
+#: A name of a column that no table has.
+ID = "factloom_kept_id"
 
 
 def fingerprint(text: str | None) -> int:
@@ -154,7 +156,9 @@ def near_duplicates(docs: DataFrame, axes: int = AXES) -> DataFrame:
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
     )
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # written down, so that the join with a very large component can be split
+    rooted = checkpoint(rooted)
+    named = checkpoint(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
     named = rooted.join(named, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -166,10 +170,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     such an id come out once.
     """
     found = near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    again = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    same = kept["doc_id"].eqNullSafe(F.col("_id"))
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(ID)).distinct()
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col(ID)), "left_semi")
+    again = repeated_ids(docs, ID)
+    if again is None:
+        return kept
+    same = kept["doc_id"].eqNullSafe(F.col(ID))
     return kept.join(again, same, "left_anti").unionByName(
         kept.join(again, same, "left_semi").dropDuplicates(["doc_id"])
     )

@@ -50,7 +50,7 @@ def test_no_python_runs(spark):
 
 def test_documents_that_stay(spark):
     rows = [(1, "a", "p"), (2, "A", "q"), (2, "A", "q"), (2, "b", "r"), (None, "c", "s"), (None, "C", "t"), (3, None, "u"), (4, "", "v")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string")
     got = sorted((repr(r["doc_id"]), (r["text"] or "").lower()) for r in exact_dedup.deduplicated(df).collect())
     assert got == [("2", "a"), ("2", "b"), ("4", ""), ("None", "c")]
     assert exact_dedup.deduplicated(df.limit(0)).count() == 0
