@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Hits of a client in a UTC day that are free (fixed value).
@@ -96,3 +96,19 @@ def daily_sums(events: DataFrame, late: str, ts: str = "ts", by: str = "event_ty
     out = events.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), by)
     out = out.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("sum"), F.sum(F.col("value") * F.col("value")).alias("squares"))
     return out.select(F.col("w.start").cast("date").alias("day"), by, "n", "sum", "squares")
+
+
+def write_sums(sums: DataFrame, epoch: int, path: str) -> None:
+    """A batch's sums in a folder of its own: a batch that is repeated after a failure replaces itself.
+
+    For foreachBatch: lambda df, epoch: write_sums(df, epoch, path).
+    """
+    sums.coalesce(1).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def totals(spark: SparkSession, path: str, by: str = "event_type") -> DataFrame:
+    """(by, day, n, mean, stdev) over all batches so far; sums of values and squares add up."""
+    sums = spark.read.parquet(path).groupBy(by, "day").agg(*[F.sum(c).alias(c) for c in ("n", "sum", "squares")])
+    mean = F.col("sum") / F.col("n")
+    spread = F.greatest(F.lit(0.0), F.try_divide(F.col("squares") - F.col("n") * mean * mean, F.col("n") - 1))
+    return sums.select(by, "day", "n", mean.alias("mean"), F.coalesce(F.sqrt(spread), F.lit(0.0)).alias("stdev"))
