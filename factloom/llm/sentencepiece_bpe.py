@@ -33,7 +33,7 @@ from .common import slices, table
 
 BLANK = "▁"
 #: Entries after which a worker's cache of segments is emptied, and symbols that are merged together.
-CACHE, SYMBOLS = 600_000, 2_000_000
+CACHE, SYMBOLS = 600_000, 500_000
 _NONE = np.int64(1) << 40
 
 
