@@ -28,15 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, repeated_ids, table
+from .common import checkpoint, table
 
 SHINGLE_WORDS, SEED, LINK_BITS = 4, 42, 4
 #: Groups of coordinates. Seven give grids of three groups (35 grids of about 2^21 cells);
 #: more groups give more grids of more cells, for tables of over some 10^8 fingerprints.
 AXES = 7
 _ROOM = 1 << 16
-#: A name of a column that no table has.
-ID = "factloom_kept_id"
+#: Names of columns that no table has: a kept row's id and the digest of its text.
+ID, DIGEST = "factloom_kept_id", "factloom_digest"
 
 
 def fingerprint(text: str | None) -> int:
@@ -61,15 +61,17 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype="<u8")
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(prints.view("<i8"), pa.int64())], ["doc_id", "fp"]
-        )
+        made = {"doc_id": batch.column("doc_id"), "fp": pa.array(prints.view("<i8"), pa.int64())}
+        if DIGEST in batch.schema.names:
+            made[DIGEST] = batch.column(DIGEST)
+        yield pa.RecordBatch.from_pydict(made)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id and fp, the fingerprint as a signed long; also DIGEST, if docs has it."""
+    digest = [DIGEST] if DIGEST in docs.columns else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *digest)
+    return rows.mapInArrow(_fingerprints, "doc_id long, fp long" + "".join(f", {c} binary" for c in digest))
 
 
 def _grids(axes: int) -> tuple[list[int], list[tuple[int, int]]]:
@@ -148,37 +150,53 @@ def components(edges: DataFrame) -> DataFrame:
         edges = checkpoint(moved.unionByName(least.select(F.col("m").alias("a"), "b")).distinct())
 
 
-def near_duplicates(docs: DataFrame, axes: int = AXES) -> DataFrame:
-    """doc_id, fp and component_id of each row."""
-    rows = checkpoint(fingerprints(docs))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+def _rooted(nodes: DataFrame, axes: int) -> DataFrame:
+    """nodes, whose fp are distinct, with the root of each one's component."""
     roots = components(links(nodes, axes))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root")
+        *nodes.columns, F.coalesce("root", "fp").alias("root")
     )
     # written down, so that the join with a very large component can be split
-    rooted = checkpoint(rooted)
+    return checkpoint(rooted)
+
+
+def near_duplicates(docs: DataFrame, axes: int = AXES) -> DataFrame:
+    """doc_id, fp and component_id of each row."""
+    rows = checkpoint(fingerprints(docs))
+    rooted = _rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), axes)
     named = checkpoint(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
     named = rooted.join(named, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns.
+def deduplicated(docs: DataFrame, axes: int = AXES) -> DataFrame:
+    """One row of each component, the one with the smallest id, with all its columns.
 
-    Rows without an id stay only if nothing in their component has one, and rows that repeat
-    such an id come out once.
+    A component is known by its root, so that neither null ids nor an id on unlike texts make two
+    components one. Rows without an id stay only if nothing in their component has one. Among rows
+    with the smallest id the smallest fingerprint stays, then the smallest SHA-256 of the text; rows
+    that are equal in both id and text come out once.
     """
-    found = near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(ID)).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col(ID)), "left_semi")
-    again = repeated_ids(docs, ID)
-    if again is None:
-        return kept
-    same = kept["doc_id"].eqNullSafe(F.col(ID))
-    return kept.join(again, same, "left_anti").unionByName(
-        kept.join(again, same, "left_semi").dropDuplicates(["doc_id"])
-    )
+    # a null text is told apart from an empty one
+    digest = F.coalesce(F.unhex(F.sha2(F.col("text"), 256)), F.lit(b""))
+    own = docs.withColumn(DIGEST, digest)
+    rows = checkpoint(fingerprints(own))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", DIGEST)
+    rooted = _rooted(rows.groupBy("fp").agg(F.min(row).alias("least")), axes)
+    row = F.struct("least.no_id", "least.doc_id", "fp", f"least.{DIGEST}")
+    stay = rooted.groupBy("root").agg(F.min(row).alias("row"))
+    stay = stay.select(F.col("row.doc_id").alias(ID), F.col(f"row.{DIGEST}").alias(DIGEST))
+    again = rows.groupBy("doc_id", DIGEST).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = checkpoint(again.select(F.col("doc_id").alias(ID), DIGEST))
+
+    def same(x: DataFrame, y: DataFrame) -> Column:
+        return (x[DIGEST] == y[DIGEST]) & x["doc_id"].cast("long").eqNullSafe(y[ID])
+
+    kept = own.join(stay, same(own, stay), "left_semi")
+    if again.isEmpty():
+        return kept.drop(DIGEST)
+    once = kept.join(again, same(kept, again), "left_semi").dropDuplicates(["doc_id", DIGEST])
+    return kept.join(again, same(kept, again), "left_anti").unionByName(once).drop(DIGEST)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,38 @@ def test_odd_rows(spark):
     assert sorted(repr(r["doc_id"]) for r in simhash.deduplicated(df).collect()) == ["5", "6", "None"]
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(40)] + ["", None]
+    upper = [t.upper() for t in texts[:40]]
+    rows = []
+    for i, t in enumerate(texts):  # a third without any id, a third with ids on several unlike texts
+        ids = [[None, None], [None, 7, 7], [7, 3 + i % 5, None]][i % 3]
+        for j, d in enumerate(ids):
+            rows.append((d, upper[i] if j == 1 and i < 40 else t, f"{i}.{j}"))
+        rows.append((*rows[-1][:2], f"{i}.again"))
+    rng.shuffle(rows)
+    # brute force: rows in one component, by comparing all pairs of fingerprints
+    prints = np.array([brute_print(t) for _, t, _ in rows], np.uint64)
+    of = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in np.flatnonzero(np.bitwise_count(prints ^ prints[a]) <= simhash.LINK_BITS).tolist():
+            x, y = of[a], of[b]
+            of = [min(x, y) if c in (x, y) else c for c in of]
+    groups = {}
+    for row, c in zip(rows, of, strict=True):
+        groups.setdefault(c, []).append(row)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(5)
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    kept = [tuple(r) for r in kept.collect()]
+    assert len(kept) == len(set(kept)) == len(groups) > 35
+    for group in groups.values():
+        (one,) = [r for r in kept if r in group]
+        assert one[0] == min((d for d, _, _ in group if d is not None), default=None)
+
+
 def test_a_long_chain_is_one_component(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long").repartition(4)
