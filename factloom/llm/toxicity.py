@@ -7,7 +7,9 @@ never seen take the odds of the longest beginning that was. Rows of these tables
 are dropped, and every other word costs BACKGROUND.
 
 A text is then a sequence of scores with a negative mean, and its maximal scoring segments (Ruzzo
-and Tompa), found in one scan, are its passages. The best scores of clean documents follow an
+and Tompa), found in one scan over all its words, are its passages. A word that a passage repeats
+tells nothing new, so a passage takes the score of its best part in which repeats cost BACKGROUND;
+what other passages say doesn't matter to it. The best scores of clean documents follow an
 extreme-value law whose location grows with the logarithm of the length. Held against it, each
 passage has a chance to be that good in clean text; the passages' evidence is summed up, and a
 logistic curve that is fitted to labelled rows turns it into the score.
@@ -108,6 +110,30 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, r - x) for (a, b), x, r in zip(span, left, right, strict=True)]
 
 
+def once(words: list[str], scores: np.ndarray, total: float) -> float:
+    """The score of the best part of a passage if a telling word that the part repeats costs BACKGROUND.
+
+    total is the score of the whole passage, which is the answer if no telling word repeats.
+    """
+    up = scores > 0
+    at = np.flatnonzero(up)
+    gains = {words[i]: float(scores[i]) - BACKGROUND for i in at.tolist()}
+    if len(gains) == len(at):
+        return total
+    cost = np.concatenate(([0.0], np.cumsum(np.where(up, BACKGROUND, scores))))
+    before, after = -cost[at], cost[at + 1]
+    parts = before.copy()  # for each first word of a part, its score without the cost up to its end
+    last: dict[str, int] = {}
+    most, best, low = sum(gains.values()), 0.0, 0
+    for j, i in enumerate(at.tolist()):
+        while before[low] + most + after[j] <= 0:  # too long a part to have a positive score
+            low += 1
+        parts[max(last.get(words[i], -1) + 1, low) : j + 1] += gains[words[i]]
+        last[words[i]] = j
+        best = max(best, float(parts[low : j + 1].max() + after[j]))
+    return best
+
+
 class Model:
     """Scores of words, the extreme-value law of clean text and the curve of the score."""
 
@@ -128,13 +154,11 @@ class Model:
         for w in set(words).difference(cache):
             cache[w] = self.word_score(w)
         scores = np.fromiter(map(cache.__getitem__, words), float, len(words))
-        high = np.flatnonzero(scores > 0).tolist()
-        seen: set[str] = set()
-        for i in high:  # a word that a text repeats tells nothing new
-            if words[i] in seen:
-                scores[i] = BACKGROUND
-            seen.add(words[i])
-        return segments(scores), len(words)
+        found = segments(scores)
+        telling = [words[i] for i in np.flatnonzero(scores > 0).tolist()]
+        if len(set(telling)) < len(telling):
+            found = [(x, y, once(words[x:y], scores[x:y], s)) for x, y, s in found]
+        return found, len(words)
 
     def _standard(self, best: float, n: int) -> float:
         return (best - self.location - self.growth * math.log(max(n, 1))) / self.scale

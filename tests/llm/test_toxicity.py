@@ -39,6 +39,38 @@ def test_segments_are_the_maximal_ones():
         assert got == brute_segments(scores)
 
 
+def test_a_passage_scores_by_its_own_words_only():
+    rude = ["vilest", "rotten", "foulmouth", "scumbag"]
+    model = toxicity.Model({w + " ": 5.0 for w in rude})
+    far = ["and"] * 200
+    found, n = model.passages(" ".join(rude + far + rude), {})
+    assert [(a, b) for a, b, _ in found] == [(0, 4), (204, 208)] and n == 208
+    assert [s for _, _, s in found] == pytest.approx([4 * 4.4] * 2)
+    # each word was there once, alone, before the dense passage
+    found, n = model.passages(" ".join(x for w in rude for x in [w, *far]) + " " + " ".join(rude), {})
+    assert found[-1][:2] == (n - 4, n) and found[-1][2] == pytest.approx(4 * 4.4)
+    # repeats inside a passage don't add up, and don't take away from its best part
+    found, _ = model.passages(" ".join(rude + ["and", "vilest"] * 40), {})
+    assert found[0][:2] == (0, 84) and found[0][2] == pytest.approx(4 * 4.4)
+
+
+def test_the_best_part_of_a_passage():
+    rng = random.Random(3)
+    for _ in range(300):
+        value = {w: rng.choice((-3, -0.6, -0.1, 0.9, 2, 6)) + rng.random() * 0.01 for w in "abcdef"}
+        words = rng.choices("abcdef", k=rng.randrange(1, 40))
+        scores = np.array([value[w] for w in words])
+        for a, b, s in toxicity.segments(scores):
+            want = 0.0
+            for i in range(a, b):
+                part, seen = 0.0, set()
+                for w in words[i:b]:
+                    part += toxicity.BACKGROUND if w in seen and value[w] > 0 else value[w]
+                    seen.add(w)
+                    want = max(want, part)
+            assert toxicity.once(words[a:b], scores[a:b], s) == pytest.approx(want)
+
+
 def test_priors_follow_the_word():
     counts = {"abcd": (30, 2), "abcde": (5, 0), "zzzz": (1, 30), "zzzz ": (1, 30)}
     s = toxicity.log_odds(counts, 100, 900)
