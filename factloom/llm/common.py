@@ -58,8 +58,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(True))
 
 
-def labelled_sample(labels: DataFrame, column: str, limit: int, train_only: bool) -> DataFrame:
-    """At most limit labelled ids, (doc_id, label), those with the smallest hashes.
+def labelled_sample(labels: DataFrame, column: str, limit: int, train_only: bool, docs: DataFrame) -> DataFrame:
+    """At most limit labelled ids of docs, (doc_id, label), those with the smallest hashes.
 
     Rows with a null id or label are left out; repeated ids count as labelled 1 if any is 1.
     The result has a bounded number of rows, so it may be broadcast.
@@ -68,6 +68,9 @@ def labelled_sample(labels: DataFrame, column: str, limit: int, train_only: bool
     if train_only:
         rows = rows.where(~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
+    # the limit is for labels that meet a document; an inner join may build on the few labels, a semi-join may not
+    rows = rows.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 

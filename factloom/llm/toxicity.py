@@ -212,11 +212,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model | None:
     """The model, from at most limit labelled rows outside the held-out part."""
-    sample = labelled_sample(labels, "toxic", limit, train_only=True)  # bounded by limit
+    sample = labelled_sample(labels, "toxic", limit, True, docs)  # bounded by limit
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~held_out(F.col("doc_id")))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold")
-    rows = rows.join(F.broadcast(sample), "doc_id").select(fold, F.col("label").cast("int").alias("label"), "text")
-    rows = rows.persist()
+    # one row of each id, whichever text has the smallest hash, so that there are at most limit rows
+    text = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text")
+    rows = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), text)
+    rows = rows.select(fold, F.col("label").cast("int").alias("label"), "text").persist()
     try:
         sizes = {(r["fold"], r["label"]): r["count"] for r in rows.groupBy("fold", "label").count().collect()}
         size = lambda folds, label: sum(sizes.get((f, label), 0) for f in folds)

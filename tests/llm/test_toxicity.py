@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from factloom.llm import toxicity
+from factloom.llm.common import labelled_sample
 
 SF = "/root/testdata/sf0.1"
 
@@ -138,3 +139,22 @@ def test_odd_rows(spark, small):
     none = labels.limit(0)
     assert {r["score"] for r in toxicity.score(odd, none).collect()} == {0.0}
     assert toxicity.score(odd.limit(0), labels).count() == 0 and toxicity.clean(odd, none).count() == 5
+
+
+def test_the_sample_is_of_labels_that_documents_have(spark, small):
+    docs, labels = small
+    others = spark.range(10_000, 40_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    more = labels.unionByName(others)
+    for column in ("toxic", "quality"):
+        got = labelled_sample(more, column, 50, False, docs.unionByName(docs)).collect()
+        assert len(got) == 50 and {r["doc_id"] for r in got} <= set(range(600))
+    assert {r["doc_id"] for r in toxicity.clean(docs, more, 600).collect()} == {i for i in range(600) if i % 6}
+
+
+def test_a_repeated_id_is_fitted_on_once(spark, small):
+    docs, labels = small
+    hot = docs.where(docs["doc_id"] == 1)
+    assert zlib.crc32(b"1") % 3 != 1
+    many = docs.unionByName(hot.crossJoin(spark.range(3000)).drop("id"))
+    one, other = toxicity.fit(docs, labels), toxicity.fit(many, labels)
+    assert one.table == other.table and one.curve == pytest.approx(other.curve)
