@@ -350,7 +350,7 @@ def fact_diff_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def forgery_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on a story as it was made, without its proof, and with another source."""
-    rows = _orders_table(spark, sf_dir).df.orderBy("month").limit(40).collect()  # a small text is the feature here
+    rows = _orders_table(spark, sf_dir).df.orderBy("month").collect()  # a row for each month
     lines = [f"{x['month']},{x['total_price']:.2f},{x['order_count']:.0f}" for x in rows]
     source = "\n".join(["month,total_price,order_count", *lines])
     signer = proof.new_signer(spark)

@@ -225,3 +225,15 @@ def test_sums_of_batches_add_up(spark, tmp_path):
     for r in rows:
         g = got[r["event_type"], r["day"]]
         assert (g["n"], g["mean"], g["stdev"]) == (r["n"], pytest.approx(r["mean"]), pytest.approx(r["stdev"], abs=1e-6))
+
+
+def test_forgery_verdicts_take_all_months(spark, monkeypatch):
+    from factloom.plans import queries_tables
+    from factloom.sources import delimited
+
+    sf, texts, made = "/root/testdata/sf0.001", [], delimited.from_text
+    monkeypatch.setattr(delimited, "from_text", lambda s, text, *a, **k: texts.append(text) or made(s, text, *a, **k))
+    got = {r["name"]: r["verdict"] for r in queries_tables.forgery_verdicts(spark, sf).collect()}
+    months = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("trunc(CAST(o_orderdate AS DATE), 'month') AS m").distinct().count()
+    assert months > 40 and len(texts[0].splitlines()) == months + 1
+    assert len(set(got.values())) == 3
