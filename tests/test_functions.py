@@ -1,11 +1,13 @@
 import datetime as dt
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import display, inference, parse, prose
 from factloom.functions.numbers import clamp, finite, half_up, percent_change
+from factloom.plans import story
 from factloom.plans.queries_tables import _DATE_CASES, _NUMBER_CASES
 
 
@@ -23,6 +25,21 @@ def test_dates(spark):
     assert [r[0] for r in df.select(parse.parse_date(F.col("x"))).collect()] == [b for _, b in _DATE_CASES]
 
 
+@pytest.mark.parametrize(("t", "want"), [
+    ("Jan  2024", "2024-01-01"), ("Jan\t2024", "2024-01-01"), ("Jan 45, 2024", "2024-02-14"), ("45 Jan 2024", "2024-02-14"),
+    ("Marvelous 2024", "2024-03-01"), ("Januaryyyyyy 2024", None), ("Sept. 5, 2024", "2024-09-05"), ("5 Sept. 2024", "2024-09-05"),
+    ("5 Jan, 2024", None), ("Jan 5 , 2024", None), ("Jan5 2024", None), ("Foo 2024", None), ("2024 Q1", "2024-01-01"), ("2024Q4", "2024-10-01"),
+    ("2024  Q1", None), ("q3-2024", "2024-07-01"), ("Q3  2024", None), ("Q5 2024", None), ("2024-Q0", None), ("1-2-2024", "2024-01-02"),
+    ("1/2-2024", "2024-01-02"), ("1/32/2024", None), ("31/12/2024", "2024-12-31"), ("1.2.2024", None), ("2024-1", "2024-01-01"),
+    ("2024-1-2 noon", "2024-01-02"), ("2024-01-05Tuesday", "2024-01-05"), ("2024-01-05x", None), ("2024-1-123", None), ("2024-01 5", "2024-01-01"),
+    ("24-01-05", None), ("2101", None), ("+2024", None), ("2024.0", None), ("20240105", None), ("", None), (" ", None), ("Q", None), ("-", None),
+    ("Jan 2024 ", "2024-01-01"), ("May", None),
+])
+def test_dates_by_their_forms(spark, t, want):
+    got = one(spark, parse.parse_date(F.lit(t)))
+    assert (got and str(got)) == want
+
+
 def test_booleans_and_null_tokens(spark):
     df = spark.createDataFrame([("Yes",), ("0",), ("x",), (" n/A ",)], "x string")
     assert [r[0] for r in df.select(parse.parse_boolean(F.col("x"))).collect()] == [True, False, None, None]
@@ -63,6 +80,24 @@ def test_inference():
     assert inference.correlation_p(0.9, 20) < 0.001 < 0.05 < inference.correlation_p(0.3, 5)
 
 
+@pytest.mark.parametrize("word", f"{prose.UP_WORDS} {prose.DOWN_WORDS}".split())
+def test_each_word_has_its_direction(word):
+    text = f"it {word.upper()}."
+    assert bool(re.search(prose.UP, text)) == (word in prose.UP_WORDS.split())
+    assert bool(re.search(prose.DOWN, text)) == (word in prose.DOWN_WORDS.split())
+
+
+def test_words_without_a_direction_and_signs():
+    assert not re.search(prose.UP, "up, higher and arisen") and not re.search(prose.DOWN, "down, lower and falls_x")
+    assert all(re.search(prose.TOGETHER, t) for t in ("positively", "in lockstep", "In  tandem")) and not re.search(prose.TOGETHER, "together")
+    assert all(re.search(prose.AGAINST, t) for t in ("inversely", "negatively", "opposite", "anti-correlated", "anticorrelation"))
+
+
+def test_forms_of_numbers(spark):
+    assert sorted(set(one(spark, prose.forms_of(F.lit(950.0))))) == [950.0]
+    assert set(one(spark, prose.forms_of(F.lit(-1_234_567.0)))) == {1234567.0, 1234.6, 1234.57, 1.2, 1.23} == story._forms(-1_234_567.0)
+
+
 def test_prose(spark):
     assert one(spark, prose.numbers_in(F.lit("from -1,234.5 to 7 in 2024"))) == [1234.5, 7.0, 2024.0]
     assert [one(spark, prose.direction_of(F.lit(t))) for t in ("it rose", "it fell", "it rose and fell", "it stayed")] == ["up", "down", "both", None]
