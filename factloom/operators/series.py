@@ -2,7 +2,7 @@
 
 A series is rows (metric, i, v, row_id, at, label): i counts from 0 in the order of the axis. Rows are
 sorted by range over all tasks; each task numbers its own, and the tasks' counts, a row for each
-metric and partition, are summed up to offsets and broadcast back.
+metric and partition, are summed up to offsets and joined back.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
-from ..session import checkpoint
+from ..session import checkpoint, small_side
 
 #: Rows of a block of ordinals in which prefix sums are taken.
 BLOCK = 65_536
+#: Bits of a row's place in its partition in what monotonically_increasing_id() gives.
+_PLACES = 33
 
 
 def long_form(df: DataFrame, metrics: list[str], at: Column | None, row_id: Column, label: Column | None = None) -> DataFrame:
@@ -27,19 +29,27 @@ def long_form(df: DataFrame, metrics: list[str], at: Column | None, row_id: Colu
 
 
 def ordinals(rows: DataFrame, by: list[str], order: list[str], name: str = "i") -> DataFrame:
-    """Add name: the place from 0 within by in the given order (nulls last)."""
+    """Add name: the place from 0 within by in the given order (nulls last).
+
+    Rows move once, to their range. Equal rows share a range, so the order should tell rows apart.
+    """
     sort = [F.col(c).asc_nulls_last() for c in (*by, *order)]
     spread = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
-    # written down once: what a range partition holds must not change between the two uses
-    spread = checkpoint(spread.withColumn("_part", F.spark_partition_id()))
-    inside = Window.partitionBy(*by, "_part").orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    counts = spread.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    # the partition in the upper bits, the row's place in it in the lower ones; written down once, as what a
+    # range partition holds must not change between the two uses
+    spread = checkpoint(spread.withColumn("_place", F.monotonically_increasing_id()))
+    spread = spread.withColumn("_part", F.shiftright("_place", _PLACES))
+    at = F.col("_place").bitwiseAND(F.lit((1 << _PLACES) - 1))
+    counts = spread.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first"))
+    # a row for each group and partition
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    local = spread.withColumn("_i", F.row_number().over(inside) - 1)
-    # at most a row for each series and partition
-    out = local.join(F.broadcast(offsets) if len(by) == 0 else offsets, [*by, "_part"])
-    return out.withColumn(name, F.col("_i") + F.col("_offset")).drop("_part", "_i", "_offset")
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    offsets = small_side(counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_at_part"), offset.alias("_offset")))
+    same = F.col("_part") == F.col("_at_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    out = spread.join(offsets, same).withColumn(name, at + F.col("_offset"))
+    return out.drop("_place", "_part", "_at_part", "_offset", *[f"_by_{c}" for c in by])
 
 
 def series(df: DataFrame, metrics: list[str], at: Column | None, row_id: Column, label: Column | None = None) -> DataFrame:
@@ -65,19 +75,34 @@ def prefix_sums(rows: DataFrame, by: list[str], values: dict[str, str]) -> DataF
 def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
     """Exact quantiles by linear interpolation between order statistics: (by, n, the names of at).
 
-    The order statistics come from a sort by range, so no task holds a group's values.
+    Rows are counted by value before they are dealt out by range, so a value that very many rows have is one
+    row. The ranges' counts say which of them hold an order statistic, and only these are ordered.
     """
-    placed = ordinals(rows.select(*by, value).where(finite(F.col(value))), by, [value])
-    n = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    both = placed.join(n, by) if by else placed.crossJoin(F.broadcast(n))  # one row without groups
+    keys = [f"_by{i}" for i in range(len(by))]
+    some = rows.where(finite(F.col(value))).groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).alias("_v"))
+    counts = some.agg(F.count(F.lit(1)).alias("_count")).repartitionByRange(*keys, "_v")
+    counts = checkpoint(counts.withColumn("_part", F.spark_partition_id()))
+    # a row for each group and partition
+    every = Window.partitionBy(*keys)
+    before = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy(*keys, "_part").agg(F.sum("_count").alias("_n"))
+    parts = parts.withColumns({"n": F.sum("_n").over(every), "_off": F.coalesce(F.sum("_n").over(before), F.lit(0))})
+    ranks = {name: (F.col("n") - 1) * q for name, q in at.items()}
+
+    def holds(rank: Column, first: str, count: str) -> Column:
+        return (F.col(first) <= rank) & (rank < F.col(first) + F.col(count))
+
+    wanted = F.lit(False)
+    for p in ranks.values():
+        wanted = wanted | holds(F.floor(p), "_off", "_n") | holds(F.ceil(p), "_off", "_n")
+    parts = parts.where(wanted).select("n", "_off", F.col("_part").alias("_at_part"), *[F.col(k).alias(f"{k}p") for k in keys])
+    same = F.col("_part") == F.col("_at_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}p"))
+    running = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    found = counts.join(small_side(parts), same).withColumn("_first", F.col("_off") + F.coalesce(F.sum("_count").over(running), F.lit(0)))
     cells = []
-    for name, q in at.items():
-        p = (F.col("n") - 1) * q
-        low = F.max(F.when(F.col("i") == F.floor(p), F.col(value)))
-        high = F.max(F.when(F.col("i") == F.ceil(p), F.col(value)))
+    for name, p in ranks.items():
+        low, high = (F.max(F.when(holds(i, "_first", "_count"), F.col("_v"))) for i in (F.floor(p), F.ceil(p)))
         cells.append((low + (high - low) * F.max(p - F.floor(p))).alias(name))
-    wanted = F.lit(False)
-    for q in at.values():
-        p = (F.col("n") - 1) * q
-        wanted = wanted | F.col("i").between(F.floor(p), F.ceil(p))
-    return both.where(wanted).groupBy(*by).agg(F.max("n").alias("n"), *cells)
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *cells).select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "n", *at)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that results rely on.
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.ansi.enabled": "true"}
@@ -17,9 +19,22 @@ def session(name: str = "factloom", **more: str) -> SparkSession:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage in the folder of spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is used.
+    Only where that setting is missing on a single machine a temporary folder is used; a cluster has to name one.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factloom-"))
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if where is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="factloom-"))
     return df.checkpoint()
+
+
+#: Most rows that are broadcast on the strength of a count.
+SMALL = 200_000
+
+
+def small_side(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df for the small side of a join: written down, counted, and broadcast if it has at most so many rows."""
+    df = checkpoint(df)
+    return F.broadcast(df) if df.count() <= most else df

@@ -32,6 +32,23 @@ def test_quantiles_of_groups(spark):
             assert got[g][name] == pytest.approx(lo + (hi - lo) * (p - int(p)))
 
 
+def test_quantiles_of_values_that_all_rows_have(spark):
+    """A constant and a few values: no task sorts the rows of a value."""
+    df = spark.range(0, 300_000, 1, 16).select(F.lit(5.0).alias("c"), (F.col("id") % 3).cast("double").alias("v"), F.lit(None).cast("string").alias("g"))
+    (c,) = series.quantiles(df, [], "c", {"q1": 0.25, "median": 0.5}).collect()
+    assert (c["n"], c["q1"], c["median"]) == (300_000, 5.0, 5.0)
+    (v,) = series.quantiles(df, ["g"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75, "top": 1.0}).collect()
+    assert (v["g"], v["n"], v["q1"], v["median"], v["q3"], v["top"]) == (None, 300_000, 0.0, 1.0, 2.0, 2.0)
+    assert series.quantiles(df.limit(0), ["g"], "v", {"median": 0.5}).count() == 0
+
+
+def test_ordinals_of_groups_without_a_name(spark):
+    rows = [(g, i) for g in ("a", None, "b") for i in range(50)]
+    random.Random(3).shuffle(rows)
+    got = series.ordinals(spark.createDataFrame(rows, "g string, k long").repartition(4), ["g"], ["k"]).collect()
+    assert len(got) == 150 and all(r["i"] == r["k"] for r in got)
+
+
 def brute_change(v, compat=False):
     n, m = len(v), sum(v) / len(v)
     best = None
