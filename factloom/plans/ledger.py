@@ -104,7 +104,8 @@ def profile(table: Table) -> dict:
     for i, (c, kind) in enumerate(table.kinds.items()):
         out["columns"][c] = {"kind": kind} | {k: got.get(f"{k}{i}") for k in ("n", "m", "s", "lo", "hi", "d")}
     # near the bounds the estimate is not good enough
-    close = [c for c, p in out["columns"].items() if p["d"] is not None and p["d"] <= 2 * MOST_GROUPS]
+    near = lambda d: d <= 2 * MOST_GROUPS or abs(d - LABEL_AXIS * got["rows"]) <= 0.1 * got["rows"] or abs(d - GROUP_SHARE * got["rows"]) <= 0.1 * got["rows"]
+    close = [c for c, p in out["columns"].items() if p["d"] is not None and near(p["d"])]
     if close:
         exact = table.df.agg(*[F.count_distinct(F.nullif(F.col(f"`{c}`"), F.lit(""))).alias(f"d{i}") for i, c in enumerate(close)]).first()
         for i, c in enumerate(close):
@@ -294,7 +295,7 @@ def _pair_facts(table: Table, metrics: list[str]) -> list[Fact]:
             if abs(r) < groups.CORRELATED or n < groups.CORRELATED_PAIRS:
                 continue
             p = correlation_p(r, n)
-            word = "in lockstep" if abs(r) >= 0.85 else "closely" if abs(r) >= 0.7 else "loosely"
+            word = "tightly" if abs(r) >= 0.85 else "closely" if abs(r) >= 0.7 else "loosely"
             how = "together" if r > 0 else "in opposite directions"
             confidence = {"level": _level(p, n >= 10), "note": f"Pearson's r over {n} pairs, p {show.chance(p)}.", "ci95": None, "p_value": show.half_up(p, 3)}
             both = table.df.where(finite(F.col(f"`{a}`")) & finite(F.col(f"`{b}`"))).select("row_id").orderBy("row_id").limit(groups.PROVENANCE)

@@ -1,16 +1,26 @@
-"""Hashes and Ed25519 signatures of stories; the keys are the JVM's (java.security)."""
+"""Hashes and Ed25519 signatures of stories; keys and signatures are the JVM's (java.security)."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.display import canonical_json
+from ..session import checkpoint
+from ..sources.delimited import Table
 
 VERSION, ALGORITHM = 1, "ed25519"
+#: Where a signer's private key may be given (base64 of PKCS 8), and further trusted public keys (base64 of SPKI,
+#: separated by commas).
+KEY_VARIABLE, TRUSTED_VARIABLE, KEY_FILE = "FACTLOOM_SIGNING_KEY", "FACTLOOM_TRUSTED_KEYS", "signing-key.pkcs8.b64"
+#: Digests that a node of a table's hash tree stands for, about.
+BRANCHES = 4096
 _SIGNED = ("version", "engine", "algorithm", "csvSha256", "factsSha256", "storySha256", "publicKey")
 
 
@@ -47,6 +57,95 @@ def new_signer(spark: SparkSession) -> Signer:
     )
 
 
+#: What precedes the 32 bytes of a private and of a public Ed25519 key in PKCS 8 and SPKI (fixed values, RFC 8410).
+_PKCS8, _SPKI = bytes.fromhex("302e020100300506032b657004220420"), bytes.fromhex("302a300506032b6570032100")
+#: The curve (fixed values, RFC 8032): the field's prime, d, and the base point.
+_P = 2**255 - 19
+_D = -121665 * pow(121666, -1, _P) % _P
+_B = (15112221349535400772501151409588531511454012693041857206046113283949847762202, 46316835694926478169428394003475163141307993866256225615783033603165251855960)
+
+
+def public_key_of(private_key: str) -> str:
+    """The public key of a private one, both in base64."""
+    der = base64.b64decode(private_key)
+    if not der.startswith(_PKCS8) or len(der) != len(_PKCS8) + 32:
+        raise ValueError("not an Ed25519 private key in PKCS 8")
+    head = hashlib.sha512(der[-32:]).digest()[:32]
+    scalar = int.from_bytes(head, "little") & ((1 << 254) - 8) | 1 << 254
+    x, y = _times(scalar, _B)
+    return base64.b64encode(_SPKI + (y | (x & 1) << 255).to_bytes(32, "little")).decode()
+
+
+def _times(n: int, point: tuple[int, int]) -> tuple[int, int]:
+    """n times a point, by doubling and adding with projective coordinates."""
+
+    def plus(a: tuple[int, int, int], b: tuple[int, int, int]) -> tuple[int, int, int]:
+        z = a[2] * b[2] % _P
+        xx, yy = a[0] * b[0] % _P, a[1] * b[1] % _P
+        e = _D * xx * yy % _P
+        low, high = (z * z - e) % _P, (z * z + e) % _P
+        cross = ((a[0] + a[1]) * (b[0] + b[1]) - xx - yy) % _P
+        return z * low * cross % _P, z * high * (yy + xx) % _P, low * high % _P
+
+    out, step = (0, 1, 1), (*point, 1)
+    while n:
+        if n & 1:
+            out = plus(out, step)
+        step, n = plus(step, step), n >> 1
+    inverse = pow(out[2], -1, _P)
+    return out[0] * inverse % _P, out[1] * inverse % _P
+
+
+def load_signer(spark: SparkSession, folder: str | os.PathLike) -> Signer:
+    """The signer of KEY_VARIABLE, else the one kept in a folder of the driver, else a new one that is kept there.
+
+    A signer that is kept goes on being trusted after a restart.
+    """
+    given = os.environ.get(KEY_VARIABLE, "").strip()
+    path = Path(folder) / KEY_FILE
+    if not given and path.exists():
+        given = path.read_text().strip()
+    if given:
+        return Signer(spark, given, public_key_of(given))
+    made = new_signer(spark)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with os.fdopen(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "w") as file:
+        file.write(made.private_key)
+    return made
+
+
+def trusted_keys(own: str) -> set[str]:
+    """The own public key and those of TRUSTED_VARIABLE."""
+    return {own} | {k.strip() for k in os.environ.get(TRUSTED_VARIABLE, "").split(",") if k.strip()}
+
+
+# ---- digests --------------------------------------------------------------------------
+
+
+def table_digest(table: Table) -> str:
+    """SHA-256 of a hash tree over a table's distinct rows, with row ids and counts; whatever the partitions.
+
+    Rows are hashed where they lie; a node hashes the digests of its branches in their order.
+    """
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00null")) for c in ("row_id", *table.kinds)]
+    row = F.sha2(F.to_json(F.array(*cells)), 256)
+    level = table.df.select(row.alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    level = checkpoint(level.select(F.concat_ws(":", "d", "n").alias("d")))
+    n = level.count()
+    while n > BRANCHES:
+        # equal hashes are one row by now, so the beginnings of digests deal them out evenly
+        nodes = -(-n // BRANCHES)
+        level = level.groupBy(F.pmod(F.conv(F.substring("d", 1, 12), 16, 10).cast("long"), F.lit(nodes)).alias("node"))
+        level = checkpoint(level.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256).alias("d")).select("d"))
+        n = level.count()
+    kinds = canonical_json(list(table.kinds.items()))
+    return "rows:" + sha256(kinds + ",".join(sorted(r["d"] for r in level.collect())))  # at most BRANCHES rows
+
+
+def digest_of(source: str | Table) -> str:
+    return sha256(source) if isinstance(source, str) else table_digest(source)
+
+
 def signature_holds(spark: SparkSession, public_key: str, data: bytes, signature: str) -> bool:
     jvm = spark._jvm
     try:
@@ -67,12 +166,13 @@ def _without_proof(story: dict) -> dict:
     return {k: v for k, v in story.items() if k != "proof"}
 
 
-def sign(source: str, story: dict, signer: Signer, engine: str) -> dict:
+def sign(source: str | Table, story: dict, signer: Signer, engine: str) -> dict:
+    """The proof of a story and its source."""
     bundle = {
         "version": VERSION,
         "engine": engine,
         "algorithm": ALGORITHM,
-        "csvSha256": sha256(source),
+        "csvSha256": digest_of(source),
         "factsSha256": sha256(canonical_json(story["facts"])),
         "storySha256": sha256(canonical_json(_without_proof(story))),
         "publicKey": signer.public_key,
@@ -85,12 +185,14 @@ def objection(spark: SparkSession, story: dict, trusted: set[str]) -> str | None
     bundle = story.get("proof")
     if not bundle:
         return "there is no proof"
+    if not isinstance(bundle, dict) or not all(isinstance(bundle.get(k), str) for k in (*_SIGNED[1:], "signature")):
+        return "the proof is incomplete"
     if bundle.get("publicKey") not in trusted:
         return "the key is not trusted"
-    if sha256(canonical_json(_without_proof(story))) != bundle.get("storySha256"):
+    if sha256(canonical_json(_without_proof(story))) != bundle["storySha256"]:
         return "the story was changed after it was signed"
-    if sha256(canonical_json(story["facts"])) != bundle.get("factsSha256"):
+    if sha256(canonical_json(story.get("facts"))) != bundle["factsSha256"]:
         return "the facts were changed after they were signed"
-    if any(k not in bundle for k in _SIGNED) or not signature_holds(spark, bundle["publicKey"], _signed(bundle), bundle.get("signature", "")):
+    if "version" not in bundle or not signature_holds(spark, bundle["publicKey"], _signed(bundle), bundle["signature"]):
         return "the signature doesn't fit"
     return None

@@ -7,6 +7,7 @@ same audit for any number of texts, as DataFrame joins.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 import secrets
 import string
@@ -49,12 +50,31 @@ THEMES, TONES = ("midnight", "paper", "aurora"), ("documentary", "upbeat", "exec
 FREE_NUMBERS = frozenset(float(x) for x in (*range(4), *range(1990, 2036)))
 #: A change from which on a fact has a direction, in per cent (fixed value).
 DIRECTED = 3.0
-NAME_LENGTH, QUESTION_LENGTH = 60, 300
+NAME_LENGTH, QUESTION_LENGTH, TITLE_LENGTH = 60, 300, 90
 
-#: Says something about each of some facts: texts by the facts' ids.
-Narrator = Callable[[list[Fact]], dict[str, str]]
+#: Says something about each of some facts: texts by the facts' ids, or a draft in JSON (see draft_of()).
+Narrator = Callable[[list[Fact]], dict[str, str] | str]
 
-_OPENERS = ("First,", "Next,", "Then,", "Meanwhile,", "Also,", "Further on,", "Finally,")
+_OPENERS = {
+    "documentary": ("First,", "Next,", "Then,", "Meanwhile,", "Also,", "Further on,", "Finally,"),
+    "upbeat": ("Look at this:", "And then:", "There is more:", "Better still, read on:", "Also on stage:", "Keep going:", "To top it off:"),
+    "executive": ("Finding:", "Further:", "In addition:", "Related:", "Also relevant:", "Note:", "Last:"),
+}
+#: What follows a fact's own statement, by its kind and the tone. None has a number, a direction or a metric.
+_KICKERS = {
+    "trend": ("The line through the points hardly leaves room for doubt.", "That is a habit, not a fluke.", "Plan on the course, not on the last value."),
+    "changepoint": ("Before and after are two different levels.", "A new chapter starts right there.", "Look for the decision or event at this date."),
+    "outlier": ("One point stands apart from all others.", "This one refuses to blend in.", "Check this point before it enters an average."),
+    "correlation": ("That they move so says nothing about which one causes it.", "Coincidence or cause? Worth asking.", "Test for a cause before acting on it."),
+    "category_leader": ("Taken together, an average would hide this.", "Every table has its star.", "Such weight is a strength and a dependency."),
+    "concentration": ("Few carry most of it.", "A short list does the heavy lifting.", "Spread, or the lack of it, is the risk here."),
+    "seasonal": ("The calendar leaves its mark.", "It has a rhythm of its own.", "Compare like periods with like."),
+    "volatility": ("The range says more than the mean.", "Never a dull moment.", "Budget for the range."),
+    "streak": ("A run of one direction, without a break.", "Now that is a run.", "Ask what ends it."),
+    "extreme": ("These are the bounds of what was seen.", "For the record books.", "Use these as points of reference."),
+}
+_UNEVEN = ("The path was uneven.", "A bumpy road, but one direction.", "Read the slope, not the noise.")
+_CLOSINGS = ("What the data say", "That is the story", "Summary")
 
 
 def select_scenes(facts: list[Fact]) -> list[Fact]:
@@ -107,9 +127,10 @@ def numbers_in(text: str) -> list[float]:
 
 
 def _forms(v: float) -> set[float]:
+    """What prose.forms_of() gives, for one value."""
     a = abs(v)
-    out = {a, show.half_up(a, 0), show.half_up(a, 1), show.half_up(a, 2)}
-    return out | {show.half_up(a / s, k) for s in (1e3, 1e6, 1e9) for k in (0, 1, 2)}
+    out = {a, abs(show.half_up(v, 0)), abs(show.half_up(v, 1))}
+    return out | {show.half_up(a / s, k) for s in (1e3, 1e6, 1e9) if a >= s for k in (1, 2)}
 
 
 def allowed_numbers(f: Fact) -> set[float]:
@@ -127,6 +148,19 @@ def mentions(text: str, name: str) -> bool:
     return len(name) >= 2 and bool(re.search(f"(?<!\\w){re.escape(name)}(?!\\w)", text, re.I))
 
 
+def metrics_of(facts: list[Fact]) -> list[str]:
+    """The measures that a ledger speaks of: both of a correlation, the summed one of a category, none of an overview."""
+    out: dict[str, None] = {}
+    for f in facts:
+        if f.kind == "correlation":
+            out |= dict.fromkeys(f.columns)
+        elif f.kind in ("category_leader", "concentration"):
+            out |= dict.fromkeys(f.columns[1:2])
+        elif f.kind != "overview":
+            out |= dict.fromkeys(f.columns[:1])
+    return list(out)
+
+
 def objection(f: Fact, text: str, metrics: list[str]) -> str | None:
     """Why a fact doesn't support a text: a stray number, another metric, the wrong way, the wrong sign."""
     if stray := stray_numbers(text, allowed_numbers(f) | FREE_NUMBERS):
@@ -140,9 +174,8 @@ def objection(f: Fact, text: str, metrics: list[str]) -> str | None:
     way = direction(f)
     if (way == "up" and down and not up) or (way == "down" and up and not down):
         return f"points the wrong way for {f.id}"
-    if f.kind == "correlation":
-        wrong = prose.AGAINST if f.values["r"] > 0 else prose.TOGETHER
-        if re.search(wrong, text):
+    if f.kind == "correlation" and (r := f.values.get("r")):
+        if re.search(prose.AGAINST if r > 0 else prose.TOGETHER, text):
             return f"has the wrong sign for {f.id}"
     return None
 
@@ -186,16 +219,42 @@ def hero(scenes: list[Fact]) -> dict | None:
     return None
 
 
+def draft_of(raw: str, scenes: int) -> dict | None:
+    """The draft in a narrator's answer: the outermost JSON object, whatever stands around it.
+
+    It has a title, a subtitle and as many scenes as asked for, each with headline and body; None otherwise.
+    """
+    start, end = raw.find("{"), raw.rfind("}")
+    try:
+        draft = json.loads(raw[start : end + 1]) if 0 <= start < end else None
+    except ValueError:
+        return None
+    if not isinstance(draft, dict) or not all(isinstance(draft.get(k), str) for k in ("title", "subtitle")):
+        return None
+    made = draft.get("scenes")
+    if not isinstance(made, list) or len(made) != scenes:
+        return None
+    if not all(isinstance(x, dict) and isinstance(x.get("headline"), str) and isinstance(x.get("body"), str) for x in made):
+        return None
+    said = {k: draft[k] if isinstance(draft.get(k), str) else "" for k in ("title", "subtitle", "closingHeadline", "closingBody")}
+    return said | {"scenes": [{"headline": x["headline"], "body": x["body"]} for x in made]}
+
+
 def told(chosen: list[Fact], narrator: Narrator, metrics: list[str]) -> tuple[dict[str, str], dict[str, int]]:
     """What a narrator says of facts, by id, as far as the audit lets it pass, and the audit's counts."""
-    counts = {"checked": 0, "verified": 0, "rewritten": 0}
+    counts = {"checked": 0, "verified": 0, "rewritten": 0, "rejected": 0}
     try:
         texts = narrator(chosen)
+        if isinstance(texts, str):
+            draft = draft_of(texts, len(chosen))
+            texts = {f.id: x["body"] for f, x in zip(chosen, draft["scenes"], strict=True)} if draft else {}
+        texts = {k: v for k, v in texts.items() if isinstance(v, str)}
     except Exception:  # whatever goes wrong out there, the own wording is always at hand
         return {}, counts | {"rewritten": len(chosen)}
     out = {}
     for f in chosen:
         text = texts.get(f.id)
+        stray = []
         if text:
             found, stray = numbers_in(text), stray_numbers(text, allowed_numbers(f) | FREE_NUMBERS)
             counts["checked"] += len(found)
@@ -204,27 +263,66 @@ def told(chosen: list[Fact], narrator: Narrator, metrics: list[str]) -> tuple[di
             out[f.id] = text
         else:
             counts["rewritten"] += 1
+            # numbers were right, but not the direction, the sign or the metric
+            counts["rejected"] += bool(text) and not stray
     return out, counts
 
 
-def narrate(facts: list[Fact], name: str, narrator: Narrator | None = None, metrics: list[str] | None = None) -> tuple[str, list[dict]]:
-    """A title and scenes: an opening, one for each selected fact with its claim, and a closing."""
+def title_of(chosen: list[Fact], name: str) -> str:
+    """A title by the kind of the most important fact."""
+    if not chosen:
+        return f"What {name} shows"
+    top = max(chosen, key=lambda f: f.importance)  # the first of equals
+    column = top.columns[0] if top.columns else name
+    last = top.columns[1] if len(top.columns) > 1 else column
+    titles = {
+        "trend": f"{column} on the way {'down' if top.values.get('changePct', 0.0) < 0 else 'up'}",
+        "changepoint": f"When {column} changed",
+        "outlier": f"{column} and its one odd point",
+        "correlation": f"{column} and {last}, side by side",
+        "category_leader": f"Who carries {last}",
+        "concentration": f"Who carries {last}",
+        "seasonal": f"The calendar of {column}",
+    }
+    return show.shortened(titles.get(top.kind, f"What {name} shows"), TITLE_LENGTH)
+
+
+def narrate(
+    facts: list[Fact],
+    name: str,
+    narrator: Narrator | None = None,
+    metrics: list[str] | None = None,
+    tone: str = TONES[0],
+    rows: int | None = None,
+    counts: dict[str, int] | None = None,
+) -> tuple[str, list[dict]]:
+    """A title and scenes: an opening, one for each selected fact with its claim, and a closing.
+
+    counts gets the audit's counts, if there is a narrator.
+    """
     chosen = select_scenes(facts)
-    said, _ = told(chosen, narrator, metrics or []) if narrator else ({}, {})
-    top = hero(chosen)
-    scenes = [{"kind": "hero", "headline": chosen[0].headline if chosen else name, "body": "", "factIds": [], "stat": top}]
+    said, found = told(chosen, narrator, metrics or []) if narrator else ({}, {})
+    if counts is not None:
+        counts |= found
+    title, at = title_of(chosen, name), TONES.index(tone)
+    scenes = [{"kind": "hero", "headline": title, "body": "", "factIds": [], "stat": hero(chosen)}]
     for i, f in enumerate(chosen):
-        body = said.get(f.id) or f"{_OPENERS[i % len(_OPENERS)]} {f.statement}"
-        if f.id not in said and f.kind == "trend" and f.values["r2"] < 0.5:
-            body += " The path was uneven."
+        uneven = f.kind == "trend" and f.values["r2"] < 0.5
+        kicker = _UNEVEN[at] if uneven else _KICKERS.get(f.kind, ("",) * 3)[at]
+        opened = f"{_OPENERS[tone][i % len(_OPENERS[tone])]} {f.statement}"
+        # a metric may have the name of any word here: then there are fewer words
+        own = (b for b in (f"{opened} {kicker}".strip(), opened) if not objection(f, f"{f.headline} {b}", metrics or []))
+        body = said.get(f.id) or next(own, f.statement)
         scenes.append({"kind": "insight", "headline": f.headline, "body": body, "factIds": [f.id], "claim": claim(f)})
-    scenes.append({"kind": "closing", "headline": "What the data say", "body": f"{len(chosen)} findings out of {len(facts)}.", "factIds": []})
-    return (chosen[0].headline if chosen else name), scenes
+    source = f" from {rows} rows" if rows is not None else ""
+    closing = f"{len(chosen)} findings out of {len(facts)} computed facts{source}. Each number comes from a fact that can be computed again."
+    scenes.append({"kind": "closing", "headline": _CLOSINGS[at], "body": closing, "factIds": []})
+    return title, scenes
 
 
 def create(
     table: Table,
-    source: str,
+    source: str | None = None,
     question: str | None = None,
     theme: str = "",
     tone: str = "",
@@ -232,35 +330,42 @@ def create(
     engine: str = "factloom",
     narrator: Narrator | None = None,
 ) -> dict:
-    """The story of a table as one document; signed if there is a signer."""
+    """The story of a table as one document; signed if there is a signer.
+
+    source is the text that the table comes from; without one the proof is bound to the table's own digest.
+    """
     from . import proof
 
-    if not source.strip():
+    if source is not None and not source.strip():
         raise InputError("the text is empty")
     question = show.shortened(question.strip(), QUESTION_LENGTH) if question and question.strip() else None
     name = show.shortened(table.name.strip() or "uploaded data", NAME_LENGTH)
     facts = facts_of(table, question)
     if len(facts) < 2:
         raise InputError("there is too little in this table: it takes a measure with three values")
-    title, scenes = narrate(facts, name, narrator, table.of_kind("number"))
+    tone = tone if tone in TONES else TONES[0]
+    rows = int(facts_rows(facts))
+    counts = {"checked": 0, "verified": 0, "rewritten": 0, "rejected": 0}
+    title, scenes = narrate(facts, name, narrator, metrics_of(facts), tone, rows, counts)
     story = {
         "id": "".join(secrets.choice(string.ascii_lowercase + string.digits) for _ in range(10)),
         "createdAt": dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds"),
         "title": title,
         "question": question,
         "theme": theme if theme in THEMES else THEMES[0],
-        "tone": tone if tone in TONES else TONES[0],
+        "tone": tone,
         "dataset": {
             "name": name,
-            "rowCount": int(facts_rows(facts)),
+            "rowCount": rows,
             "columns": [{"name": c, "type": k} for c, k in table.kinds.items()],
             "notes": list(table.notes),
         },
         "facts": [asdict(f) for f in facts],
         "scenes": scenes,
+        "audit": counts,
     }
     if signer is not None:
-        story["proof"] = proof.sign(source, story, signer, engine)
+        story["proof"] = proof.sign(table if source is None else source, story, signer, engine)
     return story
 
 

@@ -1,9 +1,11 @@
 import copy
+import json
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import prose
 from factloom.plans import catalog, ledger, proof, story, verify
 from factloom.sources import delimited
 
@@ -56,8 +58,6 @@ def test_ledger(facts):
 
 
 def test_charts(facts):
-    import json
-
     by = {f.kind: json.loads(f.chart) for f in facts if f.chart}
     assert by["trend"]["type"] == "line" and len(by["trend"]["points"]) == 14 and "slope" in by["trend"]["trend"]
     assert by["changepoint"]["mark"] == 8 and by["changepoint"]["points"][8]["value"] in (200, 98)
@@ -161,6 +161,124 @@ def test_left_out_facts_need_strict(spark, signed):
     assert verify.verify(spark, SOURCE, bare, set(), strict=True).verdict == "TAMPERED"
 
 
+@pytest.fixture(scope="module")
+def directed(spark):
+    """Unsigned stories of a rising and of a falling measure, and what verification computes of their sources."""
+    out = {}
+    for way, values in (("up", [10, 12, 15, 19, 24, 31, 40]), ("down", [40, 31, 24, 19, 15, 12, 10])):
+        text = "month,revenue\n" + "\n".join(f"2024-0{i + 1},{v}" for i, v in enumerate(values))
+        made = story.create(delimited.from_text(spark, text, "demo"), text)
+        out[way] = made, {f["id"]: verify._fact(f) for f in made["facts"]}
+    return out
+
+
+@pytest.mark.parametrize(("way", "words"), [("up", prose.DOWN_WORDS), ("down", prose.UP_WORDS)])
+def test_each_word_against_a_fact_is_found(directed, way, words):
+    made, said = directed[way]
+    metrics = story.metrics_of(list(said.values()))
+    assert not verify._scene_failures(made, said, said, metrics)[0]
+    for word in words.split():
+        bad = forged(made, lambda x: next(s for s in x["scenes"] if s.get("claim", {}).get("operation") == "ols_trend").update(headline="x", body=f"revenue {word}."))  # noqa: B023
+        assert verify._scene_failures(bad, said, said, metrics)[0], word
+
+
+def test_a_forged_word_gives_the_verdict(spark, signed):
+    _, made = signed
+    bare = forged({k: v for k, v in made.items() if k != "proof"}, lambda x: insight(x).update(headline="x", body="It plunged."))
+    assert verify.verify(spark, SOURCE, bare, set()).verdict == "UNSUPPORTED_CLAIM"
+
+
+def test_malformed_stories_are_judged(spark, signed):
+    signer, made = signed
+    bad = [
+        None, [], {}, "x", 7, {"facts": []}, made | {"facts": None}, made | {"scenes": {}}, made | {"dataset": []}, made | {"title": 3}, made | {"question": 7},
+        made | {"proof": "x"}, made | {"proof": {}}, made | {"proof": made["proof"] | {"publicKey": ["x"]}}, made | {"proof": made["proof"] | {"signature": None}},
+    ]
+    change = lambda part, **more: forged(made, lambda x: x[part][1].update(more))
+    bad += [change("facts", **{k: v}) for k, v in (("values", None), ("values", {"a": "text"}), ("values", {"a": float("nan")}), ("columns", "revenue"), ("columns", [1]), ("id", 7), ("kind", None), ("statement", {}))]
+    bad += [change("scenes", **{k: v}) for k, v in (("headline", None), ("body", 5), ("kind", []), ("claim", "text"), ("factIds", 3), ("factIds", [{}]), ("stat", {"value": "x"}))]
+    bad += [forged(made, lambda x, k=k: x["facts"][1].pop(k)) for k in ("values", "kind", "id", "columns")] + [forged(made, lambda x, k=k: x.pop(k)) for k in ("facts", "scenes", "dataset", "title")]
+    for x in bad:
+        report = verify.verify(spark, SOURCE, x, {signer.public_key})
+        assert report.verdict in ("TAMPERED", "SOURCE_MISMATCH", "LEGACY_UNVERIFIED") and any(report.checks.values()), x
+        if isinstance(x, dict) and isinstance(x.get("proof"), dict) and x["proof"]:
+            assert report.verdict == "TAMPERED"
+    odd = forged({k: v for k, v in made.items() if k != "proof"}, lambda x: insight(x).update(claim={"factId": ["F1"]}))
+    assert verify.verify(spark, SOURCE, odd, set()).verdict == "UNSUPPORTED_CLAIM"
+
+
+def test_stories_of_typed_tables(spark):
+    rows = [(i, f"2024-{i + 1:02d}-01", float(r), float(u)) for i, (r, u) in enumerate(zip(REVENUE[:12], USERS[:12], strict=True))]
+    df = spark.createDataFrame(rows, "k long, month string, revenue double, users double").withColumn("month", F.to_date("month"))
+    table = lambda d: delimited.from_frame(d, "k", "demo")
+    signer = proof.new_signer(spark)
+    made = story.create(table(df), signer=signer)
+    again = table(df.repartition(7, F.rand(1)))
+    assert verify.verify(spark, again, made, {signer.public_key}, strict=True).verdict == "VERIFIED"
+    other = table(df.withColumn("users", F.when(F.col("k") == 5, 0.0).otherwise(F.col("users"))))
+    assert verify.verify(spark, other, made, {signer.public_key}).verdict == "SOURCE_MISMATCH"
+
+
+def test_digests_of_large_tables(spark, monkeypatch):
+    df = spark.range(3000).select("id", (F.col("id") % 7).alias("v"))
+    one = proof.table_digest(delimited.from_frame(df, "id"))
+    monkeypatch.setattr(proof, "BRANCHES", 16)
+    deep = proof.table_digest(delimited.from_frame(df, "id"))
+    assert deep == proof.table_digest(delimited.from_frame(df.orderBy("v").repartition(9), "id")) != one
+    changed = df.withColumn("v", F.when(F.col("id") == 17, 9).otherwise(F.col("v")))
+    assert proof.table_digest(delimited.from_frame(changed, "id")) != deep
+    assert proof.table_digest(delimited.from_frame(df.unionByName(df.limit(1)), "id")) != deep
+
+
+def test_signers_are_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.delenv(proof.KEY_VARIABLE, raising=False)
+    made = proof.load_signer(spark, tmp_path / "keys")
+    assert ((tmp_path / "keys" / proof.KEY_FILE).stat().st_mode & 0o777) == 0o600
+    again = proof.load_signer(spark, tmp_path / "keys")
+    assert (again.private_key, again.public_key) == (made.private_key, made.public_key)
+    assert proof.signature_holds(spark, again.public_key, b"x", made.sign(b"x"))
+    for _ in range(5):
+        other = proof.new_signer(spark)
+        assert proof.public_key_of(other.private_key) == other.public_key
+    monkeypatch.setenv(proof.KEY_VARIABLE, other.private_key)
+    assert proof.load_signer(spark, tmp_path / "none").public_key == other.public_key and not (tmp_path / "none").exists()
+    monkeypatch.setenv(proof.TRUSTED_VARIABLE, f" {made.public_key}, ,")
+    assert proof.trusted_keys(other.public_key) == {other.public_key, made.public_key}
+    with pytest.raises(ValueError):
+        proof.public_key_of("AAAA")
+
+
+def test_drafts(facts):
+    chosen = story.select_scenes(facts)
+    body = [f"{f.statement}" for f in chosen]
+    good = {"title": "t", "subtitle": "s", "scenes": [{"headline": "h", "body": b} for b in body]}
+    raw = f"Here it is:\n```json\n{json.dumps(good)}\n```"
+    assert story.draft_of(raw, len(chosen))["scenes"][0]["body"] == body[0]
+    for bad in ("", "{", "no", "[1]", json.dumps(good | {"title": 1}), json.dumps(good | {"scenes": good["scenes"][1:]}), json.dumps(good | {"scenes": [1] * len(chosen)})):
+        assert story.draft_of(bad, len(chosen)) is None
+    texts, counts = story.told(chosen, lambda fs: raw, [])
+    assert texts == dict(zip([f.id for f in chosen], body, strict=True)) and counts["rewritten"] == 0 and counts["checked"] == counts["verified"] > 0
+    assert story.told(chosen, lambda fs: "nothing", [])[1]["rewritten"] == len(chosen)
+
+
+def test_titles_and_tones(facts):
+    fact = lambda kind, columns, **values: ledger.Fact(kind, "h", "s", 50, columns, values)
+    assert story.title_of([fact("trend", ["mrr"], changePct=5.0), fact("outlier", ["x"])], "demo") == "mrr on the way up"
+    assert story.title_of([fact("trend", ["mrr"], changePct=-5.0)], "demo") == "mrr on the way down"
+    assert story.title_of([fact("category_leader", ["region", "sales"])], "demo") == "Who carries sales"
+    assert story.title_of([fact("correlation", ["a", "b"])], "demo") == "a and b, side by side"
+    assert story.title_of([], "demo") == story.title_of([fact("streak", ["a"])], "demo") == "What demo shows"
+    bodies = [[s["body"] for s in story.narrate(facts, "demo", tone=t)[1]] for t in story.TONES]
+    assert len({b[1] for b in bodies}) == 3
+    assert all(k in story._KICKERS for k in story.ARC if k != "overview")
+
+
+def test_metrics_of_a_ledger():
+    fact = lambda kind, *columns: ledger.Fact(kind, "h", "s", 50, list(columns), {})
+    some = [fact("overview", "x"), fact("correlation", "a", "b"), fact("category_leader", "k", "c"), fact("trend", "a"), fact("outlier", "d")]
+    assert story.metrics_of(some) == ["a", "b", "c", "d"]
+
+
 def test_too_little(spark):
     with pytest.raises(delimited.InputError):
         story.create(delimited.from_text(spark, "a,b\nx,y\nz,w", "t"), "a,b\nx,y\nz,w")
