@@ -5,70 +5,50 @@ rank is (rank - 1/2) / rows of its source. Sorted by fractional rank, any stretc
 has every source in its proportion, so cutting the order into equal stretches gives shards
 that all match the mixture, with row counts at most one apart.
 
-Neither sort uses one task per source or for the whole table: the shuffle key and the
-fractional rank are both spread evenly, so rows are counted in narrow buckets of them, the
-counts are summed up to offsets, and rows are ranked inside their bucket only.
+Texts are read once and leave only their size and checksum. Both rankings deal these narrow rows
+out by range, number them where they lie and add up the counts of the ranges (a row for each source
+and range), so neither a source nor the whole table has a task of its own.
 
-Defined results: null text has no bytes (size 1, crc32 of nothing 0). A null source is a
-source of its own. Rows that repeat their id or every column are ranked one after the other.
-An empty table gives no rows. Other columns are ignored.
+Defined results: null text has no bytes (size 1, crc32 of nothing 0); a very long text counts like any
+other. A null source is a source of its own. Rows that repeat their id or every column are ranked one
+after the other, and rows with equal fractional ranks by source and rank. An empty table gives no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.series import ordinals
+from ..session import small_side
 from .common import checkpoint, table
 
-#: Rows that a bucket has about, by which the number of buckets follows the table.
-BUCKET_ROWS = 4096
-
-
-def _ranked(rows: DataFrame, by: list[str], bucket: str, order: list[Column], name: str) -> DataFrame:
-    """Add name, the rank from 0 within by when ordered by (bucket, *order)."""
-    counts = rows.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    # a row of counts stands for BUCKET_ROWS rows or more; a null source equals itself
-    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*by, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*by, bucket).orderBy(*order)
-    r, s = rows.withColumn("_in", F.row_number().over(inside) - 1).alias("r"), starts.alias("s")
-    same = F.lit(True)
-    for c in [*by, bucket]:
-        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
-    return r.join(s, same).select("r.*", (F.col("s._start") + F.col("r._in")).alias(name)).drop("_in")
-
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 42) -> DataFrame:
     """doc_id, source, size, text_crc32, shard (from 0) and slot, the place in the shard from 0."""
-    data = F.encode("text", "UTF-8")
     rows = docs.select(
         "doc_id",
         "source",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.crc32(data), F.lit(0)).cast("long").alias("text_crc32"),
-    ).withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
-    per_source = rows.groupBy("source").agg(F.count(F.lit(1)).alias("_rows"))
-    n = rows.count()
-    buckets = max(1, n // BUCKET_ROWS)
-    # the key is uniform over the longs: its bucket is its place among equal ranges
-    unit = (F.col("_key").cast("double") / 2.0**64) + 0.5
-    rows = rows.withColumn("_b", F.least(F.floor(unit * buckets), F.lit(buckets - 1)))
-    rows = _ranked(rows, ["source"], "_b", [F.col("_key"), F.col("doc_id")], "_rank").drop("_b")
-    r, p = rows.alias("r"), per_source.alias("p")
-    rows = r.join(p, F.col("r.source").eqNullSafe(F.col("p.source"))).select("r.*", "p._rows")
-    frac = (F.col("_rank") + 0.5) / F.col("_rows")
-    # the rank of equal keys is open, so it is fixed before it is used twice
-    rows = checkpoint(rows.select("doc_id", "source", "size", "text_crc32", "_key", "_rank", frac.alias("_frac")))
-    rows = rows.withColumn("_b", F.least(F.floor(F.col("_frac") * buckets), F.lit(buckets - 1)))
-    order = [F.col("_frac"), F.col("source").asc_nulls_first(), F.col("_rank")]
-    rows = _ranked(rows, [], "_b", order, "_at")
+        F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
+        F.monotonically_increasing_id().alias("_rid"),
+    )
+    rows = checkpoint(rows)
+    # rows that are equal in all else are told apart by _rid, hashed so that they don't share a range
+    key = F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")
+    rows = rows.withColumns({"_key": key, "_tie": F.xxhash64(F.lit(seed), "_rid")})
+    ranked = ordinals(rows, ["source"], ["_key", "_tie", "_rid"], "_rank").select("doc_id", "source", "size", "text_crc32", "_rank")
+    per_source = small_side(rows.groupBy(F.col("source").alias("_source")).agg(F.count(F.lit(1)).alias("_rows")))
+    ranked = ranked.join(per_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    ranked = ranked.withColumn("_frac", (F.col("_rank") + 0.5) / F.col("_rows"))
+    placed = ordinals(ranked, [], ["_frac", "source", "_rank"], "_at")
     # shard s holds the places from ceil(s * n / shards) on
-    at, n = F.col("_at"), F.lit(n)
+    at, n = F.col("_at"), F.lit(rows.count())
     which = F.call_function("div", at * F.lit(shards), n)
     first = F.call_function("div", F.col("shard") * n + F.lit(shards - 1), F.lit(shards))
     return (
-        rows.withColumn("shard", which)
+        placed.withColumn("shard", which)
         .withColumn("slot", at - first)
         .select("doc_id", "source", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot")
     )
