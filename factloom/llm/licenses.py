@@ -1,32 +1,42 @@
 """License scans by diagonal voting.
 
-Texts and templates are sequences of words. All rolling hashes of two neighbouring words are joined
-to the positions where templates have them; each match votes for its diagonal, the word of the text
-where the template would begin. Votes are counted by text, template and diagonal; a word more or less
-moves the rest of a passage to a neighbouring diagonal, so diagonals within SLACK of each other are
-merged. A span is verified when its words (not only their hashes) cover LEAST of the template's pairs;
-a phrase is found where its words stand consecutively: all its pairs on one diagonal.
-
-Templates are a parameter of bounded size and are broadcast; only matches leave a row's own task.
-
-Defined results: a null or empty text has no words, no places and the score 0. Rows with a null
-doc_id are scanned like any other and repeated rows come out repeated. An empty table gives no rows.
-Other columns are ignored.
+Texts and templates are sequences of words. All rolling hashes of a text's neighbouring words are joined
+to the positions where templates have them: hashes of four words for license texts and notices, of two for
+phrases, of which the shortest have no more. Each match is compared by its words and votes for its diagonal,
+the word of the text where the template would begin. Votes are counted by text, template and diagonal. Words
+put in or left out move the rest of a passage to a neighbouring diagonal, so diagonals are chained while the
+next one is no farther than a quarter of the template (REACH words at least). A chain is one span. It is
+verified by its matches in order: of all ways to go forward in both text and template the one that covers most
+words of the template gives its share; from LEAST on the span is a place of that license. A phrase is found
+where its words stand consecutively: all its pairs on one diagonal.
+
+Templates are a parameter: few are broadcast, many are joined by a shuffle. Only matches leave a row's own task.
+
+Defined results: a null or empty text has no words, no places and the score 0. A very long text is scanned
+whole. Of spans with equal shares each counts; labels are distinct. Rows with a null doc_id are scanned like any
+other and repeated rows come out repeated. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
+from ..session import small_side
 from .common import checkpoint, lower_ascii, table
 
 #: What parts words: everything of ASCII but digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Diagonals that are merged, and the share of a template's pairs that a span has at least.
-SLACK, LEAST = 2, 0.8
-#: Most words of all templates, which go to every executor.
-MOST_WORDS = 200_000
+#: Words of a hash, of license texts and of phrases.
+GRAM, PHRASE_GRAM = 4, 2
+#: Least reach of a chain of diagonals in words, and the share of a template's words that a span has at least.
+REACH, LEAST = 8, 0.8
 #: Phrases (fixed values) and their labels.
 PHRASES = (
     ("gnu general public license", "gpl"),
@@ -58,76 +68,143 @@ NOTICES = (
 )
 
 
+#: Whole texts of licenses and of the notices that files carry, a file for each label.
+TEXTS = Path(__file__).parent / "data" / "licenses"
+
+
+def license_texts(folder: Path = TEXTS) -> list[tuple[str, str]]:
+    """(text in words, label) of each file; files may hold any text."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda text: " ".join(w for w in re.split(BETWEEN, text.translate(lower)) if w)
+    return [(words(path.read_text()), path.stem) for path in sorted(folder.glob("*.txt"))]
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN, -1), "")
 
 
-def _templates(spark: SparkSession, phrases, notices) -> tuple[DataFrame, list[int]]:
-    """A row (template, label, exact, pairs, h, a, b, t) for each pair of each template, and the hashes."""
+def _hash(words: list[Column]) -> Column:
+    return F.xxhash64(F.lit(len(words)), *words)
+
+
+def _grams(words: Column, k: int) -> Column:
+    """(at, h) of each k neighbouring words."""
+    last = F.size(words) - F.lit(k)
+    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct(i.alias("at"), _hash([F.get(words, i + j) for j in range(k)]).alias("h")))
+
+
+def _templates(spark: SparkSession, phrases, notices) -> DataFrame:
+    """A row (template, label, exact, size, k, t, gram, h) for each run of k words of each template."""
     rows = []
-    every = [(*p, True) for p in phrases] + [(*n, False) for n in notices]
-    if sum(len(text.split()) for text, _, _ in every) > MOST_WORDS:
-        raise ValueError(f"templates have more than {MOST_WORDS} words")
-    for i, (text, label, exact) in enumerate(every):
+    for i, (text, label, exact, k) in enumerate([*((*p, True, PHRASE_GRAM) for p in phrases), *((*n, False, GRAM) for n in notices)]):
         words = text.split()
-        if len(words) < 2:
-            raise ValueError(f"a template has two words or more: {text}")
-        rows += [(i, label, exact, len(words) - 1, a, b, t) for t, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-    made = spark.createDataFrame(rows, "template int, label string, exact boolean, pairs int, a string, b string, t int")
-    made = made.withColumn("h", F.xxhash64("a", "b"))
-    return made, [r["h"] for r in made.select("h").distinct().collect()]
-
-
-def spans(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> tuple[DataFrame, DataFrame]:
-    """rows: rid, doc_id and n_words of each row; spans: rid, template, label, exact, diagonal
-    (the word where the template begins), share of its pairs found and places of an exact phrase."""
-    templates, hashes = _templates(docs.sparkSession, phrases, notices)
-    pairs = F.zip_with("words", F.slice("words", 2, 1 << 30), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    placed = F.transform(pairs, lambda p, i: F.struct(i.alias("at"), p["a"].alias("a"), p["b"].alias("b")))
-    # what no template has is dropped where it stands: all others meet the templates in the join
-    hits = F.filter(placed, lambda p: p["b"].isNotNull() & F.xxhash64(p["a"], p["b"]).isin(hashes))
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .withColumn("words", words_of(F.col("text")))
-        .select(
-            F.monotonically_increasing_id().alias("rid"),
-            "doc_id",
-            F.size("words").cast("long").alias("n_words"),
-            hits.alias("hits"),
-        )
-    )
-    rows = checkpoint(rows)
-    found = rows.select("rid", F.explode("hits").alias("p")).select(
-        "rid", "p.at", F.col("p.a").alias("x"), F.col("p.b").alias("y"), F.xxhash64("p.a", "p.b").alias("h")
-    )
-    votes = (
-        found.join(F.broadcast(templates), "h")
-        .where("x = a AND y = b")
-        .withColumn("diagonal", F.col("at") - F.col("t"))
-        .groupBy("rid", "template", "diagonal")
-        .agg(F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("pairs").alias("pairs"), F.collect_set("t").alias("ts"))
+        if len(words) < k:
+            raise ValueError(f"a template has {k} words or more: {text}")
+        rows += [(i, label, exact, len(words), k, t, words[t : t + k]) for t in range(len(words) - k + 1)]
+    made = spark.createDataFrame(rows, "template int, label string, exact boolean, size int, k int, t int, gram array<string>")
+    hashes = {k: _hash([F.get("gram", F.lit(j)) for j in range(k)]) for k in (PHRASE_GRAM, GRAM)}
+    return made.withColumn("h", F.when(F.col("k") == GRAM, hashes[GRAM]).otherwise(hashes[PHRASE_GRAM]))
+
+
+def covered(matches: list[tuple[int, int]], k: int) -> int:
+    """The most words of a template that matches (t, at) of k words cover, of those that follow each other in
+    both the template and the text."""
+    by: dict[int, set[int]] = {}
+    for t, at in matches:
+        by.setdefault(t, set()).add(at)
+    # fronts of (at, words covered so far), both rising: for the last k - 1 words of the template one each,
+    # and one for all matches before these
+    recent: dict[int, list[tuple[int, int]]] = {}
+    front: list[tuple[int, int]] = []
+    best = 0
+    for t in sorted(by):
+        for old in [o for o in recent if o <= t - k]:
+            front = _rising([*front, *recent.pop(old)])
+        here = []
+        for at in sorted(by[t]):
+            most = _before(front, at) + k
+            for old, some in recent.items():
+                if (n := _before(some, at)) > 0:
+                    most = max(most, n + t - old)
+            here.append((at, most))
+            best = max(best, most)
+        recent[t] = _rising(here)
+    return best
+
+
+def _rising(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The points that have more than all points before them."""
+    out: list[tuple[int, int]] = []
+    for at, n in sorted(points, key=lambda p: (p[0], -p[1])):
+        if not out or n > out[-1][1]:
+            out.append((at, n))
+    return out
+
+
+def _before(front: list[tuple[int, int]], at: int) -> int:
+    i = bisect_left(front, (at, -1))
+    return front[i - 1][1] if i else 0
+
+
+@F.pandas_udf(IntegerType())
+def _covered(matches: pd.Series) -> pd.Series:
+    return pd.Series([covered([(m["t"], m["at"]) for m in some], GRAM) for some in matches], dtype="int32")
+
+
+def matches(docs: DataFrame, phrases, notices) -> tuple[DataFrame, DataFrame]:
+    """rows: rid, doc_id and n_words of each row; matches: rid and what a template's row has, with at."""
+    templates = small_side(_templates(docs.sparkSession, phrases, notices))
+    doc_id, rid = F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid")
+    words = docs.select(rid, doc_id, words_of(F.col("text")).alias("words"))
+    # one more entry stands for the row itself, so that texts are read once
+    own = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("long").alias("h")))
+    grams = F.concat(own, _grams(F.col("words"), PHRASE_GRAM), _grams(F.col("words"), GRAM))
+    placed = words.select("rid", "doc_id", "words", F.explode(grams).alias("p"))
+    placed = placed.select("rid", "doc_id", "words", F.col("p.at").alias("at"), F.col("p.h").alias("h"))
+    equal = F.slice("words", F.col("at") + 1, F.col("k")) == F.col("gram")
+    found = placed.join(templates, "h", "left").where((F.col("at") < 0) | equal)
+    found = found.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), "at", "template", "label", "exact", "size", "k", "t")
+    found = checkpoint(found)
+    return found.where("at < 0").select("rid", "doc_id", "n_words"), found.where("at >= 0").drop("doc_id", "n_words")
+
+
+def spans(docs: DataFrame, phrases=PHRASES, notices=None) -> tuple[DataFrame, DataFrame]:
+    """rows: rid, doc_id and n_words of each row; spans: rid, template, label, exact, start and end in words,
+    share of the template's words (a phrase's share is of its pairs)."""
+    notices = [*NOTICES, *license_texts()] if notices is None else notices
+    rows, found = matches(docs, phrases, notices)
+    votes = found.withColumn("diagonal", F.col("at") - F.col("t")).groupBy("rid", "template", "diagonal").agg(
+        *[F.first(c).alias(c) for c in ("label", "exact", "size", "k")], F.collect_set(F.struct("t", "at")).alias("m")
     )
-    near = Window.partitionBy("rid", "template").orderBy("diagonal").rangeBetween(-SLACK, SLACK)
-    merged = F.size(F.array_distinct(F.flatten(F.collect_list("ts").over(near))))
-    return rows.select("rid", "doc_id", "n_words"), votes.select(
-        "rid",
-        "template",
-        "label",
-        "exact",
-        F.col("diagonal").cast("long").alias("diagonal"),
-        (F.when(F.col("exact"), F.size("ts")).otherwise(merged) / F.col("pairs")).alias("share"),
+    phrase = votes.where("exact").select(
+        "rid", "template", "label", "exact", F.col("diagonal").cast("long").alias("start"), (F.col("diagonal") + F.col("size")).cast("long").alias("end"),
+        (F.size("m") / (F.col("size") - F.col("k") + 1)).alias("share"),
+    )
+    # a window holds the diagonals of one text and template
+    order = Window.partitionBy("rid", "template").orderBy("diagonal")
+    reach = F.greatest(F.lit(REACH), F.floor(F.col("size") / 4))
+    apart = F.col("diagonal") - F.lag("diagonal").over(order) > reach
+    chains = votes.where("NOT exact").withColumn("apart", F.when(apart, 1).otherwise(0))
+    chains = chains.withColumn("chain", F.sum("apart").over(order)).groupBy("rid", "template", "chain").agg(
+        *[F.first(c).alias(c) for c in ("label", "exact", "size", "k")], F.flatten(F.collect_list("m")).alias("m")
     )
+    text = chains.select(
+        "rid", "template", "label", "exact", F.array_min("m.at").cast("long").alias("start"), (F.array_max("m.at") + F.col("k")).cast("long").alias("end"),
+        (_covered("m") / F.col("size")).alias("share"),
+    )
+    return rows, phrase.unionByName(text)
 
 
-def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
+def scan(docs: DataFrame, phrases=PHRASES, notices=None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row."""
     rows, found = spans(docs, phrases, notices)
     base, own = F.expr("exact AND share = 1"), F.expr(f"NOT exact AND share >= {LEAST}")
     label = lambda which: F.array_join(F.sort_array(F.collect_set(F.when(which, F.col("label")))), ",")
     summed = found.groupBy("rid").agg(
         F.count_if(base).alias("n_base"),
-        F.min(F.when(base, F.col("diagonal"))).alias("first_word"),
-        F.max(F.when(base, F.col("diagonal"))).alias("last_word"),
+        F.min(F.when(base, F.col("start"))).alias("first_word"),
+        F.max(F.when(base, F.col("start"))).alias("last_word"),
         label(base).alias("base_labels"),
         label(base | own).alias("labels"),
         F.max(F.when(~F.col("exact") | base, F.col("share"))).alias("score"),

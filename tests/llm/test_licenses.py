@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -19,19 +20,11 @@ def brute(text):
                 labels.add(label)
                 best = 1.0
     own = set()
-    for notice, label in licenses.NOTICES:
-        p = notice.split()
-        pairs = [(p[i], p[i + 1]) for i in range(len(p) - 1)]
-        votes = {}
-        for i in range(len(words) - 1):
-            for t, pair in enumerate(pairs):
-                if (words[i], words[i + 1]) == pair:
-                    votes.setdefault(i - t, set()).add(t)
-        for d in votes:
-            near = set().union(*(votes.get(d + k, set()) for k in range(-licenses.SLACK, licenses.SLACK + 1)))
-            best = max(best, len(near) / len(pairs))
-            if len(near) / len(pairs) >= licenses.LEAST:
-                own.add(label)
+    for notice, label in [*licenses.NOTICES, *licenses.license_texts()]:
+        share = brute_share(words, notice.split())
+        best = max(best, share)
+        if share >= licenses.LEAST:
+            own.add(label)
     n = len(at)
     return (
         len(words), n, min(at, default=None), max(at, default=None),
@@ -39,6 +32,37 @@ def brute(text):
     )
 
 
+def brute_share(words, p, k=4):
+    """The best share of a template's words over all chains of diagonals."""
+    where = {}
+    for t in range(len(p) - k + 1):
+        where.setdefault(tuple(p[t : t + k]), []).append(t)
+    found = sorted((i - t, t, i) for i in range(len(words) - k + 1) for t in where.get(tuple(words[i : i + k]), ()))
+    best, chain = 0, []
+    for m in [*found, None]:
+        if chain and (m is None or m[0] - chain[-1][0] > max(licenses.REACH, len(p) // 4)):
+            best = max(best, brute_cover([(t, i) for _, t, i in chain], k))
+            chain = []
+        chain.append(m)
+    return best / len(p)
+
+
+def brute_cover(matches, k):
+    matches = sorted(matches)
+    best = []
+    for j, (t, at) in enumerate(matches):
+        best.append(max([k, *(best[i] + min(k, t - u) for i, (u, b) in enumerate(matches[:j]) if u < t and b < at)]))
+    return max(best, default=0)
+
+
+def test_covered_words():
+    rng = random.Random(2)
+    for k in (2, 4):
+        for _ in range(300):
+            some = [(rng.randrange(20), rng.randrange(25)) for _ in range(rng.randrange(0, 30))]
+            assert licenses.covered(some, k) == brute_cover(set(some), k)
+
+
 def rows_of(df):
     return sorted((repr(r["doc_id"]), tuple(r[c] for c in df.columns if c != "doc_id")) for r in df.collect())
 
@@ -74,6 +98,35 @@ def test_odd_rows(spark):
     assert [g[:-1] for _, g in got] == [w[:-1] for _, w in want]
 
 
+def test_whole_license_texts(spark):
+    """Each text in the midst of others, with words put in, left out, changed and moved."""
+    rng = random.Random(6)
+    rows, want = [], []
+    for text, label in licenses.license_texts():
+        words = text.split()
+        n = len(words)
+        some = [rng.choice(("lorem", "ipsum", "dolor")) for _ in range(300)]
+        long = words[: n // 2] + ["to", "you", "and", "yours"] + words[n // 2 :]
+        changed = [("other" if i % 15 == 7 else w) for i, w in enumerate(words)]
+        moved = words[n // 2 :] + words[: n // 2]
+        for found, own in ((words, True), (long, True), (changed, n > 60), (moved, False), (words[: n // 2], False)):
+            if found is not changed or own:
+                rows.append((len(rows), " ".join(some[:100] + found + some[100:]).upper()))
+                want.append((label, own))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), (), licenses.license_texts()).collect()}
+    for i, (label, own) in enumerate(want):
+        assert (label in got[i]["labels"].split(",")) == own, (label, i, got[i])
+    _, spans = licenses.spans(spark.createDataFrame(rows[:1], "doc_id long, text string"), (), licenses.license_texts()[:1])
+    s = max(spans.where("NOT exact").collect(), key=lambda s: s["share"])
+    assert (s["start"], s["end"], s["share"]) == (100, 100 + len(licenses.license_texts()[0][0].split()), 1.0)
+
+
+def test_words_put_in_at_one_place(spark):
+    text = "permission is hereby granted, to you and yours, free of charge to any person obtaining a copy of this software"
+    (r,) = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r["labels"] == "mit-license" and r["score"] == 1.0
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.scan(docs).count() == 0
