@@ -8,19 +8,21 @@ level 2 the listed keys that level 1 takes for those, and so on until a level er
 The number of the first level without a key then says whether it is listed: for each key of the
 universe the answer is exact, and judging a url needs no join.
 
-Levels are bit arrays that are put together by an aggregation; what goes to the executors is
-held to MAX_BYTES, and beyond that urls are judged by joining their keys with the lists.
+Levels are bit arrays that executors put together in segments; what goes to the executors is held to
+MAX_BYTES for all lists together, and beyond that urls are judged by joining their keys with the lists.
 
 Defined results: a null url, or one without ://, has an empty host and an empty path, fits no rule
-and is allowed unless the empty host is listed. Repeated rows come out repeated. An empty table
-gives no rows. Other columns are ignored by judge().
+and is allowed unless the empty host is listed. A very long url has all its parent domains looked at.
+Of rules of equal length, which can't both fit unless they are one, the block list's goes first.
+Repeated rows come out repeated. An empty table gives no rows. Other columns are ignored by judge().
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -38,18 +40,21 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-#: Hosts that the query blocks with all their subdomains where no rule fits.
-LISTED = tuple(
-    f"{name}.{domain}"
-    for name, domain in product(
-        ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"),
-        ("example.com", "example.net", "example.org"),
-    )
-)
-#: Bits of a level for each key that it encodes, its hash functions, the most levels.
-BITS_PER_KEY, HASHES, LEVELS = 12, 6, 40
-#: Most bytes of all levels of a cascade; they go to every executor.
-MAX_BYTES = 256 << 20
+#: A file of hosts that the query blocks with all their subdomains where no rule fits.
+HOSTS = Path(__file__).parent / "data" / "blocked_hosts.txt"
+#: Bits of a level for each key that it encodes, and its hash functions.
+BITS_PER_KEY, HASHES = 12, 6
+#: Most bytes of all levels of all lists, which go to every executor, and 64-bit words of a segment.
+MAX_BYTES, SEGMENT_WORDS = 64 << 20, 1 << 16
+
+
+def listed_hosts(path: Path = HOSTS) -> tuple[str, ...]:
+    lines = (line.strip() for line in path.read_text().splitlines())
+    return tuple(line for line in lines if line and not line.startswith("#"))
+
+
+#: The hosts of that file.
+LISTED = listed_hosts()
 
 
 # ---- one cascade ----------------------------------------------------------------------
@@ -108,10 +113,17 @@ def _level(keys: DataFrame, level: int, n: int, bits_per_key: int, hashes: int)
             mask = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(mask)], ["w", "m"])
 
+    def segment(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(SEGMENT_WORDS, np.uint64)
+        out[rows["w"].to_numpy() % SEGMENT_WORDS] = rows["m"].to_numpy().view(np.uint64)
+        return pd.DataFrame({"s": [key[0]], "bits": [out.tobytes()]})
+
     rows = keys.select("h", "g").mapInArrow(bits, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m"))
-    found = rows.toPandas()  # a row for each word, of which there are few enough: see build()
+    rows = rows.groupBy(F.shiftright("w", SEGMENT_WORDS.bit_length() - 1).alias("s")).applyInPandas(segment, "s long, bits binary")
     out = np.zeros(words, np.uint64)
-    out[found["w"].to_numpy()] = found["m"].to_numpy().view(np.uint64)
+    for r in rows.collect():  # build() has seen to it that all segments together are few enough
+        at = r["s"] * SEGMENT_WORDS
+        out[at : at + SEGMENT_WORDS] = np.frombuffer(r["bits"], np.uint64)[: words - at]
     return out
 
 
@@ -134,7 +146,7 @@ def build(
     inside = checkpoint(listed.select("h", "g").distinct())
     outside = universe.select("h", "g").join(inside, ["h", "g"], "left_anti")
     cascade, n = Cascade([], hashes), inside.count()
-    for level in range(LEVELS):
+    for level in itertools.count():
         if cascade.nbytes() + n * bits_per_key // 8 > max_bytes:
             return None
         cascade.levels.append(_level(inside, level, n, bits_per_key, hashes))
@@ -143,7 +155,6 @@ def build(
         if not n:
             return cascade
         inside, outside = wrong, inside
-    raise ValueError(f"{n} keys still clash after {LEVELS} levels")
 
 
 # ---- urls -----------------------------------------------------------------------------
@@ -261,11 +272,14 @@ def judge(
     hosts = listed.select(F.concat(lower_ascii(F.col("key")), F.lit(" ")).alias("key"))
     urls = host_and_path(pages.select("page_id", "url")).withColumn("start", F.substring("path", 1, lengths[-1]))
     universe = checkpoint(_universe(urls, lengths))
-    cascades = {
-        which: build(_listed(spark, [f"{h} {p}" for v, h, p in rules if v == which]), universe, max_bytes)
-        for which in ("block", "allow")
-    } | {"listed": build(_listed(spark, hosts), universe, max_bytes)}
-    if any(c is None for c in cascades.values()):
+    lists = {which: _listed(spark, [f"{h} {p}" for v, h, p in rules if v == which]) for which in ("block", "allow")}
+    cascades: dict[str, Cascade] = {}
+    for name, keys in (lists | {"listed": _listed(spark, hosts)}).items():
+        made = build(keys, universe, max_bytes - sum(c.nbytes() for c in cascades.values()))
+        if made is None:
+            break
+        cascades[name] = made
+    if len(cascades) < 3:
         distinct = urls.select("host", "start").distinct()
         judged = _joined(distinct, spark.createDataFrame(rules, "verdict string, host string, path string"), hosts)
         out = urls.join(judged, ["host", "start"])
