@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 #: Documents and bytes of text that an operator takes together.
-BATCH_DOCS, BATCH_BYTES = 1_000, 4 << 20
+BATCH_DOCS, BATCH_BYTES = 500, 1 << 20
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -32,6 +34,48 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         a = b
 
 
+class Memo(dict):
+    """What a worker has worked out, to be found again; tidy() empties it once it takes over limit bytes."""
+
+    #: Bytes of an entry besides its key and value.
+    ENTRY = 100
+
+    def __init__(self, limit: int = 16 << 20) -> None:
+        super().__init__()
+        self.limit, self.held = limit, 0
+
+    def add(self, key, value) -> None:
+        self[key] = value
+        self.held += self.ENTRY + sys.getsizeof(key) + sys.getsizeof(value)
+
+    def tidy(self) -> None:
+        """To be called between batches, so that what a batch has added stays for the batch."""
+        if self.held > self.limit:
+            self.clear()
+            self.held = 0
+
+
+def text_slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """slices() of an array of texts."""
+    for part in slices(pa.RecordBatch.from_arrays([texts], ["text"])):
+        yield part.column("text")
+
+
+def passing(docs: DataFrame, passes: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """The rows of docs whose texts pass, with all their columns.
+
+    Only texts go to the Python workers and only booleans come back: documents stay in the JVM, so their
+    columns may be of any type.
+    """
+
+    @F.arrow_udf("boolean")
+    def verdict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.concat_arrays([passes(part) for part in text_slices(texts)] or [pa.array([], pa.bool_())])
+
+    return docs.where(verdict(F.col("text")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,12 +83,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is used.
+    Only where that setting is missing on a single machine a temporary folder is used; a cluster has to name one.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factloom-")
-        sc.setCheckpointDir(where)
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if where is None and re.fullmatch(r"local(\[[^\]]*\])?", sc.master) is None:
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="factloom-"))
     return df.checkpoint()
 
 
@@ -74,8 +120,14 @@ def labelled_sample(labels: DataFrame, column: str, limit: int, train_only: bool
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def repeated_ids(docs: DataFrame, name: str) -> DataFrame | None:
-    """The ids that several rows have, in a column of the given name; None if there are none."""
-    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(name))
-    again = checkpoint(again)
-    return None if again.isEmpty() else again
+#: Most rows of a broadcast set of keys (at most some 100 bytes each).
+BROADCAST_KEYS = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame, same: Callable[[DataFrame, DataFrame], Column], most: int = BROADCAST_KEYS) -> DataFrame:
+    """docs without the rows whose keys are in gone, which is checkpointed and narrow.
+
+    Up to most keys are broadcast, so that documents stay where they are; more are joined by a shuffle.
+    """
+    few = gone.count() <= most
+    return docs.join(F.broadcast(gone) if few else gone, same(docs, gone), "left_anti")

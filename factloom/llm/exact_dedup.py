@@ -8,7 +8,7 @@ grouped by recipe; only recipes move between executors, never texts.
 
 Defined results: a null text counts as empty; empty texts form one group. Rows with a null
 doc_id take part, and stay only if their group has no id at all. Of rows that repeat both
-text and the largest doc_id exactly one stays. An empty table gives an empty result. Other
+text and the largest doc_id exactly one stays. A very long text is cut into as many chunks as it takes. An empty table gives an empty result. Other
 columns are ignored by dedup() and carried by deduplicated().
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, lower_ascii, repeated_ids, table
+from .common import checkpoint, lower_ascii, table, without
 
 #: Names of columns that no table has.
 ID, SHA = "factloom_kept_id", "factloom_kept_sha256"
@@ -97,18 +97,24 @@ def dedup(docs: DataFrame, id_bits: int = 64) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns and in no order."""
-    stay = dedup(docs).where("kept").select(F.col("doc_id").alias(ID), F.col("text_sha256").alias(SHA))
-    sha = F.sha2(lower_ascii(F.coalesce(docs["text"], F.lit(""))), 256)
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col(ID)) & (sha == F.col(SHA)), "left_semi")
-    again = repeated_ids(docs, ID)
-    if again is None:
-        return kept
+    """The documents that stay, with all their columns and in no order; they are not shuffled.
+
+    What leaves is known by id and digest, which are narrow.
+    """
+    own = docs.withColumn(SHA, F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256))
+    keys = dedup(docs).groupBy(F.col("doc_id").alias(ID), "text_sha256")
+    keys = checkpoint(keys.agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("stays")).where("n > 1 OR NOT stays"))
+
+    def same(x: DataFrame, y: DataFrame) -> Column:
+        return x["doc_id"].eqNullSafe(y[ID]) & (x[SHA] == y["text_sha256"])
+
+    left = without(own, keys.where("NOT stays").select(ID, "text_sha256"), same)
+    again = keys.where("stays").select(ID, "text_sha256")
+    if again.isEmpty():
+        return left.drop(SHA)
     # rows that repeat id and text: one of them stays
-    same = kept["doc_id"].eqNullSafe(F.col(ID))
-    once = kept.join(again, same, "left_anti")
-    more = kept.join(again, same, "left_semi").withColumn(SHA, sha).dropDuplicates(["doc_id", SHA]).drop(SHA)
-    return once.unionByName(more)
+    once = left.join(again, same(left, again), "left_semi").dropDuplicates(["doc_id", SHA])
+    return without(left, again, same).unionByName(once).drop(SHA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,22 +3,29 @@
 A 64-bit fingerprint is mapped to the bit counts of its 32 two-bit segments. The Manhattan
 distance of two such vectors never exceeds the Hamming distance of their fingerprints, so
 fingerprints within LINK_BITS bits are vectors within LINK_BITS. The coordinates are dealt
-into AXES groups; vectors within 4 differ in at most 4 groups and so agree in at least
-AXES - 4, hence they share a cell of at least one grid that is made of that many groups.
-Cells are joined, pairs are held to the Manhattan bound and then to the exact Hamming
-distance; a pair that shares several cells comes from the first of them only. Links join to
-components by alternating large and small stars.
-
-Equal fingerprints are one node, so copies are never paired with each other.
+into groups; vectors within 4 differ in at most 4 groups and so agree in all others, hence they
+share a cell of at least one grid that is made of that many groups. How many groups there are
+follows the number of fingerprints, as more groups give more grids of smaller cells. Cells are
+joined, pairs are held to the Manhattan bound and then to the exact Hamming distance; a pair that
+shares several cells comes from the first of them only. Links join to components by alternating
+large and small stars.
+
+Equal fingerprints are one node, so copies are never paired with each other. Nor are all near
+copies: in a crowded cell each fingerprint within LINK_BITS of the cell's smallest one links to
+that, which stands for the cell. Whoever is joined so needs no more links with each other: cells
+whose fingerprints are all in one component are settled, and of the others only pairs between
+different components are made. Components come out as if all links had been made.
 
 Defined results: a null or blank text has fingerprint zero, linked like any other; a text of
-under four words is one shingle. Rows with a null doc_id get a component but never name it;
-a component without any id is named null. Repeated rows come out repeated. An empty table
-gives no rows. Other columns are ignored by near_duplicates() and carried by deduplicated().
+under four words is one shingle, and a very long one is read whole. A bit that half of the shingles
+set is 0. Rows with a null doc_id get a component but never name it; a component without any id
+is named null. Repeated rows come out repeated. An empty table gives no rows. Other columns are
+ignored by near_duplicates() and carried by deduplicated().
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,12 +35,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, slices, table, without
 
 SHINGLE_WORDS, SEED, LINK_BITS = 4, 42, 4
-#: Groups of coordinates. Seven give grids of three groups (35 grids of about 2^21 cells);
-#: more groups give more grids of more cells, for tables of over some 10^8 fingerprints.
-AXES = 7
+#: Fewest and most groups of coordinates, and members from which on a cell is crowded.
+LEAST_AXES, MOST_AXES, CROWD = 5, 11, 32
 _ROOM = 1 << 16
 #: Names of columns that no table has: a kept row's id and the digest of its text.
 ID, DIGEST = "factloom_kept_id", "factloom_digest"
@@ -59,7 +65,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (x for whole in batches for x in slices(whole)):
         prints = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype="<u8")
         made = {"doc_id": batch.column("doc_id"), "fp": pa.array(prints.view("<i8"), pa.int64())}
         if DIGEST in batch.schema.names:
@@ -74,6 +80,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, "doc_id long, fp long" + "".join(f", {c} binary" for c in digest))
 
 
+def axes_for(n: int) -> int:
+    """The number of groups that n fingerprints take least work with: a copy for each grid, and a tenth of
+    that for each other one that is in its cell by chance."""
+
+    def work(axes: int) -> float:
+        # two random segments have equal counts with a chance of 3/8
+        by_chance = n * (3 / 8) ** (32 * (axes - LINK_BITS) / axes)
+        return math.comb(axes, LINK_BITS) * (1 + by_chance / 10)
+
+    return min(range(LEAST_AXES, MOST_AXES + 1), key=work)
+
+
 def _grids(axes: int) -> tuple[list[int], list[tuple[int, int]]]:
     """The bit mask of each group of coordinates, and of each grid: its groups as bits, its bit mask."""
     of = np.array_split(np.arange(32), axes)
@@ -102,33 +120,62 @@ def counts_of_segments(fp: Column) -> Column:
     return a.bitwiseOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
 
 
-def links(nodes: DataFrame, axes: int = AXES) -> DataFrame:
-    """All pairs (a < b) of fingerprints in nodes.fp, which are distinct, within LINK_BITS bits."""
-    masks, grids = _grids(axes)
-    lit = lambda m: F.lit(_signed(m)).cast("long")
-    cells = F.array(*[F.struct(F.lit(g).alias("g"), F.col("u").bitwiseAND(lit(m)).alias("c")) for g, m in grids])
-    placed = (
-        nodes.select("fp", counts_of_segments(F.col("fp")).alias("u"))
-        .select("fp", F.explode(cells).alias("at"))
-        .select("fp", F.col("at.g").alias("g"), F.col("at.c").alias("c"))
-    )
+def _lit(mask: int) -> Column:
+    return F.lit(_signed(mask)).cast("long")
+
+
+def _placed(nodes: DataFrame, axes: int) -> DataFrame:
+    """nodes with each cell (g, c) that their fp are in."""
+    cells = F.array(*[F.struct(F.lit(g).alias("g"), F.col("u").bitwiseAND(_lit(m)).alias("c")) for g, m in _grids(axes)[1]])
+    out = nodes.withColumn("u", counts_of_segments(F.col("fp"))).withColumn("at", F.explode(cells))
+    return out.select(*nodes.columns, F.col("at.g").alias("g"), F.col("at.c").alias("c"))
+
+
+def _near(a: Column, b: Column) -> Column:
+    """Whether two fingerprints link: held to the Manhattan bound first."""
+    bound = F.bit_count(counts_of_segments(a).bitwiseXOR(counts_of_segments(b))) <= LINK_BITS
+    return bound & (F.bit_count(a.bitwiseXOR(b)) <= LINK_BITS)
+
+
+def pairs(placed: DataFrame, axes: int) -> DataFrame:
+    """The links (a < b) between different components of placed (fp, root, g, c), each once."""
     x, y = placed.alias("x"), placed.alias("y")
-    ux, uy = counts_of_segments(F.col("x.fp")), counts_of_segments(F.col("y.fp"))
-    apart = ux.bitwiseXOR(uy)
+    apart = counts_of_segments(F.col("x.fp")).bitwiseXOR(counts_of_segments(F.col("y.fp")))
     # the groups in which the two agree, as bits, and for each such set its first grid
-    agree = sum((F.when(apart.bitwiseAND(lit(m)) == 0, 1 << i).otherwise(0) for i, m in enumerate(masks)), F.lit(0))
+    agree = sum((F.when(apart.bitwiseAND(_lit(m)) == 0, 1 << i).otherwise(0) for i, m in enumerate(_grids(axes)[0])), F.lit(0))
     first = F.element_at(F.array(*[F.lit(_first(x, axes - LINK_BITS)) for x in range(1 << axes)]), agree + 1)
     near = (
         (F.col("x.g") == F.col("y.g"))
         & (F.col("x.c") == F.col("y.c"))
         & (F.col("x.fp") < F.col("y.fp"))
-        & (F.bit_count(apart) <= LINK_BITS)
-        & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= LINK_BITS)
+        & (F.col("x.root") != F.col("y.root"))
+        & _near(F.col("x.fp"), F.col("y.fp"))
         & (first == F.col("x.g"))
     )
     return x.join(y, near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
+def links(nodes: DataFrame, axes: int | None = None, crowd: int = CROWD) -> DataFrame:
+    """Pairs (a, b) of the fingerprints nodes.fp, which are distinct, that have the components of all pairs
+    within LINK_BITS bits; with an endless crowd these pairs themselves (a < b)."""
+    axes = axes or axes_for(nodes.count())
+    placed = _placed(nodes.select("fp"), axes)
+    crowded = placed.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("rep")).where(F.col("n") > crowd)
+    crowded = checkpoint(crowded.select("g", "c", "rep"))
+    if crowded.isEmpty():
+        return pairs(_placed(nodes.select("fp", F.col("fp").alias("root")), axes), axes)
+    close = placed.join(crowded, ["g", "c"]).where((F.col("fp") != F.col("rep")) & _near(F.col("fp"), F.col("rep")))
+    stars = checkpoint(close.select(F.col("rep").alias("a"), F.col("fp").alias("b")).distinct())
+    roots = components(stars)
+    rooted = nodes.select("fp").join(roots, F.col("fp") == F.col("node"), "left")
+    placed = _placed(rooted.select("fp", F.coalesce("root", "fp").alias("root")), axes)
+    settled = placed.join(crowded.select("g", "c"), ["g", "c"], "left_semi").groupBy("g", "c")
+    settled = settled.agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low = high")
+    settled = checkpoint(settled.select(F.col("g").alias("sg"), F.col("c").alias("sc")))
+    live = without(placed, settled, lambda p, s: (p["g"] == s["sg"]) & (p["c"] == s["sc"]))
+    return stars.unionByName(pairs(live, axes))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b); root is the smallest node that it reaches."""
     edges, before = checkpoint(edges.select("a", "b")), None
@@ -150,7 +197,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges = checkpoint(moved.unionByName(least.select(F.col("m").alias("a"), "b")).distinct())
 
 
-def _rooted(nodes: DataFrame, axes: int) -> DataFrame:
+def _rooted(nodes: DataFrame, axes: int | None) -> DataFrame:
     """nodes, whose fp are distinct, with the root of each one's component."""
     roots = components(links(nodes, axes))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
@@ -160,17 +207,18 @@ def _rooted(nodes: DataFrame, axes: int) -> DataFrame:
     return checkpoint(rooted)
 
 
-def near_duplicates(docs: DataFrame, axes: int = AXES) -> DataFrame:
+def near_duplicates(docs: DataFrame, axes: int | None = None) -> DataFrame:
     """doc_id, fp and component_id of each row."""
     rows = checkpoint(fingerprints(docs))
-    rooted = _rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), axes)
+    nodes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    rooted = _rooted(nodes, axes)
     named = checkpoint(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
     named = rooted.join(named, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, axes: int = AXES) -> DataFrame:
-    """One row of each component, the one with the smallest id, with all its columns.
+def deduplicated(docs: DataFrame, axes: int | None = None) -> DataFrame:
+    """One row of each component, the one with the smallest id, with all its columns; rows are not shuffled.
 
     A component is known by its root, so that neither null ids nor an id on unlike texts make two
     components one. Rows without an id stay only if nothing in their component has one. Among rows
@@ -182,21 +230,26 @@ def deduplicated(docs: DataFrame, axes: int = AXES) -> DataFrame:
     own = docs.withColumn(DIGEST, digest)
     rows = checkpoint(fingerprints(own))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", DIGEST)
-    rooted = _rooted(rows.groupBy("fp").agg(F.min(row).alias("least")), axes)
+    nodes = checkpoint(rows.groupBy("fp").agg(F.min(row).alias("least")))
+    rooted = _rooted(nodes, axes)
     row = F.struct("least.no_id", "least.doc_id", "fp", f"least.{DIGEST}")
     stay = rooted.groupBy("root").agg(F.min(row).alias("row"))
-    stay = stay.select(F.col("row.doc_id").alias(ID), F.col(f"row.{DIGEST}").alias(DIGEST))
-    again = rows.groupBy("doc_id", DIGEST).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = checkpoint(again.select(F.col("doc_id").alias(ID), DIGEST))
+    stay = stay.select(F.col("row.doc_id").alias("stay_id"), F.col(f"row.{DIGEST}").alias("stay_digest"))
+    keys = rows.groupBy(F.col("doc_id").alias(ID), F.col(DIGEST).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+    stays = F.col("stay_digest").isNotNull()
+    same_key = (F.col("digest") == F.col("stay_digest")) & F.col(ID).eqNullSafe(F.col("stay_id"))
+    keys = keys.join(stay, same_key, "left").select(ID, "digest", "n", stays.alias("stays"))
+    keys = checkpoint(keys.where("n > 1 OR NOT stays"))
 
     def same(x: DataFrame, y: DataFrame) -> Column:
-        return (x[DIGEST] == y[DIGEST]) & x["doc_id"].cast("long").eqNullSafe(y[ID])
+        return (x[DIGEST] == y["digest"]) & x["doc_id"].cast("long").eqNullSafe(y[ID])
 
-    kept = own.join(stay, same(own, stay), "left_semi")
+    left = without(own, keys.where("NOT stays").select(ID, "digest"), same)
+    again = keys.where("stays").select(ID, "digest")
     if again.isEmpty():
-        return kept.drop(DIGEST)
-    once = kept.join(again, same(kept, again), "left_semi").dropDuplicates(["doc_id", DIGEST])
-    return kept.join(again, same(kept, again), "left_anti").unionByName(once).drop(DIGEST)
+        return left.drop(DIGEST)
+    once = left.join(again, same(left, again), "left_semi").dropDuplicates(["doc_id", DIGEST])
+    return without(left, again, same).unionByName(once).drop(DIGEST)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,13 +66,46 @@ def test_links_are_all_pairs_within_four_bits(spark):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     nodes = spark.createDataFrame([(signed(v),) for v in values], "fp long")
     for axes in (5, 7):
-        got = sorted(tuple(r) for r in simhash.links(nodes, axes).collect())
+        got = sorted(tuple(r) for r in simhash.links(nodes, axes, crowd=10**9).collect())
         want = sorted(
             tuple(sorted((signed(a), signed(b)))) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= 4
         )
         assert got == want
 
 
+def test_crowded_cells_give_the_same_components(spark):
+    """Dense clusters and chains: stars and settled cells lose no link, and few are made."""
+    rng = random.Random(9)
+    prints = set()
+    for _ in range(3):
+        centre = rng.getrandbits(64)
+        for k in range(300):
+            p = centre
+            for b in rng.sample(range(64), rng.randrange(0, 4)):
+                p ^= 1 << b
+            prints.add(p)
+    prints |= {p for _, p in planted(rng, 200)}
+    values = sorted(prints)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    nodes = spark.createDataFrame([(signed(v),) for v in values], "fp long").repartition(6)
+    want = {}
+    for i, p, root in brute_components(list(enumerate(values))):
+        want.setdefault(root, set()).add(signed(p))
+    for axes, crowd in ((5, 4), (6, 32), (None, 2)):
+        edges = simhash.links(nodes, axes, crowd)
+        got = {}
+        for r in simhash.components(edges).collect():
+            got.setdefault(r["root"], set()).add(r["node"])
+        assert sorted(map(sorted, got.values())) == sorted(sorted(s) for s in want.values() if len(s) > 1)
+        every = sum((a ^ b).bit_count() <= 4 for i, a in enumerate(values) for b in values[:i])
+        assert edges.count() < every / 3
+
+
+def test_axes_follow_the_number_of_fingerprints():
+    axes = [simhash.axes_for(10**k) for k in range(11)]
+    assert axes == sorted(axes) and axes[0] == simhash.LEAST_AXES and 8 < axes[9] < simhash.MOST_AXES
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     want = brute_components([(r["doc_id"], brute_print(r["text"])) for r in docs])
