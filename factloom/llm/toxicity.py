@@ -1,10 +1,11 @@
 """Toxicity by maximum-scoring segments.
 
-Every word and every beginning of a word (its first four characters or more) is counted by the
+Every word and every beginning of a word (its first SHORT to LONG characters) is counted by the
 labelled documents, toxic and other, that have it. Log-odds are smoothed by Dirichlet priors that
-follow the word: the prior of a beginning is what one character less says, so words that were
-never seen take the odds of the longest beginning that was. Rows of these tables that tell nothing
-are dropped, and every other word costs BACKGROUND.
+follow the word: the prior of a key is what documents with the next shorter key but without this
+one say, so that each document counts once however many beginnings of a word it shows. Words that
+were never seen take the odds of the longest beginning that was. Words that speak for toxic text
+and words that speak against it both count, and each word costs BACKGROUND.
 
 A text is then a sequence of scores with a negative mean, and its maximal scoring segments (Ruzzo
 and Tompa), found in one scan over all its words, are its passages. A word that a passage repeats
@@ -17,10 +18,12 @@ logistic curve that is fitted to labelled rows turns it into the score.
 The tables and curves come from at most LABELLED labelled rows outside the held-out part; all of
 the corpus is scored by them, in one pass without a shuffle.
 
-Defined results: a null or empty text has no passage and gets the score of no evidence. Rows with
-a null doc_id are scored like any other and repeated rows come out repeated. Without labels of
+Defined results: a null or empty text has no passage and gets the score of no evidence. A very
+long text is scanned whole: the law's location follows its length, and passages that repeat each
+other add up. Of passages with equal scores neither goes before the other: both are found. Rows
+with a null doc_id are scored like any other and repeated rows come out repeated. Without labels of
 both kinds every score is 0. An empty table gives no rows. Other columns are ignored by score()
-and carried by clean().
+and carried by clean(), of whatever type they are.
 """
 
 from __future__ import annotations
@@ -34,22 +37,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, slices, table
+from .common import Memo, held_out, labelled_sample, passing, slices, table
 
-#: Most labelled rows that the model comes from, and most entries of its table of words.
-LABELLED, ENTRIES = 12_000, 100_000
+#: Most labelled rows that the model comes from.
+LABELLED = 12_000
 #: A document is toxic from this score on.
 TOXIC = 0.7
-#: Strength of the prior in documents, least and most score of an entry (in nats), cost of a word.
-PRIOR, LEAST, MOST, BACKGROUND = 1.0, 2.0, 12.0, -0.6
-#: Fewest documents with a key that counts.
-FEWEST = 3
+#: Strength of the prior in documents, score of a word that nothing is known of (in nats).
+PRIOR, BACKGROUND = 1.0, -0.6
+#: A key tells something if it has so many documents, and if it is so many nats away from what its
+#: longest beginning that tells something says; other keys say what that beginning says.
+FEWEST, TELLING = 3, 1.0
 #: The shortest beginning of a word, and the longest.
 SHORT, LONG = 4, 16
 #: A passage is significant if clean text has one that good with a smaller chance.
 CHANCE = 0.1
-#: Entries of a worker's cache of words.
-CACHE = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -65,24 +67,36 @@ def beginnings(word: str) -> list[str]:
 # ---- the model ------------------------------------------------------------------------
 
 
-def log_odds(counts: dict[str, tuple[int, int]], toxic: int, other: int) -> dict[str, float]:
-    """The score of each key, from the documents with it (toxic, other).
+def log_odds(keys: list[str], toxic: np.ndarray, other: np.ndarray, base: tuple[int, int]) -> dict[str, float]:
+    """The scores of the keys that tell something, from the documents with each key (toxic, other).
 
-    A key's share of toxic documents has a Dirichlet prior of PRIOR documents, centred at the share
-    of the key that is one character shorter, or of all documents.
+    A key's share of toxic documents has a Dirichlet prior of PRIOR documents, centred at the share among
+    the documents that have the next shorter key, or are any, but not this one. A key of the same documents
+    as the next shorter one so gets the same share.
     """
-    base = toxic / (toxic + other)
-    share: dict[str, float] = {}
-    for key in sorted(counts, key=len):
-        t, o = counts[key]
-        up = (t + PRIOR * share.get(_shorter(key), base)) / (t + o + PRIOR)
-        share[key] = min(max(up, 1e-9), 1 - 1e-9)
-    least = math.log(base / (1 - base))
-    return {k: min(math.log(s / (1 - s)) - least, MOST) for k, s in share.items()}
+    some = toxic + other >= FEWEST
+    order = sorted(np.flatnonzero(some).tolist(), key=lambda i: len(keys[i]))
+    nothing = math.log(base[0] / base[1])
+    # of each key: toxic and other documents, what these say smoothed, what it is taken to say
+    known: dict[str, tuple[int, int, float, float]] = {}
+    told: dict[str, float] = {}
+    for i in order:
+        key, t, o = keys[i], int(toxic[i]), int(other[i])
+        up = _shorter(key)
+        while up and up not in known:
+            up = up[:-1]
+        ut, uo, prior, said = known.get(up, (*base, base[0] / sum(base), 0.0))
+        prior = (ut - t + PRIOR * prior) / (ut - t + uo - o + PRIOR)
+        share = min(max((t + PRIOR * prior) / (t + o + PRIOR), 1e-9), 1 - 1e-9)
+        score = math.log(share / (1 - share)) - nothing
+        if abs(score - said) >= TELLING:
+            told[key] = said = score
+        known[key] = (t, o, prior, said)
+    return told
 
 
 def _shorter(key: str) -> str:
-    return key[: key.index(" ")] if " " in key else key[:-1]
+    return key[: key.index(" ")] if " " in key else key[:-1] if len(key) > SHORT else ""
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -138,7 +152,7 @@ class Model:
     """Scores of words, the extreme-value law of clean text and the curve of the score."""
 
     def __init__(self, scores: dict[str, float]) -> None:
-        self.table = {k: s for k, s in scores.items() if s >= LEAST or _covers(k, scores)}
+        self.table = scores
         self.location, self.scale, self.growth = 0.0, 1.0, 1.0
         self.curve = (-20.0, 0.0)
 
@@ -149,10 +163,11 @@ class Model:
                 return s + BACKGROUND
         return BACKGROUND
 
-    def passages(self, text: str | None, cache: dict[str, float]) -> tuple[list[tuple[int, int, float]], int]:
+    def passages(self, text: str | None, cache: Memo) -> tuple[list[tuple[int, int, float]], int]:
         words = words_of(text)
-        for w in set(words).difference(cache):
-            cache[w] = self.word_score(w)
+        for w in set(words):
+            if w not in cache:
+                cache.add(w, self.word_score(w))
         scores = np.fromiter(map(cache.__getitem__, words), float, len(words))
         found = segments(scores)
         telling = [words[i] for i in np.flatnonzero(scores > 0).tolist()]
@@ -224,18 +239,20 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model | No
         size = lambda folds, label: sum(sizes.get((f, label), 0) for f in folds)
         if not size((0, 1), 1) or not size((0, 1), 0):
             return None
-        counts = _counts(rows, size((0, 1), 1), size((0, 1), 0))
-        tables = []
+        counts = _counts(rows)
+        keys, tables = counts.column("key").to_pylist(), []
+        number = {c: counts.column(c).to_numpy() for c in ("t0", "t1", "o0", "o1")}
         for folds in ((0,), (1,), (0, 1)):
-            own = {r["key"]: (sum(r[f"t{f}"] for f in folds), sum(r[f"o{f}"] for f in folds)) for r in counts}
-            own = {k: c for k, c in own.items() if sum(c) >= FEWEST}
-            tables.append(Model(log_odds(own, max(1, size(folds, 1)), max(1, size(folds, 0)))))
+            t, o = (sum(number[f"{x}{f}"] for f in folds) for x in "to")
+            tables.append(Model(log_odds(keys, t, o, (max(1, size(folds, 1)), max(1, size(folds, 0))))))
         # each half is scored by what the other half says: own words would look too telling
         halves = rows.sparkSession.sparkContext.broadcast(tables[:2])
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            caches: list[dict[str, float]] = [{}, {}]
+            caches = [Memo(), Memo()]
             for b in batches:
+                for cache in caches:
+                    cache.tidy()
                 got = [
                     halves.value[1 - f].passages(t, caches[f])
                     for f, t in zip(b.column("fold").to_pylist(), b.column("text").to_pylist(), strict=True)
@@ -254,8 +271,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model | No
         rows.unpersist()
 
 
-def _counts(rows: DataFrame, toxic: int, other: int) -> list:
-    """For the ENTRIES keys that tell most, the documents with it: by fold, toxic (t) and other (o)."""
+def _counts(rows: DataFrame) -> pa.Table:
+    """For each key of FEWEST documents or more, the documents with it: by fold, toxic (t) and other (o)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in slices(whole)):
@@ -271,28 +288,17 @@ def _counts(rows: DataFrame, toxic: int, other: int) -> list:
 
     cells = [F.count_if(F.expr(f"fold = {f} AND label {is_} 1")).alias(f"{x}{f}") for f in (0, 1) for x, is_ in (("t", "="), ("o", "<>"))]
     counts = rows.mapInArrow(keys, "fold int, label int, key string").groupBy("key").agg(*cells)
-    telling = F.abs((F.col("t0") + F.col("t1")) / toxic - (F.col("o0") + F.col("o1")) / other)
-    return counts.where(f"t0 + t1 + o0 + o1 >= {FEWEST}").orderBy(telling.desc(), "key").limit(ENTRIES).collect()
+    # the sample is bounded, and so are its keys
+    return counts.where(f"t0 + t1 + o0 + o1 >= {FEWEST}").toArrow()
 
 
-def _covers(key: str, scores: dict[str, float]) -> bool:
-    """Whether a shorter key would lift this one, so that it has to stay to hold it down."""
-    shorter = _shorter(key)
-    while len(shorter) >= SHORT:
-        if scores.get(shorter, -1.0) >= LEAST:
-            return True
-        shorter = shorter[:-1]
-    return False
-
-
-def _each(model, batch: pa.RecordBatch, cache: dict[str, float]) -> Iterator[tuple[float, int]]:
+def _each(model: Model | None, texts: pa.Array, cache: Memo) -> Iterator[tuple[float, int]]:
     """The score and the number of significant passages of each text."""
-    for t in batch.column("text"):
+    cache.tidy()
+    for t in texts:
         if model is None:
             yield 0.0, 0
             continue
-        if len(cache) > CACHE:
-            cache.clear()
         found, n = model.passages(t.as_py(), cache)
         yield model.score(model.evidence(found, n)), sum(model.significant(s, n) for _, _, s in found)
 
@@ -302,9 +308,9 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFram
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
-        for b in batches:
-            got = list(_each(model.value, b, cache))
+        cache = Memo()
+        for b in (x for whole in batches for x in slices(whole)):
+            got = list(_each(model.value, b.column("text"), cache))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
@@ -326,8 +332,9 @@ def passages(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, chance:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
-        for b in batches:
+        cache = Memo()
+        for b in (x for whole in batches for x in slices(whole)):
+            cache.tidy()
             rows = []
             for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if model.value is None or not t:
@@ -347,13 +354,13 @@ def passages(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, chance:
 def clean(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFrame:
     """The documents that are not toxic, with all their columns: judged where they lie."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
+    caches: list[Memo] = []  # a task's own, as each task unpickles this function
 
-    def staying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
-        for b in batches:
-            yield b.filter(pa.array([s < TOXIC for s, _ in _each(model.value, b, cache)], pa.bool_()))
+    def staying(texts: pa.Array) -> pa.Array:
+        cache = caches[0] if caches else caches.append(Memo()) or caches[0]
+        return pa.array([s < TOXIC for s, _ in _each(model.value, texts, cache)], pa.bool_())
 
-    return docs.mapInArrow(staying, docs.schema)
+    return passing(docs, staying)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from factloom.llm import toxicity
-from factloom.llm.common import labelled_sample
+from factloom.llm.common import Memo, labelled_sample
 
 SF = "/root/testdata/sf0.1"
 
@@ -44,14 +44,14 @@ def test_a_passage_scores_by_its_own_words_only():
     rude = ["vilest", "rotten", "foulmouth", "scumbag"]
     model = toxicity.Model({w + " ": 5.0 for w in rude})
     far = ["and"] * 200
-    found, n = model.passages(" ".join(rude + far + rude), {})
+    found, n = model.passages(" ".join(rude + far + rude), Memo())
     assert [(a, b) for a, b, _ in found] == [(0, 4), (204, 208)] and n == 208
     assert [s for _, _, s in found] == pytest.approx([4 * 4.4] * 2)
     # each word was there once, alone, before the dense passage
-    found, n = model.passages(" ".join(x for w in rude for x in [w, *far]) + " " + " ".join(rude), {})
+    found, n = model.passages(" ".join(x for w in rude for x in [w, *far]) + " " + " ".join(rude), Memo())
     assert found[-1][:2] == (n - 4, n) and found[-1][2] == pytest.approx(4 * 4.4)
     # repeats inside a passage don't add up, and don't take away from its best part
-    found, _ = model.passages(" ".join(rude + ["and", "vilest"] * 40), {})
+    found, _ = model.passages(" ".join(rude + ["and", "vilest"] * 40), Memo())
     assert found[0][:2] == (0, 84) and found[0][2] == pytest.approx(4 * 4.4)
 
 
@@ -72,14 +72,56 @@ def test_the_best_part_of_a_passage():
             assert toxicity.once(words[a:b], scores[a:b], s) == pytest.approx(want)
 
 
+def odds(counts, toxic, other):
+    t, o = (np.array([c[i] for c in counts.values()]) for i in (0, 1))
+    return toxicity.log_odds(list(counts), t, o, (toxic, other))
+
+
 def test_priors_follow_the_word():
-    counts = {"abcd": (30, 2), "abcde": (5, 0), "zzzz": (1, 30), "zzzz ": (1, 30)}
-    s = toxicity.log_odds(counts, 100, 900)
-    assert s["abcde"] > s["abcd"] > 2 and s["zzzz"] < 0
+    counts = {"abcd": (30, 2), "abcde": (5, 0), "zzzz": (1, 30), "zzzz ": (1, 30), "abcdf": (0, 9)}
+    s = odds(counts, 100, 900)
+    assert s["abcde"] > s["abcd"] > 2 and s["zzzz"] < -1 and "zzzz " not in s and s["abcdf"] < s["abcd"] - 2
     model = toxicity.Model(s)
     assert model.word_score("abcdxyz") == pytest.approx(s["abcd"] + toxicity.BACKGROUND)
+    assert model.word_score("zzzz") == pytest.approx(s["zzzz"] + toxicity.BACKGROUND)
     assert model.word_score("other") == toxicity.BACKGROUND
-    assert all(np.isfinite(list(toxicity.log_odds({"q" * n: (90, 0) for n in range(4, 17)}, 90, 10).values())))
+    assert all(np.isfinite(list(odds({"q" * n: (90, 0) for n in range(4, 17)}, 90, 10).values())))
+
+
+def test_a_document_counts_once_for_all_beginnings_of_a_word():
+    word = "réeuxelle"
+    s = odds({k: (3, 0) for k in toxicity.beginnings(word)}, 100, 900)
+    score = toxicity.Model(s).word_score(word) - toxicity.BACKGROUND
+    # three toxic documents and one of the prior, whatever the word's length
+    assert score == pytest.approx(np.log(3.1 / 0.9) - np.log(100 / 900), abs=0.01) and score < 4
+
+
+def test_odds_against_brute_force(monkeypatch):
+    """Counts made of documents, and shares by their definition on the documents themselves."""
+    monkeypatch.setattr(toxicity, "TELLING", 0.0)
+    rng = random.Random(7)
+    words = ["abcd", "abcde", "abcdef", "abcxyz", "wxyz", "wxyzabcdefghijklmnop", "ab", "abcdé"]
+    docs = [(set(rng.sample(words, rng.randrange(0, 4))), rng.random() < 0.3) for _ in range(200)]
+    keys = sorted({k for w in words for k in toxicity.beginnings(w)})
+    has = {k: [any(k in toxicity.beginnings(w) for w in own) for own, _ in docs] for k in keys}
+    toxic = [y for _, y in docs]
+    share = lambda which, prior: (sum(y for y, x in zip(toxic, which, strict=True) if x) + prior) / (sum(which) + 1)
+
+    def prior_and_score(key):
+        """From the documents that have the longest shorter key that counts, but not this one."""
+        shorter = [k for k in keys if k != key and key.replace(" ", "").startswith(k) and " " not in k and sum(has[k]) >= 3]
+        up = max(shorter, key=len, default=None)
+        wide = has[up] if up else [True] * len(docs)
+        above = prior_and_score(up)[0] if up else sum(toxic) / len(docs)
+        prior = share([a and not b for a, b in zip(wide, has[key], strict=True)], above)
+        p = share(has[key], prior)
+        return prior, np.log(p / (1 - p)) - np.log(sum(toxic) / (len(docs) - sum(toxic)))
+
+    count = lambda k, y: sum(x and (z == y) for x, z in zip(has[k], toxic, strict=True))
+    got = odds({k: (count(k, True), count(k, False)) for k in keys}, sum(toxic), len(docs) - sum(toxic))
+    assert set(got) == {k for k in keys if sum(has[k]) >= 3}
+    for k, s in got.items():
+        assert s == pytest.approx(prior_and_score(k)[1])
 
 
 def test_held_out_accuracy(spark):
@@ -87,8 +129,8 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = got.join(labels, "doc_id").where("held_out").select("toxic", "predicted", "score").collect()
     hits = sum(r["toxic"] and r["predicted"] for r in rows)
-    assert hits / sum(r["toxic"] for r in rows) > 0.8
-    assert hits / sum(r["predicted"] for r in rows) > 0.95
+    assert hits / sum(r["toxic"] for r in rows) > 0.88
+    assert hits / sum(r["predicted"] for r in rows) > 0.99
     assert all((r["score"] >= 0.7) == bool(r["predicted"]) and 0 <= r["score"] <= 1 for r in rows)
 
 
