@@ -8,13 +8,15 @@ final. A partition with a gap keeps its full bins and opens the others. All open
 exchanged, dealt anew over as few partitions as hold them, and packed again, until that saves
 no more bins. A round that saves nothing is undone, so more rounds never cost a bin.
 
-Defined results: a null text counts as empty and gives a piece of the end id alone. Rows with
-a null or repeated doc_id are packed like any other. An empty table gives no rows. Other
-columns are ignored by pack() and carried by packed().
+Defined results: a null text counts as empty and gives a piece of the end id alone. A very long
+text is cut into as many pieces as it takes. Pieces of equal length are packed in any order. Rows
+with a null or repeated doc_id are packed like any other. An empty table gives no rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices, table
+from .common import Memo, checkpoint, slices, table
 
 CAPACITY, END_ID = 4096, 1
-#: Pieces of a partition, about, and the most rounds of exchange.
-PARTITION_PIECES, ROUNDS = 50_000, 6
-#: Entries after which a worker's cache of words is emptied.
-CACHE = 600_000
+#: Pieces of a partition, about.
+PARTITION_PIECES = 50_000
+#: Bytes of what a worker remembers of words, and of parts of texts that are not plain.
+WORDS_BYTES, PARTS_BYTES = 24 << 20, 8 << 20
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -66,8 +68,7 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
-        self.parts: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.parts, self.words = Memo(PARTS_BYTES), Memo(WORDS_BYTES)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -78,12 +79,12 @@ class WordTokenizer:
             s = part.decode("utf-8", "replace")
             words = self._plain_words(s)
             if words is None:
-                self.parts[part] = self._whole(s)
+                self.parts.add(part, self._whole(s))
             else:
                 plain.append((part, words))
         self._learn_words({w for _, words in plain for w in words})
         for part, words in plain:
-            self.parts[part] = b"".join([self.words[w] for w in words])
+            self.parts.add(part, b"".join([self.words[w] for w in words]))
 
     def _plain_words(self, s: str) -> list[str] | None:
         """The words of a string of plain characters; None for any other."""
@@ -101,13 +102,13 @@ class WordTokenizer:
                 raise ValueError("a word without an end in the vocabulary")
             data, at = ids.tobytes(), 0
             for w, end in zip(some, cut, strict=True):
-                self.words[w], at = data[4 * at : 4 * end], end
+                self.words.add(w, data[4 * at : 4 * end])
+                at = end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.parts) > CACHE or len(self.words) > CACHE:
-            self.parts.clear()
-            self.words.clear()
+        self.parts.tidy()
+        self.words.tidy()
         texts = [(t or "").encode("utf-8", "replace").decode() for t in texts]
         split = [self._plain_words(t) for t in texts]
         self._learn_words({w for words in split if words for w in words})
@@ -214,7 +215,7 @@ def _pack_partition(salt: int):
             opened[int(fill.argmin())] = True
         else:
             opened = fill < CAPACITY
-        base = (salt << 56) + (int(key[0]) << 28)
+        base = (salt << 52) + (int(key[0]) << 20)
         return rows[["doc_id", "piece", "start", "length", "ids_crc32", "rid"]].assign(
             sequence_id=base + bins, offset=offsets, open=opened[bins]
         )[[c.split()[0] for c in _PACKED.split(", ")]]
@@ -222,12 +223,12 @@ def _pack_partition(salt: int):
     return pack
 
 
-def assign(items: DataFrame, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """items (the columns of pieces()) with sequence_id and offset."""
-    pool = checkpoint(items.withColumn("rid", F.monotonically_increasing_id()))
+def assign(items: DataFrame, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
+    """items (the columns of pieces()) with sequence_id and offset, and with rid, which tells rows apart."""
+    pool = checkpoint(items if "rid" in items.columns else _numbered(items))
     done: DataFrame | None = None
     bins_before: int | None = None
-    for salt in range(rounds):
+    for salt in itertools.count():
         n = pool.count()
         parts = max(1, -(-n // partition_pieces))
         part = F.pmod(F.xxhash64(F.lit(salt), "rid"), F.lit(parts))
@@ -238,38 +239,33 @@ def assign(items: DataFrame, partition_pieces: int = PARTITION_PIECES, rounds: i
         if bins_before is not None and bins >= bins_before:
             break  # the pool stays as it was packed before
         final = packed.where("NOT open")
-        if done is None:
-            done = final
-        else:
-            done = done.unionByName(final)
+        done = final if done is None else done.unionByName(final)
         pool = packed.where("open")
         bins_before = pool.select("sequence_id").distinct().count()
         if parts == 1 or bins_before < 2:
             break
-    return done.unionByName(pool).select(*[c.split()[0] for c in _PIECES.split(", ")], "sequence_id", "offset")
+    return done.unionByName(pool).select(*[c.split()[0] for c in _PIECES.split(", ")], "rid", "sequence_id", "offset")
+
+
+def _numbered(items: DataFrame) -> DataFrame:
+    return items.withColumn("rid", F.monotonically_increasing_id())
 
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    return assign(pieces(docs, path or public_tokenizers.path("word_bpe_49k.json")))
+    return assign(pieces(docs, path or public_tokenizers.path("word_bpe_49k.json"))).drop("rid")
 
 
 def sequences(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids, doc_ids and offsets in their order."""
-    path = path or public_tokenizers.path("word_bpe_49k.json")
-    made = pieces(docs, path, with_ids=True).select("doc_id", "piece", "ids_crc32", "length", "ids")
-    placed = assign(pieces(docs, path)).withColumn("nth", F.row_number().over(_same())).drop("start")
-    made = made.withColumn("nth", F.row_number().over(_same()))
-    a, b = placed.alias("a"), made.alias("b")
-    same = F.lit(True)
-    for c in ("doc_id", "piece", "ids_crc32", "length", "nth"):
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    row = F.struct("a.offset", "a.doc_id", "b.ids")
+    # texts are tokenized once: their ids are written down and meet their places by rid
+    made = checkpoint(_numbered(pieces(docs, path or public_tokenizers.path("word_bpe_49k.json"), with_ids=True)))
+    placed = assign(made.drop("ids")).select("rid", "doc_id", "sequence_id", "offset")
     # a sequence has at most CAPACITY tokens, so its pieces are bounded
     return (
-        a.join(b, same)
-        .groupBy("a.sequence_id")
-        .agg(F.array_sort(F.collect_list(row)).alias("rows"))
+        placed.join(made.select("rid", "ids"), "rid")
+        .groupBy("sequence_id")
+        .agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("rows"))
         .select(
             "sequence_id",
             F.flatten("rows.ids").alias("ids"),
@@ -279,11 +275,5 @@ def sequences(docs: DataFrame, path: str | None = None) -> DataFrame:
     )
 
 
-def _same():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id", "piece", "ids_crc32", "length").orderBy("doc_id")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))

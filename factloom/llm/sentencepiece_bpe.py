@@ -11,7 +11,8 @@ same round, which is what one merge after the other would do. Characters without
 Decoding looks pieces up and joins them, drops the blank that encoding puts in front, and reads runs of
 byte pieces as UTF-8, with U+FFFD for each byte that isn't.
 
-Defined results: a null text counts as empty and has the end id alone. Rows with a null doc_id are
+Defined results: a null text counts as empty and has the end id alone. A very long text is encoded
+whole. Of pairs with equal ranks the leftmost merges first. Rows with a null doc_id are
 encoded like any other and repeated rows come out repeated. An empty table gives no rows. Other columns
 are ignored.
 """
@@ -29,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import Memo, slices, table
 
 BLANK = "▁"
-#: Entries after which a worker's cache of segments is emptied, and symbols that are merged together.
-CACHE, SYMBOLS = 600_000, 500_000
+#: Bytes of what a worker remembers of segments, and symbols that are merged together.
+SEGMENT_BYTES, SYMBOLS = 32 << 20, 500_000
 _NONE = np.int64(1) << 40
 
 
@@ -69,7 +70,7 @@ class PieceBpe:
         inner = {c for p in self.ids if len(p) > 1 for c in p} - {BLANK}
         kept = "".join(map(re.escape, sorted(inner)))
         self.segment = re.compile(f" *[{kept}]+| +[^{kept} ]|[^ ]| +", re.S)
-        self.words: dict[str, bytes] = {}
+        self.words = Memo(SEGMENT_BYTES)
         self.text_of = [p.replace(BLANK, " ").encode() for p in self.pieces]
         for i in range(n):
             if model.is_control(i):
@@ -165,7 +166,8 @@ class PieceBpe:
             data, ends = symbols.astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(segment, minlength=len(some)))).tolist()
             at = 0
             for s, end in zip(some, ends, strict=True):
-                self.words[s], at = data[at:end], end
+                self.words.add(s, data[at:end])
+                at = end
 
     def _bytes(self, symbols: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece as the pieces of their bytes."""
@@ -179,11 +181,10 @@ class PieceBpe:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, the end id last."""
-        if len(self.words) > CACHE:
-            self.words.clear()
+        self.words.tidy()
         end = np.array([self.end], "<u4").tobytes()
         split = [self.segment.findall(" " + t.replace(BLANK, " ")) if t else [] for t in texts]
-        self._learn(list({s for some in split for s in some}.difference(self.words)))
+        self._learn([s for s in {s for some in split for s in some} if s not in self.words])
         word = self.words.__getitem__
         return [np.frombuffer(b"".join(map(word, some)) + end, "<u4") for some in split]
 
