@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
+from ..session import SMALL, checkpoint, small_side
 from .series import ordinals
 
 #: Most row ids that a fact keeps (fixed value).
@@ -37,10 +38,14 @@ def group_sums(df: DataFrame, category: str, value: Column, row_id: Column) -> D
     rows = df.select(F.col(f"`{category}`").cast("string").alias("key"), value.cast("double").alias("v"), row_id.alias("row_id"))
     rows = rows.where((F.col("key") != "") & finite(F.col("v")))
     sums = rows.groupBy("key").agg(F.sum("v").alias("sum"), F.count(F.lit(1)).alias("count"), F.min("row_id").alias("first_seen"))
-    # a row for each group: category columns have few
-    order = Window.orderBy(F.col("sum").desc(), "first_seen")
-    every = Window.partitionBy()
-    sums = sums.withColumn("rank", F.row_number().over(order)).withColumn("total", F.sum("sum").over(every))
+    sums = checkpoint(sums)
+    if sums.count() <= SMALL:
+        sums = sums.withColumn("rank", F.row_number().over(Window.orderBy(F.col("sum").desc(), "first_seen")))
+    else:
+        down = sums.withColumn("_down", -F.col("sum"))
+        sums = ordinals(down, [], ["_down", "first_seen", "key"], "rank").withColumn("rank", F.col("rank") + 1).drop("_down")
+    total = sums.agg(F.sum("sum").alias("total"))  # one row
+    sums = sums.crossJoin(F.broadcast(total))
     return sums.withColumn("share", F.coalesce(F.try_divide("sum", "total") * 100.0, F.lit(0.0)))
 
 
@@ -85,8 +90,8 @@ def top_and_other(groups: DataFrame, top: int) -> DataFrame:
 def thinned_line(series: DataFrame, by: list[str] | None = None, most: int = 120) -> DataFrame:
     """(by, bucket, size, v, label, row_id): at most so many means of neighbouring points of each series."""
     by = by or []
-    n = series.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))  # a row for each series
-    both = series.join(F.broadcast(n), by) if by else series.crossJoin(F.broadcast(n))
+    n = small_side(series.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))  # a row for each series
+    both = series.join(n, by) if by else series.crossJoin(n)
     both = both.withColumn("size", F.ceil(F.col("n") / most))
     return (
         both.groupBy(*by, F.floor(F.col("i") / F.col("size")).alias("bucket"))
@@ -106,3 +111,13 @@ def thinned_pairs(df: DataFrame, x: str, y: str, order: list[str], most: int = 2
         F.when((k < most) & (F.floor(k * F.col("n") / most) == F.col("i")), k)
     )
     return both.withColumn("k", taken.cast("long")).where("k IS NOT NULL").select("k", "x", "y")
+
+
+def ticks(low: Column, high: Column, about: int = 5) -> Column:
+    """Round axis ticks that cover low to high (low < high), as an array; display.nice_ticks() for columns."""
+    unit = lambda x: F.pow(F.lit(10.0), F.floor(F.log10(x)))
+    size = high - low
+    span = unit(size) * F.when(size / unit(size) <= 1, 1).when(size / unit(size) <= 2, 2).when(size / unit(size) <= 5, 5).otherwise(10)
+    rough = span / (about - 1)
+    step = unit(rough) * F.when(rough / unit(rough) < 1.5, 1).when(rough / unit(rough) < 3, 2).when(rough / unit(rough) < 7, 5).otherwise(10)
+    return F.transform(F.sequence(F.floor(low / step), F.ceil(high / step)), lambda i: i * step)

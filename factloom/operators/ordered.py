@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percent_change
-from .series import prefix_sums
+from .series import prefix_sums, previous
 
 #: Fewest points of each fact, and fewest moves of a streak (fixed values).
 TREND_POINTS, CHANGE_POINTS, CHANGE_EDGE, STREAK_POINTS, STREAK_MOVES = 5, 10, 3, 5, 3
@@ -93,13 +93,10 @@ def welch(sides: DataFrame) -> DataFrame:
 def streak(series: DataFrame, by: list[str]) -> DataFrame:
     """The longest run of moves in one direction: (by, start, moves, sign, change_pct), the first of equals.
 
-    Each value meets the one before by its ordinal, so series need no task of their own.
+    Each value meets the one before in its block of ordinals, so series need no task of their own.
     """
-    v = series.select(*by, "i", "v")
-    before = v.select(*by, (F.col("i") + 1).alias("i"), F.col("v").alias("was"))
-    moves = v.join(before, [*by, "i"], "left").withColumn("sign", F.signum(F.col("v") - F.col("was")))
-    sign_before = moves.select(*by, (F.col("i") + 1).alias("i"), F.col("sign").alias("sign_was"))
-    moves = moves.join(sign_before, [*by, "i"], "left")
+    moves = previous(series.select(*by, "i", "v"), by, {"was": "v"}).withColumn("sign", F.signum(F.col("v") - F.col("was")))
+    moves = previous(moves, by, {"sign_was": "sign"})
     turn = F.when(F.col("sign").eqNullSafe(F.col("sign_was")), 0).otherwise(1)
     runs = prefix_sums(moves.withColumn("turn", turn), by, {"turns": "turn"})
     runs = runs.withColumn("run", F.col("turns") + F.col("turn")).where("sign <> 0")

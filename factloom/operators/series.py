@@ -35,12 +35,22 @@ def ordinals(rows: DataFrame, by: list[str], order: list[str], name: str = "i")
     """
     sort = [F.col(c).asc_nulls_last() for c in (*by, *order)]
     spread = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    return _numbered(spread, by, name)
+
+
+def numbered(rows: DataFrame, name: str = "row_id") -> DataFrame:
+    """Add name: the place from 0 in the order in which the rows lie, without moving them."""
+    return _numbered(rows, [], name)
+
+
+def _numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Number rows that lie in order, those of each group of by together."""
     # the partition in the upper bits, the row's place in it in the lower ones; written down once, as what a
-    # range partition holds must not change between the two uses
-    spread = checkpoint(spread.withColumn("_place", F.monotonically_increasing_id()))
-    spread = spread.withColumn("_part", F.shiftright("_place", _PLACES))
+    # partition holds must not change between the two uses
+    rows = checkpoint(rows.withColumn("_place", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_place", _PLACES))
     at = F.col("_place").bitwiseAND(F.lit((1 << _PLACES) - 1))
-    counts = spread.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first"))
+    counts = rows.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first"))
     # a row for each group and partition
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
@@ -48,7 +58,7 @@ def ordinals(rows: DataFrame, by: list[str], order: list[str], name: str = "i")
     same = F.col("_part") == F.col("_at_part")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    out = spread.join(offsets, same).withColumn(name, at + F.col("_offset"))
+    out = rows.join(offsets, same).withColumn(name, at + F.col("_offset"))
     return out.drop("_place", "_part", "_at_part", "_offset", *[f"_by_{c}" for c in by])
 
 
@@ -72,6 +82,20 @@ def prefix_sums(rows: DataFrame, by: list[str], values: dict[str, str]) -> DataF
     return out.drop("_block", *[f"{p}{n}" for n in values for p in ("_in_", "_before_")])
 
 
+def previous(rows: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """Add for each (name, column) the column of the row with the ordinal before, in blocks of ordinals."""
+    blocks = rows.withColumn("_block", F.floor(F.col("i") / BLOCK))
+    inside = Window.partitionBy(*by, "_block").orderBy("i")
+    blocks = blocks.withColumns({f"_lag_{n}": F.lag(c).over(inside) for n, c in columns.items()})
+    # one row stands for BLOCK rows; it follows the partitioning of the blocks
+    last = F.max_by(F.struct(*[F.col(c).alias(n) for n, c in columns.items()]), "i").alias("_last")
+    lasts = blocks.groupBy(*by, "_block").agg(last).withColumn("_block", F.col("_block") + 1)
+    out = blocks.join(lasts, [*by, "_block"], "left")
+    begins = F.col("i") % BLOCK == 0
+    out = out.withColumns({n: F.when(begins, F.col(f"_last.{n}")).otherwise(F.col(f"_lag_{n}")) for n in columns})
+    return out.drop("_block", "_last", *[f"_lag_{n}" for n in columns])
+
+
 def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
     """Exact quantiles by linear interpolation between order statistics: (by, n, the names of at).
 

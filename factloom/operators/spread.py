@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_side
 from .series import quantiles
 
 #: Modified z-scores from which on a value is an outlier, its factor, and the fewest values (fixed values).
@@ -30,10 +31,12 @@ def outliers(rows: DataFrame, by: list[str]) -> DataFrame:
     """Rows (with v) that lie far from their median: with median, mad and score, the modified z-score."""
     rows = rows.withColumn("v", F.col("v").cast("double"))
     median = quantiles(rows, by, "v", {"median": 0.5})
-    both = rows.join(F.broadcast(median), by) if by else rows.crossJoin(F.broadcast(median))
+    median = small_side(median)  # a row for each group
+    both = rows.join(median, by) if by else rows.crossJoin(median)
     off = both.withColumn("off", F.abs(F.col("v") - F.col("median")))
     mad = quantiles(off, by, "off", {"mad": 0.5}).drop("n")
-    scored = off.join(F.broadcast(mad), by) if by else off.crossJoin(F.broadcast(mad))
+    mad = small_side(mad)
+    scored = off.join(mad, by) if by else off.crossJoin(mad)
     score = F.try_divide(F.lit(NORMAL) * F.col("off"), "mad")
     return scored.withColumn("score", score).where((F.col("n") >= OUTLIER_POINTS) & (F.col("score") > OUTLIER)).drop("off")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_series, queries_tables
+from . import queries_ledger, queries_series, queries_tables
 
-QUERIES: dict = queries_series.QUERIES | queries_tables.QUERIES
-ORACLES: dict = queries_series.ORACLES | queries_tables.ORACLES
+QUERIES: dict = queries_series.QUERIES | queries_tables.QUERIES | queries_ledger.QUERIES
+ORACLES: dict = queries_series.ORACLES | queries_tables.ORACLES | queries_ledger.ORACLES

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -346,13 +346,16 @@ def facts_of(table: Table, question: str | None = None) -> list[Fact]:
         Fact("overview", "What was analysed", f"{p['rows']} rows and {len(p['columns'])} columns{span}.", 10, [], {"rows": float(p["rows"]), "columns": float(len(p["columns"]))}, "Counts.")
     ]
     if metrics:
-        facts += _series_facts(table, axis, metrics[:SERIES_MEASURES])
-        facts += _pair_facts(table, metrics[:PAIR_MEASURES])
         categories = [
             c for c, x in p["columns"].items()
             if x["kind"] == "string" and LEAST_GROUPS <= x["d"] <= MOST_GROUPS and x["d"] < GROUP_SHARE * p["rows"]
-        ]
-        facts += _category_facts(table, categories[:CATEGORIES], metrics[:CATEGORY_MEASURES])
+        ][:CATEGORIES]
+        # what facts are made of is written down once: the table is read and parsed for this and for its profile only
+        own = dict.fromkeys([*([axis.column] if axis.column else []), *metrics[:PAIR_MEASURES], *categories])
+        table = replace(table, df=checkpoint(table.df.select("row_id", *[F.col(f"`{c}`") for c in own])))
+        facts += _series_facts(table, axis, metrics[:SERIES_MEASURES])
+        facts += _pair_facts(table, metrics[:PAIR_MEASURES])
+        facts += _category_facts(table, categories, metrics[:CATEGORY_MEASURES])
     for i, f in enumerate(facts):
         f.seq, f.id = i + 1, f"F{i + 1}"
         if f.kind != "overview":

@@ -7,11 +7,11 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import display, parse, prose
+from ..functions import parse, prose
 from ..operators import groups
 from ..sources import delimited
 from ..streaming import events as streams
-from . import ledger, proof, story, verify
+from . import story, verify
 from .queries_series import load, longs, r, rounded
 
 QUERIES: dict = {}
@@ -210,14 +210,7 @@ def type_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = load(spark, sf_dir, "customer")
     cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("x")) for c in _VOTED])).alias("p"))
     out = cells.select("p.*").groupBy("column").agg(*parse.votes(F.col("x")))
-    n = F.col("filled")
-    kind = (
-        F.when((F.col("dates") >= n * parse.DATE_SHARE) & (F.col("numbers") < n * parse.NUMBER_SHARE), "date")
-        .when(F.col("numbers") >= n * parse.NUMBER_SHARE, "number")
-        .when(F.col("booleans") >= n * parse.BOOLEAN_SHARE, "boolean")
-        .otherwise("string")
-    )
-    return out.withColumn("kind", kind)
+    return out.withColumn("kind", parse.kind(*[F.col(c) for c in ("filled", "numbers", "dates", "booleans")]))
 
 
 # ---- texts ----------------------------------------------------------------------------
@@ -280,52 +273,26 @@ def dataset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- ledgers and stories --------------------------------------------------------------
 
 
-def _orders_table(spark: SparkSession, sf_dir: str) -> delimited.Table:
-    """Monthly orders with a few measures, as the engine takes them."""
-    month = F.trunc(F.col("o_orderdate").cast("date"), "month")
-    df = load(spark, sf_dir, "orders").groupBy(month.alias("month")).agg(
-        F.sum("o_totalprice").alias("total_price"), F.avg("o_totalprice").alias("mean_price"), F.count(F.lit(1)).alias("order_count")
-    )
-    return delimited.from_frame(df.withColumn("row_id", F.unix_date("month")), "row_id", "orders")
-
-
-@query()
-def fact_ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.analyze(_orders_table(spark, sf_dir), "how did total_price develop?")
-
-
-@query()
-def fact_ledger_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of a whole table: category columns, correlations and series over all its rows."""
-    df = load(spark, sf_dir, "lineitem").select(
-        F.struct("l_orderkey", "l_linenumber").alias("_o"), "l_shipdate", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice",
-        (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("net_price"), F.monotonically_increasing_id().alias("row_id"),
-    )
-    return ledger.analyze(delimited.from_frame(df.drop("_o"), "row_id", "lineitem")).drop("source_rows")
-
-
-@query()
-def scene_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.to_frame(spark, story.select_scenes(ledger.facts_of(_orders_table(spark, sf_dir))))
-
-
-_CLAIMS = [
-    ("same", "ols_trend", "up", "mrr", "ols_trend", "up", "mrr", None),
-    ("direction", "ols_trend", "up", "mrr", "ols_trend", "down", "mrr", "direction"),
-    ("metric", "ols_trend", "up", "mrr", "ols_trend", "up", "churn", "metric"),
-    ("operation", "ols_trend", "up", "mrr", "mean_shift", "down", "mrr", "operation"),
-    ("absent", "ols_trend", None, "mrr", "ols_trend", "up", "mrr", "direction"),
-]
-
-
 @query(
-    f"""SELECT name, CASE WHEN o1 IS DISTINCT FROM o2 THEN 'operation' WHEN m1 IS DISTINCT FROM m2 THEN 'metric' WHEN d1 IS DISTINCT FROM d2 THEN 'direction' END AS difference
-    FROM {values('name, o1, d1, m1, o2, d2, m2', [c[:7] for c in _CLAIMS])}"""
+    """WITH f AS (SELECT event_type AS id, avg(value) AS mean FROM events GROUP BY 1),
+    c AS (SELECT id, CASE WHEN mean > (SELECT avg(mean) FROM f) THEN 'up' ELSE 'down' END AS direction FROM f)
+    SELECT id, said, CASE WHEN said = 'operation' THEN 'operation' WHEN said = 'metric' THEN 'metric' WHEN said = 'direction' THEN 'direction'
+      WHEN said = 'period' THEN 'period' END AS difference FROM c, (VALUES ('same'), ('operation'), ('metric'), ('direction'), ('period')) v(said)"""
 )
 def claim_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = lambda o, d, m: {"operation": o, "direction": d, "metric": m}
-    rows = [(c[0], story.claim_difference(of(*c[1:4]), of(*c[4:7]))) for c in _CLAIMS]
-    return spark.createDataFrame(rows, "name string, difference string")
+    """Claims on event types, each said right and wrong in one field, against what the events give."""
+    means = load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("id")).agg(F.avg("value").alias("mean"))
+    all_means = F.broadcast(means.agg(F.avg("mean").alias("all")))  # one row
+    way = F.when(F.col("mean") > F.col("all"), "up").otherwise("down")
+    claim = F.struct(F.lit("ols_trend").alias("operation"), F.col("id").alias("metric"), way.alias("direction"), F.struct(F.lit("a").alias("from"), F.lit("b").alias("to")).alias("period"))
+    meant = means.crossJoin(all_means).select("id", claim.alias("claim"))
+    kinds = F.explode(F.array(*[F.lit(x) for x in ("same", "operation", "metric", "direction", "period")])).alias("said")
+    c = F.col("claim")
+    other = F.when(c["direction"] == "up", "down").otherwise("up")
+    wrong = {"operation": F.lit("mean_shift"), "metric": F.lit("other"), "direction": other, "period": F.struct(F.lit("a").alias("from"), F.lit(None).cast("string").alias("to"))}
+    fields = [F.when(F.col("said") == k, wrong[k]).otherwise(c[k]).alias(k) for k in ("operation", "metric", "direction", "period")]
+    said = meant.select("id", "claim", kinds).withColumn("stated", F.struct(*fields))
+    return said.select("id", "said", verify.claim_difference(F.col("stated"), F.col("claim"), ["operation", "metric", "direction", "period"]).alias("difference"))
 
 
 @query(
@@ -347,31 +314,24 @@ def fact_diff_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.compare_ledgers(as_facts(claimed.unionByName(ghost)), as_facts(facts), strict=True)
 
 
-@query()
-def forgery_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on a story as it was made, without its proof, and with another source."""
-    rows = _orders_table(spark, sf_dir).df.orderBy("month").collect()  # a row for each month
-    lines = [f"{x['month']},{x['total_price']:.2f},{x['order_count']:.0f}" for x in rows]
-    source = "\n".join(["month,total_price,order_count", *lines])
-    signer = proof.new_signer(spark)
-    made = story.create(delimited.from_text(spark, source, "orders"), source, signer=signer)
-    other = "\n".join(["month,total_price,order_count", *lines[:-1], lines[-1] + "0"])
-    cases = {"untouched": (source, made), "without proof": (source, {k: v for k, v in made.items() if k != "proof"}), "other source": (other, made)}
-    verdicts = [(name, verify.verify(spark, s, x, {signer.public_key}).verdict) for name, (s, x) in cases.items()]
-    return spark.createDataFrame(verdicts, "name string, verdict string")
-
-
-_TICKS = [(0.0, 97.0), (-3.0, 12.5), (5.0, 5.0), (0.001, 0.0042), (1e6, 3.7e6)]
-_TICK_ROWS = [(0.0, 97.0, 0.0, 100.0, 6), (-3.0, 12.5, -5.0, 15.0, 5), (5.0, 5.0, 2.0, 8.0, 7), (0.001, 0.0042, 0.001, 0.005, 5), (1e6, 3.7e6, 1e6, 4e6, 4)]
+_NICE = "CASE WHEN {x} / {u} <= {a} THEN 1 WHEN {x} / {u} <= {b} THEN 2 WHEN {x} / {u} <= {c} THEN 5 ELSE 10 END * {u}"
+_UNIT = "pow(10.0, floor(log10({x})))"
 
 
 @query(
-    f"""SELECT CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, CAST(a AS DOUBLE) AS "first", CAST(b AS DOUBLE) AS "last", CAST(n AS BIGINT) AS n
-    FROM {values('low, high, a, b, n', _TICK_ROWS)}"""
+    f"""WITH b AS (SELECT p_brand AS key, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY 1 HAVING max(p_retailprice) > min(p_retailprice)),
+    s AS (SELECT *, {_NICE.format(x='(high - low)', u=_UNIT.format(x='(high - low)'), a='1', b='2', c='5')} AS span FROM b),
+    t AS (SELECT *, CASE WHEN span / 4 / {_UNIT.format(x='(span / 4)')} < 1.5 THEN 1 WHEN span / 4 / {_UNIT.format(x='(span / 4)')} < 3 THEN 2
+      WHEN span / 4 / {_UNIT.format(x='(span / 4)')} < 7 THEN 5 ELSE 10 END * {_UNIT.format(x='(span / 4)')} AS step FROM s)
+    SELECT key, {r('floor(low / step) * step', 6)} AS "first", {r('ceil(high / step) * step', 6)} AS "last", CAST(ceil(high / step) - floor(low / step) + 1 AS BIGINT) AS n FROM t"""
 )
 def nice_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(a, b, t[0], t[-1], len(t)) for a, b in _TICKS for t in [display.nice_ticks(a, b)]]
-    return spark.createDataFrame(rows, "low double, high double, first double, last double, n long")
+    """The axis ticks of each brand's prices."""
+    x = F.col("p_retailprice")
+    ranges = load(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("key")).agg(F.min(x).alias("low"), F.max(x).alias("high")).where("high > low")
+    ticks = ranges.select("key", groups.ticks(F.col("low"), F.col("high")).alias("t"))
+    out = ticks.select("key", F.get("t", F.lit(0)).alias("first"), F.element_at("t", -1).alias("last"), F.size("t").cast("long").alias("n"))
+    return rounded(out, 6, "first", "last")
 
 
 # ---- events ---------------------------------------------------------------------------
@@ -392,14 +352,14 @@ def daily_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
-    w AS (SELECT event_type, k, event_id, ts, ts AS last, true AS kept FROM e WHERE k = 1
-      UNION ALL SELECT e.event_type, e.k, e.event_id, e.ts, CASE WHEN e.ts > w.last + INTERVAL 10 MINUTE THEN e.ts ELSE w.last END, e.ts > w.last + INTERVAL 10 MINUTE
-      FROM w JOIN e ON e.event_type = w.event_type AND e.k = w.k + 1)
-    SELECT event_id, event_type FROM w WHERE kept"""
+    """WITH RECURSIVE e AS (SELECT user_id, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+    w AS (SELECT user_id, event_type, k, event_id, ts, ts AS last, true AS kept FROM e WHERE k = 1
+      UNION ALL SELECT e.user_id, e.event_type, e.k, e.event_id, e.ts, CASE WHEN e.ts > w.last + INTERVAL 10 MINUTE THEN e.ts ELSE w.last END, e.ts > w.last + INTERVAL 10 MINUTE
+      FROM w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.k = w.k + 1)
+    SELECT event_id, user_id, event_type FROM w WHERE kept"""
 )
 def replay_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.first_seen(load(spark, sf_dir, "events"), ["event_type"]).select("event_id", "event_type")
+    return streams.first_seen(load(spark, sf_dir, "events"), ["user_id", "event_type"]).select("event_id", "user_id", "event_type")
 
 
 @query(f"SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, event_type, count(*) AS n, {r('sum(value)', 4)} AS \"sum\" FROM events GROUP BY 1, 2")

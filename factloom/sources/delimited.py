@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import coerced, kind_of, votes
+from ..operators.series import numbered
 
 DELIMITERS = (",", ";", "\t", "|")
 
@@ -119,19 +120,29 @@ def from_text(
     return typed(spark.createDataFrame(cells, schema), name, notes)
 
 
-def from_path(spark: SparkSession, path: str, name: str | None = None) -> Table:
-    """A file's table, read in parallel; quotes open at the beginning of a field here."""
+def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes, so that a field may run over its end."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def from_path(spark: SparkSession, path: str, name: str | None = None, multiline: bool | None = None) -> Table:
+    """A file's table, read in parallel; quotes open at the beginning of a field here.
+
+    Files whose fields have no newlines are split among tasks; multiline says so, else a pass over the lines does.
+    """
     head = [r[0] for r in spark.read.text(path).limit(5).collect()]
     if not head:
         raise InputError("the file is empty")
     delimiter = sniff(head)
-    names = unique_names(next(iter(records(head[0].removeprefix("﻿"), delimiter)), []))
+    names = unique_names(next(iter(records(head[0].removeprefix("\ufeff"), delimiter)), []))
+    multiline = has_quoted_newlines(spark, path) if multiline is None else multiline
     df = spark.read.schema(", ".join(f"`{n.replace('`', '``')}` string" for n in names)).csv(
-        path, sep=delimiter, header=True, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", enforceSchema=True
+        path, sep=delimiter, header=True, quote='"', escape='"', multiLine=multiline, mode="PERMISSIVE", enforceSchema=True
     )
     some = F.exists(F.array(*[F.col(f"`{n}`") for n in names]), lambda x: F.trim(x) != "")
-    # ids follow the order of files and lines; they are unique but leave gaps between partitions
-    return typed(df.where(some).withColumn("row_id", F.monotonically_increasing_id()), name or path, [])
+    # rows are numbered in the order of the file, without gaps
+    return typed(numbered(df.where(some)), name or path, [])
 
 
 def typed(raw: DataFrame, name: str, notes: list[str]) -> Table:

@@ -8,9 +8,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import series
+
 #: Hits of a client in a UTC day that are free (fixed value).
 DAILY_QUOTA = 25
 #: How long a key is remembered (fixed value).
@@ -28,8 +30,8 @@ def daily_hits(events: DataFrame, client: str = "user_id", ts: str = "ts", late:
 
 def admitted(events: DataFrame, client: str = "user_id", ts: str = "ts", order: str = "event_id", quota: int = DAILY_QUOTA) -> DataFrame:
     """events with hit (from 1 in its client's day), remaining and allowed. Batch only."""
-    day = Window.partitionBy(client, F.to_date(ts)).orderBy(ts, order)
-    out = events.withColumn("hit", F.row_number().over(day))
+    rows = series.ordinals(events.withColumn("_day", F.to_date(ts)), [client, "_day"], [ts, order], "hit")
+    out = rows.withColumn("hit", F.col("hit") + 1).drop("_day")
     return out.withColumns(
         {"remaining": F.greatest(F.lit(0), F.lit(quota) - F.col("hit")), "allowed": F.col("hit") <= quota}
     )
@@ -43,14 +45,16 @@ def first_seen_stream(events: DataFrame, keys: list[str], ts: str = "ts", rememb
 def first_seen(events: DataFrame, keys: list[str], ts: str = "ts", order: str = "event_id", seconds: int = 600) -> DataFrame:
     """Events that come more than so many seconds after the last kept one of their key. Batch form.
 
-    Rows stream through a task in order of key and time, and only the last kept time is held. A gap of more
-    than the time starts anew whatever was before, so the stretches between gaps, not the keys, are what
-    goes to one task.
+    A gap of more than the time starts anew whatever was before, so keys are cut into stretches at their gaps. Gaps
+    are found between rows with neighbouring ordinals; only a stretch, not a key, goes to one task, through which
+    its rows stream while the last kept time is held.
     """
-    by = Window.partitionBy(*keys).orderBy(ts, order)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    gap = micros - F.lag(micros).over(by) > seconds * 1_000_000
-    rows = events.withColumn("_at", micros).withColumn("_stretch", F.sum(F.when(gap, 1).otherwise(0)).over(by))
+    # one column for all keys, in which nulls are equal
+    rows = events.withColumns({"_key": F.struct(*keys), "_at": F.unix_micros(F.col(ts).cast("timestamp"))})
+    rows = series.previous(series.ordinals(rows, ["_key"], ["_at", order]), ["_key"], {"_was": "_at"})
+    gap = F.when(F.col("_at") - F.col("_was") > seconds * 1_000_000, 1).otherwise(0)
+    rows = series.prefix_sums(rows.withColumn("_gap", gap), ["_key"], {"_gaps": "_gap"})
+    rows = rows.withColumn("_stretch", F.col("_gaps") + F.col("_gap")).select(*events.columns, "_at", "_stretch")
     rows = rows.repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", "_at", order)
     columns = [*keys, "_stretch"]
 

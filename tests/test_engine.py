@@ -41,6 +41,38 @@ def test_file(spark, tmp_path):
     assert t.kinds == {"month": "date", "revenue": "number"} and t.df.agg(F.sum("revenue")).first()[0] == 3000
 
 
+def test_files_are_split_unless_fields_have_newlines(spark, tmp_path):
+    lines = ["k,v", *(f"{i},{i * 2}" for i in range(20_000))]
+    (tmp_path / "x.csv").write_text("\n".join(lines))
+    assert not delimited.has_quoted_newlines(spark, str(tmp_path / "x.csv"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        t = delimited.from_path(spark, str(tmp_path / "x.csv"))
+        assert [(r["row_id"], r["k"]) for r in t.df.orderBy("row_id").collect()] == [(i, float(i)) for i in range(20_000)]
+        assert t.df.rdd.getNumPartitions() > 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "y.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert [r["b"] for r in delimited.from_path(spark, str(tmp_path / "y.csv")).df.orderBy("row_id").collect()] == ["x\ny", "z"]
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(monkeypatch):
+    from factloom import session
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Frame:
+        class sparkSession:
+            sparkContext = Context
+
+    with pytest.raises(ValueError):
+        session.checkpoint(Frame)
+
+
 @pytest.fixture(scope="module")
 def facts(spark):
     return ledger.facts_of(delimited.from_text(spark, SOURCE, "demo"))
@@ -346,12 +378,12 @@ def test_sums_of_batches_add_up(spark, tmp_path):
 
 
 def test_forgery_verdicts_take_all_months(spark, monkeypatch):
-    from factloom.plans import queries_tables
+    from factloom.plans import queries_ledger
     from factloom.sources import delimited
 
     sf, texts, made = "/root/testdata/sf0.001", [], delimited.from_text
     monkeypatch.setattr(delimited, "from_text", lambda s, text, *a, **k: texts.append(text) or made(s, text, *a, **k))
-    got = {r["name"]: r["verdict"] for r in queries_tables.forgery_verdicts(spark, sf).collect()}
+    got = {r["name"]: r["verdict"] for r in queries_ledger.forgery_verdicts(spark, sf).collect()}
     months = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("trunc(CAST(o_orderdate AS DATE), 'month') AS m").distinct().count()
     assert months > 40 and len(texts[0].splitlines()) == months + 1
-    assert len(set(got.values())) == 3
+    assert len(set(got.values())) == 5

@@ -1,9 +1,12 @@
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import display
 from factloom.operators import groups, ordered, series, spread
+from factloom.streaming import events
 
 
 def as_series(spark, values, partitions=5):
@@ -103,6 +106,51 @@ def test_streak_is_the_first_longest_run(spark, seed, monkeypatch):
         assert not got
 
 
+@pytest.mark.parametrize("block", [1, 5, 1000])
+def test_previous_rows_over_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(series, "BLOCK", block)
+    v = [float(i * i % 17) for i in range(40)]
+    rows = series.previous(as_series(spark, v), ["metric"], {"was": "v"}).orderBy("i").collect()
+    assert [r["was"] for r in rows] == [None, *v[:-1]]
+
+
+def test_ranks_of_very_many_groups(spark, monkeypatch):
+    df = spark.range(500).select(F.col("id"), (F.col("id") % 50).cast("string").alias("k"), (F.col("id") % 7).cast("double").alias("v"))
+    few = sorted(map(repr, groups.group_sums(df, "k", F.col("v"), F.col("id")).collect()))
+    monkeypatch.setattr(groups, "SMALL", 10)
+    assert sorted(map(repr, groups.group_sums(df, "k", F.col("v"), F.col("id")).select("key", "sum", "count", "first_seen", "rank", "total", "share").collect())) == few
+
+
+def test_ticks_equal_those_of_charts(spark):
+    ranges = [(0.0, 97.0), (-3.0, 12.5), (0.001, 0.0042), (1e6, 3.7e6), (5.0, 5.5), (-7.0, -1.0), (0.0, 1.0)]
+    df = spark.createDataFrame(ranges, "a double, b double")
+    for r in df.select("a", "b", groups.ticks(F.col("a"), F.col("b")).alias("t")).collect():
+        assert r["t"] == pytest.approx(display.nice_ticks(r["a"], r["b"]))
+
+
+def brute_first_seen(rows, seconds):
+    last, kept = {}, []
+    for key, at, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        if key not in last or (at - last[key]).total_seconds() > seconds:
+            last[key] = at
+            kept.append(i)
+    return sorted(kept)
+
+
+def test_repeats_are_suppressed(spark, monkeypatch):
+    monkeypatch.setattr(series, "BLOCK", 16)
+    rng = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), start + dt.timedelta(seconds=rng.randrange(0, 40_000)), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, event_id long").repartition(5)
+    got = events.first_seen(df, ["k"], seconds=300)
+    assert got.columns == df.columns and sorted(r["event_id"] for r in got.collect()) == brute_first_seen(rows, 300)
+    hits = {r["event_id"]: r["hit"] for r in events.admitted(df, "k", quota=3).collect()}
+    for key in ("a", "b", None):
+        own = sorted((at, i) for k, at, i in rows if k == key)
+        assert [hits[i] for _, i in own] == list(range(1, len(own) + 1))
+
+
 def test_trend(spark):
     (t,) = ordered.trend(as_series(spark, [1, 3, 5, 7, 9]), ["metric"]).collect()
     assert (t["slope"], t["r2"], t["first"], t["last"], t["change_pct"]) == pytest.approx((2, 1, 1, 9, 800))
