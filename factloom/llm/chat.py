@@ -143,6 +143,9 @@ def _role(name: str | None) -> int:
 
 # ---- on Spark -------------------------------------------------------------------------
 
+#: Bytes of text that a part has about, which a task holds at once.
+PART_BYTES = 16 << 20
+
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int | None], pa.RecordBatch]]:
     """Stretches of a batch of sorted rows with the same (part, conv_id)."""
@@ -173,12 +176,14 @@ def _roles_of(runs: list[pa.RecordBatch]) -> np.ndarray:
 
 
 def _sorted(turns: DataFrame) -> DataFrame:
-    """Rows in their order, each with its part (partition) and its place."""
+    """Rows in their order, each with its part (partition) and its place; a part holds about PART_BYTES of text."""
+    size = turns.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(100))).first()[0] or 0
+    parts = max(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
     ).withColumns({"_h": F.xxhash64("text"), "_r": F.monotonically_increasing_id()})
     order = ["conv_id", "turn", "role", "_h", "_r"]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_h", "_r")
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_h", "_r")
     return checkpoint(
         rows.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
     )

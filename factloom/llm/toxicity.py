@@ -52,6 +52,8 @@ FEWEST, TELLING = 3, 1.0
 SHORT, LONG = 4, 16
 #: A passage is significant if clean text has one that good with a smaller chance.
 CHANCE = 0.1
+#: Bytes of what a task remembers of words.
+WORD_BYTES = 32 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -308,7 +310,7 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFram
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Memo()
+        cache = Memo(WORD_BYTES)
         for b in (x for whole in batches for x in slices(whole)):
             got = list(_each(model.value, b.column("text"), cache))
             yield pa.RecordBatch.from_arrays(
@@ -357,7 +359,7 @@ def clean(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFram
     caches: list[Memo] = []  # a task's own, as each task unpickles this function
 
     def staying(texts: pa.Array) -> pa.Array:
-        cache = caches[0] if caches else caches.append(Memo()) or caches[0]
+        cache = caches[0] if caches else caches.append(Memo(WORD_BYTES)) or caches[0]
         return pa.array([s < TOXIC for s, _ in _each(model.value, texts, cache)], pa.bool_())
 
     return passing(docs, staying)

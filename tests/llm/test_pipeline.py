@@ -1,3 +1,14 @@
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+from test_quality import brute as brute_statistics
+from test_simhash import brute_components, brute_print
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from factloom.llm import exact_dedup, packing, quality, simhash, toxicity
 
@@ -31,3 +42,53 @@ def test_each_stage_keeps_what_it_should(spark, tmp_path):
     assert docs.count() >= len(want) and {"sequence_id", "offset"} <= set(docs.columns)
     assert sorted(r["length"] for r in docs.collect()) == sorted(r["length"] for r in corpus_pipeline.run(spark, SF).collect())
     assert packing.CAPACITY == 4096
+
+
+def brute_run(rows):
+    """The pieces of run() without labels, in plain Python: base rules, exact and near copies, tokens."""
+    rows = [r for r in rows if (s := brute_statistics(r[1]))[0] >= 50 and 100 * s[4] <= 50 * s[0]]
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    groups = defaultdict(list)
+    for r in rows:
+        groups[lower(r[1])].append(r)
+    some = lambda ids, pick: pick((i for i in ids if i is not None), default=None)
+    rows = [next(r for r in g if r[0] == some([x[0] for x in g], max)) for g in groups.values()]
+    named = brute_components([(i, brute_print(t)) for i, (_, t) in enumerate(rows)])
+    near = defaultdict(list)
+    for (_, t), (_, fp, c) in zip(rows, named, strict=True):
+        near[c].append((fp, t))
+    by_text = {t: i for i, t in rows}
+    tokenizer, out = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+    for members in near.values():
+        least = some([by_text[t] for _, t in members], min)
+        (text,) = {t for _, t in members if by_text[t] == least} if least is not None else {members[0][1]}
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        out += [(least, k, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
+    return out
+
+
+def test_run_against_brute_force_on_odd_rows(spark, tmp_path):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(i, text(80)) for i in range(30)] + [(None, text(90)), (None, None), (40, None), (41, ""), (42, " \n"), (43, "short text"), (44, "again and " * 90)]
+    rows += [(50, rows[0][1].upper()), (51, rows[0][1]), (None, rows[1][1]), (52, rows[2][1]), (52, rows[2][1]), (53, text(30_000)), (54, text(60) + " é 漢字 😀")]
+    rows += [(60 + k, rows[3][1] + " " + " ".join(rng.choices(words, k=1))) for k in range(5)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(*r, {"a": 1}, "x", k) for k, r in enumerate(rows)], "doc_id long, text string, m map<string,int>, passages string, score int")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = [tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in pieces]
+    assert Counter(got) == Counter(brute_run(rows))
+    fill = Counter()
+    for r in pieces:
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 4096
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
