@@ -102,7 +102,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     What leaves is known by id and digest, which are narrow.
     """
     own = docs.withColumn(SHA, F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256))
-    keys = dedup(docs).groupBy(F.col("doc_id").alias(ID), "text_sha256")
+    # written down, so that the join with a very large group can be split before rows are summed up
+    made = checkpoint(dedup(docs).select("doc_id", "text_sha256", "kept"))
+    keys = made.groupBy(F.col("doc_id").alias(ID), "text_sha256")
     keys = checkpoint(keys.agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("stays")).where("n > 1 OR NOT stays"))
 
     def same(x: DataFrame, y: DataFrame) -> Column:
