@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Callable
 from pathlib import Path
 
 import pandas as pd
@@ -37,6 +38,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM, PHRASE_GRAM = 4, 2
 #: Least reach of a chain of diagonals in words, and the share of a template's words that a span has at least.
 REACH, LEAST = 8, 0.8
+#: Bits of the map of hashes that templates have.
+BITMAP = 1 << 16
 #: Phrases (fixed values) and their labels.
 PHRASES = (
     ("gnu general public license", "gpl"),
@@ -152,21 +155,39 @@ def _covered(matches: pd.Series) -> pd.Series:
     return pd.Series([covered([(m["t"], m["at"]) for m in some], GRAM) for some in matches], dtype="int32")
 
 
+def _may_be(hashes: list[int]) -> Callable[[Column], Column]:
+    """Whether a hash may be one of hashes, by a bitmap of BITMAP bits; it never errs to the other side."""
+    words = [0] * (BITMAP // 64)
+    for h in hashes:
+        words[h >> 6 & len(words) - 1] |= 1 << (h & 63)
+    bitmap = F.array(*[F.lit(w - (w >> 63 << 64)).cast("long") for w in words])
+    word = lambda h: F.get(bitmap, F.shiftright(h, 6).bitwiseAND(F.lit(len(words) - 1)).cast("int"))
+    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    return lambda h: word(h).bitwiseAND(one(h)) != 0
+
+
 def matches(docs: DataFrame, phrases, notices) -> tuple[DataFrame, DataFrame]:
     """rows: rid, doc_id and n_words of each row; matches: rid and what a template's row has, with at."""
     templates = small_side(_templates(docs.sparkSession, phrases, notices))
+    may_be = _may_be([r["h"] for r in templates.select("h").collect()])  # as many as the templates have words
     doc_id, rid = F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid")
     words = docs.select(rid, doc_id, words_of(F.col("text")).alias("words"))
-    # one more entry stands for the row itself, so that texts are read once
-    own = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("long").alias("h")))
-    grams = F.concat(own, _grams(F.col("words"), PHRASE_GRAM), _grams(F.col("words"), GRAM))
-    placed = words.select("rid", "doc_id", "words", F.explode(grams).alias("p"))
-    placed = placed.select("rid", "doc_id", "words", F.col("p.at").alias("at"), F.col("p.h").alias("h"))
-    equal = F.slice("words", F.col("at") + 1, F.col("k")) == F.col("gram")
-    found = placed.join(templates, "h", "left").where((F.col("at") < 0) | equal)
-    found = found.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), "at", "template", "label", "exact", "size", "k", "t")
-    found = checkpoint(found)
-    return found.where("at < 0").select("rid", "doc_id", "n_words"), found.where("at >= 0").drop("doc_id", "n_words")
+    # hashes that no template has stay where they are; one more entry stands for the row itself, so that texts are read once
+    kind = "array<struct<at:int,h:bigint,gram:array<string>>>"
+    own = F.array(F.struct(F.lit(-1), F.lit(None), F.lit(None))).cast(kind)
+    found = [
+        F.transform(
+            F.filter(_grams(F.col("words"), k), lambda g: may_be(g["h"])),
+            lambda g: F.struct(g["at"].alias("at"), g["h"].alias("h"), F.slice("words", g["at"] + 1, k).alias("gram")),  # noqa: B023
+        ).cast(kind)
+        for k in (PHRASE_GRAM, GRAM)
+    ]
+    n_words = F.size("words").cast("long").alias("n_words")
+    placed = words.select("rid", "doc_id", n_words, F.concat(own, *found).alias("p")).select("rid", "doc_id", "n_words", F.explode("p").alias("p"))
+    placed = placed.select("rid", "doc_id", "n_words", F.col("p.at").alias("at"), F.col("p.h").alias("h"), F.col("p.gram").alias("own"))
+    joined = placed.join(templates, "h", "left").where((F.col("at") < 0) | (F.col("own") == F.col("gram")))
+    joined = checkpoint(joined.select("rid", "doc_id", "n_words", "at", "template", "label", "exact", "size", "k", "t"))
+    return joined.where("at < 0").select("rid", "doc_id", "n_words"), joined.where("at >= 0").drop("doc_id", "n_words")
 
 
 def spans(docs: DataFrame, phrases=PHRASES, notices=None) -> tuple[DataFrame, DataFrame]:
