@@ -1,6 +1,12 @@
 """The corpus pipeline: each stage takes what its predecessor kept.
 
 All stages but the last return the columns of documents; the last returns the packed pieces.
+
+Defined results: null texts and blank ones fail the quality rules and go; so do all of fewer than 50 words. Very long
+texts pass every stage whole. Of rows with equal texts the largest doc_id stays, of near copies the smallest; rows
+without an id stay only if none of their group has one, and of rows that repeat both id and text one stays. Without
+labels only the base rules reject. An empty table gives no rows. Other columns are carried to the last stage, of
+whatever type they are.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Two stages learn from labels, which SQL can't express; tests hold run() against brute force.
+#: Two stages learn from labels, which SQL can't express; tests hold run() against brute force in plain Python.
 ORACLE_SQL = None
 
 
