@@ -35,22 +35,33 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 class Memo(dict):
-    """What a worker has worked out, to be found again; tidy() empties it once it takes over limit bytes."""
+    """What a worker has worked out, to be found again: of about limit bytes, what was of use lately."""
 
     #: Bytes of an entry besides its key and value.
     ENTRY = 100
 
     def __init__(self, limit: int = 16 << 20) -> None:
         super().__init__()
-        self.limit, self.held = limit, 0
+        self.limit, self.held, self.before = limit, 0, {}
 
     def add(self, key, value) -> None:
         self[key] = value
         self.held += self.ENTRY + sys.getsizeof(key) + sys.getsizeof(value)
 
+    def knows(self, key) -> bool:
+        """Whether the key is there, which may bring it back from before the last tidy()."""
+        if key in self:
+            return True
+        value = self.before.get(key)
+        if value is None:
+            return False
+        self.add(key, value)
+        return True
+
     def tidy(self) -> None:
-        """To be called between batches, so that what a batch has added stays for the batch."""
-        if self.held > self.limit:
+        """To be called between batches, so that what a batch has used stays for the batch."""
+        if self.held > self.limit // 2:
+            self.before = dict(self)
             self.clear()
             self.held = 0
 

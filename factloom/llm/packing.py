@@ -35,7 +35,7 @@ CAPACITY, END_ID = 4096, 1
 #: Pieces of a partition, about.
 PARTITION_PIECES = 50_000
 #: Bytes of what a worker remembers of words, and of parts of texts that are not plain.
-WORDS_BYTES, PARTS_BYTES = 24 << 20, 8 << 20
+WORDS_BYTES, PARTS_BYTES = 48 << 20, 8 << 20
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -93,7 +93,7 @@ class WordTokenizer:
         return self.WORDS.findall(s.lower())
 
     def _learn_words(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
+        new = [w for w in words if not self.words.knows(w)]
         for a in range(0, len(new), 256):
             some = new[a : a + 256]
             ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -113,7 +113,7 @@ class WordTokenizer:
         split = [self._plain_words(t) for t in texts]
         self._learn_words({w for words in split if words for w in words})
         odd = [None if words is not None else t.encode().split() for t, words in zip(texts, split, strict=True)]
-        self._learn(list({p for parts in odd if parts for p in parts if p not in self.parts}))
+        self._learn(list({p for parts in odd if parts for p in parts if not self.parts.knows(p)}))
         word, part = self.words.__getitem__, self.parts.__getitem__
         return [
             b"".join(map(word, words) if words is not None else map(part, parts))

@@ -184,7 +184,7 @@ class PieceBpe:
         self.words.tidy()
         end = np.array([self.end], "<u4").tobytes()
         split = [self.segment.findall(" " + t.replace(BLANK, " ")) if t else [] for t in texts]
-        self._learn([s for s in {s for some in split for s in some} if s not in self.words])
+        self._learn([s for s in {s for some in split for s in some} if not self.words.knows(s)])
         word = self.words.__getitem__
         return [np.frombuffer(b"".join(map(word, some)) + end, "<u4") for some in split]
 

@@ -168,7 +168,7 @@ class Model:
     def passages(self, text: str | None, cache: Memo) -> tuple[list[tuple[int, int, float]], int]:
         words = words_of(text)
         for w in set(words):
-            if w not in cache:
+            if not cache.knows(w):
                 cache.add(w, self.word_score(w))
         scores = np.fromiter(map(cache.__getitem__, words), float, len(words))
         found = segments(scores)

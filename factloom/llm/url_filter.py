@@ -46,6 +46,8 @@ HOSTS = Path(__file__).parent / "data" / "blocked_hosts.txt"
 BITS_PER_KEY, HASHES = 12, 6
 #: Most bytes of all levels of all lists, which go to every executor, and 64-bit words of a segment.
 MAX_BYTES, SEGMENT_WORDS = 64 << 20, 1 << 16
+#: Keys that a task takes about.
+PARTITION_KEYS = 200_000
 
 
 def listed_hosts(path: Path = HOSTS) -> tuple[str, ...]:
@@ -139,13 +141,19 @@ def _only(keys: DataFrame, cascade: Cascade, level: int) -> DataFrame:
     return keys.mapInArrow(passing, keys.schema)
 
 
+def _few(keys: DataFrame, n: int) -> DataFrame:
+    """keys, n rows, in no more partitions than they are worth."""
+    return keys.coalesce(max(1, -(-n // PARTITION_KEYS)))
+
+
 def build(
     listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYTES, bits_per_key: int = BITS_PER_KEY, hashes: int = HASHES
 ) -> Cascade | None:
     """The cascade of the keys listed (h, g) over the universe (h, g); None if it is too large."""
     inside = checkpoint(listed.select("h", "g").distinct())
-    outside = universe.select("h", "g").join(inside, ["h", "g"], "left_anti")
     cascade, n = Cascade([], hashes), inside.count()
+    inside = _few(inside, n)
+    outside = universe.select("h", "g").join(inside, ["h", "g"], "left_anti")
     for level in itertools.count():
         if cascade.nbytes() + n * bits_per_key // 8 > max_bytes:
             return None
@@ -154,7 +162,7 @@ def build(
         n = wrong.count()
         if not n:
             return cascade
-        inside, outside = wrong, inside
+        inside, outside = _few(wrong, n), inside
 
 
 # ---- urls -----------------------------------------------------------------------------
@@ -272,6 +280,7 @@ def judge(
     hosts = listed.select(F.concat(lower_ascii(F.col("key")), F.lit(" ")).alias("key"))
     urls = host_and_path(pages.select("page_id", "url")).withColumn("start", F.substring("path", 1, lengths[-1]))
     universe = checkpoint(_universe(urls, lengths))
+    universe = _few(universe, universe.count())
     lists = {which: _listed(spark, [f"{h} {p}" for v, h, p in rules if v == which]) for which in ("block", "allow")}
     cascades: dict[str, Cascade] = {}
     for name, keys in (lists | {"listed": _listed(spark, hosts)}).items():

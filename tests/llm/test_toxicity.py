@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -159,6 +160,39 @@ def small(spark):
     )
 
 
+def brute_score(model, text):
+    """A text's score by definitions: the longest key of each word, maximal segments, parts without repeats, evidence."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+
+    def word_score(w):
+        keys = [w[:16] + " " + w[16:], *(w[:n] for n in range(min(len(w), 16), 3, -1))]
+        return next((model.table[k] for k in keys if k in model.table), 0.0) + toxicity.BACKGROUND
+
+    scores, evidence = [word_score(w) for w in words], 0.0
+    for a, b, _ in brute_segments(scores):
+        best = 0.0
+        for i in range(a, b):
+            part, seen = 0.0, set()
+            for w, s in zip(words[i:b], scores[i:b], strict=True):
+                part += toxicity.BACKGROUND if w in seen and s > 0 else s
+                seen.add(w)
+                best = max(best, part)
+        x = (best - model.location - model.growth * np.log(max(len(words), 1))) / model.scale
+        chance = -np.expm1(-np.exp(-x))
+        evidence -= np.log(chance) if chance < toxicity.CHANCE else 0.0
+    return 1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * np.log1p(evidence))))
+
+
+def test_scores_against_brute_force(spark, small):
+    docs, labels = small
+    model = toxicity.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels).collect()}
+    assert len({round(s, 6) for s in got.values()}) > 20
+    for i, text in texts.items():
+        assert got[i] == pytest.approx(brute_score(model, text), abs=1e-9)
+
+
 def test_passages_and_clean_documents(spark, small):
     docs, labels = small
     planted = {r["doc_id"] for r in labels.where("toxic = 1").collect()}
