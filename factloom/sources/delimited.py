@@ -126,10 +126,13 @@ def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
 
 
-def from_path(spark: SparkSession, path: str, name: str | None = None, multiline: bool | None = None) -> Table:
+def from_path(
+    spark: SparkSession, path: str, name: str | None = None, multiline: bool | None = None, max_rows: int | None = None, max_columns: int | None = None
+) -> Table:
     """A file's table, read in parallel; quotes open at the beginning of a field here.
 
     Files whose fields have no newlines are split among tasks; multiline says so, else a pass over the lines does.
+    Without caps nothing is cut; a cap that applies leaves a note.
     """
     head = [r[0] for r in spark.read.text(path).limit(5).collect()]
     if not head:
@@ -141,8 +144,16 @@ def from_path(spark: SparkSession, path: str, name: str | None = None, multiline
         path, sep=delimiter, header=True, quote='"', escape='"', multiLine=multiline, mode="PERMISSIVE", enforceSchema=True
     )
     some = F.exists(F.array(*[F.col(f"`{n}`") for n in names]), lambda x: F.trim(x) != "")
+    notes = []
     # rows are numbered in the order of the file, without gaps
-    return typed(numbered(df.where(some)), name or path, [])
+    rows = numbered(df.where(some))
+    if max_columns is not None and len(names) > max_columns:
+        notes.append(f"Only the first {max_columns} of {len(names)} columns were analysed.")
+        rows = rows.select("row_id", *[F.col(f"`{n}`") for n in names[:max_columns]])
+    if max_rows is not None and (n := rows.count()) > max_rows:
+        notes.append(f"Only the first {max_rows} of {n} rows were analysed.")
+        rows = rows.where(F.col("row_id") < max_rows)
+    return typed(rows, name or path, notes)
 
 
 def typed(raw: DataFrame, name: str, notes: list[str]) -> Table:

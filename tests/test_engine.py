@@ -53,6 +53,8 @@ def test_files_are_split_unless_fields_have_newlines(spark, tmp_path):
         assert t.df.rdd.getNumPartitions() > 2
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    capped = delimited.from_path(spark, str(tmp_path / "x.csv"), max_rows=50, max_columns=1)
+    assert capped.df.count() == 50 and list(capped.kinds) == ["k"] and len(capped.notes) == 2
     (tmp_path / "y.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
     assert [r["b"] for r in delimited.from_path(spark, str(tmp_path / "y.csv")).df.orderBy("row_id").collect()] == ["x\ny", "z"]
 
@@ -220,7 +222,7 @@ def test_a_forged_word_gives_the_verdict(spark, signed):
     assert verify.verify(spark, SOURCE, bare, set()).verdict == "UNSUPPORTED_CLAIM"
 
 
-def test_malformed_stories_are_judged(spark, signed):
+def test_malformed_stories_are_judged(spark, signed, facts):
     signer, made = signed
     bad = [
         None, [], {}, "x", 7, {"facts": []}, made | {"facts": None}, made | {"scenes": {}}, made | {"dataset": []}, made | {"title": 3}, made | {"question": 7},
@@ -231,12 +233,12 @@ def test_malformed_stories_are_judged(spark, signed):
     bad += [change("scenes", **{k: v}) for k, v in (("headline", None), ("body", 5), ("kind", []), ("claim", "text"), ("factIds", 3), ("factIds", [{}]), ("stat", {"value": "x"}))]
     bad += [forged(made, lambda x, k=k: x["facts"][1].pop(k)) for k in ("values", "kind", "id", "columns")] + [forged(made, lambda x, k=k: x.pop(k)) for k in ("facts", "scenes", "dataset", "title")]
     for x in bad:
-        report = verify.verify(spark, SOURCE, x, {signer.public_key})
+        report = verify.verify(spark, SOURCE, x, {signer.public_key}, facts=facts)
         assert report.verdict in ("TAMPERED", "SOURCE_MISMATCH", "LEGACY_UNVERIFIED") and any(report.checks.values()), x
         if isinstance(x, dict) and isinstance(x.get("proof"), dict) and x["proof"]:
             assert report.verdict == "TAMPERED"
     odd = forged({k: v for k, v in made.items() if k != "proof"}, lambda x: insight(x).update(claim={"factId": ["F1"]}))
-    assert verify.verify(spark, SOURCE, odd, set()).verdict == "UNSUPPORTED_CLAIM"
+    assert verify.verify(spark, SOURCE, odd, set(), facts=facts).verdict == "UNSUPPORTED_CLAIM"
 
 
 def test_stories_of_typed_tables(spark):
