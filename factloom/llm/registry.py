@@ -1,6 +1,6 @@
 """The numbered queries and their SQL."""
 
-from . import alignment, chat, exact_dedup, licenses, packing, quality, repeats, sentencepiece_bpe, sharding, simhash, toxicity, url_filter
+from . import alignment, chat, exact_dedup, licenses, packing, quality, repeats, sentencepiece_bpe, sharding, simhash, structure, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_simhash": simhash.query,
     "op11_suffix_dedup": repeats.query,
     "op12_alignment": alignment.query,
+    "op13_structure": structure.query,
 }
 ORACLES = {
     "op2_url_filter": url_filter.ORACLE,
