@@ -18,22 +18,17 @@ def _or_zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0.0))
 
 
-def trend(series: DataFrame, by: list[str]) -> DataFrame:
-    """Least squares of v on i: (by, n, slope, intercept, r2, mean, first, last, change_pct, se, t, df).
-
-    r2 and slope are 0 where v or i is constant; t is null where the fit is exact.
-    """
+def trend_sums() -> dict[str, Column]:
+    """The aggregates of a trend over rows (i, v)."""
     x, y = F.col("i").cast("double"), F.col("v")
-    sums = series.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(x).alias("mx"),
-        F.avg(y).alias("mean"),
-        F.var_pop(x).alias("vx"),
-        F.var_pop(y).alias("vy"),
-        F.covar_pop(x, y).alias("c"),
-        F.min_by("v", "i").alias("first"),
-        F.max_by("v", "i").alias("last"),
-    )
+    return {
+        "n": F.count(F.lit(1)), "mx": F.avg(x), "mean": F.avg(y), "vx": F.var_pop(x), "vy": F.var_pop(y), "c": F.covar_pop(x, y),
+        "first": F.min_by("v", "i"), "last": F.max_by("v", "i"),
+    }
+
+
+def trend_of(sums: DataFrame) -> DataFrame:
+    """Add slope, intercept, r2, se, t, df and change_pct to rows of trend_sums()."""
     n = F.col("n")
     slope = _or_zero(F.try_divide("c", "vx"))
     r2 = F.greatest(F.lit(0.0), _or_zero(F.try_divide(F.col("c") * F.col("c"), F.col("vx") * F.col("vy"))))
@@ -43,7 +38,38 @@ def trend(series: DataFrame, by: list[str]) -> DataFrame:
         sums.withColumns({"slope": slope, "r2": r2, "se": se})
         .withColumns({"intercept": F.col("mean") - F.col("slope") * F.col("mx"), "t": F.try_divide("slope", "se"), "df": n - 2})
         .withColumn("change_pct", percent_change(F.col("first"), F.col("last")))
-        .select(*by, "n", "slope", "intercept", "r2", "mean", "first", "last", "change_pct", "se", "t", "df")
+    )
+
+
+def trend(series: DataFrame, by: list[str]) -> DataFrame:
+    """Least squares of v on i: (by, n, slope, intercept, r2, mean, first, last, change_pct, se, t, df).
+
+    r2 and slope are 0 where v or i is constant; t is null where the fit is exact.
+    """
+    sums = trend_of(series.groupBy(*by).agg(*[c.alias(k) for k, c in trend_sums().items()]))
+    return sums.select(*by, "n", "slope", "intercept", "r2", "mean", "first", "last", "change_pct", "se", "t", "df")
+
+
+def gain_of(i: Column, n: Column, left: Column, total: Column) -> Column:
+    """How much of the variance a split at i explains, left being the sum before it; null near the ends."""
+    m, a, b = total / n, left / i, (total - left) / (n - i)
+    inside = (n >= CHANGE_POINTS) & i.between(CHANGE_EDGE, n - CHANGE_EDGE)
+    return F.when(inside, i * (a - m) ** 2 + (n - i) * (b - m) ** 2)
+
+
+def sides_sums(split: Column) -> dict[str, Column]:
+    """Number, mean and variance of v on either side of a split."""
+    v = F.col("v")
+    low, high = F.when(F.col("i") < split, v), F.when(F.col("i") >= split, v)
+    return {f"{p}{k}": f(x) for k, x in ((1, low), (2, high)) for p, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))}
+
+
+def strength_of(sides: DataFrame) -> DataFrame:
+    """Add before, after and strength to rows of sides_sums() with n."""
+    sse = F.col("v1") * (F.col("n1") - 1) + F.col("v2") * (F.col("n2") - 1)
+    pooled = F.sqrt(sse / (F.col("n") - 2))
+    return sides.withColumns(
+        {"before": F.col("m1"), "after": F.col("m2"), "strength": F.try_divide(F.abs(F.col("m1") - F.col("m2")), pooled)}
     )
 
 
@@ -61,24 +87,14 @@ def changepoint(series: DataFrame, by: list[str], compat: bool = False) -> DataF
         sums = sums.withColumn("left", F.col("left") - F.col("lost"))
     totals = series.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
     both = sums.join(totals, by) if by else sums.crossJoin(F.broadcast(totals))
-    i, n, m = F.col("i"), F.col("n"), F.col("total") / F.col("n")
-    left, right = F.col("left") / i, (F.col("total") - F.col("left")) / (n - i)
-    inside = (n >= CHANGE_POINTS) & i.between(CHANGE_EDGE, n - CHANGE_EDGE)
-    gain = F.when(inside, i * (left - m) ** 2 + (n - i) * (right - m) ** 2)
-    best = both.where(inside).groupBy(*by).agg(F.max_by("i", F.struct(gain, -i)).alias("split"), F.max("n").alias("n"))
+    i = F.col("i")
+    gain = gain_of(i, F.col("n"), F.col("left"), F.col("total"))
+    best = both.where(gain.isNotNull()).groupBy(*by).agg(F.max_by("i", F.struct(gain, -i)).alias("split"), F.max("n").alias("n"))
     cut = series.join(best, by) if by else series.crossJoin(F.broadcast(best))
-    v = F.col("v")
-    low, high = F.when(F.col("i") < F.col("split"), v), F.when(F.col("i") >= F.col("split"), v)
     sides = cut.groupBy(*by).agg(
-        F.max("n").alias("n"),
-        F.max("split").alias("split"),
-        *[f(x).alias(f"{p}{k}") for k, x in ((1, low), (2, high)) for p, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))],
-    )
-    sse = F.col("v1") * (F.col("n1") - 1) + F.col("v2") * (F.col("n2") - 1)
-    pooled = F.sqrt(sse / (F.col("n") - 2))
-    return sides.withColumn("strength", F.try_divide(F.abs(F.col("m1") - F.col("m2")), pooled)).select(
-        *by, "n", "split", F.col("m1").alias("before"), F.col("m2").alias("after"), "strength", "n1", "m1", "v1", "n2", "m2", "v2"
+        F.max("n").alias("n"), F.max("split").alias("split"), *[c.alias(k) for k, c in sides_sums(F.col("split")).items()]
     )
+    return strength_of(sides).select(*by, "n", "split", "before", "after", "strength", "n1", "m1", "v1", "n2", "m2", "v2")
 
 
 def welch(sides: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
-from ..session import checkpoint, small_side
+from ..session import SMALL, checkpoint, small_side
 
 #: Rows of a block of ordinals in which prefix sums are taken.
 BLOCK = 65_536
@@ -28,22 +28,18 @@ def long_form(df: DataFrame, metrics: list[str], at: Column | None, row_id: Colu
     return rows.select("p.metric", "p.v", "row_id", "at", "label").where(finite(F.col("v")))
 
 
-def ordinals(rows: DataFrame, by: list[str], order: list[str], name: str = "i") -> DataFrame:
+def ordinals(rows: DataFrame, by: list[str], order: list[str], name: str = "i", groups: int | None = None) -> DataFrame:
     """Add name: the place from 0 within by in the given order (nulls last).
 
-    Rows move once, to their range. Equal rows share a range, so the order should tell rows apart.
+    Rows move once, to their range. Equal rows share a range, so the order should tell rows apart. groups is the
+    number of groups, if it is known (one without by).
     """
     sort = [F.col(c).asc_nulls_last() for c in (*by, *order)]
     spread = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
-    return _numbered(spread, by, name)
+    return _numbered(spread, by, name, groups if by else 1)
 
 
-def numbered(rows: DataFrame, name: str = "row_id") -> DataFrame:
-    """Add name: the place from 0 in the order in which the rows lie, without moving them."""
-    return _numbered(rows, [], name)
-
-
-def _numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+def _numbered(rows: DataFrame, by: list[str], name: str, groups: int | None) -> DataFrame:
     """Number rows that lie in order, those of each group of by together."""
     # the partition in the upper bits, the row's place in it in the lower ones; written down once, as what a
     # partition holds must not change between the two uses
@@ -54,7 +50,9 @@ def _numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     # a row for each group and partition
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
-    offsets = small_side(counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_at_part"), offset.alias("_offset")))
+    offsets = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_at_part"), offset.alias("_offset"))
+    known = groups is not None and groups * rows.rdd.getNumPartitions() <= SMALL
+    offsets = F.broadcast(offsets) if known else small_side(offsets)
     same = F.col("_part") == F.col("_at_part")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
@@ -63,7 +61,7 @@ def _numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
 
 
 def series(df: DataFrame, metrics: list[str], at: Column | None, row_id: Column, label: Column | None = None) -> DataFrame:
-    return ordinals(long_form(df, metrics, at, row_id, label), ["metric"], ["at", "row_id"])
+    return ordinals(long_form(df, metrics, at, row_id, label), ["metric"], ["at", "row_id"], groups=len(metrics))
 
 
 def prefix_sums(rows: DataFrame, by: list[str], values: dict[str, str]) -> DataFrame:

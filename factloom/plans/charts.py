@@ -4,11 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from ..functions.display import nice_ticks
-from ..operators import groups
 
 #: Most points of a line and of a scatter chart, and groups of a bar and of a donut chart (fixed values).
 LINE_POINTS, SCATTER_POINTS, BARS, SLICES = 120, 200, 8, 5
@@ -31,14 +27,6 @@ def _ticks(values: list[float]) -> list[float]:
     return nice_ticks(min(values), max(values)) if values else []
 
 
-def lines(long: DataFrame) -> dict[str, list[dict]]:
-    """The thinned points of each series (metric, i, v, label)."""
-    out: dict[str, list[dict]] = {}
-    for r in groups.thinned_line(long, ["metric"], LINE_POINTS).orderBy("metric", "bucket").collect():
-        out.setdefault(r["metric"], []).append({"label": r["label"], "value": r["v"], "size": int(r["size"])})
-    return out
-
-
 def line(points: list[dict], slope: float | None = None, intercept: float | None = None, mark: tuple[int, float, str] | None = None) -> str:
     """A line with its trend by point, and with a marked point, which thinning must not smooth away."""
     size = points[0]["size"] if points else 1
@@ -65,11 +53,7 @@ def bars(labels: list[str], values: list[float]) -> str:
     return _json({"type": "bar", "parts": [{"label": a, "value": b} for a, b in zip(labels, values, strict=True)], "ticks": _ticks([0.0, *values])})
 
 
-def scatter(df: DataFrame, x: str, y: str) -> str:
-    """Evenly thinned pairs in the order of rows, and the line through all of them."""
-    pairs = groups.thinned_pairs(df, x, y, ["row_id"], SCATTER_POINTS).orderBy("k").collect()
-    a, b = F.col(f"`{x}`"), F.col(f"`{y}`")
-    both = df.where(a.isNotNull() & b.isNotNull()).agg(F.covar_pop(a, b).alias("c"), F.var_pop(a).alias("v"), F.avg(a).alias("mx"), F.avg(b).alias("my")).first()
-    slope = both["c"] / both["v"] if both["v"] else 0.0
-    fit = {"slope": slope, "intercept": both["my"] - slope * both["mx"]}
-    return _json({"type": "scatter", "points": [[r["x"], r["y"]] for r in pairs], "fit": fit, "xTicks": _ticks([r["x"] for r in pairs]), "yTicks": _ticks([r["y"] for r in pairs])})
+def scatter(points: list[list[float]], slope: float, intercept: float) -> str:
+    """Evenly thinned pairs, and the line through all of them."""
+    ticks = [_ticks([p[k] for p in points]) for k in (0, 1)]
+    return _json({"type": "scatter", "points": points, "fit": {"slope": slope, "intercept": intercept}, "xTicks": ticks[0], "yTicks": ticks[1]})

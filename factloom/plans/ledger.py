@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from ..functions.numbers import finite
 from ..operators import groups, ordered, series, spread
 from ..session import checkpoint
 from ..sources.delimited import InputError, Table
-from . import charts
+from . import charts, passes
 
 #: How many measures get series facts, correlations and category facts, and category columns (fixed values).
 SERIES_MEASURES, PAIR_MEASURES, CATEGORY_MEASURES, CATEGORIES = 6, 8, 2, 2
@@ -142,34 +143,39 @@ def _level(p: float, high: bool) -> str:
     return "high" if p < 0.01 and high else "medium" if p < 0.05 else "low"
 
 
-def _series_facts(table: Table, axis: Axis, metrics: list[str]) -> list[Fact]:
+@dataclass
+class Emitter:
+    """What a user adds to a ledger: aggregates over the rows (metric, i, v, row_id, at, label) of the series, which go
+    into the one aggregation that all series facts come from, and the facts that are made of a measure's values."""
+
+    aggregates: dict[str, Column]
+    facts: Callable[[str, dict], list[Fact]]
+
+
+def _series_facts(table: Table, axis: Axis, metrics: list[str], emitters: Sequence[Emitter] = ()) -> list[Fact]:
     long = checkpoint(series.series(table.df, metrics, axis.at(), F.col("row_id"), axis.label()))
-    by = ["metric"]
-    rows = lambda df: {r["metric"]: r.asDict() for r in df.collect()}  # noqa: E731  a row for each measure
-    about, lines = rows(spread.describe(long, by)), rows(ordered.trend(long, by))
-    changes = rows(ordered.welch(ordered.changepoint(long, by)))
-    streaks, peaks = rows(ordered.streak(long, by)), rows(ordered.peak(long, by))
-    far = spread.outliers(long, by)
-    tops = rows(far.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.max_by(F.struct("v", "median", "score", "row_id", "label", "i"), F.struct("score", -F.col("i"))).alias("top")))
+    about = passes.sums(long, {k: c for e in emitters for k, c in e.aggregates.items()})
+    about = {m: a for m, a in about.items() if a["n"] >= 3}
+    if not about:
+        return []
+    metrics = [m for m in metrics if m in about]
+    long = long.where(F.col("metric").isin(metrics))
+    splits, streaks = passes.breaks(long, about)
+    changes, median, mad = passes.levels(long, about, splits)
+    tops, buckets = passes.seasons_and_outliers(long, about, median, mad, axis.kind == "date")
     # provenance: the first rows of each series and the labels at its ends and breaks
-    first = {}
-    for r in long.where(F.col("i") < groups.PROVENANCE).select("metric", "i", "row_id").collect():
-        first.setdefault(r["metric"], []).append((r["i"], r["row_id"]))
-    marks = [(m, i) for m in metrics if m in about for i in _marks(about[m], changes.get(m), streaks.get(m), peaks[m])]
-    wanted = table.df.sparkSession.createDataFrame(marks, "metric string, i long") if marks else None
-    labels = {(r["metric"], r["i"]): (r["label"], r["row_id"], r["v"]) for r in long.join(F.broadcast(wanted), ["metric", "i"]).collect()} if marks else {}
-    season = _seasons(table, axis, long) if axis.kind == "date" else {}
-    points = charts.lines(long)
+    marks = {(m, i) for m in metrics for i in _marks(about[m], changes.get(m), streaks.get(m))}
+    first, labels = passes.marked(long, marks)
+    season = _seasons(axis, about, buckets)
+    points = passes.points(long, about, charts.LINE_POINTS)
     facts = []
     for m in metrics:
-        if m not in about or about[m]["n"] < 3:
-            continue
-        d, t = about[m], lines[m]
-        n, own = d["n"], [r for _, r in sorted(first[m])]
+        d, own = about[m], first[m]
+        n = d["n"]
         span = {"from": labels[m, 0][0], "to": labels[m, n - 1][0]}
         if n >= ordered.TREND_POINTS:
-            facts.append(_trend(m, t, own, span))
-            facts[-1].chart = charts.line(points[m], t["slope"], t["intercept"])
+            facts.append(_trend(m, d, own, span))
+            facts[-1].chart = charts.line(points[m], d["slope"], d["intercept"])
         c = changes.get(m)
         if c and c["strength"] is not None and c["strength"] >= ordered.CHANGE_STRENGTH:
             where, _, value = labels[m, c["split"]]
@@ -188,19 +194,20 @@ def _series_facts(table: Table, axis: Axis, metrics: list[str]) -> list[Fact]:
                 Fact("volatility", f"{m} varies widely", f"{m} ranges from {show.number(d['min'])} to {show.number(d['max'])} around a mean of {show.number(d['mean'])}.",
                      _clamped(28 + 18 * cv, 62), [m], {"min": d["min"], "max": d["max"], "mean": show.half_up(d["mean"], 2), "cv": show.half_up(cv, 2)}, "Standard deviation against the mean.")
             )
-        k = peaks[m]
         facts.append(
-            Fact("extreme", f"{m} peaked at {show.number(k['max'])}", f"{m} was highest at {labels[m, k['at']][0]} with {show.number(k['max'])}; the lowest value is {show.number(k['min'])}.",
-                 20, [m], {"max": k["max"], "min": k["min"], "sum": show.half_up(k["sum"], 2)}, "Largest value of the series.", [k["row_id"]])
+            Fact("extreme", f"{m} peaked at {show.number(d['max'])}", f"{m} was highest at {labels[m, d['at']][0]} with {show.number(d['max'])}; the lowest value is {show.number(d['min'])}.",
+                 20, [m], {"max": d["max"], "min": d["min"], "sum": show.half_up(d["sum"], 2)}, "Largest value of the series.", [d["row_id"]])
         )
         if m in season:
             facts.append(_season(m, season[m], axis))
+        for e in emitters:
+            facts += e.facts(m, {k: d[k] for k in e.aggregates} | {"n": n})
     return facts
 
 
-def _marks(d: dict, change: dict | None, run: dict | None, top: dict) -> set[int]:
-    out = {0, d["n"] - 1, top["at"]}
-    if change and change["split"] is not None:
+def _marks(d: dict, change: dict | None, run: dict | None) -> set[int]:
+    out = {0, d["n"] - 1, d["at"]}
+    if change:
         out.add(change["split"])
     if run:
         # a run's rows, as many as a fact keeps
@@ -255,25 +262,22 @@ def _streak(m: str, s: dict, rows: list[int], labels: dict) -> Fact:
     return Fact("streak", f"{s['moves']} {way} in a row", f"{m} had {s['moves']} {way} in a row ({show.percent(s['change_pct'])}).", _clamped(24 + 3 * s["moves"], 58), [m], values, "Longest run of moves one way.", run[: groups.PROVENANCE], None, period)
 
 
-def _seasons(table: Table, axis: Axis, long: DataFrame) -> dict[str, dict]:
-    """For each measure with a seasonal pattern its range over weekdays or months."""
-    counts = {r["metric"]: r["count"] for r in long.groupBy("metric").count().collect()}
+def _seasons(axis: Axis, about: dict[str, dict], buckets: dict) -> dict[str, dict]:
+    """For each measure with a seasonal pattern its range over weekdays, or else months."""
     out = {}
-    for unit, of in (("weekday", spread.weekday), ("month", spread.month)):
-        fits = lambda n: n >= spread.SEASON_POINTS and (  # noqa: B023, E731
-            (axis.days / n <= 3 and axis.days >= 56) if unit == "weekday" else (axis.days / n >= 20 and axis.days >= 700)  # noqa: B023
-        )
-        some = [m for m, n in counts.items() if fits(n) and m not in out]
-        if not some:
-            continue
-        rows = long.where(F.col("metric").isin(some) & F.col("at").isNotNull())
-        for r in spread.season_range(spread.seasons(rows, ["metric"], of(F.col("at"))), ["metric"]).collect():
-            if r["buckets"] >= spread.BUCKETS and r["worst_mean"] and (r["spread_pct"] or 0) >= spread.SEASON_SPREAD:
-                out[r["metric"]] = r.asDict() | {"unit": unit, "means": {}}
-        # twelve means at most for each measure
-        for r in spread.seasons(rows, ["metric"], of(F.col("at"))).collect():
-            if r["metric"] in out and out[r["metric"]]["unit"] == unit:
-                out[r["metric"]]["means"][r["bucket"]] = r["mean"]
+    for unit in ("weekday", "month"):
+        for m, of in buckets.items():
+            n = about[m]["n"]
+            fits = (axis.days / n <= 3 and axis.days >= 56) if unit == "weekday" else (axis.days / n >= 20 and axis.days >= 700)
+            means = {b: s / k for b, (k, s) in sorted(of.get(unit, {}).items()) if k >= spread.BUCKET_VALUES}
+            if m in out or n < spread.SEASON_POINTS or not fits or len(means) < spread.BUCKETS:
+                continue
+            best, worst = max(means, key=means.get), min(means, key=means.get)  # the first of equal ones
+            if not means[worst]:
+                continue
+            pct = (means[best] - means[worst]) / abs(means[worst]) * 100
+            if pct >= spread.SEASON_SPREAD:
+                out[m] = {"best": best, "best_mean": means[best], "worst": worst, "worst_mean": means[worst], "spread_pct": pct, "unit": unit, "means": means}
     return out
 
 
@@ -285,55 +289,58 @@ def _season(m: str, s: dict, axis: Axis) -> Fact:
 
 
 def _pair_facts(table: Table, metrics: list[str]) -> list[Fact]:
-    facts = []
     if len(metrics) < 2:
-        return facts
-    found = {(r["a"], r["b"]): (r["r"], r["n"]) for r in groups.correlations(table.df, metrics).collect()}
-    for i, a in enumerate(metrics):
-        for b in metrics[i + 1 :]:
-            r, n = found[a, b]
-            if abs(r) < groups.CORRELATED or n < groups.CORRELATED_PAIRS:
-                continue
-            p = correlation_p(r, n)
-            word = "tightly" if abs(r) >= 0.85 else "closely" if abs(r) >= 0.7 else "loosely"
-            how = "together" if r > 0 else "in opposite directions"
-            confidence = {"level": _level(p, n >= 10), "note": f"Pearson's r over {n} pairs, p {show.chance(p)}.", "ci95": None, "p_value": show.half_up(p, 3)}
-            both = table.df.where(finite(F.col(f"`{a}`")) & finite(F.col(f"`{b}`"))).select("row_id").orderBy("row_id").limit(groups.PROVENANCE)
-            facts.append(
-                Fact("correlation", f"{a} and {b} move {how}", f"{a} and {b} move {word} {how} (r = {show.fixed(show.half_up(r, 2), 2)}).", _clamped(34 + 44 * abs(r), 86), [a, b],
-                     {"r": show.half_up(r, 2), "n": float(n)}, "Pearson correlation.", [x[0] for x in both.collect()], confidence, chart=charts.scatter(table.df, a, b))
-            )
+        return []
+    facts = []
+    found, counted = passes.pairs(table.df, metrics)
+    found = {p: x for p, x in found.items() if abs(x["r"]) >= groups.CORRELATED and x["n"] >= groups.CORRELATED_PAIRS}
+    shown = passes.thinned(table.df, found, counted, charts.SCATTER_POINTS) if found else {}
+    for (a, b), x in found.items():
+        r, n = x["r"], x["n"]
+        p = correlation_p(r, n)
+        word = "tightly" if abs(r) >= 0.85 else "closely" if abs(r) >= 0.7 else "loosely"
+        how = "together" if r > 0 else "in opposite directions"
+        confidence = {"level": _level(p, n >= 10), "note": f"Pearson's r over {n} pairs, p {show.chance(p)}.", "ci95": None, "p_value": show.half_up(p, 3)}
+        facts.append(
+            Fact("correlation", f"{a} and {b} move {how}", f"{a} and {b} move {word} {how} (r = {show.fixed(show.half_up(r, 2), 2)}).", _clamped(34 + 44 * abs(r), 86), [a, b],
+                 {"r": show.half_up(r, 2), "n": float(n)}, "Pearson correlation.", shown[a, b]["rows"], confidence, chart=charts.scatter(shown[a, b]["points"], x["slope"], x["intercept"]))
+        )
     return facts
 
 
 def _category_facts(table: Table, categories: list[str], metrics: list[str]) -> list[Fact]:
-    facts = []
-    for c in categories:
-        for m in metrics:
-            ranked = groups.group_sums(table.df, c, F.col(f"`{m}`"), F.col("row_id"))
-            got = sorted(ranked.collect(), key=lambda r: r["rank"])  # at most MOST_GROUPS rows
-            total = got[0]["total"] if got else 0
-            if len(got) < 2 or not total:
-                continue
-            top, second = got[0], got[1]
-            lead = top["sum"] / second["sum"] if second["sum"] else 0.0
-            own = lambda keys: [x[0] for x in table.df.where(F.col(f"`{c}`").isin(keys) & finite(F.col(f"`{m}`"))).select("row_id").orderBy("row_id").limit(groups.PROVENANCE).collect()]  # noqa: B023, E731, E501
-            more = f", {show.number(lead)} times the runner-up {second['key']}" if lead > 1.15 else ""
-            values = {"leader": show.half_up(top["sum"], 2), "share": show.half_up(top["share"], 2), "runnerUp": show.half_up(second["sum"], 2), "groups": float(len(got)), "leadRatio": show.half_up(lead, 2)}
+    if not categories:
+        return []
+    found, facts, wanted = passes.categories(table.df, categories, metrics), [], []
+    for (c, m), got in found.items():
+        total = got[0]["total"] if got else 0
+        if len(got) < 2 or not total:
+            continue
+        top, second = got[0], got[1]
+        lead = top["sum"] / second["sum"] if second["sum"] else 0.0
+        more = f", {show.number(lead)} times the runner-up {second['key']}" if lead > 1.15 else ""
+        values = {"leader": show.half_up(top["sum"], 2), "share": show.half_up(top["share"], 2), "runnerUp": show.half_up(second["sum"], 2), "groups": float(len(got)), "leadRatio": show.half_up(lead, 2)}
+        facts.append(
+            Fact("category_leader", f"{top['key']} leads {m}", f"{top['key']} has {show.fixed(top['share'], 1)}% of {m} by {c}{more}.", _clamped(38 + 0.4 * top["share"], 84), [c, m], values, f"Sums by {c}.", category=top["key"], chart=charts.parts("bar", [(r["key"], r["sum"]) for r in got], charts.BARS))
+        )
+        wanted.append((c, m, [top["key"]]))
+        share = sum(r["sum"] for r in got[:3]) / total * 100
+        if len(got) > groups.MANY_GROUPS and share > groups.CONCENTRATED:
             facts.append(
-                Fact("category_leader", f"{top['key']} leads {m}", f"{top['key']} has {show.fixed(top['share'], 1)}% of {m} by {c}{more}.", _clamped(38 + 0.4 * top["share"], 84), [c, m], values, f"Sums by {c}.", own([top["key"]]), category=top["key"], chart=charts.parts("bar", [(r["key"], r["sum"]) for r in got], charts.BARS))
-            )
-            share = sum(r["sum"] for r in got[:3]) / total * 100
-            if len(got) > groups.MANY_GROUPS and share > groups.CONCENTRATED:
-                facts.append(
-                    Fact("concentration", f"{m} is concentrated", f"The top 3 of {len(got)} values of {c} have {show.fixed(share, 1)}% of {m}.", _clamped(34 + 0.42 * share, 80), [c, m],
-                         {"topShare": show.half_up(share, 2), "topN": 3.0, "groups": float(len(got))}, f"Shares by {c}.", own([r["key"] for r in got[:3]]), chart=charts.parts("donut", [(r["key"], r["sum"]) for r in got], charts.SLICES))
-                )
+                Fact("concentration", f"{m} is concentrated", f"The top 3 of {len(got)} values of {c} have {show.fixed(share, 1)}% of {m}.", _clamped(34 + 0.42 * share, 80), [c, m],
+                     {"topShare": show.half_up(share, 2), "topN": 3.0, "groups": float(len(got))}, f"Shares by {c}.", chart=charts.parts("donut", [(r["key"], r["sum"]) for r in got], charts.SLICES))
+            )
+            wanted.append((c, m, [r["key"] for r in got[:3]]))
+    for f, rows in zip(facts, passes.first_rows(table.df, wanted), strict=True):
+        f.source_rows = rows
     return facts
 
 
-def facts_of(table: Table, question: str | None = None) -> list[Fact]:
-    """The ranked facts of a table; ids number them in the order in which they were found."""
+def facts_of(table: Table, question: str | None = None, emitters: Sequence[Emitter] = ()) -> list[Fact]:
+    """The ranked facts of a table; ids number them in the order in which they were found.
+
+    emitters add facts of their own about each measure without another pass over the table.
+    """
     p = profile(table)
     if not p["rows"]:
         raise InputError("the table has no rows")
@@ -353,7 +360,7 @@ def facts_of(table: Table, question: str | None = None) -> list[Fact]:
         # what facts are made of is written down once: the table is read and parsed for this and for its profile only
         own = dict.fromkeys([*([axis.column] if axis.column else []), *metrics[:PAIR_MEASURES], *categories])
         table = replace(table, df=checkpoint(table.df.select("row_id", *[F.col(f"`{c}`") for c in own])))
-        facts += _series_facts(table, axis, metrics[:SERIES_MEASURES])
+        facts += _series_facts(table, axis, metrics[:SERIES_MEASURES], emitters)
         facts += _pair_facts(table, metrics[:PAIR_MEASURES])
         facts += _category_facts(table, categories, metrics[:CATEGORY_MEASURES])
     for i, f in enumerate(facts):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
 from ..operators import series
+from ..session import checkpoint
 from ..sources import delimited
 from . import ledger, proof, story, verify
 from .queries_series import _PCT, load, longs, r
@@ -250,6 +251,37 @@ def forgery_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "no facts": (source, {k: v for k, v in bare.items() if k != "facts"}),
     }
     # all stories but that of the other source are held against facts that are computed from the source once more
-    facts = ledger.facts_of(delimited.from_text(spark, source, "orders"))
-    verdicts = [(name, verify.verify(spark, s, x, {signer.public_key}, facts=facts).verdict) for name, (s, x) in cases.items()]
+    fresh = verify.recompute(spark, source, "orders")
+    verdicts = [(name, verify.verify(spark, s, x, {signer.public_key}, fresh=fresh).verdict) for name, (s, x) in cases.items()]
     return spark.createDataFrame(verdicts, "name string, verdict string")
+
+
+_MEASURES = """SELECT date_trunc('month', o_orderdate) AS month, sum(o_totalprice) AS total_price, avg(o_totalprice) AS mean_price, min(o_totalprice) AS least_price,
+  max(o_totalprice) AS top_price, count(*) AS order_count, count(DISTINCT o_custkey) AS buyers, avg(o_custkey) AS mean_key, max(o_orderkey) AS last_key,
+  stddev_samp(o_totalprice) AS price_range, min(o_orderpriority) AS priority, min(o_custkey) AS first_key FROM orders GROUP BY 1"""
+
+
+@query(
+    f"""SELECT column_name AS named, CASE WHEN column_name = 'total_price' OR column_type NOT IN ('DOUBLE', 'BIGINT', 'INTEGER', 'HUGEINT') THEN 'VERIFIED'
+      ELSE 'UNSUPPORTED_CLAIM' END AS verdict FROM (DESCRIBE {_MEASURES})"""
+)
+def metric_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts on a signed story whose scene about total_price is rewritten to name each column in turn."""
+    price, key = F.col("o_totalprice"), F.col("o_custkey")
+    months = load(spark, sf_dir, "orders").groupBy(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month")).agg(
+        F.sum(price).alias("total_price"), F.avg(price).alias("mean_price"), F.min(price).alias("least_price"), F.max(price).alias("top_price"),
+        F.count(F.lit(1)).alias("order_count"), F.count_distinct(key).alias("buyers"), F.avg(key).alias("mean_key"), F.max("o_orderkey").alias("last_key"),
+        F.stddev_samp(price).alias("price_range"), F.min("o_orderpriority").alias("priority"), F.min(key).alias("first_key"),
+    )
+    table = delimited.from_frame(checkpoint(months.withColumn("row_id", F.unix_date("month"))), "row_id", "orders")
+    asked, signer = "total_price?", proof.new_signer(spark)
+    made = story.create(table, question=asked, signer=signer)
+    fresh = verify.recompute(spark, table, "orders", asked)
+    at = next(i for i, s in enumerate(made["scenes"]) if s["kind"] == "insight" and s["claim"]["metric"] == "total_price" and "secondaryMetric" not in s["claim"])
+    rows = []
+    for c in table.kinds:
+        scene = made["scenes"][at] | {"headline": "So it went", "body": f"Look at {c}."}
+        bare = {k: v for k, v in made.items() if k != "proof"} | {"scenes": [*made["scenes"][:at], scene, *made["scenes"][at + 1 :]]}
+        forged = bare | {"proof": proof.sign(table, bare, signer, "factloom")}
+        rows.append((c, verify.verify(spark, table, forged, {signer.public_key}, fresh=fresh).verdict))
+    return spark.createDataFrame(rows, "named string, verdict string")

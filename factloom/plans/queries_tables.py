@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse, prose
 from ..operators import groups
+from ..session import new_folder
 from ..sources import delimited
 from ..streaming import events as streams
 from . import story, verify
@@ -387,3 +388,20 @@ def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return out.withColumns({"start": micros("start"), "end": micros("end")})
 
+
+# ---- files ----------------------------------------------------------------------------
+
+
+@query(
+    """SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_id, CAST(c_custkey AS DOUBLE) AS key,
+      concat(c_mktsegment, ', "', c_name, '"', chr(10), chr(10), 'nation ', c_nationkey) AS note, concat('of ', c_mktsegment, ',; "', c_custkey) AS mixed FROM customer"""
+)
+def quoted_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as text with quotes, newlines and delimiters within fields, and read by exact rules in parallel."""
+    rows = load(spark, sf_dir, "customer").orderBy("c_custkey")
+    note = F.concat(F.lit('"'), "c_mktsegment", F.lit(', ""'), "c_name", F.lit('""\n\nnation '), F.col("c_nationkey").cast("string"), F.lit('"'))
+    # quotes that open within a field
+    mixed = F.concat(F.lit("of "), "c_mktsegment", F.lit('",;" """'), F.col("c_custkey").cast("string"), F.lit('"'))
+    folder = new_folder(spark)
+    rows.select(F.concat_ws(",", F.col("c_custkey").cast("string"), note, mixed).alias("value")).write.text(folder)
+    return delimited.from_path(spark, folder, names=["key", "note", "mixed"]).df

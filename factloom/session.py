@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,20 +17,31 @@ def session(name: str = "factloom", **more: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=SETTINGS | more).getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder of spark.checkpoint.dir, which all executors share.
+def _shared(spark: SparkSession) -> str:
+    """The folder that all executors share.
 
-    Only where that setting is missing on a single machine a temporary folder is used; a cluster has to name one.
+    Only where spark.checkpoint.dir is missing on a single machine a temporary folder is used; a cluster has to name one.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = sc.getConf().get("spark.checkpoint.dir")
         if where is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="factloom-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage in the folder of spark.checkpoint.dir."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing lies at."""
+    return f"{_shared(spark)}/{uuid.uuid4().hex}"
+
+
 #: Most rows that are broadcast on the strength of a count.
 SMALL = 200_000
 

@@ -1,7 +1,7 @@
 """Delimited text as typed tables.
 
-Small texts are split here with all their quirks (a quote may open anywhere in a field); files go to
-Spark's reader, with the delimiter found from the first lines. Either way cells come as strings with
+Small texts are split here with all their quirks (a quote may open anywhere in a field); files are read in
+parallel by the same rules, with the delimiter found from the first lines. Either way cells come as strings with
 row_id, their kinds are voted in one aggregation, and a projection types them.
 """
 
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import coerced, kind_of, votes
-from ..operators.series import numbered
+from ..operators.series import ordinals
+from . import quoted
 
 DELIMITERS = (",", ";", "\t", "|")
 
@@ -120,40 +121,33 @@ def from_text(
     return typed(spark.createDataFrame(cells, schema), name, notes)
 
 
-def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
-    """Whether some line has an odd number of quotes, so that a field may run over its end."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-
 def from_path(
-    spark: SparkSession, path: str, name: str | None = None, multiline: bool | None = None, max_rows: int | None = None, max_columns: int | None = None
+    spark: SparkSession, path: str, name: str | None = None, max_rows: int | None = None, max_columns: int | None = None, names: list[str] | None = None
 ) -> Table:
-    """A file's table, read in parallel; quotes open at the beginning of a field here.
+    """The table of a file or of a folder of files, by the same rules as a text, read in parallel (see quoted.py).
 
-    Files whose fields have no newlines are split among tasks; multiline says so, else a pass over the lines does.
-    Without caps nothing is cut; a cap that applies leaves a note.
+    Without caps nothing is cut; a cap that applies leaves a note. names are those of files that have no header.
     """
     head = [r[0] for r in spark.read.text(path).limit(5).collect()]
     if not head:
         raise InputError("the file is empty")
-    delimiter = sniff(head)
-    names = unique_names(next(iter(records(head[0].removeprefix("\ufeff"), delimiter)), []))
-    multiline = has_quoted_newlines(spark, path) if multiline is None else multiline
-    df = spark.read.schema(", ".join(f"`{n.replace('`', '``')}` string" for n in names)).csv(
-        path, sep=delimiter, header=True, quote='"', escape='"', multiLine=multiline, mode="PERMISSIVE", enforceSchema=True
-    )
-    some = F.exists(F.array(*[F.col(f"`{n}`") for n in names]), lambda x: F.trim(x) != "")
-    notes = []
-    # rows are numbered in the order of the file, without gaps
-    rows = numbered(df.where(some))
+    delimiter = sniff([head[0].removeprefix("\ufeff"), *head[1:]])
+    try:
+        own, rows = quoted.records(spark, path, delimiter, header=names is None)
+    except quoted.UnclosedQuote as e:
+        raise InputError(str(e)) from e
+    if names is None and own is None:
+        raise InputError("the file is empty")
+    names, notes = unique_names(own if names is None else names), []
+    if own and [n.strip() for n in own if n.strip()] != [n for n, h in zip(names, own, strict=True) if h.strip()]:
+        notes.append("Repeated column names were numbered.")
     if max_columns is not None and len(names) > max_columns:
         notes.append(f"Only the first {max_columns} of {len(names)} columns were analysed.")
-        rows = rows.select("row_id", *[F.col(f"`{n}`") for n in names[:max_columns]])
+        names = names[:max_columns]
     if max_rows is not None and (n := rows.count()) > max_rows:
         notes.append(f"Only the first {max_rows} of {n} rows were analysed.")
         rows = rows.where(F.col("row_id") < max_rows)
-    return typed(rows, name or path, notes)
+    return typed(rows.select("row_id", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]), name or path, notes)
 
 
 def typed(raw: DataFrame, name: str, notes: list[str]) -> Table:
@@ -162,12 +156,18 @@ def typed(raw: DataFrame, name: str, notes: list[str]) -> Table:
     # one row for each cell, so that the parsers are compiled once and not for each column
     cell = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").alias("x")) for i, c in enumerate(names)]))
     got = {r["i"]: r for r in raw.select(cell.alias("c")).select("c.i", "c.x").groupBy("i").agg(*votes(F.col("x"))).collect()}
+    if names and not got:
+        raise InputError("there are no rows of data")
     kinds = {c: kind_of(*(got[i][v] for v in ("filled", "numbers", "dates", "booleans"))) for i, c in enumerate(names)}
     return Table(raw.select("row_id", *[coerced(F.col(f"`{c}`"), k).alias(c) for c, k in kinds.items()]), kinds, name, notes)
 
 
 def from_frame(df: DataFrame, row_id: str | None = None, name: str = "table") -> Table:
-    """A typed DataFrame's table: numbers become doubles, dates and timestamps days."""
+    """A typed DataFrame's table: numbers become doubles, dates and timestamps days.
+
+    Without a row_id rows are numbered in the order of all their columns, so that facts and digests don't depend on
+    partitions; equal rows stand for each other.
+    """
     kinds, columns = {}, []
     for f in df.schema.fields:
         t = f.dataType.typeName()
@@ -183,5 +183,8 @@ def from_frame(df: DataFrame, row_id: str | None = None, name: str = "table") ->
         else:
             continue  # nested values take no part
         columns.append(c.alias(f.name))
-    key = F.col(f"`{row_id}`").cast("long") if row_id else F.monotonically_increasing_id()
-    return Table(df.select(key.alias("row_id"), *columns), kinds, name)
+    row_id = row_id or ("row_id" if "row_id" in df.columns else None)
+    if row_id:
+        return Table(df.select(F.col(f"`{row_id}`").cast("long").alias("row_id"), *columns), kinds, name)
+    rows = ordinals(df.select(*columns), [], [f"`{c}`" for c in kinds], "row_id")
+    return Table(rows.select("row_id", *[F.col(f"`{c}`") for c in kinds]), kinds, name)

@@ -1,5 +1,6 @@
 import copy
 import json
+import random
 
 import duckdb
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import prose
 from factloom.plans import catalog, ledger, proof, story, verify
-from factloom.sources import delimited
+from factloom.sources import delimited, quoted
 
 SF = "/root/testdata/sf0.001"
 MONTHS = [f"2024-{m:02d}" for m in range(1, 13)] + ["2025-01", "2025-02"]
@@ -41,10 +42,9 @@ def test_file(spark, tmp_path):
     assert t.kinds == {"month": "date", "revenue": "number"} and t.df.agg(F.sum("revenue")).first()[0] == 3000
 
 
-def test_files_are_split_unless_fields_have_newlines(spark, tmp_path):
+def test_files_are_split(spark, tmp_path):
     lines = ["k,v", *(f"{i},{i * 2}" for i in range(20_000))]
     (tmp_path / "x.csv").write_text("\n".join(lines))
-    assert not delimited.has_quoted_newlines(spark, str(tmp_path / "x.csv"))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
     try:
@@ -55,10 +55,54 @@ def test_files_are_split_unless_fields_have_newlines(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     capped = delimited.from_path(spark, str(tmp_path / "x.csv"), max_rows=50, max_columns=1)
     assert capped.df.count() == 50 and list(capped.kinds) == ["k"] and len(capped.notes) == 2
+    (tmp_path / "empty.csv").write_text("a,b\n\n \n")
+    with pytest.raises(delimited.InputError):
+        delimited.from_path(spark, str(tmp_path / "empty.csv"))
     (tmp_path / "y.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
     assert [r["b"] for r in delimited.from_path(spark, str(tmp_path / "y.csv")).df.orderBy("row_id").collect()] == ["x\ny", "z"]
 
 
+def test_fields_are_those_of_records():
+    rng = random.Random(11)
+    for _ in range(2000):
+        text = "".join(rng.choice('ab",,"" \n') for _ in range(rng.randint(1, 25)))
+        if all(text[:i].count('"') % 2 for i, c in enumerate(text) if c == "\n"):  # one record
+            assert [quoted.fields(text, ",")] == (delimited.records(text, ",") or [[""]]), text
+
+
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_files_are_read_by_the_rules_of_texts_at_every_cut(spark, tmp_path, size):
+    rng = random.Random(size)
+    text = "k,v\n" + "".join(rng.choice(['a', 'é', ',', '\n', '""', '"', '5" pipe', '\r\n', ' ', 'x,"y\nz",w\n']) for _ in range(70))
+    text = text if text.count('"') % 2 == 0 else text + '"'
+    (tmp_path / "x.csv").write_bytes(("\ufeff" + text + "\nend,1").encode())
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, str(size))
+        top, rows = quoted.records(spark, str(tmp_path / "x.csv"), ",")
+        got = [(r["row_id"], r["cells"]) for r in rows.orderBy("row_id").collect()]
+    finally:
+        for n in names:
+            spark.conf.set(n, before[n])
+    want = [r for r in delimited.records((text + "\nend,1").replace("\r\n", "\n").replace("\r", "\n"), ",") if any(c.strip() for c in r)]
+    assert top == want[0] == ["k", "v"] and got == list(enumerate(want[1:]))
+
+
+def test_folders_and_quotes_that_are_not_closed(spark, tmp_path, monkeypatch):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "b.csv").write_text('a,b\n3,"x\n')
+    (tmp_path / "d" / "a.csv").write_text('a,b\n1,"p\nq"\n2,r\n')
+    t = delimited.from_path(spark, str(tmp_path / "d"))
+    assert [(r["row_id"], r["a"], r["b"]) for r in t.df.orderBy("row_id").collect()] == [(0, 1.0, "p\nq"), (1, 2.0, "r"), (2, 3.0, "x")]
+    t = delimited.from_path(spark, str(tmp_path / "d" / "a.csv"), names=["a", "b"])
+    assert t.df.count() == 3
+    monkeypatch.setattr(quoted, "LONGEST", 2)
+    with pytest.raises(delimited.InputError):
+        delimited.from_path(spark, str(tmp_path / "d"))
+
+
 def test_checkpoints_need_a_shared_folder_on_a_cluster(monkeypatch):
     from factloom import session
 
@@ -222,8 +266,34 @@ def test_a_forged_word_gives_the_verdict(spark, signed):
     assert verify.verify(spark, SOURCE, bare, set()).verdict == "UNSUPPORTED_CLAIM"
 
 
-def test_malformed_stories_are_judged(spark, signed, facts):
+def test_no_number_column_may_be_swapped_in(spark):
+    names = [f"m{x}" for x in ("alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "row")]
+    text = "\n".join([",".join(["month", *names]), *(",".join([f"2023-{i + 1:02d}", *(str((i + 2) * (k + 3) % (11 + k) + k * i) for k in range(11))]) for i in range(12))])
+    signer = proof.new_signer(spark)
+    made = story.create(delimited.from_text(spark, text, "demo"), text, signer=signer)
+    fresh = verify.recompute(spark, text, "demo")
+    assert fresh.metrics == names and set(story.metrics_of(fresh.facts)) < set(names)
+    verdict = lambda x: verify.verify(spark, text, x, {signer.public_key}, fresh=fresh).verdict
+    assert verdict(made) == "VERIFIED"
+    bare = {k: v for k, v in made.items() if k != "proof"}
+    own = {c for f in made["facts"] if f["id"] in insight(made)["factIds"] for c in f["columns"]}
+    for name in names:
+        x = forged(bare, lambda x: insight(x).update(headline="So it went", body=f"It is all about {name}."))  # noqa: B023
+        x["proof"] = proof.sign(text, x, signer, "factloom")
+        assert verdict(x) == ("VERIFIED" if name in own else "UNSUPPORTED_CLAIM"), name
+
+
+def test_digests_and_source_rows_do_not_depend_on_partitions(spark):
+    df = spark.range(100).select((F.col("id") % 13).alias("a"), F.concat(F.lit("k"), F.col("id") % 5).alias("b"), (F.col("id") * 7 % 50 / 3).alias("c"))
+    tables = [delimited.from_frame(df.repartition(n, F.rand(n)), name="t") for n in (1, 2, 50)]
+    assert len({proof.table_digest(t) for t in tables}) == 1
+    assert ledger.facts_of(tables[0]) == ledger.facts_of(tables[2])
+    assert proof.table_digest(tables[0]) != proof.table_digest(delimited.from_frame(df.union(df.limit(1)), name="t"))
+
+
+def test_malformed_stories_are_judged(spark, signed):
     signer, made = signed
+    fresh = verify.recompute(spark, SOURCE, "demo")
     bad = [
         None, [], {}, "x", 7, {"facts": []}, made | {"facts": None}, made | {"scenes": {}}, made | {"dataset": []}, made | {"title": 3}, made | {"question": 7},
         made | {"proof": "x"}, made | {"proof": {}}, made | {"proof": made["proof"] | {"publicKey": ["x"]}}, made | {"proof": made["proof"] | {"signature": None}},
@@ -233,12 +303,12 @@ def test_malformed_stories_are_judged(spark, signed, facts):
     bad += [change("scenes", **{k: v}) for k, v in (("headline", None), ("body", 5), ("kind", []), ("claim", "text"), ("factIds", 3), ("factIds", [{}]), ("stat", {"value": "x"}))]
     bad += [forged(made, lambda x, k=k: x["facts"][1].pop(k)) for k in ("values", "kind", "id", "columns")] + [forged(made, lambda x, k=k: x.pop(k)) for k in ("facts", "scenes", "dataset", "title")]
     for x in bad:
-        report = verify.verify(spark, SOURCE, x, {signer.public_key}, facts=facts)
+        report = verify.verify(spark, SOURCE, x, {signer.public_key}, fresh=fresh)
         assert report.verdict in ("TAMPERED", "SOURCE_MISMATCH", "LEGACY_UNVERIFIED") and any(report.checks.values()), x
         if isinstance(x, dict) and isinstance(x.get("proof"), dict) and x["proof"]:
             assert report.verdict == "TAMPERED"
     odd = forged({k: v for k, v in made.items() if k != "proof"}, lambda x: insight(x).update(claim={"factId": ["F1"]}))
-    assert verify.verify(spark, SOURCE, odd, set(), facts=facts).verdict == "UNSUPPORTED_CLAIM"
+    assert verify.verify(spark, SOURCE, odd, set(), fresh=fresh).verdict == "UNSUPPORTED_CLAIM"
 
 
 def test_stories_of_typed_tables(spark):
