@@ -8,8 +8,10 @@ level 2 the listed keys that level 1 takes for those, and so on until a level er
 The number of the first level without a key then says whether it is listed: for each key of the
 universe the answer is exact, and judging a url needs no join.
 
-Levels are bit arrays that executors put together in segments; what goes to the executors is held to
-MAX_BYTES for all lists together, and beyond that urls are judged by joining their keys with the lists.
+A level has as many bits as it takes to be wrong about no more keys than it encodes: level 0 follows the logarithm
+of the universe by the list, so that a cascade is some ten bytes a listed key whatever the corpus. Levels are bit
+arrays that executors put together in segments; what goes to the executors is held to MAX_BYTES for all lists
+together, and beyond that, with lists of several million keys, urls are judged by joining their keys with the lists.
 
 Defined results: a null url, or one without ://, has an empty host and an empty path, fits no rule
 and is allowed unless the empty host is listed. A very long url has all its parent domains looked at.
@@ -20,6 +22,7 @@ Repeated rows come out repeated. An empty table gives no rows. Other columns are
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -42,8 +45,8 @@ RULES = (
 )
 #: A file of hosts that the query blocks with all their subdomains where no rule fits.
 HOSTS = Path(__file__).parent / "data" / "blocked_hosts.txt"
-#: Bits of a level for each key that it encodes, and its hash functions.
-BITS_PER_KEY, HASHES = 12, 6
+#: Share of the other keys that a level may take for its own, at most: fewer wrong keys make fewer levels.
+MOST_WRONG = 1 / 8
 #: Most bytes of all levels of all lists, which go to every executor, and 64-bit words of a segment.
 MAX_BYTES, SEGMENT_WORDS = 64 << 20, 1 << 16
 #: Keys that a task takes about.
@@ -72,10 +75,10 @@ def _places(h: np.ndarray, g: np.ndarray, level: int, bits: int, hashes: int) ->
 
 @dataclass
 class Cascade:
-    """Levels of packed bits; a level without keys is empty."""
+    """Levels of packed bits, and how many bits of each a key has; a level without keys is empty."""
 
     levels: list[np.ndarray]
-    hashes: int = HASHES
+    hashes: list[int]
 
     def nbytes(self) -> int:
         return sum(x.nbytes for x in self.levels)
@@ -84,7 +87,7 @@ class Cascade:
         words = self.levels[level]
         if not len(words):
             return np.zeros(len(h), bool)
-        at = _places(h, g, level, 64 * len(words), self.hashes)
+        at = _places(h, g, level, 64 * len(words), self.hashes[level])
         return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).all(axis=1)
 
     def contains(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -103,11 +106,19 @@ def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array([digest(k, s) for k in keys], np.uint64) for s in (1, 2))
 
 
-def _level(keys: DataFrame, level: int, n: int, bits_per_key: int, hashes: int) -> np.ndarray:
-    """The bits of one level; keys has n rows, (h, g)."""
+def shape(n: int, others: int) -> tuple[int, int]:
+    """The 64-bit words and the hash functions of a level of n keys, so that it is wrong about n of the other keys, or
+    about MOST_WRONG of them if these are few. So the next level is no larger, however large the universe is."""
     if not n:
+        return 0, 1
+    bits = math.log2(1 / min(MOST_WRONG, n / max(n, others))) / math.log(2)
+    return math.ceil(n * bits / 64), max(1, round(bits * math.log(2)))
+
+
+def _level(keys: DataFrame, level: int, words: int, hashes: int) -> np.ndarray:
+    """The bits of one level; keys are (h, g)."""
+    if not words:
         return np.zeros(0, np.uint64)
-    words = -(-n * bits_per_key // 64)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,20 +157,21 @@ def _few(keys: DataFrame, n: int) -> DataFrame:
     return keys.coalesce(max(1, -(-n // PARTITION_KEYS)))
 
 
-def build(
-    listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYTES, bits_per_key: int = BITS_PER_KEY, hashes: int = HASHES
-) -> Cascade | None:
-    """The cascade of the keys listed (h, g) over the universe (h, g); None if it is too large."""
+def build(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYTES, others: int | None = None) -> Cascade | None:
+    """The cascade of the keys listed (h, g) over the universe (h, g), of which there are others; None if it is too large."""
     inside = checkpoint(listed.select("h", "g").distinct())
-    cascade, n = Cascade([], hashes), inside.count()
+    cascade, n = Cascade([], []), inside.count()
+    others = universe.count() if others is None else others
     inside = _few(inside, n)
     outside = universe.select("h", "g").join(inside, ["h", "g"], "left_anti")
     for level in itertools.count():
-        if cascade.nbytes() + n * bits_per_key // 8 > max_bytes:
+        words, hashes = shape(n, others)
+        if cascade.nbytes() + 8 * words > max_bytes:
             return None
-        cascade.levels.append(_level(inside, level, n, bits_per_key, hashes))
+        cascade.levels.append(_level(inside, level, words, hashes))
+        cascade.hashes.append(hashes)
         wrong = checkpoint(_only(outside, cascade, level))
-        n = wrong.count()
+        others, n = n, wrong.count()
         if not n:
             return cascade
         inside, outside = _few(wrong, n), inside
@@ -280,11 +292,12 @@ def judge(
     hosts = listed.select(F.concat(lower_ascii(F.col("key")), F.lit(" ")).alias("key"))
     urls = host_and_path(pages.select("page_id", "url")).withColumn("start", F.substring("path", 1, lengths[-1]))
     universe = checkpoint(_universe(urls, lengths))
-    universe = _few(universe, universe.count())
+    size = universe.count()
+    universe = _few(universe, size)
     lists = {which: _listed(spark, [f"{h} {p}" for v, h, p in rules if v == which]) for which in ("block", "allow")}
     cascades: dict[str, Cascade] = {}
     for name, keys in (lists | {"listed": _listed(spark, hosts)}).items():
-        made = build(keys, universe, max_bytes - sum(c.nbytes() for c in cascades.values()))
+        made = build(keys, universe, max_bytes - sum(c.nbytes() for c in cascades.values()), size)
         if made is None:
             break
         cascades[name] = made

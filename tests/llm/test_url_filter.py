@@ -1,6 +1,8 @@
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import url_filter as U
 
@@ -50,12 +52,26 @@ def test_cascade_has_levels_and_no_errors(spark):
     keys = [f"k{i}" for i in range(3000)]
     listed = keys[::4]
     as_pairs = lambda ks: U._listed(spark, ks)
-    cascade = U.build(as_pairs(listed), as_pairs(keys), bits_per_key=3, hashes=2)
+    cascade = U.build(as_pairs(listed), as_pairs(keys))
     assert len(cascade.levels) > 2
     h, g = U._hashes([k.encode() for k in keys])
     assert cascade.contains(h, g).tolist() == [i % 4 == 0 for i in range(3000)]
 
 
+def test_a_large_universe_stays_a_cascade(spark):
+    # a million keys of the corpus for each listed one
+    key = lambda n: spark.range(n).select(F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit(1)).alias("g"))
+    universe, listed = key(3_000_000), key(3)
+    cascade = U.build(listed, universe, max_bytes=256)
+    assert cascade is not None and cascade.nbytes() <= 256
+    rows = universe.toPandas()
+    found = cascade.contains(*(rows[c].to_numpy().view("u8") for c in "hg"))
+    assert found.tolist() == [i < 3 for i in range(3_000_000)]
+    for n, others in ((1, 10), (1000, 1000), (1000, 10**9), (0, 5)):
+        words, hashes = U.shape(n, others)
+        assert 64 * words <= 1.45 * n * max(3, math.log2(max(1, others / max(1, n)))) + 64 and hashes >= 1
+
+
 def test_whole_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in U.query(spark, "/root/testdata/sf0.001").collect())
