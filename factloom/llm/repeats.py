@@ -279,7 +279,8 @@ def _classes(known: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.sum(times).alias("n"), F.min("before").alias("before"), F.min("size").alias("size"), F.min("doc").alias("doc"), F.min_by("start", "doc").alias("start")
     )
     classes = checkpoint(classes)
-    d = classes.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("d"))
+    # written down, so that the join with a crowded anchor is a plain one that can be split
+    d = checkpoint(classes.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("d")))
     return items, checkpoint(classes.join(d, F.col("key") == F.col("k")).drop("k"))
 
 
