@@ -13,7 +13,8 @@ where its words stand consecutively: all its pairs on one diagonal.
 Templates are a parameter: few are broadcast, many are joined by a shuffle. Only matches leave a row's own task.
 
 Defined results: a null or empty text has no words, no places and the score 0. A very long text is scanned
-whole. Of spans with equal shares each counts; labels are distinct. Rows with a null doc_id are scanned like any
+whole. Of overlapping spans that are equally good the one that begins first stays, then the one whose label comes
+first; labels are distinct. Rows with a null doc_id are scanned like any
 other and repeated rows come out repeated. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -27,7 +28,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..session import small_side
 from .common import checkpoint, lower_ascii, table
@@ -38,8 +39,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM, PHRASE_GRAM = 4, 2
 #: Least reach of a chain of diagonals in words, and the share of a template's words that a span has at least.
 REACH, LEAST = 8, 0.8
-#: Bits of the map of hashes that templates have.
-BITMAP = 1 << 16
+#: Bits of the map of hashes that templates have, for each hash.
+BITS = 16
 #: Phrases (fixed values) and their labels.
 PHRASES = (
     ("gnu general public license", "gpl"),
@@ -50,7 +51,6 @@ PHRASES = (
 #: Notices of well-known licenses, in words as BETWEEN parts them, and their labels.
 NOTICES = (
     ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("you may not use this file except in compliance with the license", "apache-2.0"),
     ("released under the mit license", "mit-license"),
     ("licensed under the mit license", "mit-license"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit-license"),
@@ -76,10 +76,10 @@ TEXTS = Path(__file__).parent / "data" / "licenses"
 
 
 def license_texts(folder: Path = TEXTS) -> list[tuple[str, str]]:
-    """(text in words, label) of each file; files may hold any text."""
+    """(text in words, label) of each file, those of folders too; files may hold any text."""
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = lambda text: " ".join(w for w in re.split(BETWEEN, text.translate(lower)) if w)
-    return [(words(path.read_text()), path.stem) for path in sorted(folder.glob("*.txt"))]
+    return [(words(path.read_text()), path.stem) for path in sorted(folder.rglob("*.txt"))]
 
 
 def words_of(text: Column) -> Column:
@@ -155,12 +155,46 @@ def _covered(matches: pd.Series) -> pd.Series:
     return pd.Series([covered([(m["t"], m["at"]) for m in some], GRAM) for some in matches], dtype="int32")
 
 
+def best_spans(spans: list[tuple[int, int, int, str]]) -> list[bool]:
+    """Which of a text's spans (start, end, score, label) stay: no better one overlaps them by half of the shorter one.
+
+    Spans that stay are looked up by the stretches of words that they touch.
+    """
+    stays, touched = [False] * len(spans), {}
+    for i in sorted(range(len(spans)), key=lambda i: (-spans[i][2], spans[i][0], spans[i][3])):
+        a, b, *_ = spans[i]
+        places = range(a // _STRETCH, (b - 1) // _STRETCH + 1)
+        rivals = {r for p in places for r in touched.get(p, ())}
+        if any(2 * (min(b, spans[r][1]) - max(a, spans[r][0])) >= min(b - a, spans[r][1] - spans[r][0]) for r in rivals):
+            continue
+        stays[i] = True
+        for p in places:
+            touched.setdefault(p, []).append(i)
+    return stays
+
+
+_STRETCH = 256
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _labels_of_best(found: pd.Series) -> pd.Series:
+    out = []
+    for some in found:
+        one = [(x["start"], x["end"], x["score"], x["label"]) for x in some]
+        out.append(sorted({x[3] for x, stays in zip(one, best_spans(one), strict=True) if stays}))
+    return pd.Series(out)
+
+
 def _may_be(hashes: list[int]) -> Callable[[Column], Column]:
-    """Whether a hash may be one of hashes, by a bitmap of BITMAP bits; it never errs to the other side."""
-    words = [0] * (BITMAP // 64)
+    """Whether a hash may be one of hashes, by a bitmap of about BITS bits each; it never errs to the other side.
+
+    The bitmap is a constant of the query, of 2 bytes for each word of the templates.
+    """
+    words = [0] * max(1, 1 << (BITS * len(hashes) // 64).bit_length())
     for h in hashes:
         words[h >> 6 & len(words) - 1] |= 1 << (h & 63)
-    bitmap = F.array(*[F.lit(w - (w >> 63 << 64)).cast("long") for w in words])
+    # one literal, folded to an array when the query is planned
+    bitmap = F.split(F.lit(",".join(str(w - (w >> 63 << 64)) for w in words)), ",").cast("array<bigint>")
     word = lambda h: F.get(bitmap, F.shiftright(h, 6).bitwiseAND(F.lit(len(words) - 1)).cast("int"))
     one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
     return lambda h: word(h).bitwiseAND(one(h)) != 0
@@ -191,8 +225,8 @@ def matches(docs: DataFrame, phrases, notices) -> tuple[DataFrame, DataFrame]:
 
 
 def spans(docs: DataFrame, phrases=PHRASES, notices=None) -> tuple[DataFrame, DataFrame]:
-    """rows: rid, doc_id and n_words of each row; spans: rid, template, label, exact, start and end in words,
-    share of the template's words (a phrase's share is of its pairs)."""
+    """rows: rid, doc_id and n_words of each row; spans: rid, template, label, exact, start and end in words, share of
+    the template's words (a phrase's share is of its pairs) and score, the words that it has less those that it lacks."""
     notices = [*NOTICES, *license_texts()] if notices is None else notices
     rows, found = matches(docs, phrases, notices)
     votes = found.withColumn("diagonal", F.col("at") - F.col("t")).groupBy("rid", "template", "diagonal").agg(
@@ -200,7 +234,7 @@ def spans(docs: DataFrame, phrases=PHRASES, notices=None) -> tuple[DataFrame, Da
     )
     phrase = votes.where("exact").select(
         "rid", "template", "label", "exact", F.col("diagonal").cast("long").alias("start"), (F.col("diagonal") + F.col("size")).cast("long").alias("end"),
-        (F.size("m") / (F.col("size") - F.col("k") + 1)).alias("share"),
+        (F.size("m") / (F.col("size") - F.col("k") + 1)).alias("share"), F.col("size").alias("score"),
     )
     # a window holds the diagonals of one text and template
     order = Window.partitionBy("rid", "template").orderBy("diagonal")
@@ -210,9 +244,11 @@ def spans(docs: DataFrame, phrases=PHRASES, notices=None) -> tuple[DataFrame, Da
     chains = chains.withColumn("chain", F.sum("apart").over(order)).groupBy("rid", "template", "chain").agg(
         *[F.first(c).alias(c) for c in ("label", "exact", "size", "k")], F.flatten(F.collect_list("m")).alias("m")
     )
+    # written down, as what Python has counted is used twice
+    chains = checkpoint(chains.withColumn("has", _covered("m")))
     text = chains.select(
         "rid", "template", "label", "exact", F.array_min("m.at").cast("long").alias("start"), (F.array_max("m.at") + F.col("k")).cast("long").alias("end"),
-        (_covered("m") / F.col("size")).alias("share"),
+        (F.col("has") / F.col("size")).alias("share"), (2 * F.col("has") - F.col("size")).alias("score"),
     )
     return rows, phrase.unionByName(text)
 
@@ -221,15 +257,17 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row."""
     rows, found = spans(docs, phrases, notices)
     base, own = F.expr("exact AND share = 1"), F.expr(f"NOT exact AND share >= {LEAST}")
-    label = lambda which: F.array_join(F.sort_array(F.collect_set(F.when(which, F.col("label")))), ",")
+    span = F.struct("start", "end", "score", "label")
     summed = found.groupBy("rid").agg(
         F.count_if(base).alias("n_base"),
         F.min(F.when(base, F.col("start"))).alias("first_word"),
         F.max(F.when(base, F.col("start"))).alias("last_word"),
-        label(base).alias("base_labels"),
-        label(base | own).alias("labels"),
+        F.sort_array(F.collect_set(F.when(base, F.col("label")))).alias("base_labels"),
+        F.collect_list(F.when(own, span)).alias("own"),
         F.max(F.when(~F.col("exact") | base, F.col("share"))).alias("score"),
     )
+    labels = F.array_sort(F.array_union("base_labels", F.when(F.size("own") > 0, _labels_of_best("own")).otherwise(F.array().cast("array<string>"))))
+    summed = summed.withColumns({"labels": F.array_join(labels, ","), "base_labels": F.array_join("base_labels", ",")})
     return rows.join(summed, "rid", "left").select(
         "doc_id",
         "n_words",

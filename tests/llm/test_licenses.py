@@ -19,12 +19,17 @@ def brute(text):
                 at.append(i)
                 labels.add(label)
                 best = 1.0
-    own = set()
+    spans = []
     for notice, label in [*licenses.NOTICES, *licenses.license_texts()]:
-        share = brute_share(words, notice.split())
-        best = max(best, share)
-        if share >= licenses.LEAST:
-            own.add(label)
+        for start, end, has, size in brute_spans(words, notice.split()):
+            best = max(best, has / size)
+            if has / size >= licenses.LEAST:
+                spans.append((start, end, 2 * has - size, label))
+    stay = []
+    for a, b, score, label in sorted(spans, key=lambda x: (-x[2], x[0], x[3])):
+        if all(2 * (min(b, d) - max(a, c)) < min(b - a, d - c) for c, d, _ in stay):
+            stay.append((a, b, label))
+    own = {x for *_, x in stay}
     n = len(at)
     return (
         len(words), n, min(at, default=None), max(at, default=None),
@@ -32,19 +37,20 @@ def brute(text):
     )
 
 
-def brute_share(words, p, k=4):
-    """The best share of a template's words over all chains of diagonals."""
+def brute_spans(words, p, k=4):
+    """(start, end, words covered, size) of all chains of diagonals of a template."""
     where = {}
     for t in range(len(p) - k + 1):
         where.setdefault(tuple(p[t : t + k]), []).append(t)
     found = sorted((i - t, t, i) for i in range(len(words) - k + 1) for t in where.get(tuple(words[i : i + k]), ()))
-    best, chain = 0, []
+    out, chain = [], []
     for m in [*found, None]:
         if chain and (m is None or m[0] - chain[-1][0] > max(licenses.REACH, len(p) // 4)):
-            best = max(best, brute_cover([(t, i) for _, t, i in chain], k))
+            places = [i for _, _, i in chain]
+            out.append((min(places), max(places) + k, brute_cover([(t, i) for _, t, i in chain], k), len(p)))
             chain = []
         chain.append(m)
-    return best / len(p)
+    return out
 
 
 def brute_cover(matches, k):
@@ -102,6 +108,7 @@ def test_whole_license_texts(spark):
     """Each text in the midst of others, with words put in, left out, changed and moved."""
     rng = random.Random(6)
     rows, want = [], []
+    several = [label for _, label in licenses.license_texts()]  # a whole text and a notice
     for text, label in licenses.license_texts():
         words = text.split()
         n = len(words)
@@ -110,7 +117,7 @@ def test_whole_license_texts(spark):
         changed = [("other" if i % 15 == 7 else w) for i, w in enumerate(words)]
         moved = words[n // 2 :] + words[: n // 2]
         for found, own in ((words, True), (long, True), (changed, n > 60), (moved, False), (words[: n // 2], False)):
-            if found is not changed or own:
+            if own or (found is not changed and several.count(label) == 1):
                 rows.append((len(rows), " ".join(some[:100] + found + some[100:]).upper()))
                 want.append((label, own))
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), (), licenses.license_texts()).collect()}
@@ -121,6 +128,24 @@ def test_whole_license_texts(spark):
     assert (s["start"], s["end"], s["share"]) == (100, 100 + len(licenses.license_texts()[0][0].split()), 1.0)
 
 
+def test_no_label_of_a_sister(spark):
+    texts = licenses.license_texts()
+    rows = [(i, "before it " + text.upper() + " and after it") for i, (text, _) in enumerate(texts)]
+    # a modified whole text has its label, not that of the notice that it holds
+    gpl = next(text for text, label in texts if label == "gpl-2.0").split()
+    rows.append((len(rows), " ".join(w for i, w in enumerate(gpl) if i % 40 or i > 2500)))
+    # two licenses one after the other have both
+    rows.append((len(rows), f"{texts[0][0]} then {texts[-1][0]}"))
+    got = {r["doc_id"]: set(r["labels"].split(",")) - set(r["base_labels"].split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [{label} for _, label in texts]
+    assert got[len(texts)] == {"gpl-2.0"} and got[len(texts) + 1] == {texts[0][1], texts[-1][1]}
+
+
+def test_the_best_of_overlapping_spans():
+    spans = [(0, 100, 90, "a"), (2, 98, 96, "b"), (60, 160, 95, "c"), (98, 110, 12, "d"), (300, 310, 5, "e"), (300, 310, 5, "a")]
+    assert licenses.best_spans(spans) == [False, True, True, False, False, True]
+
+
 def test_words_put_in_at_one_place(spark):
     text = "permission is hereby granted, to you and yours, free of charge to any person obtaining a copy of this software"
     (r,) = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
