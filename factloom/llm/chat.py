@@ -8,17 +8,16 @@ matrix of least costs from state to state, and the cheapest repair of a conversa
 path through its turns, found by dynamic programming. Of equal repairs the one wins that, at the first
 turn where they differ, doesn't merge, then has fewer insertions, then the role that comes first in ROLES.
 
-Matrices combine by the (min, +) product, so a conversation of any length may lie over many tasks: rows
-are sorted by range, and every task multiplies the matrices of its part of a conversation. The parts' few
-matrices give the least costs from the end of each part on; with these a part knows where it would end
-for each state that it may begin in, which gives the states at all ends, and the choices are made inside
-the parts. Nothing needs a conversation in one task, and the result doesn't depend on the parts.
+Matrices combine by the (min, +) product, so a conversation of any length may lie over many tasks: it is cut into blocks,
+every task multiplies the matrices of its block, and the blocks' few numbers give the state before and the costs behind
+each (blocks.py). The choices are made inside the blocks. Nothing needs a conversation in one task or on the driver,
+and the result doesn't depend on the blocks.
 
 Rendering is by turn as well: each row carries the text that it adds to its conversation, and the
 conversation is these in their order (conversations()).
 
 Defined results: roles are compared in lower case without outer blanks; null and unknown roles fit
-nothing and are relabelled at UNKNOWN. A null text is empty. Turns are ordered by (turn, role, hash of
+nothing and are relabelled at UNKNOWN. A null text is empty; a very long one is a block with what comes before it. Turns are ordered by (turn, role, hash of
 the text), nulls first; repeated rows are turns of their own. Rows with a null conv_id form a conversation. An
 empty table gives no rows. Other columns are ignored.
 """
@@ -33,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from . import blocks
+from .common import checkpoint, slices, table
 
 ROLES = ("system", "user", "assistant")
 #: Costs: joining a turn to the one before, another role, a role for an unknown one, an empty turn.
 MERGE, RELABEL, UNKNOWN, INSERT = 2, 5, 1, 4
 #: What turns look like, and what stands between merged texts.
 HEAD, TAIL, JOINT = "<|{role}|>\n", "<|end|>\n", "\n\n"
-_NEVER = 1 << 40
+_NEVER = blocks.NEVER
 #: The state after a role (1 to 3), and the roles that may follow a state; a state's own role merges.
 _NEXT = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 #: Turns that are taken at once within a part.
@@ -143,115 +143,37 @@ def _role(name: str | None) -> int:
 
 # ---- on Spark -------------------------------------------------------------------------
 
-#: Bytes of text that a part has about, which a task holds at once.
-PART_BYTES = 16 << 20
-
-
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int | None], pa.RecordBatch]]:
-    """Stretches of a batch of sorted rows with the same (part, conv_id)."""
-    keys = list(zip(batch.column("part").to_pylist(), batch.column("conv_id").to_pylist(), strict=True))
-    a = 0
-    for b in range(1, len(keys) + 1):
-        if b == len(keys) or keys[b] != keys[a]:
-            yield keys[a], batch.slice(a, b - a)
-            a = b
-
-
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int | None], list[pa.RecordBatch]]]:
-    """The whole stretch of each conversation in a task's part; a part has a bounded size."""
-    key, waiting = None, []
-    for batch in batches:
-        for k, run in _runs(batch):
-            if waiting and k != key:
-                yield key, waiting
-                waiting = []
-            key = k
-            waiting.append(run)
-    if waiting:
-        yield key, waiting
-
-
-def _roles_of(runs: list[pa.RecordBatch]) -> np.ndarray:
-    return np.array([_role(r) for b in runs for r in b.column("role").to_pylist()], np.int64)
-
-
-def _sorted(turns: DataFrame) -> DataFrame:
-    """Rows in their order, each with its part (partition) and its place; a part holds about PART_BYTES of text."""
-    size = turns.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(100))).first()[0] or 0
-    parts = max(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
-    ).withColumns({"_h": F.xxhash64("text"), "_r": F.monotonically_increasing_id()})
-    order = ["conv_id", "turn", "role", "_h", "_r"]
-    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_h", "_r")
-    return checkpoint(
-        rows.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
-    )
-
-
-def _ends(rows: DataFrame) -> list:
-    """For the first and last conversation of each part the matrix of its turns there."""
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
-        for (part, conv), runs in _stretches(batches):
-            one = (part, conv, product(_roles_of(runs)).ravel())
-            # a task may read several parts, one after the other
-            if len(kept) > 1 and kept[-1][0] == part and kept[-2][0] == part:
-                kept[-1] = one
-            else:
-                kept.append(one)
-        part, conv, m = zip(*kept, strict=True) if kept else ((), (), ())
-        arrays = [pa.array(part, pa.int32()), pa.array(conv, pa.int64()), pa.array(list(m), pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, ["part", "conv_id", "m"])
-
-    found = rows.select("part", "conv_id", "role").mapInArrow(ends, "part int, conv_id long, m array<long>")
-    return found.collect()  # two rows of sixteen numbers for each partition
-
-
-def _spread(rows: DataFrame) -> dict[tuple[int, int | None], tuple]:
-    """For each part of a conversation that lies over several: (state before, costs ahead, is it the
-    first part, is it the last)."""
-    by: dict[int | None, list[tuple[int, np.ndarray]]] = {}
-    for r in _ends(rows):
-        by.setdefault(r["conv_id"], []).append((r["part"], np.array(r["m"], np.int64).reshape(4, 4)))
-    by = {c: sorted(parts, key=lambda x: x[0]) for c, parts in by.items() if len(parts) > 1}
-    if not by:
-        return {}
-    ahead: dict[tuple[int, int | None], np.ndarray] = {}
-    for conv, parts in by.items():
-        costs = _CLOSE
-        for part, m in reversed(parts):
-            ahead[part, conv] = costs
-            costs = np.minimum((m + costs).min(axis=1), _NEVER)
-
-    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, conv, to = [], [], []
-        for key, runs in _stretches(batches):
-            if key in ahead:
-                roles = _roles_of(runs)
-                reach = product(roles)
-                part.append(key[0])
-                conv.append(key[1])
-                # where it ends from each state; a state that leads nowhere stays
-                to.append([repair(roles, s, ahead[key])[-1][0] if (reach[s] < _NEVER).any() else s for s in range(4)])
-        arrays = [pa.array(part, pa.int32()), pa.array(conv, pa.int64()), pa.array(to, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(arrays, ["part", "conv_id", "to"])
-
-    found = rows.select("part", "conv_id", "role").mapInArrow(exits, "part int, conv_id long, to array<int>")
-    to = {(r["part"], r["conv_id"]): r["to"] for r in found.collect()}
-    out = {}
-    for conv, parts in by.items():
-        s = 0
-        for i, (part, _) in enumerate(parts):
-            out[part, conv] = (s, ahead[part, conv], i == 0, i == len(parts) - 1)
-            s = to[part, conv][s]
-    return out
+def _codes(roles: list[str | None]) -> bytes:
+    return bytes(map(_role, roles))
+
+
+def _numbers(codes: bytes) -> np.ndarray:
+    return np.frombuffer(codes, np.uint8).astype(np.int64)
+
+
+def _crossing(codes: bytes) -> list[int]:
+    return product(_numbers(codes)).ravel().tolist()
+
+
+def _exits(codes: bytes, ahead: tuple[int, ...]) -> list[int]:
+    roles, costs = _numbers(codes), np.array(ahead, np.int64)
+    reach = np.minimum((product(roles) + costs).min(axis=1), _NEVER)
+    # a state that leads nowhere stays
+    return [repair(roles, s, costs)[-1][0] if reach[s] < _NEVER else s for s in range(4)]
+
+
+def _sorted(turns: DataFrame, block: int) -> DataFrame:
+    """All turns, those of a block together and in order."""
+    rows = blocks.numbered(turns, F.col("role"), F.col("text")).withColumn("_size", blocks.size_of(F.col("text"))).drop("sha")
+    rows = checkpoint(blocks.with_blocks(rows, "_size", block).drop("_size"))
+    plan = blocks.plans(rows, "role", _codes, _crossing, _exits, tuple(_CLOSE.tolist()))
+    return blocks.planned(rows, plan)
 
 
-_OUT = "conv_id long, turn long, role string, action string, inserted array<string>, rendered string, part int, place long"
-_NAMES = [c.split()[0] for c in _OUT.split(", ")]
-_KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int64())
+_OUT = "g string, turn long, role string, action string, inserted array<string>, rendered string, part long, place long"
+_SCHEMA = pa.schema(list(zip(
+    [c.split()[0] for c in _OUT.split(", ")], (pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64()), strict=True
+)))
 
 
 def _empty(path: tuple[int, ...]) -> str:
@@ -273,33 +195,34 @@ def render(
     return out
 
 
-def formatted(turns: DataFrame) -> DataFrame:
+def formatted(turns: DataFrame, block: int = blocks.BLOCK) -> DataFrame:
     """One row for each row of turns: conv_id, turn, role (the repaired one), action (keep, merge, relabel,
     or relabel and merge), inserted (the roles of empty turns before it), rendered (the text that it adds to
     its conversation, for the last one with all that closes it), and the order (part, place)."""
-    rows = _sorted(turns)
-    spread = rows.sparkSession.sparkContext.broadcast(_spread(rows))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for key, runs in _stretches(batches):
-            first, ahead, begins, ends = spread.value.get(key, (0, _CLOSE, True, True))
-            column = lambda name: [v for b in runs for v in b.column(name).to_pylist()]  # noqa: B023, E731
-            made = render(_roles_of(runs), column("text"), first, ahead, begins, ends)
-            for turn, part, place, one in zip(column("turn"), column("part"), column("place"), made, strict=True):
-                out.append((key[1], turn, *one, part, place))
+        some = (x for b in batches for x in slices(b))
+        for (g, part), run in blocks.runs(some, ["g", "block"], ["i", "turn", "role", "text", "state", "ahead", "last"]):
+            i, turn, role, text, state, ahead, last = zip(*run, strict=True)
+            alone = state[0] is None
+            costs = _CLOSE if alone else np.array(ahead[0], np.int64)
+            begins, ends = alone or i[0] == 0, alone or last[0]
+            made = render(_numbers(_codes(list(role))), list(text), 0 if alone else state[0], costs, begins, ends)
+            out += [(g, t, *one, part, k) for t, one, k in zip(turn, made, i, strict=True)]
             if len(out) >= 2_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], _NAMES)
+                yield blocks.batch(out, _SCHEMA)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], _NAMES)
+            yield blocks.batch(out, _SCHEMA)
 
-    return rows.mapInArrow(emit, _OUT)
+    rows = _sorted(turns, block).mapInArrow(emit, _OUT)
+    return rows.select(blocks.conv_id(), *[c for c in rows.columns if c != "g"])
 
 
-def conversations(turns: DataFrame) -> DataFrame:
+def conversations(turns: DataFrame, block: int = blocks.BLOCK) -> DataFrame:
     """conv_id and the whole rendered text of each conversation (which one row has to hold)."""
-    rows = formatted(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "place", "rendered"))).alias("r"))
+    rows = formatted(turns, block).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "place", "rendered"))).alias("r"))
     return rows.select("conv_id", F.array_join("r.rendered", "").alias("text"))
 
 

@@ -7,13 +7,10 @@ the nodes in the order of their distances to a legal end: a list for each distan
 walk then takes, of the arcs that are tight (an arc's cost and the distance behind it make the distance before it),
 the one whose letter comes first: that is the ASCII-least of all cheapest audits.
 
-A conversation may be longer than a task can hold. Turns are numbered where they lie after a sort by range, and cut into
-blocks of a bounded size. For a conversation of several blocks each block says what it costs to come from each state
-before it to each one after it; from the last block on these costs add up to the distances behind each block, with
-which a block knows where the walk leaves it for every state that it may enter it in. Only these few numbers of each
-block meet in one task, through which they stream. Then all blocks walk on their own. Earlier turns with the same
-role and text are found by an aggregation, neighbours by ordinals. The digest of a repaired text is the one thing that has
-to be made in order: the blocks of a conversation stream through one task for it, which holds one at a time.
+A conversation may be longer than a task can hold: it is cut into blocks, of which each knows the state that it is entered
+in and the distances behind it (blocks.py), and walks on its own. Earlier turns with the same role and text are found
+by an aggregation, neighbours by ordinals. The digest of a repaired text is the one thing that has to be made in order:
+the blocks of a conversation stream through one task for it, which holds one at a time.
 
 Defined results: turns are ordered by turn, nulls first, then by role and text; equal rows are turns of their own. Null
 roles and texts are one space each. A role is known by its first character, and only by the letters s, u and a. Very
@@ -28,19 +25,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import series
+from . import blocks
 from .common import checkpoint, slices, table
 
 #: Costs of the edits, and of a truncated turn that stays (fixed values).
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 2, 3, 2, 1
-#: Bytes of a block, and what a turn counts besides its text.
-BLOCK, TURN = 4 << 20, 256
+#: Bytes of a block.
+BLOCK = blocks.BLOCK
 ROLES = {1: "system", 2: "user", 3: "assistant"}
 BLANK, CUT = "[^\\x20\\x09-\\x0D]", "[.!?][\\x20\\x09-\\x0D]*\\z"
-_NEVER = 1 << 50
+_NEVER = blocks.NEVER
 #: States: 0 at the start, then the role of the last turn. The state after an inserted or re-roled turn, and after a
 #: kept one of each role; what it costs to end.
 _NEXT = (2, 2, 3, 2)
@@ -153,122 +151,46 @@ def applied(letters: str, turns: bytes, state: int = 0) -> Iterator[tuple[str, i
 
 
 def _ordered(turns: DataFrame) -> DataFrame:
-    """(g, i, turn, role, text): g tells conversations apart, i is a turn's place in its own."""
-    rows = turns.select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")).alias("g"),
-        F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit(" ")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit(" ")).alias("text"),
-    )
-    rows = rows.withColumns({"_has": F.col("turn").isNotNull(), "_sha": F.sha2("text", 256), "_row": F.monotonically_increasing_id()})
-    return series.ordinals(rows, ["g"], ["_has", "turn", "role", "_sha", "_row"]).drop("_has", "_row")
+    """(g, i, turn, role, text, sha) of each turn; nulls are one space."""
+    return blocks.numbered(turns, F.coalesce(F.col("role").cast("string"), F.lit(" ")), F.coalesce(F.col("text").cast("string"), F.lit(" ")))
 
 
 def _told(ordered: DataFrame) -> DataFrame:
     """(g, i, turn, t, fault, illegal, block) of each turn, written down; t is the number that stands for the turn."""
-    size = F.octet_length("text") + F.lit(TURN)
     rows = ordered.select(
-        "g", "i", "turn", "role", "_sha", F.substring("role", 1, 1).alias("_r"), size.alias("_size"),
+        "g", "i", "turn", "role", "sha", F.substring("role", 1, 1).alias("_r"), blocks.size_of(F.col("text")).alias("_size"),
         (~F.col("text").rlike(BLANK)).alias("_blank"), (~F.col("text").rlike(CUT)).alias("_cut"),
     )
-    rows = series.prefix_sums(series.previous(rows, ["g"], {"_was": "_r"}), ["g"], {"_sum": "_size"})
-    first = rows.groupBy(F.col("g").alias("_g"), F.col("role").alias("_role"), F.col("_sha").alias("_s")).agg(F.min("i").alias("_first"))
-    rows = rows.join(first, (F.col("g") == F.col("_g")) & (F.col("role") == F.col("_role")) & (F.col("_sha") == F.col("_s")))
+    rows = blocks.with_blocks(series.previous(rows, ["g"], {"_was": "_r"}), "_size", BLOCK)
+    first = rows.groupBy(F.col("g").alias("_g"), F.col("role").alias("_role"), F.col("sha").alias("_s")).agg(F.min("i").alias("_first"))
+    rows = rows.join(first, (F.col("g") == F.col("_g")) & (F.col("role") == F.col("_role")) & (F.col("sha") == F.col("_s")))
     fault = F.when(F.col("_blank"), "blank").when(F.col("i") > F.col("_first"), "duplicate").when(F.col("_cut"), "truncated")
     role = F.when(F.col("_r") == "s", 1).when(F.col("_r") == "u", 2).when(F.col("_r") == "a", 3).otherwise(0)
     more = F.when(fault.isin("blank", "duplicate"), _GONE).when(fault == "truncated", _CUT).otherwise(0)
     illegal = F.col("_was").isNotNull() & ~F.concat("_was", "_r").isin("su", "ua", "au")
-    block = F.floor(F.col("_sum") / BLOCK)
-    return checkpoint(rows.select("g", "i", "turn", (role + more).alias("t"), fault.alias("fault"), illegal.alias("illegal"), block.alias("block")))
-
-
-def _runs(batches: Iterator[pa.RecordBatch], by: list[str], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """The rows of each stretch with the same values of by; rows come sorted."""
-    key, held = None, []
-    for b in batches:
-        for k, row in zip(zip(*(b.column(c).to_pylist() for c in by), strict=True), zip(*(b.column(c).to_pylist() for c in columns), strict=True), strict=True):
-            if held and k != key:
-                yield key, held
-                held = []
-            key = k
-            held.append(row)
-    if held:
-        yield key, held
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-def _plans(told: DataFrame) -> DataFrame:
-    """(g, block, state, ahead, last) of the blocks of conversations that have several: the state before a block and
-    the distances behind it."""
-    several = told.groupBy("g").agg(F.max("block").alias("blocks"), F.min("block").alias("least")).where("blocks > least").select("g")
-    rows = checkpoint(told.join(checkpoint(several), "g", "left_semi").select("g", "block", "i", "t"))
-    numbers = pa.list_(pa.int64())
-    a_block = pa.schema([("g", pa.string()), ("block", pa.int64()), ("m", numbers)])
-
-    def of_block(df: DataFrame, *columns: str) -> DataFrame:
-        return df.select("g", "block", "i", "t", *columns).repartition("g", "block").sortWithinPartitions("g", "block", "i")
-
-    def crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (g, block), run in _runs(batches, ["g", "block"], ["t"]):
-            turns = bytes(t for (t,) in run)
-            ends = [distances(turns, tuple(0 if q == e else _NEVER for q in range(4)))[:4] for e in range(4)]
-            yield _batch([(g, block, [ends[e][q] for q in range(4) for e in range(4)])], a_block)
-
-    def behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, costs = None, CLOSE
-        for b in batches:
-            out = []
-            for one, block, m in zip(*(b.column(c).to_pylist() for c in ("g", "block", "m")), strict=True):
-                last = one != g
-                g, costs = one, CLOSE if last else costs
-                out.append((g, block, list(costs), last))
-                costs = tuple(min(min(m[4 * q + e] + costs[e] for e in range(4)), _NEVER) for q in range(4))
-            if out:
-                yield _batch(out, pa.schema([*list(a_block)[:2], ("ahead", numbers), ("last", pa.bool_())]))
-
-    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (g, block), run in _runs(batches, ["g", "block"], ["t", "ahead", "last"]):
-            turns = bytes(x[0] for x in run)
-            found = distances(turns, tuple(run[0][1]))
-            to = [walk(turns, found, q)[1] if found[q] < _NEVER else q for q in range(4)]
-            yield _batch([(g, block, to, run[0][1], run[0][2])], pa.schema([*list(a_block), ("ahead", numbers), ("last", pa.bool_())]))
-
-    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, state = None, 0
-        for b in batches:
-            out = []
-            for one, block, m, ahead, last in zip(*(b.column(c).to_pylist() for c in ("g", "block", "m", "ahead", "last")), strict=True):
-                g, state = one, state if one == g else 0
-                out.append((g, block, state, ahead, last))
-                state = m[state]
-            if out:
-                yield _batch(out, pa.schema([*list(a_block)[:2], ("state", pa.int32()), ("ahead", numbers), ("last", pa.bool_())]))
+    return checkpoint(rows.select("g", "i", "turn", (role + more).alias("t"), fault.alias("fault"), illegal.alias("illegal"), "block"))
+
 
-    m = of_block(rows).mapInArrow(crossings, "g string, block long, m array<long>")
-    m = m.repartition("g").sortWithinPartitions("g", F.col("block").desc()).mapInArrow(behind, "g string, block long, ahead array<long>, last boolean")
-    to = of_block(rows.join(checkpoint(m), ["g", "block"]), "ahead", "last")
-    to = to.mapInArrow(exits, "g string, block long, m array<long>, ahead array<long>, last boolean")
-    to = to.repartition("g").sortWithinPartitions("g", "block")
-    return checkpoint(to.mapInArrow(entered, "g string, block long, state int, ahead array<long>, last boolean"))
+def _crossing(turns: bytes) -> list[int]:
+    ends = [distances(turns, tuple(0 if q == e else _NEVER for q in range(4)))[:4] for e in range(4)]
+    return [ends[e][q] for q in range(4) for e in range(4)]
+
+
+def _exits(turns: bytes, ahead: tuple[int, ...]) -> list[int]:
+    found = distances(turns, ahead)
+    return [walk(turns, found, q)[1] if found[q] < _NEVER else q for q in range(4)]
 
 
 def _blocks(ordered: DataFrame, told: DataFrame) -> DataFrame:
     """All turns, those of a block together and in order, with what a block has to know."""
     rows = ordered.select("g", "i", "role", "text").join(told.select("g", "i", "t", "block"), ["g", "i"])
-    plans = _plans(told)
-    rows = rows.join(plans, ["g", "block"], "left") if not plans.isEmpty() else rows.select(
-        "*", F.lit(None).cast("int").alias("state"), F.lit(None).cast("array<long>").alias("ahead"), F.lit(None).cast("boolean").alias("last")
-    )
-    return rows.repartition("g", "block").sortWithinPartitions("g", "block", "i")
+    return blocks.planned(rows, blocks.plans(told, "t", bytes, _crossing, _exits, CLOSE))
 
 
 def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(g, block, is it the whole conversation, rows, turns, letters, state before) of each block."""
     some = (x for b in batches for x in slices(b))
-    for (g, block), run in _runs(some, ["g", "block"], ["i", "role", "text", "t", "state", "ahead", "last"]):
+    for (g, block), run in blocks.runs(some, ["g", "block"], ["i", "role", "text", "t", "state", "ahead", "last"]):
         turns = bytes(x[3] for x in run)
         state, ahead, last = run[0][4:]
         alone = state is None
@@ -296,15 +218,11 @@ def repaired(turns: DataFrame) -> DataFrame:
                 name = None if x == "D" else run[place][1] if x == "K" else ROLES[role]
                 text = None if x == "D" else "" if place is None else run[place][2]
                 out.append((g, block, k, x, name, text, None if place is None else run[place][0]))
-            yield _batch(out, schema)
+            yield blocks.batch(out, schema)
 
     ordered = _ordered(turns)
     rows = _blocks(ordered, _told(ordered)).mapInArrow(emit, "g string, block long, place long, edit string, role string, text string, i long")
-    return rows.select(_conv_id(), "block", "place", "edit", "role", "text", "i")
-
-
-def _conv_id() -> Column:
-    return F.when(F.col("g") != " ", F.col("g")).cast("long").alias("conv_id")
+    return rows.select(blocks.conv_id(), "block", "place", "edit", "role", "text", "i")
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -326,10 +244,10 @@ def audited(turns: DataFrame) -> DataFrame:
             out.append((g, block, cost_of(letters, codes), letters, digest, None if alone or not lines else text))
             size += 0 if alone else len(text)
             if len(out) >= 1_000 or size > BLOCK:
-                yield _batch(out, one)
+                yield blocks.batch(out, one)
                 out, size = [], 0
         if out:
-            yield _batch(out, one)
+            yield blocks.batch(out, one)
 
     made = checkpoint(_blocks(ordered, told).mapInArrow(emit, "g string, block long, cost long, audit string, digest string, lines string"))
 
@@ -339,13 +257,13 @@ def audited(turns: DataFrame) -> DataFrame:
             for one, lines in zip(b.column("g").to_pylist(), b.column("lines").to_pylist(), strict=True):
                 if one != g:
                     if g is not None:
-                        yield _batch([(g, sha.hexdigest())], whole)
+                        yield blocks.batch([(g, sha.hexdigest())], whole)
                     g, sha, empty = one, hashlib.sha256(), True
                 if lines is not None:
                     sha.update((("" if empty else "\n") + lines).encode("utf-8", "surrogatepass"))
                     empty = False
         if g is not None:
-            yield _batch([(g, sha.hexdigest())], whole)
+            yield blocks.batch([(g, sha.hexdigest())], whole)
 
     whole = pa.schema([("g", pa.string()), ("digest", pa.string())])
     parts = made.where("digest IS NULL")
@@ -360,7 +278,7 @@ def audited(turns: DataFrame) -> DataFrame:
     gaps = F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count("turn"), F.lit(0))
     stats = turns_.groupBy("g").agg(gaps.alias("gaps"), *[F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated", "illegal")])
     out = stats.join(out, "g")
-    return out.select(_conv_id(), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.col("digest").alias("repaired_sha256"))
+    return out.select(blocks.conv_id(), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.col("digest").alias("repaired_sha256"))
 
 
 def damaged(turns: DataFrame) -> DataFrame:

@@ -87,8 +87,8 @@ def test_rendering():
     )
 
 
-@pytest.mark.parametrize("partitions", ["1", "7"])
-def test_hot_conversation_over_many_parts(spark, partitions):
+@pytest.mark.parametrize(("partitions", "block"), [("1", 1 << 22), ("7", 700), ("7", 90_000)])
+def test_hot_conversation_over_many_blocks(spark, partitions, block):
     rng = random.Random(9)
     names = ["system", "user", "assistant", None, "tool"]
     rows = [(7, i, rng.choice(names), f"t{i}") for i in range(3000)]
@@ -98,7 +98,7 @@ def test_hot_conversation_over_many_parts(spark, partitions):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-        got = {r["conv_id"]: r["text"] for r in chat.conversations(df).collect()}
+        got = {r["conv_id"]: r["text"] for r in chat.conversations(df, block).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -108,6 +108,14 @@ def test_hot_conversation_over_many_parts(spark, partitions):
     assert got == {c: whole([(r, t) for _, r, t in sorted(v, key=lambda x: x[0])]) for c, v in by.items()}
 
 
+def test_very_long_texts(spark):
+    turns = [("user", "long " * 300_000), ("assistant", None), ("assistant", "x" * 5_000_000), ("user", "bye")]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    (got,) = chat.conversations(df, 1 << 20).collect()
+    assert got["text"] == whole(turns)
+    assert len({r["part"] for r in chat.formatted(df, 1 << 20).collect()}) > 1
+
+
 def test_repeated_rows_and_extra_columns(spark):
     rows = [(1, 0, "user", "a", "p")] * 300 + [(1, 1, "assistant", "b", "q")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place string")
