@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
 from ..operators import series
-from ..session import checkpoint
 from ..sources import delimited
 from . import ledger, proof, story, verify
 from .queries_series import _PCT, load, longs, r
@@ -273,15 +272,18 @@ def metric_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("order_count"), F.count_distinct(key).alias("buyers"), F.avg(key).alias("mean_key"), F.max("o_orderkey").alias("last_key"),
         F.stddev_samp(price).alias("price_range"), F.min("o_orderpriority").alias("priority"), F.min(key).alias("first_key"),
     )
-    table = delimited.from_frame(checkpoint(months.withColumn("row_id", F.unix_date("month"))), "row_id", "orders")
+    rows = months.orderBy("month").collect()  # a row for each month
+    source = "\n".join([",".join(months.columns), *(",".join(map(str, x)) for x in rows)])
     asked, signer = "total_price?", proof.new_signer(spark)
-    made = story.create(table, question=asked, signer=signer)
-    fresh = verify.recompute(spark, table, "orders", asked)
-    at = next(i for i, s in enumerate(made["scenes"]) if s["kind"] == "insight" and s["claim"]["metric"] == "total_price" and "secondaryMetric" not in s["claim"])
-    rows = []
+    table = delimited.from_text(spark, source, "orders")
+    made = story.create(table, source, asked, signer=signer)
+    fresh = verify.Recomputed([verify.fact_of(f) for f in made["facts"]], table.of_kind("number"))
+    fact = next(f for f in fresh.facts if f.columns == ["total_price"])
+    at = max(i for i, s in enumerate(made["scenes"]) if s["kind"] == "insight")
+    out = []
     for c in table.kinds:
-        scene = made["scenes"][at] | {"headline": "So it went", "body": f"Look at {c}."}
+        scene = {"kind": "insight", "headline": "So it went", "body": f"Look at {c}.", "factIds": [fact.id], "claim": story.claim(fact)}
         bare = {k: v for k, v in made.items() if k != "proof"} | {"scenes": [*made["scenes"][:at], scene, *made["scenes"][at + 1 :]]}
-        forged = bare | {"proof": proof.sign(table, bare, signer, "factloom")}
-        rows.append((c, verify.verify(spark, table, forged, {signer.public_key}, fresh=fresh).verdict))
-    return spark.createDataFrame(rows, "named string, verdict string")
+        forged = bare | {"proof": proof.sign(source, bare, signer, "factloom")}
+        out.append((c, verify.verify(spark, source, forged, {signer.public_key}, fresh=fresh).verdict))
+    return spark.createDataFrame(out, "named string, verdict string")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from ..functions.inference import t_critical, t_two_sided
+from ..functions.inference import critical, two_sided
 from ..functions.numbers import half_up
 from ..operators import groups, ordered, series, spread
+from ..streaming import moments
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 QUERIES: dict = {}
@@ -182,22 +181,12 @@ def trend_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CRIT = "(1.959963985 + (1.959963985 ** 3 + 1.959963985) / (4 * (n - 2)) + (5 * 1.959963985 ** 5 + 16 * 1.959963985 ** 3 + 3 * 1.959963985) / (96 * (n - 2) ** 2))"
 
 
-@F.pandas_udf(DoubleType())
-def _critical(df: pd.Series) -> pd.Series:
-    return df.map(t_critical)
-
-
-@F.pandas_udf(DoubleType())
-def _two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided(a, b) for a, b in zip(t, df, strict=True)])
-
-
 @query(
     f"""WITH {_MONTHLY}, {_LINE} SELECT n - 2 AS df, {r('se', 4)} AS se, {r('slope / nullif(se, 0)', 6)} AS t,
       {r(f'slope - {_CRIT} * se')} AS low, {r(f'slope + {_CRIT} * se')} AS high FROM tested"""
 )
 def trend_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = ordered.trend(monthly(spark, sf_dir), []).withColumn("c", _critical(F.col("df").cast("double")))
+    t = ordered.trend(monthly(spark, sf_dir), []).withColumn("c", critical(F.col("df")))
     t = t.select("df", "se", "t", (F.col("slope") - F.col("c") * F.col("se")).alias("low"), (F.col("slope") + F.col("c") * F.col("se")).alias("high"))
     return rounded(rounded(rounded(t, 4, "se"), 6, "t"), 2, "low", "high")
 
@@ -213,7 +202,20 @@ _SIMPSON = """(1 - 2 * (SELECT sum((CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k %
 )
 def trend_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ordered.trend(monthly(spark, sf_dir), [])
-    return t.select(half_up(_two_sided("t", F.col("df").cast("double")), 5).alias("p"))
+    return t.select(half_up(two_sided(F.col("t"), F.col("df")), 5).alias("p"))
+
+
+@query(
+    f"""WITH s AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+    line AS (SELECT user_id, count(*) AS n, covar_pop(v, i) AS c, var_pop(i) AS vx, var_pop(v) AS vy FROM s GROUP BY 1),
+    tested AS (SELECT user_id, n, CAST(n - 2 AS DOUBLE) AS df, abs(c / vx / sqrt(greatest(0, vy - c * c / vx) / (n - 2) / vx)) AS t FROM line WHERE n >= 5)
+    SELECT user_id, n, {r('t', 6)} AS t, {r(_SIMPSON, 7)} AS p FROM tested"""
+)
+def user_trend_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trend of each user's values, tested: p-values of as many series as there are users."""
+    rows = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("value").alias("v"))
+    t = ordered.trend(series.ordinals(rows, ["user_id"], ["ts", "event_id"]), ["user_id"]).where(F.col("n") >= ordered.TREND_POINTS)
+    return t.select("user_id", "n", half_up(F.abs("t"), 6).alias("t"), half_up(two_sided(F.col("t"), F.col("df")), 7).alias("p"))
 
 
 def _change_sql(series_sql: str, by: str) -> str:
@@ -345,3 +347,29 @@ def line_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = series.ordinals(rows.withColumns({"label": F.col("at"), "row_id": F.unix_date("at").cast("long")}), [], ["at"])
     out = groups.thinned_line(rows, most=120)
     return rounded(out.select(F.col("bucket").cast("long").alias("bucket"), "v", F.col("label").alias("at")), 2, "v")
+
+
+# ---- states of days -------------------------------------------------------------------
+
+
+@query(
+    f"""WITH e AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events)
+    SELECT event_type, count(*) AS n, {r('covar_pop(v, i) / var_pop(i)', 8)} AS slope, {r('covar_pop(v, i) ** 2 / var_pop(i) / var_pop(v)', 8)} AS r2,
+      {r('avg(v)', 6)} AS mean, {r('arg_min(v, i)', 6)} AS "first", {r('arg_max(v, i)', 6)} AS "last" FROM e GROUP BY 1"""
+)
+def merged_day_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trends of whole series from the merged states of their days."""
+    days = moments.day_states(load(spark, sf_dir, "events"), ["event_type"], "ts", "event_id", "value")
+    out = moments.trends(moments.merged(days, ["event_type"], moved=True), ["event_type"])
+    out = out.select("event_type", "n", "slope", "r2", "mean", "first", "last")
+    return rounded(rounded(out, 8, "slope", "r2"), 6, "mean", "first", "last")
+
+
+@query(
+    f"""SELECT l_returnflag, count(*) AS n, {r('corr(l_quantity, l_extendedprice)', 8)} AS r FROM lineitem GROUP BY 1"""
+)
+def merged_day_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations from the merged co-moments of days."""
+    lines = load(spark, sf_dir, "lineitem").withColumn("day", F.to_date("l_shipdate"))
+    days = moments.states(lines, ["l_returnflag", "day"], "l_quantity", "l_extendedprice")
+    return rounded(moments.correlations(moments.merged(days, ["l_returnflag"]), ["l_returnflag"]).drop("p"), 8, "r")

@@ -64,10 +64,15 @@ def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("passes_gate", (F.abs(F.col("r")) >= groups.CORRELATED) & (F.col("n") >= groups.CORRELATED_PAIRS))
 
 
-@query("SELECT 'x' AS a, 'c' AS b, 0.0::DOUBLE AS r, 5::BIGINT AS n")
+@query("SELECT 'o_totalprice' AS a, 'same' AS b, 0.0::DOUBLE AS r, count(*) AS n FROM orders UNION ALL SELECT 'o_totalprice', 'two', 0.0, 2 FROM (SELECT max(o_orderkey) FROM orders)")
 def correlation_constant_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.range(5).select(F.col("id").cast("double").alias("x"), F.lit(7.0).alias("c"))
-    return groups.correlations(df, ["x", "c"])
+    """A constant column, and one of which all but two rows are null, correlate with nothing."""
+    orders = load(spark, sf_dir, "orders")
+    ends = orders.agg(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))  # one row
+    df = orders.crossJoin(F.broadcast(ends)).select(
+        "o_totalprice", (F.col("o_orderkey") * 0 + 7).cast("double").alias("same"), F.when(F.col("o_orderkey").isin(F.col("low"), F.col("high")), F.col("o_orderkey")).alias("two")
+    )
+    return groups.correlations(df, ["o_totalprice", "same", "two"]).where(F.col("a") == "o_totalprice")
 
 
 def _revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,26 +178,66 @@ _DATE_CASES = [
 _NULL_CASES = ["", "  ", "null", "NULL", "NA", "n/a", "N/A", "none", "0", "nan", "-", None]
 
 
-def _frame(spark: SparkSession, cells: list[str | None]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(cells)), "k long, x string")
+#: Numbers as they are written, by the order's key: the text in Spark and in SQL (of k and q), and its value.
+_NUMBER_FORMS = [
+    ("concat('$', k, ',', lpad(q, 3, '0'), '.5')", "k * 1000 + q + 0.5"), ("concat(q, '%')", "q"), ("concat('(', q, ')')", "-q"), ("concat('€', q, '.25')", "q + 0.25"),
+    ("concat('abc', q)", "NULL"), ("concat(k, '_', '000')", "k * 1000"), ("concat('-$', q)", "NULL"), ("concat('$-', q)", "-q"), ("concat('(-', q, ')')", "q"),
+    ("concat(q, 'e3')", "q * 1000"), ("concat(q, 'e400')", "NULL"), ("concat(' ', q, 'f')", "NULL"), ("concat(k, ' ', lpad(q, 3, '0'))", "k * 1000 + q"),
+    ("concat('($', k, ',', lpad(q, 3, '0'), ')')", "-(k * 1000 + q)"), ("concat('.', q, '5')", "CAST(concat('0.', q, '5') AS DOUBLE)"), ("concat('--', q)", "NULL"), ("''", "NULL"),
+]
+_QUARTER = "CAST(floor((m + 2) / 3) AS INTEGER)"
+#: Dates as they are written (of y, m, d, the date t and its month's short name b).
+_DATE_FORMS = [
+    ("concat(y, '-', lpad(m, 2, '0'), '-', lpad(d, 2, '0'))", "t"), ("concat(y, '-', lpad(m, 2, '0'))", "make_date(y, m, 1)"), (f"concat(y, '-Q', {_QUARTER})", f"make_date(y, {_QUARTER} * 3 - 2, 1)"),
+    (f"concat('Q', {_QUARTER}, ' ', y)", f"make_date(y, {_QUARTER} * 3 - 2, 1)"), ("concat(m, '/', d, '/', y)", "t"), ("concat(d, '/', m, '/', y)", "CASE WHEN d > 12 THEN t ELSE make_date(y, d, m) END"),
+    ("concat(b, ' ', y)", "make_date(y, m, 1)"), ("concat(b, ' ', d, ', ', y)", "t"), ("concat(d, ' ', b, ' ', y)", "t"), ("concat(y, '-', lpad(m, 2, '0'), '-31')", "make_date(y, m, 1) + 30"),
+    ("concat(y, '-', lpad(m, 2, '0'), '-', lpad(d, 2, '0'), 'T23:59:59Z')", "t"), ("concat(y, '-13-', d)", "NULL"), ("concat('on ', d, '.', m, '.', y)", "NULL"), ("concat(y)", "make_date(y, 1, 1)"), ("concat(y, '.5')", "NULL"),
+]
+#: Texts that stand for nothing, and others.
+_NULL_FORMS = ["''", "'  '", "'NuLL'", "' na '", "'n/A'", "c_mktsegment", "'none'", "'0'", "concat('NA', c_custkey)", "NULL"]
+
+
+def _by_form(key: str, forms: list[str]) -> str:
+    return f"CASE {key} % {len(forms)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(forms)) + " END"
+
+
+def _strings(sql: str) -> str:
+    """The same text with its numbers cast, as SQL's lpad wants."""
+    for name in ("q", "m", "d"):
+        sql = sql.replace(f"lpad({name},", f"lpad(CAST({name} AS VARCHAR),")
+    return sql
 
 
-@query(f"SELECT CAST(k AS BIGINT) AS k, x, CAST(v AS DOUBLE) AS v FROM {values('k, x, v', [(i, *c) for i, c in enumerate(_NUMBER_CASES)])}")
+_ORDER_NUMBERS = "SELECT o_orderkey AS k, o_custkey % 999 + 1 AS q FROM orders"
+
+
+@query(f"SELECT k, {_by_form('k', [_strings(x) for x, _ in _NUMBER_FORMS])} AS x, CAST({_by_form('k', [v for _, v in _NUMBER_FORMS])} AS DOUBLE) AS v FROM ({_ORDER_NUMBERS})")
 def parse_number_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _frame(spark, [c for c, _ in _NUMBER_CASES]).withColumn("v", parse.parse_number(F.col("x")))
+    rows = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 999 + 1).alias("q"))
+    x = F.expr(_by_form("k", [x for x, _ in _NUMBER_FORMS]))
+    return rows.select("k", x.alias("x")).withColumn("v", parse.parse_number(F.col("x")))
 
 
-@query(f"SELECT CAST(k AS BIGINT) AS k, x, CAST(v AS DATE) AS v FROM {values('k, x, v', [(i, *c) for i, c in enumerate(_DATE_CASES)])}")
+@query(
+    f"""SELECT k, {_by_form('k', [_strings(x) for x, _ in _DATE_FORMS])} AS x, CAST({_by_form('k', [v for _, v in _DATE_FORMS])} AS DATE) AS v
+    FROM (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS t, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, strftime(o_orderdate, '%b') AS b FROM orders)"""
+)
 def parse_date_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _frame(spark, [c for c, _ in _DATE_CASES]).withColumn("v", parse.parse_date(F.col("x")))
+    at = F.col("o_orderdate")
+    rows = load(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"), F.year(at).alias("y"), F.month(at).alias("m"), F.day(at).alias("d"), F.date_format(at, "MMM").alias("b")
+    )
+    x = F.expr(_by_form("k", [x for x, _ in _DATE_FORMS]))
+    return rows.select("k", x.alias("x")).withColumn("v", parse.parse_date(F.col("x")))
 
 
 @query(
-    f"""SELECT CAST(k AS BIGINT) AS k, x, coalesce(lower(trim(x)) IN ('', 'null', 'na', 'n/a'), true) AS is_null
-    FROM {values('k, x', list(enumerate(_NULL_CASES)))}"""
+    f"""SELECT c_custkey AS k, x, coalesce(lower(trim(x)) IN ('', 'null', 'na', 'n/a'), true) AS is_null
+    FROM (SELECT c_custkey, {_by_form('c_custkey', _NULL_FORMS)} AS x FROM customer)"""
 )
 def null_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _frame(spark, _NULL_CASES).withColumn("is_null", parse.is_null_token(F.col("x")))
+    rows = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.expr(_by_form("c_custkey", _NULL_FORMS)).alias("x"))
+    return rows.withColumn("is_null", parse.is_null_token(F.col("x")))
 
 
 _VOTED = ("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
@@ -250,11 +295,24 @@ def number_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return story.audit_texts(_sentences(spark, sf_dir), allowed)
 
 
+#: Words that look like some of the lexicons but say nothing.
+_NEUTRAL = "stayed enterprise fallow lossless upwards grows-not gainful risky shrinkwrap"
+_WORDS = " ".join((prose.UP_WORDS, _NEUTRAL.replace("grows-not ", ""), prose.DOWN_WORDS)).split()
+
+
 @query(
-    f"""SELECT event_id AS text_id, CASE WHEN {_SENTENCE} LIKE '% rose %' THEN 'up' WHEN {_SENTENCE} LIKE '% fell %' THEN 'down' END AS direction FROM events"""
+    f"""WITH w AS (SELECT event_id, list_extract({_WORDS}, event_id % {len(_WORDS)} + 1) AS a, CASE WHEN event_id % 3 = 0 THEN list_extract({_WORDS}, event_id * 7 % {len(_WORDS)} + 1) ELSE '' END AS b FROM events),
+    d AS (SELECT event_id, list_contains({prose.UP_WORDS.split()}, a) OR list_contains({prose.UP_WORDS.split()}, b) AS up,
+      list_contains({prose.DOWN_WORDS.split()}, a) OR list_contains({prose.DOWN_WORDS.split()}, b) AS down FROM w)
+    SELECT event_id AS text_id, CASE WHEN up AND down THEN 'both' WHEN up THEN 'up' WHEN down THEN 'down' END AS direction FROM d"""
 )
 def direction_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sentences(spark, sf_dir).select("text_id", prose.direction_of(F.col("text")).alias("direction"))
+    """Each word of the lexicons, in any case, alone and with another one, in a sentence."""
+    i, words = F.col("event_id"), F.array(*map(F.lit, _WORDS))
+    word = lambda k: F.element_at(words, (k % len(_WORDS) + 1).cast("int"))
+    one = F.when(i % 2 == 0, F.upper(word(i))).otherwise(word(i))
+    text = F.concat(F.lit("it "), one, F.lit(", then "), F.when(i % 3 == 0, word(i * 7)).otherwise(""), F.lit("."))
+    return load(spark, sf_dir, "events").select(i.alias("text_id"), prose.direction_of(text).alias("direction"))
 
 
 @query(

@@ -246,7 +246,7 @@ def directed(spark):
     for way, values in (("up", [10, 12, 15, 19, 24, 31, 40]), ("down", [40, 31, 24, 19, 15, 12, 10])):
         text = "month,revenue\n" + "\n".join(f"2024-0{i + 1},{v}" for i, v in enumerate(values))
         made = story.create(delimited.from_text(spark, text, "demo"), text)
-        out[way] = made, {f["id"]: verify._fact(f) for f in made["facts"]}
+        out[way] = made, {f["id"]: verify.fact_of(f) for f in made["facts"]}
     return out
 
 

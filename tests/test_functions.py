@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,20 @@ def test_prose(spark):
     assert [one(spark, prose.direction_of(F.lit(t))) for t in ("it rose", "it fell", "it rose and fell", "it stayed")] == ["up", "down", "both", None]
     assert [one(spark, prose.mentions(F.lit(t), "mrr")) for t in ("the MRR.", "mrrx", "x mrr")] == [True, False, True]
     assert one(spark, prose.mentions(F.lit("a b"), "a")) is False
+
+
+def test_many_p_values_at_once(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate((rng.uniform(0.01, 40, 400), [0.5, 1.0, 2.0, 1000.0, 1e6]))
+    assert np.allclose(inference.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-13, atol=1e-12)
+    t = np.concatenate((rng.normal(0, 3, 500), [0.0, 1e-9, 50.0, np.inf, np.nan]))
+    df = np.concatenate((rng.integers(1, 3000, 500), [5, 5, 5, 5, 5])).astype(float)
+    want = [inference.t_two_sided(a, b) for a, b in zip(t.tolist(), df.tolist(), strict=True)]
+    assert np.abs(inference.t_two_sided_all(t, df) - want).max() < 1e-10
+    rows = [(float(a), float(b), 0.1 * (k % 20 - 10), k) for k, (a, b) in enumerate(zip(t[:40], df[:40], strict=True))] + [(None, None, 1.0, 2)]
+    frame = spark.createDataFrame(rows, "t double, df double, r double, n long")
+    got = frame.select(inference.two_sided(F.col("t"), F.col("df")).alias("p"), inference.critical(F.col("df")).alias("c"), inference.correlation_two_sided(F.col("r"), F.col("n")).alias("q")).collect()
+    for row, (a, b, r, n) in zip(got, rows, strict=True):
+        assert row["p"] == pytest.approx(inference.t_two_sided(a, b), abs=1e-10)
+        assert row["q"] == pytest.approx(inference.correlation_p(r, n), abs=1e-10)
+        assert row["c"] == pytest.approx(inference.t_critical(b) if b else 1.959963985)
