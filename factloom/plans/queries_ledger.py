@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
-from ..operators import series
+from ..operators import ordered, series
 from ..sources import delimited
 from . import ledger, proof, story, verify
 from .queries_series import _PCT, load, longs, r
@@ -210,6 +210,55 @@ def scene_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "scene long, id string, kind string, columns string, importance int")
 
 
+_NATION_SERIES = """WITH RECURSIVE months AS (SELECT c_nationkey AS nation, date_trunc('month', o_orderdate) AS month, sum(o_totalprice) AS total_price, avg(o_totalprice) AS mean_price,
+    CAST(count(*) AS DOUBLE) AS order_count, max(o_totalprice) AS top_price FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+  s AS (SELECT nation, metric, pos, v, row_number() OVER (PARTITION BY nation, metric ORDER BY month) - 1 AS i FROM
+    (SELECT nation, month, 'total_price' AS metric, 0 AS pos, total_price AS v FROM months UNION ALL SELECT nation, month, 'mean_price', 1, mean_price FROM months
+     UNION ALL SELECT nation, month, 'order_count', 2, order_count FROM months UNION ALL SELECT nation, month, 'top_price', 3, top_price FROM months)),
+  line AS (SELECT nation, metric, any_value(pos) AS pos, count(*) AS n, avg(v) AS mean, coalesce(stddev_samp(v), 0) AS sd, arg_min(v, i) AS a, arg_max(v, i) AS b,
+    greatest(0, coalesce(covar_pop(v, i) ** 2 / nullif(var_pop(i) * var_pop(v), 0), 0)) AS r2 FROM s GROUP BY 1, 2)"""
+_NATION_PCT = _PCT.format(a="a", b="b")
+
+
+@query(
+    f"""{_NATION_SERIES},
+    scored AS (SELECT nation, 3 * pos + 1 AS seq, 'trend' AS kind, metric, CASE WHEN {_NATION_PCT} BETWEEN -3 AND 3 THEN 24 ELSE {_clamp(f'48 + least(30, abs({_NATION_PCT}) / 4) + 18 * r2', 96)} END AS score FROM line WHERE n >= 5
+      UNION ALL SELECT nation, 3 * pos + 2, 'volatility', metric, {_clamp('28 + 18 * sd / abs(mean)', 62)} FROM line WHERE n >= 8 AND mean <> 0 AND sd / abs(mean) > 0.2
+      UNION ALL SELECT nation, 3 * pos + 3, 'extreme', metric, 20 FROM line WHERE n >= 3),
+    pool AS (SELECT nation, seq, kind, metric, CAST(floor(score + 0.5) AS BIGINT) AS importance, row_number() OVER (PARTITION BY nation ORDER BY floor(score + 0.5) DESC, seq) AS k FROM scored),
+    steps AS (SELECT DISTINCT nation, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS seqs, CAST([] AS VARCHAR[]) AS kinds, CAST([] AS VARCHAR[]) AS firsts FROM pool
+      UNION ALL SELECT pool.nation, pool.k, CASE WHEN fits THEN list_append(seqs, seq) ELSE seqs END, CASE WHEN fits THEN list_append(kinds, kind) ELSE kinds END,
+        CASE WHEN fits THEN list_append(firsts, metric) ELSE firsts END
+      FROM steps JOIN pool ON pool.nation = steps.nation AND pool.k = steps.k + 1,
+      LATERAL (SELECT len(seqs) < 7 AND len(list_filter(kinds, lambda x: x = kind)) < 2 AND len(list_filter(firsts, lambda x: x = metric)) < 3 AS fits)),
+    done AS (SELECT nation, arg_max(seqs, k) AS seqs FROM steps GROUP BY 1),
+    taken AS (SELECT pool.* FROM pool JOIN done ON pool.nation = done.nation AND list_contains(seqs, seq))
+    SELECT nation, CAST(row_number() OVER (PARTITION BY nation ORDER BY list_position({_ARC}, kind), importance DESC, seq) AS BIGINT) AS scene, seq, kind, metric, importance FROM taken"""
+)
+def nation_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scenes of every nation's ledger of monthly orders, all ledgers at once."""
+    both = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    price, names = F.col("o_totalprice"), ["total_price", "mean_price", "order_count", "top_price"]
+    months = both.groupBy(F.col("c_nationkey").alias("nation"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month")).agg(
+        F.sum(price).alias("total_price"), F.avg(price).alias("mean_price"), F.count(F.lit(1)).alias("order_count"), F.max(price).alias("top_price")
+    )
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for i, m in enumerate(names)]))
+    long = series.ordinals(months.select("nation", "month", pairs.alias("p")).select("nation", "month", "p.*"), ["nation", "metric"], ["month"])
+    line = long.groupBy("nation", "metric", "at").agg(*[c.alias(k) for k, c in ordered.trend_sums().items()], F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("sd"))
+    line, pct = ordered.trend_of(line), F.col("change_pct")
+    clamped = lambda x, high: F.greatest(F.lit(0.0), F.least(F.lit(float(high)), x))
+    cv = F.try_divide("sd", F.abs(F.col("mean")))
+    score = {
+        "trend": F.when(F.col("n") >= 5, F.when(pct.between(-3, 3), 24.0).otherwise(clamped(48 + F.least(F.lit(30.0), F.abs(pct) / 4) + 18 * F.col("r2"), 96))),
+        "volatility": F.when((F.col("n") >= 8) & (cv > 0.2), clamped(28 + 18 * cv, 62)),
+        "extreme": F.when(F.col("n") >= 3, F.lit(20.0)),
+    }
+    facts = F.explode(F.array(*[F.struct((3 * F.col("at") + k + 1).cast("long").alias("seq"), F.lit(kind).alias("kind"), F.floor(x + 0.5).alias("importance")) for k, (kind, x) in enumerate(score.items())]))
+    ledgers = line.select("nation", F.array("metric").alias("columns"), facts.alias("f")).select("nation", "columns", "f.*").where("importance IS NOT NULL")
+    out = story.scenes_of_ledgers(ledgers, ["nation"])
+    return longs(out.select("nation", "scene", "seq", "kind", F.get("columns", F.lit(0)).alias("metric"), "importance"), "scene", "importance")
+
+
 #: What is wrong with each case: another source, a broken proof or fact, a claim or text without support, no proof.
 _CASES = (
     ("untouched", 0, 0, 0, 0), ("without proof", 0, 0, 0, 1), ("other source", 1, 0, 0, 0), ("other source and key", 1, 1, 0, 0), ("other key", 0, 1, 0, 0),

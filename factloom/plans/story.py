@@ -15,7 +15,7 @@ from collections import Counter
 from collections.abc import Callable
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import display as show
@@ -91,6 +91,28 @@ def select_scenes(facts: list[Fact]) -> list[Fact]:
     return sorted(taken, key=lambda f: (ARC.index(f.kind) if f.kind in ARC else 5, -f.importance))
 
 
+def scenes_of_ledgers(facts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, scene, seq, kind, columns, importance): select_scenes() for any number of ledgers, whose facts are rows (by,
+    seq, kind, columns, importance). A ledger is folded once through its facts in their order; it has some hundred."""
+    fact = F.struct((-F.col("importance")).alias("rank"), "seq", "kind", "columns", F.coalesce(F.get("columns", F.lit(0)), F.lit("")).alias("first"), "importance")
+    pool = facts.where((F.col("kind") != "overview") & (F.col("importance") >= LEAST_IMPORTANCE)).groupBy(*by).agg(F.array_sort(F.collect_list(fact)).alias("pool"))
+
+    def took(taken, f):
+        same = lambda c: F.size(F.filter(taken, lambda x: x[c] == f[c]))
+        fits = (F.size(taken) < MOST_SCENES) & (same("kind") < PER_KIND) & (same("first") < PER_COLUMN)
+        return F.when(fits, F.concat(taken, F.array(f))).otherwise(taken)
+
+    taken = pool.withColumn("taken", F.aggregate("pool", F.slice("pool", 1, 0), took))
+    seqs = F.transform("taken", lambda x: x["seq"])
+    rest = F.filter("pool", lambda x: ~F.array_contains(seqs, x["seq"]))
+    taken = taken.withColumn("taken", F.concat("taken", F.slice(rest, F.lit(1), F.greatest(F.lit(0), F.lit(LEAST_SCENES) - F.size("taken")))))
+    place = F.array_position(F.array(*map(F.lit, ARC)), F.col("f.kind"))
+    arc = F.struct(F.when(place > 0, place - 1).otherwise(5), F.col("f.rank"), F.col("f.seq"))
+    # seven scenes at most for each ledger
+    rows = taken.select(*by, F.explode("taken").alias("f")).withColumn("scene", F.row_number().over(Window.partitionBy(*by).orderBy(arc)))
+    return rows.select(*by, "scene", "f.seq", "f.kind", "f.columns", "f.importance")
+
+
 def direction(f: Fact) -> str | None:
     """up, down or flat by a fact's values, never by its words; null for kinds without a direction."""
     if f.kind in ("trend", "streak", "delta"):

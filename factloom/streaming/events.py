@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import series
@@ -19,6 +19,15 @@ DAILY_QUOTA = 25
 REMEMBERED = "10 minutes"
 
 
+#: Most events of a key that one task puts in order.
+TOGETHER = 1_000_000
+
+
+def _largest(rows: DataFrame, keys: list[str]) -> int:
+    """The number of rows of the most frequent key."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def daily_hits(events: DataFrame, client: str = "user_id", ts: str = "ts", late: str | None = None) -> DataFrame:
     """(client, day, hits, over_quota): the hits of each client and UTC day; late sets a watermark."""
     if late:
@@ -29,9 +38,16 @@ def daily_hits(events: DataFrame, client: str = "user_id", ts: str = "ts", late:
 
 
 def admitted(events: DataFrame, client: str = "user_id", ts: str = "ts", order: str = "event_id", quota: int = DAILY_QUOTA) -> DataFrame:
-    """events with hit (from 1 in its client's day), remaining and allowed. Batch only."""
-    rows = series.ordinals(events.withColumn("_day", F.to_date(ts)), [client, "_day"], [ts, order], "hit")
-    out = rows.withColumn("hit", F.col("hit") + 1).drop("_day")
+    """events with hit (from 1 in its client's day), remaining and allowed. Batch only.
+
+    Where no day of a client has more than TOGETHER events a window numbers them; else days lie over several tasks.
+    """
+    rows = events.withColumn("_day", F.to_date(ts))
+    if _largest(rows, [client, "_day"]) <= TOGETHER:
+        order_ = Window.partitionBy(client, "_day").orderBy(F.col(ts).asc_nulls_last(), F.col(order).asc_nulls_last())
+        out = rows.withColumn("hit", F.row_number().over(order_).cast("long")).drop("_day")
+    else:
+        out = series.ordinals(rows, [client, "_day"], [ts, order], "hit").withColumn("hit", F.col("hit") + 1).drop("_day")
     return out.withColumns(
         {"remaining": F.greatest(F.lit(0), F.lit(quota) - F.col("hit")), "allowed": F.col("hit") <= quota}
     )
@@ -45,16 +61,20 @@ def first_seen_stream(events: DataFrame, keys: list[str], ts: str = "ts", rememb
 def first_seen(events: DataFrame, keys: list[str], ts: str = "ts", order: str = "event_id", seconds: int = 600) -> DataFrame:
     """Events that come more than so many seconds after the last kept one of their key. Batch form.
 
-    A gap of more than the time starts anew whatever was before, so keys are cut into stretches at their gaps. Gaps
+    A key of up to TOGETHER events goes to one task. A gap of more than the time starts anew whatever was before, so
+    where there are larger keys, keys are cut into stretches at their gaps. Gaps
     are found between rows with neighbouring ordinals; only a stretch, not a key, goes to one task, through which
     its rows stream while the last kept time is held.
     """
     # one column for all keys, in which nulls are equal
     rows = events.withColumns({"_key": F.struct(*keys), "_at": F.unix_micros(F.col(ts).cast("timestamp"))})
-    rows = series.previous(series.ordinals(rows, ["_key"], ["_at", order]), ["_key"], {"_was": "_at"})
-    gap = F.when(F.col("_at") - F.col("_was") > seconds * 1_000_000, 1).otherwise(0)
-    rows = series.prefix_sums(rows.withColumn("_gap", gap), ["_key"], {"_gaps": "_gap"})
-    rows = rows.withColumn("_stretch", F.col("_gaps") + F.col("_gap")).select(*events.columns, "_at", "_stretch")
+    if _largest(events, keys) <= TOGETHER:  # then a key is a stretch
+        rows = rows.select(*events.columns, "_at", F.lit(0).cast("long").alias("_stretch"))
+    else:
+        rows = series.previous(series.ordinals(rows, ["_key"], ["_at", order]), ["_key"], {"_was": "_at"})
+        gap = F.when(F.col("_at") - F.col("_was") > seconds * 1_000_000, 1).otherwise(0)
+        rows = series.prefix_sums(rows.withColumn("_gap", gap), ["_key"], {"_gaps": "_gap"})
+        rows = rows.withColumn("_stretch", F.col("_gaps") + F.col("_gap")).select(*events.columns, "_at", "_stretch")
     rows = rows.repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", "_at", order)
     columns = [*keys, "_stretch"]
 

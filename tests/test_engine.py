@@ -266,6 +266,38 @@ def test_a_forged_word_gives_the_verdict(spark, signed):
     assert verify.verify(spark, SOURCE, bare, set()).verdict == "UNSUPPORTED_CLAIM"
 
 
+def test_scenes_of_many_ledgers(spark):
+    rng, rows, want = random.Random(5), [], {}
+    for k in range(40):
+        own = [
+            ledger.Fact(rng.choice([*story.ARC, "other"]), "", "", rng.randrange(0, 60), [rng.choice("abc")] if rng.random() < 0.9 else [], {}, seq=i + 1)
+            for i in range(rng.randrange(0, 25))
+        ]
+        own.sort(key=lambda f: (-f.importance, f.seq))
+        rows += [(k, f.seq, f.kind, f.columns, f.importance) for f in own]
+        want[k] = [(f.seq, f.kind) for f in story.select_scenes(own)]
+    df = spark.createDataFrame(rows, "k long, seq int, kind string, columns array<string>, importance int").repartition(7)
+    got = {}
+    for r in story.scenes_of_ledgers(df, ["k"]).orderBy("k", "scene").collect():
+        got.setdefault(r["k"], []).append((r["seq"], r["kind"]))
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_an_emitter_adds_no_scan(spark):
+    table = delimited.from_text(spark, SOURCE, "demo")
+    spikes = ledger.Emitter(
+        {"over": F.count_if(F.col("v") > 200), "third": F.max(F.when(F.col("i") == 2, F.col("v")))},
+        lambda m, x: [ledger.Fact("spikes", f"{m} spikes", f"{m} is over 200 at {x['over']} points.", 33, [m], {"over": float(x["over"]), "third": x["third"]})],
+    )
+    before = ledger.facts_of(table)
+    found = ledger.facts_of(table, emitters=[spikes])
+    own = [f for f in found if f.kind == "spikes"]
+    assert {f.columns[0] for f in own} == {f.columns[0] for f in before if f.kind == "extreme"}
+    assert {(f.kind, f.statement) for f in found} - {(f.kind, f.statement) for f in own} == {(f.kind, f.statement) for f in before}
+    with pytest.raises(ValueError):
+        ledger.facts_of(table, emitters=[ledger.Emitter({"n": F.count("v")}, lambda m, x: [])])
+
+
 def test_no_number_column_may_be_swapped_in(spark):
     names = [f"m{x}" for x in ("alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "row")]
     text = "\n".join([",".join(["month", *names]), *(",".join([f"2023-{i + 1:02d}", *(str((i + 2) * (k + 3) % (11 + k) + k * i) for k in range(11))]) for i in range(12))])

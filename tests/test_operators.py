@@ -137,8 +137,10 @@ def brute_first_seen(rows, seconds):
     return sorted(kept)
 
 
-def test_repeats_are_suppressed(spark, monkeypatch):
+@pytest.mark.parametrize("together", [events.TOGETHER, 10])
+def test_repeats_are_suppressed(spark, monkeypatch, together):
     monkeypatch.setattr(series, "BLOCK", 16)
+    monkeypatch.setattr(events, "TOGETHER", together)
     rng = random.Random(5)
     start = dt.datetime(2024, 1, 1)
     rows = [(rng.choice(["a", "a", "a", "b", None]), start + dt.timedelta(seconds=rng.randrange(0, 40_000)), i) for i in range(400)]
