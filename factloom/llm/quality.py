@@ -8,7 +8,8 @@ means an anomaly. Rates are put on a logarithmic scale on which a typical good r
 splits are drawn from the range of the sample widened by MARGIN of it on both sides: only so a row
 beyond everything that the sample has is alone sooner than the sample's own outermost row. How short
 a path is too short is read from labelled rows that the trees have not seen: the threshold lies above
-all but CLEAN_LOSS of the good ones.
+all but CLEAN_LOSS of the good ones. With so wide a margin the verdict is in effect a box with a soft edge: what lies
+beyond the good sample in some rate is found, an odd combination of rates that are each usual is not.
 
 The forest and the threshold come from at most LABELLED labelled rows; all of the corpus is
 judged by them, in one pass without a shuffle.

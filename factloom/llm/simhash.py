@@ -10,6 +10,10 @@ joined, pairs are held to the Manhattan bound and then to the exact Hamming dist
 shares several cells comes from the first of them only. Links join to components by alternating
 large and small stars.
 
+Cells of equal counts take the place of a range join between neighbouring cells: a count of a two-bit segment ranges
+over three values only, so neighbours would be most of the grid. Of ten million random fingerprints each meets 107 others
+in its 70 cells (measured; as many are expected), of a thousand million 1,700 in 210.
+
 Equal fingerprints are one node, so copies are never paired with each other. Nor are all near
 copies: in a crowded cell each fingerprint within LINK_BITS of the cell's smallest one links to
 that, which stands for the cell. Whoever is joined so needs no more links with each other: cells

@@ -6,7 +6,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 from test_quality import brute as brute_statistics
+from test_quality import walk
 from test_simhash import brute_components, brute_print
+from test_toxicity import brute_score
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -87,6 +89,44 @@ def test_run_against_brute_force_on_odd_rows(spark, tmp_path):
     assert max(fill.values()) <= 4096
 
 
+def test_run_against_brute_force_with_labels_of_both_kinds(spark, tmp_path):
+    """Both models reject documents; what they have learned is applied here by its definition, word by word and node by node."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("aeioulnrst", k=rng.randrange(2, 7)))
+    rows, labels = [], []
+    for i in range(420):
+        words = [word() for _ in range(rng.randrange(60, 110))]
+        toxic, bad = i % 6 == 0, i % 7 == 3
+        if toxic:
+            at = rng.randrange(len(words))
+            words[at:at] = rng.sample(["vilest", "rotten", "foulmouth", "scumbag"], 3)
+        if bad:
+            words = [w + rng.choice(("###", "<<>>", "$%&|")) if rng.random() < 0.5 else w for w in words]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(not bad), int(toxic)))
+    rows += [(1000 + i, rows[i][1].upper()) for i in range(0, 60, 4)] + [(2000 + i, rows[i][1] + " " + word()) for i in range(1, 60, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    known.write.parquet(str(tmp_path / "labels.parquet"))
+    docs, known = (spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "labels"))
+    model = toxicity.fit(docs, known)
+    clean = [r for r in rows if brute_score(model, r[1]) < 0.7]
+    assert {i for i in range(0, 420, 6)} == {i for i, _ in rows if i < 420} - {i for i, _ in clean}
+    forest = quality.fit(docs.join(spark.createDataFrame([(i,) for i, _ in clean], "doc_id long"), "doc_id"), known)
+
+    def anomaly(text):
+        scaled = np.log1p(quality.statistics([text])[1] / forest.typical)[0]
+        at = [tree[4][walk(tree, scaled)] for tree in forest.forest.trees]
+        return 2.0 ** (-np.mean(at) / forest.forest._usual(forest.forest.tree_rows))
+
+    good = [r for r in clean if anomaly(r[1]) <= forest.threshold]
+    lost = {i for i, _ in clean} - {i for i, _ in good}
+    assert sum(i % 7 == 3 for i in lost if i < 420) >= 45 and sum(i % 7 != 3 for i in lost if i < 420) < 10
+    got = [tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert Counter(got) == Counter(brute_run(good))
+
+
 def test_run_on_an_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))

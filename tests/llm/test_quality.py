@@ -94,6 +94,18 @@ def test_paths_of_a_lone_point_are_short():
     assert quality.Forest(np.zeros((1, 2))).score(np.zeros((3, 2))).shape == (3,)
 
 
+def test_a_box_with_a_soft_edge():
+    """What is beyond the good rows in one rate goes; an odd combination of usual rates stays."""
+    rng = np.random.default_rng(2)
+    level = rng.uniform(0.05, 1, 600)
+    rates = np.column_stack([level, level * rng.uniform(0.95, 1.05, 600), rng.uniform(0.1, 0.3, 600)])
+    bad = np.column_stack([rng.uniform(5, 9, 60), rng.uniform(0.1, 1, 60), rng.uniform(0.1, 0.3, 60)])
+    model = quality.Model(np.vstack([rates, bad]), np.array([True] * 600 + [False] * 60))
+    # the first two rates go together in all good rows
+    ask = np.array([[0.1, 0.95, 0.2], [7.0, 0.5, 0.2], [0.5, 0.5, 3.0], [0.5, 0.5, 0.2]])
+    assert model.passes(ask).tolist() == [True, False, False, True]
+
+
 def test_the_forest_alone_gives_the_verdict(spark):
     """kept is what base rules and path lengths say, nothing else."""
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
