@@ -16,9 +16,9 @@ from ..session import checkpoint
 from ..sources.delimited import Table
 
 VERSION, ALGORITHM = 1, "ed25519"
-#: Where a signer's private key may be given (base64 of PKCS 8), and further trusted public keys (base64 of SPKI,
-#: separated by commas).
-KEY_VARIABLE, TRUSTED_VARIABLE, KEY_FILE = "FACTLOOM_SIGNING_KEY", "FACTLOOM_TRUSTED_KEYS", "signing-key.pkcs8.b64"
+#: Where a signer's private key (base64 of PKCS 8) and public key (base64 of SPKI) may be given, and further trusted public
+#: keys (separated by commas).
+KEY_VARIABLE, PUBLIC_VARIABLE, TRUSTED_VARIABLE, KEY_FILE = "FACTLOOM_SIGNING_KEY", "FACTLOOM_PUBLIC_KEY", "FACTLOOM_TRUSTED_KEYS", "signing-key.b64"
 #: Digests that a node of a table's hash tree stands for, about.
 BRANCHES = 4096
 _SIGNED = ("version", "engine", "algorithm", "csvSha256", "factsSha256", "storySha256", "publicKey")
@@ -57,60 +57,36 @@ def new_signer(spark: SparkSession) -> Signer:
     )
 
 
-#: What precedes the 32 bytes of a private and of a public Ed25519 key in PKCS 8 and SPKI (fixed values, RFC 8410).
-_PKCS8, _SPKI = bytes.fromhex("302e020100300506032b657004220420"), bytes.fromhex("302a300506032b6570032100")
-#: The curve (fixed values, RFC 8032): the field's prime, d, and the base point.
-_P = 2**255 - 19
-_D = -121665 * pow(121666, -1, _P) % _P
-_B = (15112221349535400772501151409588531511454012693041857206046113283949847762202, 46316835694926478169428394003475163141307993866256225615783033603165251855960)
-
-
-def public_key_of(private_key: str) -> str:
-    """The public key of a private one, both in base64."""
-    der = base64.b64decode(private_key)
-    if not der.startswith(_PKCS8) or len(der) != len(_PKCS8) + 32:
-        raise ValueError("not an Ed25519 private key in PKCS 8")
-    head = hashlib.sha512(der[-32:]).digest()[:32]
-    scalar = int.from_bytes(head, "little") & ((1 << 254) - 8) | 1 << 254
-    x, y = _times(scalar, _B)
-    return base64.b64encode(_SPKI + (y | (x & 1) << 255).to_bytes(32, "little")).decode()
-
-
-def _times(n: int, point: tuple[int, int]) -> tuple[int, int]:
-    """n times a point, by doubling and adding with projective coordinates."""
-
-    def plus(a: tuple[int, int, int], b: tuple[int, int, int]) -> tuple[int, int, int]:
-        z = a[2] * b[2] % _P
-        xx, yy = a[0] * b[0] % _P, a[1] * b[1] % _P
-        e = _D * xx * yy % _P
-        low, high = (z * z - e) % _P, (z * z + e) % _P
-        cross = ((a[0] + a[1]) * (b[0] + b[1]) - xx - yy) % _P
-        return z * low * cross % _P, z * high * (yy + xx) % _P, low * high % _P
-
-    out, step = (0, 1, 1), (*point, 1)
-    while n:
-        if n & 1:
-            out = plus(out, step)
-        step, n = plus(step, step), n >> 1
-    inverse = pow(out[2], -1, _P)
-    return out[0] * inverse % _P, out[1] * inverse % _P
+def signer_of(spark: SparkSession, private_key: str, public_key: str) -> Signer:
+    """The signer of two keys, which have to belong together."""
+    made = Signer(spark, private_key, public_key)
+    try:
+        fits = signature_holds(spark, public_key, b"probe", made.sign(b"probe"))
+    except Exception as e:
+        raise ValueError("the private key can't be read: it has to be Ed25519 in PKCS 8, in base64") from e
+    if not fits:
+        raise ValueError("the public key isn't that of the private key")
+    return made
 
 
 def load_signer(spark: SparkSession, folder: str | os.PathLike) -> Signer:
-    """The signer of KEY_VARIABLE, else the one kept in a folder of the driver, else a new one that is kept there.
+    """The signer of KEY_VARIABLE and PUBLIC_VARIABLE, else the one kept in a folder of the driver, else a new one that
+    is kept there: the private key and the public key, each on a line.
 
     A signer that is kept goes on being trusted after a restart.
     """
-    given = os.environ.get(KEY_VARIABLE, "").strip()
+    given = [os.environ.get(v, "").strip() for v in (KEY_VARIABLE, PUBLIC_VARIABLE)]
     path = Path(folder) / KEY_FILE
-    if not given and path.exists():
-        given = path.read_text().strip()
-    if given:
-        return Signer(spark, given, public_key_of(given))
+    if not given[0] and path.exists():
+        given = path.read_text().split()
+    if given[0]:
+        if len(given) != 2 or not given[1]:
+            raise ValueError("a private key comes with its public key")
+        return signer_of(spark, *given)
     made = new_signer(spark)
     path.parent.mkdir(parents=True, exist_ok=True)
     with os.fdopen(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "w") as file:
-        file.write(made.private_key)
+        file.write(f"{made.private_key}\n{made.public_key}\n")
     return made
 
 

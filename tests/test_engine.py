@@ -368,20 +368,23 @@ def test_digests_of_large_tables(spark, monkeypatch):
 
 def test_signers_are_kept(spark, tmp_path, monkeypatch):
     monkeypatch.delenv(proof.KEY_VARIABLE, raising=False)
+    monkeypatch.delenv(proof.PUBLIC_VARIABLE, raising=False)
     made = proof.load_signer(spark, tmp_path / "keys")
     assert ((tmp_path / "keys" / proof.KEY_FILE).stat().st_mode & 0o777) == 0o600
     again = proof.load_signer(spark, tmp_path / "keys")
     assert (again.private_key, again.public_key) == (made.private_key, made.public_key)
     assert proof.signature_holds(spark, again.public_key, b"x", made.sign(b"x"))
-    for _ in range(5):
-        other = proof.new_signer(spark)
-        assert proof.public_key_of(other.private_key) == other.public_key
+    other = proof.new_signer(spark)
     monkeypatch.setenv(proof.KEY_VARIABLE, other.private_key)
+    with pytest.raises(ValueError):
+        proof.load_signer(spark, tmp_path / "none")
+    monkeypatch.setenv(proof.PUBLIC_VARIABLE, other.public_key)
     assert proof.load_signer(spark, tmp_path / "none").public_key == other.public_key and not (tmp_path / "none").exists()
     monkeypatch.setenv(proof.TRUSTED_VARIABLE, f" {made.public_key}, ,")
     assert proof.trusted_keys(other.public_key) == {other.public_key, made.public_key}
-    with pytest.raises(ValueError):
-        proof.public_key_of("AAAA")
+    for private, public in ((other.private_key, made.public_key), ("AAAA", made.public_key), (other.private_key, "AAAA")):
+        with pytest.raises(ValueError):
+            proof.signer_of(spark, private, public)
 
 
 def test_drafts(facts):
