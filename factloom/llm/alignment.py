@@ -6,8 +6,8 @@ end, and the links: each stretch between neighbouring ends lies in one token of
 overlaps has one such stretch.
 
 No token of either crosses a blank between two other characters, so a text falls into words there. A task takes
-documents in chunks of a bounded size and aligns each different word of a chunk once; the ends of all words lie in
-one array and are merged together. What a document has is then put together from its words.
+documents in chunks of a bounded size and aligns each different word of a chunk once, unless the chunk before had it;
+the ends of all words lie in one array and are merged together. What a document has is then put together from its words.
 
 The pairs of a chunk are numbered and sent on once with the number of documents that have them. Spark sums them over
 all chunks, joins the largest sum of each A id, and joins both back to the chunks; each chunk meets its documents, of
@@ -101,6 +101,19 @@ class Side:
         return ids, np.diff(np.concatenate(([-1], at)))
 
 
+class _Names(dict):
+    """The text of an id and of what follows it, by 3 * id and the place of that in `,|;`."""
+
+    def __missing__(self, k: int) -> str:
+        self[k] = f"{k // 3}{',|;'[k % 3]}"
+        return self[k]
+
+
+@lru_cache(maxsize=1)
+def _names() -> _Names:
+    return _Names()
+
+
 @lru_cache(maxsize=2)
 def sides(path_a: str, path_b: str) -> tuple[Side, Side]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -144,8 +157,9 @@ class Aligned:
         self.n_a, self.n_b = np.where(self.good, self.n_a, 0), np.where(self.good, self.n_b, 0)
         # both cut the same bytes, words included
         ends_a, ends_b = np.cumsum(a.length[ids_a]), np.cumsum(b.length[ids_b])
-        ends = np.union1d(ends_a, ends_b)
-        both = np.intersect1d(ends_a, ends_b)
+        ends = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")
+        twice = np.concatenate((ends[1:] == ends[:-1], [False]))[: len(ends)]
+        both, ends = ends[twice], ends[~twice]
         at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         self.pairs = (ids_a[at_a] << _BITS) | ids_b[at_b]
         own = np.cumsum([len(r) if g else 0 for r, g in zip(raw, self.good.tolist(), strict=True)])
@@ -157,14 +171,40 @@ class Aligned:
         group = np.concatenate((2 * group_a, 2 * group_b + 1))
         order = np.argsort(group, kind="stable")
         group = group[order]
-        ids = np.concatenate((ids_a, ids_b))[order].tolist()
-        last = np.concatenate((group[1:] != group[:-1], [True]))[: len(ids)]
-        ends = np.where(last, np.where(group % 2 == 0, 1, 2), 0).tolist()
-        parts = [f"{i}{',|;'[e]}" for i, e in zip(ids, ends, strict=True)]
+        last = np.concatenate((group[1:] != group[:-1], [True]))[: len(group)]
+        ends = np.where(last, np.where(group % 2 == 0, 1, 2), 0)
+        parts = list(map(_names().__getitem__, (3 * np.concatenate((ids_a, ids_b))[order] + ends).tolist()))
         at = np.concatenate(([0], np.cumsum(self.n_a + self.n_b))).tolist()
         return ["".join(parts[x:y]) for x, y in zip(at, at[1:])]  # noqa: B905
 
 
+def _joined(words: list[str], a: Side, b: Side) -> Aligned:
+    """Words, aligned; those of the worker's last chunk are taken from there, and the others are kept for the next one."""
+    known, old = _LAST.get((id(a), id(b)), ({}, None))
+    at = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+    fresh = at < 0
+    found = Aligned([w for w, new in zip(words, fresh.tolist(), strict=True) if new], a, b)
+    if old is not None and not fresh.all():
+        at[fresh] = len(old.good) + np.arange(int(fresh.sum()))
+        starts = np.concatenate((_starts(old.n_links), len(old.pairs) + _starts(found.n_links)))[at]
+        texts, pairs = old.texts + found.texts, np.concatenate((old.pairs, found.pairs))
+        for name in ("good", "n_a", "n_b", "n_groups", "n_links"):
+            setattr(found, name, np.concatenate((getattr(old, name), getattr(found, name)))[at])
+        found.texts = list(map(texts.__getitem__, at.tolist()))
+        found.pairs = pairs[_expanded(starts, found.n_links)]
+    _LAST.clear()
+    _LAST[id(a), id(b)] = ({w: i for i, w in enumerate(words)}, found)
+    return found
+
+
+#: The words of a worker's last chunk.
+_LAST: dict[tuple[int, int], tuple[dict[str, int], Aligned]] = {}
+
+
+def _starts(counts: np.ndarray) -> np.ndarray:
+    return np.cumsum(counts) - counts
+
+
 def _packed(pair: np.ndarray, times: np.ndarray) -> bytes:
     """Ascending numbers and their times, small."""
     steps = np.diff(pair, prepend=0)
@@ -208,7 +248,7 @@ class Chunk:
 
     def rows(self, a: Side, b: Side, of: Callable[[str], object]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
         """A row for each document, and the pairs of the chunk with the numbers of documents."""
-        found = Aligned(list(self.number), a, b)
+        found = _joined(list(self.number), a, b)
         codes, number = np.unique(found.pairs, return_inverse=True)
         links = np.concatenate(([0], np.cumsum(found.n_links)))
         rows, has = [], np.zeros(len(codes), np.int64)

@@ -102,6 +102,17 @@ def test_words_together_and_alone(tokens):
         assert found.good[k] == bool(x or y or not w), w
 
 
+def test_words_of_the_last_chunk():
+    a, b = alignment.sides(A, B)
+    words = list(dict.fromkeys(w for t in ODD + made(4) if t for w in alignment.words_of(t)))
+    alignment._LAST.clear()
+    for some in (words[:60], words[30:110], words[110:], words[:5], words):
+        got, want = alignment._joined(some, a, b), alignment.Aligned(some, a, b)
+        assert got.texts == want.texts and got.pairs.tolist() == want.pairs.tolist()
+        for name in ("good", "n_a", "n_b", "n_groups", "n_links"):
+            assert getattr(got, name).tolist() == getattr(want, name).tolist(), name
+
+
 def test_numbers_are_kept_small():
     import numpy as np
 
