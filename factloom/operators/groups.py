@@ -90,8 +90,8 @@ def top_and_other(groups: DataFrame, top: int) -> DataFrame:
 def thinned_line(series: DataFrame, by: list[str] | None = None, most: int = 120) -> DataFrame:
     """(by, bucket, size, v, label, row_id): at most so many means of neighbouring points of each series."""
     by = by or []
-    n = small_side(series.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))  # a row for each series
-    both = series.join(n, by) if by else series.crossJoin(n)
+    n = series.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))  # a row for each series
+    both = series.join(small_side(n), by) if by else series.crossJoin(F.broadcast(n))
     both = both.withColumn("size", F.ceil(F.col("n") / most))
     return (
         both.groupBy(*by, F.floor(F.col("i") / F.col("size")).alias("bucket"))

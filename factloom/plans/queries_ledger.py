@@ -11,7 +11,7 @@ from ..functions.numbers import half_up
 from ..operators import ordered, series
 from ..sources import delimited
 from . import ledger, proof, story, verify
-from .queries_series import _PCT, load, longs, r
+from .queries_series import _CRIT, _PCT, _SIMPSON, load, longs, r
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -172,6 +172,34 @@ def fact_ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values_of(orders_ledger(spark, sf_dir))
 
 
+def _shown(x: str) -> str:
+    """A number of at least 1 as statements have it."""
+    fixed = lambda v, k: rf"regexp_replace(printf('%.{k}f', {v}), '\.?0+$', '')"
+    big = " ".join(f"WHEN abs({x}) >= {low} THEN concat({fixed(f'{x} / {unit}', k)}, '{name}')" for low, unit, k, name in ((1e9, 1e9, 2, "B"), (1e6, 1e6, 2, "M"), (1e4, 1e3, 1, "K")))
+    return f"CASE {big} WHEN abs({x}) >= 100 THEN {fixed(x, 1)} ELSE {fixed(x, 2)} END"
+
+
+@query(
+    f"""{_ASKED}, x AS (SELECT metric, count(*) AS n, covar_pop(v, i) / var_pop(i) AS slope, avg(v) AS mean, var_pop(i) AS vx, covar_pop(v, i) ** 2 / var_pop(i) / var_pop(v) AS r2,
+      greatest(0, var_pop(v) - covar_pop(v, i) ** 2 / var_pop(i)) AS rest, arg_min(v, i) AS a, arg_max(v, i) AS b, min(at_day) AS first_day, max(at_day) AS last_day FROM s GROUP BY 1),
+    y AS (SELECT *, sqrt(rest / (n - 2) / vx) AS se, {_PCT.format(a='a', b='b')} AS pct FROM x),
+    z AS (SELECT *, CAST(n - 2 AS DOUBLE) AS df, abs(slope / se) AS t FROM y), told AS (SELECT *, greatest(0, {_SIMPSON}) AS p FROM z)
+    SELECT metric, CASE WHEN pct BETWEEN -3 AND 3 THEN concat(metric, ' held near ', {_shown('mean')}, ' over ', n, ' points.')
+        ELSE concat(metric, CASE WHEN pct > 3 THEN ' rose ' ELSE ' fell ' END, CASE WHEN r2 >= 0.55 THEN 'steadily ' ELSE '' END, 'from ', {_shown('a')}, ' to ', {_shown('b')},
+          ' (', CASE WHEN pct > 0 THEN '+' ELSE '' END, {_shown('pct')}, '%).') END AS statement,
+      CASE WHEN p < 0.01 AND n >= 8 THEN 'high' WHEN p < 0.05 THEN 'medium' ELSE 'low' END AS level, {r(f'slope - {_CRIT} * se', 4)} AS low95, {r(f'slope + {_CRIT} * se', 4)} AS high95, {r('p', 3)} AS p_value,
+      CASE WHEN last_day - first_day > 900 THEN strftime(first_day, '%Y') WHEN last_day - first_day > 120 THEN strftime(first_day, '%b %Y') ELSE strftime(first_day, '%b %-d, %Y') END AS begins,
+      CASE WHEN last_day - first_day > 900 THEN strftime(last_day, '%Y') WHEN last_day - first_day > 120 THEN strftime(last_day, '%b %Y') ELSE strftime(last_day, '%b %-d, %Y') END AS ends, least(200, n) AS source_rows FROM told WHERE n >= 5"""
+)
+def trend_facts_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ledger of monthly orders says of trends, in words, with confidence, period and provenance."""
+    c = F.col("confidence")
+    return orders_ledger(spark, sf_dir).where("kind = 'trend'").select(
+        F.get("columns", F.lit(0)).alias("metric"), "statement", c["level"].alias("level"), F.get(c["ci95"], F.lit(0)).alias("low95"), F.get(c["ci95"], F.lit(1)).alias("high95"),
+        c["p_value"].alias("p_value"), F.col("period.from").alias("begins"), F.col("period.to").alias("ends"), F.size("source_rows").cast("long").alias("source_rows"),
+    )
+
+
 _LINES = """SELECT CAST(l_shipdate AS DATE) AS at_day, l_returnflag, l_linestatus, l_quantity, l_extendedprice, l_extendedprice * (1 - l_discount) AS net_price,
   row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS row_id FROM lineitem"""
 
@@ -233,7 +261,7 @@ _NATION_PCT = _PCT.format(a="a", b="b")
       LATERAL (SELECT len(seqs) < 7 AND len(list_filter(kinds, lambda x: x = kind)) < 2 AND len(list_filter(firsts, lambda x: x = metric)) < 3 AS fits)),
     done AS (SELECT nation, arg_max(seqs, k) AS seqs FROM steps GROUP BY 1),
     taken AS (SELECT pool.* FROM pool JOIN done ON pool.nation = done.nation AND list_contains(seqs, seq))
-    SELECT nation, CAST(row_number() OVER (PARTITION BY nation ORDER BY list_position({_ARC}, kind), importance DESC, seq) AS BIGINT) AS scene, seq, kind, metric, importance FROM taken"""
+    SELECT nation, CAST(row_number() OVER (PARTITION BY nation ORDER BY list_position({_ARC}, kind), importance DESC, seq) AS BIGINT) AS scene, CAST(seq AS BIGINT) AS seq, kind, metric, importance FROM taken"""
 )
 def nation_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scenes of every nation's ledger of monthly orders, all ledgers at once."""
