@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import series
@@ -115,11 +115,16 @@ def sessions(events: DataFrame, gap: str = "30 minutes", ts: str = "ts", client:
     return out.select(client, F.col("w.start").alias("start"), "end", "n")
 
 
+def day_cells() -> list[Column]:
+    """What is kept of a day's values: their number, mean and sum of squared deviations."""
+    n = F.count("value")
+    return [n.alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * n).alias("m2")]
+
+
 def daily_sums(events: DataFrame, late: str, ts: str = "ts", by: str = "event_type") -> DataFrame:
-    """Sums from which a day's facts are made, and which add up over batches: (day, by, n, sum, squares)."""
-    out = events.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), by)
-    out = out.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("sum"), F.sum(F.col("value") * F.col("value")).alias("squares"))
-    return out.select(F.col("w.start").cast("date").alias("day"), by, "n", "sum", "squares")
+    """States from which a day's facts are made, and which merge over batches: (day, by, n, mean, m2)."""
+    out = events.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), by).agg(*day_cells())
+    return out.select(F.col("w.start").cast("date").alias("day"), by, "n", "mean", "m2")
 
 
 def write_sums(sums: DataFrame, epoch: int, path: str) -> None:
@@ -131,8 +136,15 @@ def write_sums(sums: DataFrame, epoch: int, path: str) -> None:
 
 
 def totals(spark: SparkSession, path: str, by: str = "event_type") -> DataFrame:
-    """(by, day, n, mean, stdev) over all batches so far; sums of values and squares add up."""
-    sums = spark.read.parquet(path).groupBy(by, "day").agg(*[F.sum(c).alias(c) for c in ("n", "sum", "squares")])
-    mean = F.col("sum") / F.col("n")
-    spread = F.greatest(F.lit(0.0), F.try_divide(F.col("squares") - F.col("n") * mean * mean, F.col("n") - 1))
-    return sums.select(by, "day", "n", mean.alias("mean"), F.coalesce(F.sqrt(spread), F.lit(0.0)).alias("stdev"))
+    """(by, day, n, mean, stdev) over all batches so far; states merge by pairwise update."""
+
+    def both(a: Column, b: Column) -> Column:
+        n, d = a["n"] + b["n"], b["mean"] - a["mean"]
+        merged = F.struct(n.alias("n"), (a["mean"] + d * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + d * d * a["n"] * b["n"] / n).alias("m2"))
+        return F.when(n == a["n"], a).otherwise(merged)
+
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    states = spark.read.parquet(path).groupBy(by, "day").agg(F.array_sort(F.collect_list(F.struct(F.col("n").cast("double").alias("n"), "mean", "m2"))).alias("s"))
+    states = states.select(by, "day", F.aggregate("s", none, both).alias("s"))
+    spread = F.coalesce(F.sqrt(F.try_divide("s.m2", F.col("s.n") - 1)), F.lit(0.0))
+    return states.select(by, "day", F.col("s.n").cast("long").alias("n"), F.col("s.mean").alias("mean"), spread.alias("stdev"))
