@@ -244,13 +244,15 @@ _VOTED = ("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
 
 
 @query(
-    " UNION ALL ".join(
+    """SELECT *, CASE WHEN filled = 0 THEN 'string' WHEN dates >= 0.9 * filled AND numbers < 0.9 * filled THEN 'date' WHEN numbers >= 0.9 * filled THEN 'number'
+      WHEN booleans >= 0.95 * filled THEN 'boolean' WHEN dates >= 0.9 * filled THEN 'date' ELSE 'string' END AS kind FROM ("""
+    + " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(*) AS filled, count(*) FILTER (regexp_full_match(CAST({c} AS VARCHAR), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')) AS numbers,
         count(*) FILTER (regexp_full_match(CAST({c} AS VARCHAR), '[0-9]{{4}}') AND try_cast(CAST({c} AS VARCHAR) AS INTEGER) BETWEEN 1900 AND 2100) AS dates,
-        count(*) FILTER (lower(CAST({c} AS VARCHAR)) IN ('true', 'yes', 'y', '1', 'false', 'no', 'n', '0')) AS booleans,
-        '{'number' if c in ('c_custkey', 'c_acctbal') else 'string'}' AS kind FROM customer"""
+        count(*) FILTER (lower(CAST({c} AS VARCHAR)) IN ('true', 'yes', 'y', '1', 'false', 'no', 'n', '0')) AS booleans FROM customer"""
         for c in _VOTED
     )
+    + ")"
 )
 def type_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = load(spark, sf_dir, "customer")
