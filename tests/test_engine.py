@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import prose
-from factloom.plans import catalog, ledger, proof, story, verify
+from factloom.plans import catalog, ledger, passes, proof, story, verify
 from factloom.sources import delimited, quoted
 
 SF = "/root/testdata/sf0.001"
@@ -283,6 +283,11 @@ def test_scenes_of_many_ledgers(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_medians_of_long_series_are_the_same(spark, facts, monkeypatch):
+    monkeypatch.setattr(passes, "SORTED", 0)
+    assert ledger.facts_of(delimited.from_text(spark, SOURCE, "demo")) == facts
+
+
 def test_an_emitter_adds_no_scan(spark):
     table = delimited.from_text(spark, SOURCE, "demo")
     spikes = ledger.Emitter(
