@@ -40,7 +40,7 @@ GRAM, PHRASE_GRAM = 4, 2
 #: Least reach of a chain of diagonals in words, and the share of a template's words that a span has at least.
 REACH, LEAST = 8, 0.8
 #: Bits of the map of hashes that templates have, for each hash.
-BITS = 16
+BITS = 64
 #: Phrases (fixed values) and their labels.
 PHRASES = (
     ("gnu general public license", "gpl"),
@@ -188,7 +188,7 @@ def _labels_of_best(found: pd.Series) -> pd.Series:
 def _may_be(hashes: list[int]) -> Callable[[Column], Column]:
     """Whether a hash may be one of hashes, by a bitmap of about BITS bits each; it never errs to the other side.
 
-    The bitmap is a constant of the query, of 2 bytes for each word of the templates.
+    The bitmap is a constant of the query, of 8 bytes for each word of the templates.
     """
     words = [0] * max(1, 1 << (BITS * len(hashes) // 64).bit_length())
     for h in hashes:
