@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions import display as show
 from ..functions import prose
+from ..functions.numbers import finite
+from ..session import small_side
 from ..sources.delimited import InputError, Table
 from .ledger import Fact, facts_of
 
@@ -203,24 +205,26 @@ def objection(f: Fact, text: str, metrics: list[str]) -> str | None:
 
 
 def audit_texts(texts: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(text_id, checked, verified): the numbers of each text (text_id, text), and those of them that are
-    near a number of allowed (text_id, number) for that text or (null, number) for all texts.
+    """(text_id, checked, verified) of each text_id: the numbers of its texts (text_id, text), and those of them that
+    are near a number of allowed (text_id, number) for that text or (null, number) for all texts.
 
-    The band is cut into cells that grow with the numbers, so that the comparison is an equi-join.
+    The band is cut into cells that grow with the numbers, so that the comparison is an equi-join. The allowed numbers
+    are put into the cells around them, and each number of a text meets its own cell's: it is one row before and after,
+    and as the left side of a semi-join it is never broadcast, whatever Spark takes the sizes of both sides for.
     """
-    said = texts.select("text_id", F.explode(F.array_distinct(prose.numbers_in(F.col("text")))).alias("number"), F.lit(1).alias("one"))
+    said = texts.select("text_id", F.explode_outer(F.array_distinct(prose.numbers_in(F.col("text")))).alias("number"))
     size = lambda x: F.floor(F.log(1.02, x + F.lit(1.0)))
+    spoken = said.where("number IS NOT NULL").withColumn("cell", size(F.col("number")))
+    a = F.abs(F.col("number"))
     # a number's partners are at most 1.5 % or 0.05 away: two cells up or down at the least width
-    said = said.withColumn("cell", F.explode(F.array(*[size(F.col("number")) + k for k in range(-3, 4)])))
-    free, own = allowed.where("text_id IS NULL"), allowed.where("text_id IS NOT NULL")
-    cells = lambda df: df.withColumn("a", F.abs(F.col("number"))).withColumn("cell", size(F.col("a"))).drop("number")
-    near = prose.is_near(F.col("number"), F.col("a"))
-    hit = said.join(cells(free).drop("text_id").distinct(), "cell").where(near).select("text_id", "number")
-    hit = hit.unionByName(said.join(cells(own).distinct(), ["text_id", "cell"]).where(near).select("text_id", "number")).distinct()
-    checked = said.select("text_id", "number").distinct().groupBy("text_id").agg(F.count(F.lit(1)).alias("checked"))
-    verified = hit.groupBy("text_id").agg(F.count(F.lit(1)).alias("verified"))
-    out = texts.select("text_id").join(checked, "text_id", "left").join(verified, "text_id", "left")
-    return out.select("text_id", F.coalesce("checked", F.lit(0)).alias("checked"), F.coalesce("verified", F.lit(0)).alias("verified"))
+    cells = F.explode(F.array(*[size(F.col("a")) + k for k in range(-3, 4)]))
+    around = allowed.where(finite(a)).select(F.col("text_id").alias("of"), a.alias("a")).distinct().select("of", "a", cells.alias("at"))
+    free, own = small_side(around.where("of IS NULL")), around.where("of IS NOT NULL")
+    near = (F.col("cell") == F.col("at")) & prose.is_near(F.col("number"), F.col("a"))
+    hits = spoken.join(free, near, "left_semi").unionByName(spoken.join(own, near & (F.col("text_id") == F.col("of")), "left_semi"))
+    marks = said.withColumn("hit", F.lit(0)).unionByName(hits.select("text_id", "number", F.lit(1).alias("hit")))
+    numbers = marks.groupBy("text_id", "number").agg(F.max("hit").alias("hit"))
+    return numbers.groupBy("text_id").agg(F.count("number").alias("checked"), F.sum("hit").alias("verified"))
 
 
 # ---- stories --------------------------------------------------------------------------

@@ -153,6 +153,30 @@ def test_store(spark, signed, tmp_path):
     assert stories.find(spark, path, "x' OR 1=1") is None and stories.find(spark, path, "zzzzzzzzzz") is None
 
 
+def test_audit_of_texts_moves_no_texts_to_the_driver(spark):
+    """Spark takes allowed numbers that come from the driver for endless, and so would broadcast the texts' numbers."""
+    texts = spark.read.parquet(f"{SF}/events.parquet").select(F.col("event_id").alias("text_id"), F.concat(F.lit("at "), "event_id").alias("text"))
+    got = story.audit_texts(texts, spark.createDataFrame([(None, 41.5), (7, 7.0)], "text_id long, number double"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert {r["text_id"] for r in got.where("verified > 0").collect()} == {7, 41, 42}
+
+
+def test_audit_of_texts_against_each_pair(spark):
+    rng = random.Random(5)
+    rows = [(i // 2, " and ".join(f"{rng.uniform(-1, 1) * 10 ** rng.randint(-2, 7):.{rng.randint(0, 3)}f}" for _ in range(rng.randint(0, 6)))) for i in range(200)]
+    rows += [(200, None), (201, "none"), (202, "9" * 400)]
+    allowed = [(rng.choice([None, *range(100)]), rng.uniform(-1, 1) * 10 ** rng.randint(-2, 7)) for _ in range(400)] + [(None, float("inf")), (None, float("nan"))]
+    of: dict[int, set[float]] = {}
+    for i, text in rows:
+        of.setdefault(i, set()).update(story.numbers_in(text or ""))
+    own = lambda i: [abs(x) for k, x in allowed if k in (None, i)]
+    near = lambda n, a: abs(n - a) <= prose.NEAR or abs(n - a) / a <= prose.NEAR_SHARE
+    want = {(i, len(ns), sum(any(near(n, a) for a in own(i)) for n in ns)) for i, ns in of.items()}
+    got = story.audit_texts(spark.createDataFrame(rows, "text_id long, text string"), spark.createDataFrame(allowed, "text_id long, number double"))
+    assert got.count() == len(want) and {tuple(r) for r in got.collect()} == want
+
+
 def test_narrator_is_audited(facts):
     chosen = story.select_scenes(facts)
     honest = chosen[0].statement
