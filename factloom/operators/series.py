@@ -7,6 +7,8 @@ metric and partition, are summed up to offsets and joined back.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,38 @@ def series(df: DataFrame, metrics: list[str], at: Column | None, row_id: Column,
     return ordinals(long_form(df, metrics, at, row_id, label), ["metric"], ["at", "row_id"], groups=len(metrics))
 
 
+@dataclass
+class Together:
+    """Series that lie in rows with a value and an ordinal of each metric (columns by metric), in order, written down."""
+
+    rows: DataFrame
+    values: dict[str, str]
+    places: dict[str, str]
+
+    def long(self, label: Column | None = None) -> DataFrame:
+        """The rows of series(), made wherever they are read; label, over at and row_id, if none was written down."""
+        pairs = [F.struct(F.lit(m).alias("metric"), F.col(self.places[m]).alias("i"), F.col(v).alias("v")) for m, v in self.values.items()]
+        label = label if label is not None else F.col("label")
+        return self.rows.select(F.explode(F.array(*pairs)).alias("p"), "row_id", "at", label.alias("label")).select("p.*", "row_id", "at", "label").where("v IS NOT NULL")
+
+
+def together(df: DataFrame, metrics: list[str], at: Column | None, row_id: Column, label: Column | None = None, whole: set[str] = frozenset()) -> Together:
+    """series() of metrics, of which rows are sorted once and not once for each metric. whole are the metrics that have
+    a finite value in every row; of the others the values are counted."""
+    values = {m: f"v{k}" for k, m in enumerate(metrics)}
+    cells = [F.when(finite(x), x).alias(v) for v, x in ((v, F.col(f"`{m}`").cast("double")) for m, v in values.items())]
+    at = at if at is not None else row_id
+    rows = df.select(row_id.cast("long").alias("row_id"), at.alias("at"), *([label.alias("label")] if label is not None else []), *cells)
+    rows = ordinals(rows, [], ["at", "row_id"])
+    gaps = {m: k for k, m in enumerate(metrics) if m not in whole}
+    if gaps:
+        rows = rows.withColumns({f"has{k}": F.col(values[m]).isNotNull().cast("long") for m, k in gaps.items()})
+        rows = prefix_sums(rows, [], {f"i{k}": f"has{k}" for k in gaps.values()}).drop(*[f"has{k}" for k in gaps.values()])
+        # in order again: blocks lie by hash
+        rows = rows.repartitionByRange("i").sortWithinPartitions("i")
+    return Together(checkpoint(rows), values, {m: f"i{gaps[m]}" if m in gaps else "i" for m in metrics})
+
+
 def prefix_sums(rows: DataFrame, by: list[str], values: dict[str, str]) -> DataFrame:
     """Add for each (name, column) the sum of the column over all smaller ordinals i."""
     blocks = rows.withColumn("_block", F.floor(F.col("i") / BLOCK))

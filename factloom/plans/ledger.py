@@ -67,11 +67,12 @@ class Axis:
     def at(self) -> Column | None:
         return F.col(f"`{self.column}`") if self.kind == "date" else None
 
-    def label(self) -> Column:
+    def label(self, at: str | None = None) -> Column:
+        """A row's name, made of the axis' column or, if it is given, of the column that holds at()."""
         fallback = F.concat(F.lit("row "), (F.col("row_id") + 1).cast("string"))
         if self.kind == "index":
             return F.concat(F.lit("#"), (F.col("row_id") + 1).cast("string"))
-        c = F.col(f"`{self.column}`")
+        c = F.col(f"`{at or self.column}`")
         if self.kind == "date":
             c = F.date_format(c, {"year": "yyyy", "month": "MMM yyyy", "day": "MMM d, yyyy"}[self.unit])
         return F.coalesce(c, fallback)
@@ -152,22 +153,26 @@ class Emitter:
     facts: Callable[[str, dict], list[Fact]]
 
 
-def _series_facts(table: Table, axis: Axis, metrics: list[str], emitters: Sequence[Emitter] = ()) -> list[Fact]:
-    long = checkpoint(series.series(table.df, metrics, axis.at(), F.col("row_id"), axis.label()))
+def _series_facts(table: Table, axis: Axis, metrics: list[str], emitters: Sequence[Emitter] = (), whole: set[str] = frozenset()) -> list[Fact]:
+    # only labels that are cells are written down
+    label = axis.label() if axis.kind == "label" else None
+    both = series.together(table.df, metrics, axis.at(), F.col("row_id"), label, whole)
+    long = both.long(None if axis.kind == "label" else axis.label("at"))
     about = passes.sums(long, {k: c for e in emitters for k, c in e.aggregates.items()})
     about = {m: a for m, a in about.items() if a["n"] >= 3}
     if not about:
         return []
     metrics = [m for m in metrics if m in about]
     long = long.where(F.col("metric").isin(metrics))
-    splits, streaks = passes.breaks(long, about)
-    changes, median, mad = passes.levels(long, about, splits)
+    parts, streaks, cells = passes.streaks(both, about)
+    changes, median, mad = passes.levels(both, long, about, parts, cells)
     tops, buckets = passes.seasons_and_outliers(long, about, median, mad, axis.kind == "date")
-    # provenance: the first rows of each series and the labels at its ends and breaks
-    marks = {(m, i) for m in metrics for i in _marks(about[m], changes.get(m), streaks.get(m))}
+    # provenance: the first rows of each series and the labels at its ends and breaks, and of the points of charts
+    sizes = passes.buckets(about, charts.LINE_POINTS)
+    marks = {(m, i) for m in metrics for i in (*_marks(about[m], changes.get(m), streaks.get(m)), *range(0, about[m]["n"], sizes[m]))}
     first, labels = passes.marked(long, marks)
     season = _seasons(axis, about, buckets)
-    points = passes.points(long, about, charts.LINE_POINTS)
+    points = passes.points(long, sizes, labels)
     facts = []
     for m in metrics:
         d, own = about[m], first[m]
@@ -196,7 +201,7 @@ def _series_facts(table: Table, axis: Axis, metrics: list[str], emitters: Sequen
             )
         facts.append(
             Fact("extreme", f"{m} peaked at {show.number(d['max'])}", f"{m} was highest at {labels[m, d['at']][0]} with {show.number(d['max'])}; the lowest value is {show.number(d['min'])}.",
-                 20, [m], {"max": d["max"], "min": d["min"], "sum": show.half_up(d["sum"], 2)}, "Largest value of the series.", [d["row_id"]])
+                 20, [m], {"max": d["max"], "min": d["min"], "sum": show.half_up(d["sum"], 2)}, "Largest value of the series.", [labels[m, d["at"]][1]])
         )
         if m in season:
             facts.append(_season(m, season[m], axis))
@@ -360,7 +365,7 @@ def facts_of(table: Table, question: str | None = None, emitters: Sequence[Emitt
         # what facts are made of is written down once: the table is read and parsed for this and for its profile only
         own = dict.fromkeys([*([axis.column] if axis.column else []), *metrics[:PAIR_MEASURES], *categories])
         table = replace(table, df=checkpoint(table.df.select("row_id", *[F.col(f"`{c}`") for c in own])))
-        facts += _series_facts(table, axis, metrics[:SERIES_MEASURES], emitters)
+        facts += _series_facts(table, axis, metrics[:SERIES_MEASURES], emitters, {c for c in metrics if p["columns"][c]["n"] == p["rows"]})
         facts += _pair_facts(table, metrics[:PAIR_MEASURES])
         facts += _category_facts(table, categories, metrics[:CATEGORY_MEASURES])
     for i, f in enumerate(facts):

@@ -6,19 +6,19 @@ split, a median) goes into it as literals, so nothing of that size is written do
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
-from ..operators import groups, ordered, series, spread
-from ..session import SMALL, small_side
+from ..operators import groups, ordered, runs, series, spread
 
-#: Ranks of the sketch that brackets a quantile, as a part of all rows, and how far apart the bracket's ends are.
-ACCURACY, MARGIN = 10_000, 2e-4
 #: Most values of a bracket that one task puts in order.
 SORTED = 1_000_000
+#: Row ids below which the first rows of a group are looked for at first.
+EARLY = 100_000
 
 
 def _of(values: dict[str, float | int | None], kind: str = "double") -> Column:
@@ -34,18 +34,12 @@ def _rows(df: DataFrame) -> dict[str, dict]:
     return {r["metric"]: r.asDict(recursive=True) for r in df.collect()}
 
 
-def _bracket(v: Column) -> Column:
-    """Two values between which the median lies."""
-    return F.percentile_approx(v, [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY)
-
-
 def sums(long: DataFrame, more: dict[str, Column]) -> dict[str, dict]:
-    """First pass, one aggregation: size, spread, trend, peak and the median's bracket of each measure, and whatever
-    else is asked for (columns over metric, i, v, row_id, at, label)."""
-    v, top = F.col("v"), F.struct("v", -F.col("i"))
+    """First pass, one aggregation: size, spread and trend of each measure, and whatever else is asked for (columns over
+    metric, i, v, row_id, at, label). What is asked for here is of fixed width, so that rows are summed up unsorted."""
+    v = F.col("v")
     cells = ordered.trend_sums() | {
         "min": F.min(v), "max": F.max(v), "sum": F.sum(v), "stdev": F.coalesce(F.stddev_samp(v), F.lit(0.0)),
-        "at": F.max_by("i", top), "row_id": F.max_by("row_id", top), "bracket": _bracket(v),
     }
     clash = set(cells) & set(more)
     if clash:
@@ -53,61 +47,28 @@ def sums(long: DataFrame, more: dict[str, Column]) -> dict[str, dict]:
     return _rows(ordered.trend_of(long.groupBy("metric").agg(*[c.alias(k) for k, c in (cells | more).items()])))
 
 
-def breaks(long: DataFrame, about: dict[str, dict]) -> tuple[dict[str, int], dict[str, dict]]:
-    """Second pass, in order: the split of each measure's changepoint, and its longest run of moves one way.
-
-    Rows meet those before them in blocks of ordinals. What a block needs of earlier ones is a row for each block.
-    """
-    size, i, v = series.BLOCK, F.col("i"), F.col("v")
-    rows = long.select("metric", "i", "v", F.floor(i / size).alias("block"))
-    ends = rows.groupBy("metric", "block").agg(
-        F.sum(v).alias("s"), F.max(F.when(i % size == size - 1, v)).alias("z1"), F.max(F.when(i % size == size - 2, v)).alias("z2")
-    )
-    by_block = Window.partitionBy("metric").orderBy("block")
-    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    few = sum(a["n"] for a in about.values()) // size + len(about) <= SMALL
-    near = F.broadcast if few else small_side
-    ends = near(ends.select("metric", "block", F.coalesce(F.sum("s").over(earlier), F.lit(0.0)).alias("s0"), F.lag("z1").over(by_block).alias("z1"), F.lag("z2").over(by_block).alias("z2")))
-    inside = Window.partitionBy("metric", "block").orderBy("i")
-    rows = rows.join(ends, ["metric", "block"])
-    left = F.col("s0") + F.coalesce(F.sum(v).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    was = F.when(i % size == 0, F.col("z1")).otherwise(F.lag(v).over(inside))
-    was2 = F.when(i % size == 0, F.col("z2")).when(i % size == 1, F.col("z1")).otherwise(F.lag(v, 2).over(inside))
-    rows = rows.select("metric", "block", "i", "v", left.alias("left"), was.alias("was"), was2.alias("was2"))
-    sign = F.signum(v - F.col("was"))
-    turn = ~sign.eqNullSafe(F.signum(F.col("was") - F.col("was2")))
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"sign": sign, "start": F.max(F.when(turn, i)).over(upto)})
-    # a run that began in an earlier block
-    last = near(rows.groupBy("metric", "block").agg(F.max("start").alias("z")).select("metric", "block", F.max("z").over(earlier).alias("open")))
-    runs = rows.where("sign <> 0").join(last, ["metric", "block"]).groupBy("metric", F.coalesce("start", "open").alias("run")).agg(
-        F.count(F.lit(1)).alias("moves"), F.min("i").alias("at"), F.max("sign").alias("sign"), F.min_by("was", "i").alias("a"), F.max_by("v", "i").alias("b")
-    )
-    best = runs.groupBy("metric").agg(F.max_by(F.struct("at", "moves", "sign", "a", "b"), F.struct("moves", -F.col("at"))).alias("run"))
-    gain = ordered.gain_of(i, _of({m: a["n"] for m, a in about.items()}), F.col("left"), _of({m: a["sum"] for m, a in about.items()}))
-    split = rows.withColumn("gain", gain).where("gain IS NOT NULL").groupBy("metric").agg(F.max_by("i", F.struct("gain", -i)).alias("split"))
-    both = best.select("metric", "run", F.lit(None).cast("long").alias("split")).unionByName(
-        split.select("metric", F.lit(None).cast(best.schema["run"].dataType).alias("run"), F.col("split").cast("long").alias("split"))
-    )
-    splits, streaks = {}, {}
-    for r in both.collect():
-        m = r["metric"]
-        if r["split"] is not None:
-            splits[m] = r["split"]
-        elif about[m]["n"] >= ordered.STREAK_POINTS and r["run"]["moves"] >= ordered.STREAK_MOVES:
-            a, b = r["run"]["a"], r["run"]["b"]
-            pct = (b - a) / abs(a) * 100 if a else 0.0
-            streaks[m] = {"start": r["run"]["at"] - 1, "moves": r["run"]["moves"], "sign": int(r["run"]["sign"]), "change_pct": pct}
-    return splits, streaks
-
-
-def medians(rows: DataFrame, v: Column, brackets: dict[str, list[float]], counts: dict[str, int]) -> dict[str, float]:
-    """The exact median of v for each metric, of which a bracket is known: what lies below is counted, and only what
-    lies in the bracket is put in order. Series of some thousand million points are put in order by ranges instead."""
-    if max(counts.values()) * 4 * MARGIN > SORTED:
+def streaks(of: series.Together, about: dict[str, dict]) -> tuple[dict[str, list], dict[str, dict], dict[str, tuple]]:
+    """Second pass, in order where the rows lie: the stretches of each measure, of which a task gives a row; its longest
+    run of moves one way; and the cells of its median. The place of its peak is put into about."""
+    metrics = list(about)
+    parts, cells = runs.stretches(of, metrics)
+    found = {}
+    for m in metrics:
+        about[m]["at"] = runs.peak(parts[m])
+        best = runs.longest(parts[m])
+        if best and about[m]["n"] >= ordered.STREAK_POINTS and best.moves >= ordered.STREAK_MOVES:
+            pct = (best.b - best.a) / abs(best.a) * 100 if best.a else 0.0
+            found[m] = {"start": best.at - 1, "moves": best.moves, "sign": best.sign, "change_pct": pct}
+    return parts, found, cells
+
+
+def medians(rows: DataFrame, v: Column, cells: dict[str, tuple[float, float, int]], counts: dict[str, int]) -> dict[str, float]:
+    """The exact median of v for each metric, of which the cells are known that it lies in: what lies below is counted,
+    and only what lies in the cells is put in order. Where these are too many, series are put in order by ranges."""
+    if max(n for _, _, n in cells.values()) > SORTED:
         found = series.quantiles(rows.select("metric", v.alias("v")), ["metric"], "v", {"median": 0.5})
         return {r["metric"]: r["median"] for r in found.collect()}
-    low, high = (_of({m: b[k] for m, b in brackets.items()}) for k in (0, 1))
+    low, high = (_of({m: b[k] for m, b in cells.items()}) for k in (0, 1))
     at = rows.where(v <= high).select("metric", F.when(v >= low, v).alias("v"), (v < low).alias("below"))
     at = at.groupBy("metric", "below", "v").agg(F.count(F.lit(1)).alias("k"))
     order = Window.partitionBy("metric").orderBy(F.col("below").desc(), "v").rowsBetween(Window.unboundedPreceding, 0)
@@ -122,16 +83,16 @@ def medians(rows: DataFrame, v: Column, brackets: dict[str, list[float]], counts
     return out
 
 
-def levels(long: DataFrame, about: dict[str, dict], splits: dict[str, int]) -> tuple[dict[str, dict], dict[str, float], dict[str, float]]:
+def levels(of: series.Together, long: DataFrame, about: dict[str, dict], parts: dict[str, list], cells: dict[str, tuple]) -> tuple[dict[str, dict], dict[str, float], dict[str, float]]:
     """Changes with their test, medians, and median absolute deviations."""
     v = F.col("v")
     counts = {m: a["n"] for m, a in about.items()}
-    median = medians(long, v, {m: a["bracket"] for m, a in about.items()}, counts)
-    off = F.abs(v - _of(median))
+    median = medians(long, v, cells, counts)
+    splits, cells = runs.splits(of, list(about), parts, {m: a["sum"] for m, a in about.items()}, median)
     split, n = _of(splits, "long"), _of(counts, "long")
-    cells = ordered.sides_sums(split) | {"split": F.max(split), "n": F.max(n), "bracket": _bracket(off)}
-    got = _rows(ordered.welch(ordered.strength_of(long.groupBy("metric").agg(*[c.alias(k) for k, c in cells.items()]))))
-    mad = medians(long, off, {m: g["bracket"] for m, g in got.items()}, counts)
+    sides = ordered.sides_sums(split) | {"split": F.max(split), "n": F.max(n)}
+    got = _rows(ordered.welch(ordered.strength_of(long.groupBy("metric").agg(*[c.alias(k) for k, c in sides.items()]))))
+    mad = medians(long, F.abs(v - _of(median)), cells, counts)
     return {m: g for m, g in got.items() if g["split"] is not None}, median, mad
 
 
@@ -141,46 +102,60 @@ def seasons_and_outliers(long: DataFrame, about: dict[str, dict], median: dict[s
     score = F.try_divide(F.lit(spread.NORMAL) * F.abs(v - _of(median)), _of({m: x for m, x in mad.items() if about[m]["n"] >= spread.OUTLIER_POINTS}))
     far = score > spread.OUTLIER
     at = (lambda f: f(F.col("at")) if dated else F.lit(None).cast("int"))
-    one = F.when(far, F.struct(score.alias("score"), (-i).alias("down"), F.col("v").alias("v"), "row_id", "label"))
+    # of fixed width, so that it is counted in place without a sort; where the top lies is looked up after
     cut = long.groupBy("metric", at(spread.weekday).alias("weekday"), at(spread.month).alias("month")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(v).alias("sum"), F.sum(far.cast("long")).alias("count"), F.max(one).alias("top")
+        F.count(F.lit(1)).alias("n"), F.sum(v).alias("sum"), F.sum(far.cast("long")).alias("count"), F.max(F.when(far, score)).alias("score")
     )
     tops: dict[str, dict] = {}
     buckets: dict[str, dict[str, dict[int, tuple[int, float]]]] = {}
     for r in cut.collect():  # at most 84 rows for each measure
         m = r["metric"]
         if r["count"]:
-            had = tops.setdefault(m, {"count": 0, "top": None})
-            had["count"] += r["count"]
-            t = r["top"]
-            if had["top"] is None or (t["score"], t["down"]) > (had["top"]["score"], -had["top"]["i"]):
-                had["top"] = {"score": t["score"], "i": -t["down"], "v": t["v"], "row_id": t["row_id"], "label": t["label"], "median": median[m]}
+            had = tops.setdefault(m, {"count": 0, "score": 0.0})
+            tops[m] = {"count": had["count"] + r["count"], "score": max(had["score"], r["score"])}
         for unit in ("weekday", "month"):
             if r[unit] is not None:
                 own = buckets.setdefault(m, {}).setdefault(unit, {})
                 n, s = own.get(r[unit], (0, 0.0))
                 own[r[unit]] = (n + r["n"], s + r["sum"])
+    if tops:
+        top = F.min(F.struct("i", "v", "row_id", "label"))
+        for r in long.where(score == _of({m: t["score"] for m, t in tops.items()})).groupBy("metric").agg(top.alias("top")).collect():
+            t = tops[r["metric"]]
+            t["top"] = r["top"].asDict() | {"score": t["score"], "median": median[r["metric"]]}
     return tops, buckets
 
 
+def _any(marks: set[tuple[str, int]]) -> Column:
+    """Whether a row is one of some points (metric, i)."""
+    out = F.lit(False)
+    for m in sorted({m for m, _ in marks}):
+        out = out | ((F.col("metric") == m) & F.col("i").isin(sorted(i for x, i in marks if x == m)))
+    return out
+
+
 def marked(long: DataFrame, marks: set[tuple[str, int]]) -> tuple[dict[str, list[int]], dict[tuple[str, int], tuple]]:
     """The row ids of the first points of each series, and (label, row_id, v) of some hundred points."""
-    named = F.concat_ws(":", F.col("i").cast("string"), "metric").isin([f"{i}:{m}" for m, i in marks])
     first, labels = {}, {}
-    for r in long.where((F.col("i") < groups.PROVENANCE) | named).select("metric", "i", "row_id", "label", "v").collect():
+    for r in long.where((F.col("i") < groups.PROVENANCE) | _any(marks)).select("metric", "i", "row_id", "label", "v").collect():
         labels[r["metric"], r["i"]] = (r["label"], r["row_id"], r["v"])
         if r["i"] < groups.PROVENANCE:
             first.setdefault(r["metric"], []).append((r["i"], r["row_id"]))
     return {m: [x for _, x in sorted(rows)] for m, rows in first.items()}, labels
 
 
-def points(long: DataFrame, about: dict[str, dict], most: int) -> dict[str, list[dict]]:
-    """At most so many means of neighbouring points of each series, as charts show them."""
-    size = _of({m: -(-a["n"] // most) for m, a in about.items()}, "long")
-    rows = long.groupBy("metric", F.floor(F.col("i") / size).alias("bucket")).agg(F.max(size).alias("size"), F.avg("v").alias("v"), F.min_by("label", "i").alias("label"))
+def buckets(about: dict[str, dict], most: int) -> dict[str, int]:
+    """How many neighbouring points of each series a chart shows as one."""
+    return {m: -(-a["n"] // most) for m, a in about.items()}
+
+
+def points(long: DataFrame, sizes: dict[str, int], labels: dict[tuple[str, int], tuple]) -> dict[str, list[dict]]:
+    """The means of neighbouring points of each series, as charts show them, with the label of the first of them."""
+    rows = long.groupBy("metric", F.floor(F.col("i") / _of(sizes, "long")).alias("bucket")).agg(F.avg("v").alias("v"))
     out: dict[str, list[dict]] = {}
     for r in sorted(rows.collect(), key=lambda r: (r["metric"], r["bucket"])):
-        out.setdefault(r["metric"], []).append({"label": r["label"], "value": r["v"], "size": int(r["size"])})
+        size = sizes[r["metric"]]
+        out.setdefault(r["metric"], []).append({"label": labels[r["metric"], r["bucket"] * size][0], "value": r["v"], "size": size})
     return out
 
 
@@ -279,6 +254,9 @@ def first_rows(df: DataFrame, wanted: list[tuple[str, str, list[str]]]) -> list[
         return []
     hits = [F.when(F.col(f"`{c}`").isin(keys) & finite(F.col(f"`{m}`").cast("double")), F.lit(k)) for k, (c, m, keys) in enumerate(wanted)]
     rows = df.select("row_id", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("fact"))
-    got = groups.provenance(rows, ["fact"], "row_id").collect()
+    # the first rows are mostly among those of small ids; only where these are too few all rows are ranked
+    got = groups.provenance(rows.where(F.col("row_id") < EARLY), ["fact"], "row_id").collect()
+    if Counter(r["fact"] for r in got) != dict.fromkeys(range(len(wanted)), groups.PROVENANCE):
+        got = groups.provenance(rows, ["fact"], "row_id").collect()
     of = {k: sorted(r["row_id"] for r in own) for k, own in groupby(sorted(got, key=lambda r: r["fact"]), key=lambda r: r["fact"])}
     return [of.get(k, []) for k in range(len(wanted))]
