@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
 from ..operators import groups, ordered, runs, series, spread
+from ..session import checkpoint
 
 #: Most values of a bracket that one task puts in order.
 SORTED = 1_000_000
@@ -64,13 +65,16 @@ def streaks(of: series.Together, about: dict[str, dict]) -> tuple[dict[str, list
 
 def medians(rows: DataFrame, v: Column, cells: dict[str, tuple[float, float, int]], counts: dict[str, int]) -> dict[str, float]:
     """The exact median of v for each metric, of which the cells are known that it lies in: what lies below is counted,
-    and only what lies in the cells is put in order. Where these are too many, series are put in order by ranges."""
-    if max(n for _, _, n in cells.values()) > SORTED:
-        found = series.quantiles(rows.select("metric", v.alias("v")), ["metric"], "v", {"median": 0.5})
-        return {r["metric"]: r["median"] for r in found.collect()}
+    and only what lies in the cells is put in order, equal values as one. Where these are too many, series are put in order
+    by ranges."""
     low, high = (_of({m: b[k] for m, b in cells.items()}) for k in (0, 1))
     at = rows.where(v <= high).select("metric", F.when(v >= low, v).alias("v"), (v < low).alias("below"))
     at = at.groupBy("metric", "below", "v").agg(F.count(F.lit(1)).alias("k"))
+    if max(n for _, _, n in cells.values()) > SORTED:
+        at = checkpoint(at)
+        if at.count() > SORTED:
+            found = series.quantiles(rows.select("metric", v.alias("v")), ["metric"], "v", {"median": 0.5})
+            return {r["metric"]: r["median"] for r in found.collect()}
     order = Window.partitionBy("metric").orderBy(F.col("below").desc(), "v").rowsBetween(Window.unboundedPreceding, 0)
     at = at.withColumn("to", F.sum("k").over(order)).where("NOT below")
     rank = _of({m: (n - 1) / 2 for m, n in counts.items()})

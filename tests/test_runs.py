@@ -68,3 +68,15 @@ def test_first_rows_beyond_early_ids(spark):
         df = spark.range(start, start + 900).selectExpr("id AS row_id", "if(id % 3 = 0, 'a', 'b') AS c", "CAST(id AS DOUBLE) AS m")
         a = [i for i in range(start, start + 900) if i % 3 == 0]
         assert passes.first_rows(df, [("c", "m", ["a"]), ("c", "m", ["a", "b"])]) == [a[:200], list(range(start, start + 200))]
+
+
+def test_medians_of_values_that_many_rows_have(spark, monkeypatch):
+    """Equal values are one row to be put in order, however many they are; only many different ones take ranges."""
+    x = [float(i % 5) for i in range(400)] + [1000.0 + i / 1000 for i in range(401)]
+    rows = spark.createDataFrame([("x", v) for v in x], "metric string, v double")
+    ranged, quantiles = [], series.quantiles
+    monkeypatch.setattr(series, "quantiles", lambda *a: ranged.append(1) or quantiles(*a))
+    for most, calls in ((1000, 0), (100, 0), (3, 1)):
+        monkeypatch.setattr(passes, "SORTED", most)
+        assert passes.medians(rows, F.col("v"), {"x": (0.0, 1000.005, 406)}, {"x": 801}) == {"x": float(np.median(x))}
+        assert len(ranged) == calls
