@@ -17,6 +17,9 @@ coverage the neighbours in the order of left sides are enough: whoever is farthe
 An anchor with more than CROWD different items would make too large a task. The strings of such items are hashed and
 counted by Spark, which finds the same strings; an anchor's items never have to meet in one task there.
 
+Passages shorter than LENGTH bytes are found by words: a text is written as one code of CODE bytes for each of its
+words, and strings of WORDS codes are looked for in the same way. Two words with one code (32 bits of hash) are alike.
+
 Texts and items that are equal are told by SHA-256 and by 128 bits of hash (anchor and item); what is found among
 different items is compared byte by byte, or by 128 bits for crowded anchors.
 
@@ -42,6 +45,9 @@ from .common import BROADCAST_KEYS, checkpoint, slices, table
 
 #: Bytes of a string that counts as repeated, bytes of an anchor, and most items of an anchor for one task.
 LENGTH, ANCHOR, CROWD = 400, 128, 512
+#: Words of a passage that counts as repeated and of its anchor, bytes of a word's code, and most items of an anchor for
+#: one task, which are shorter here.
+WORDS, WORD_ANCHOR, CODE, WORD_CROWD = 50, 16, 4, 4096
 #: Strings whose anchors are looked for at once.
 BLOCK = 1 << 20
 #: Bits of a place in a block, in what anchors are compared by.
@@ -93,7 +99,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def _block(data: np.ndarray, whole: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
+def _block(data: np.ndarray, whole: np.ndarray, length: int, anchor: int, step: int) -> tuple[np.ndarray, ...]:
     """The items of the strings that start where whole is set: (key, ctx, start, before, size)."""
     hashes = _Hashes(data)
     key = hashes.grams(anchor)
@@ -101,26 +107,28 @@ def _block(data: np.ndarray, whole: np.ndarray, length: int, anchor: int) -> tup
     least = _least((key >> np.uint64(_PLACE) << np.uint64(_PLACE)) | place, length - anchor + 1)
     s = np.flatnonzero(whole[: len(least)])
     q = (least[s] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], (q[1:] != q[:-1]) | (s[1:] != s[:-1] + 1)))[: len(s)])
+    first = np.flatnonzero(np.concatenate(([True], (q[1:] != q[:-1]) | (s[1:] != s[:-1] + step)))[: len(s)])
     last = np.concatenate((first[1:], [len(s)]))[: len(first)] - 1
     q, a, b = q[first], s[first], s[last] + length
     shape = _mixed(((b - a).astype(np.uint64) << np.uint64(32)) + (q - a).astype(np.uint64))
     return key[q], hashes.of(a, b) ^ shape, a, q - a, b - a
 
 
-def items_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+def items_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR, step: int = 1) -> tuple[np.ndarray, ...]:
     """(key, ctx, start, before, size, stretch) of the items of texts that lie one after the other in data.
 
+    Strings start at each step-th byte of a text; all texts and BLOCK have whole steps.
+
     Of items that repeat themselves without another one between them, as in a line that comes again and again,
     only the first is there: its stretch is the distance of the last one.
     """
     whole = np.zeros(len(data), bool)
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        whole[a : max(a, b - length + 1)] = True
+        whole[a : max(a, b - length + 1) : step] = True
     found = []
     for a in range(0, len(data), BLOCK):
         if whole[a : a + BLOCK].any():
-            key, ctx, at, before, size = _block(data[a : a + BLOCK + length - 1], whole[a : a + BLOCK], length, anchor)
+            key, ctx, at, before, size = _block(data[a : a + BLOCK + length - 1], whole[a : a + BLOCK], length, anchor, step)
             found.append((key, ctx, at + a, before, size))
     if not found:
         return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 4
@@ -231,9 +239,27 @@ _FIELDS = [c.split()[0] for c in _ITEM.split(", ")]
 
 
 def _bytes_of(docs: DataFrame) -> DataFrame:
-    """doc_id and text in bytes."""
+    """doc_id, text in bytes and digest (its SHA-256)."""
     text = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+
+
+def _as_bytes(rows: DataFrame) -> DataFrame:
+    return rows
+
+
+def _as_words(rows: DataFrame) -> DataFrame:
+    """_bytes_of() with the codes of a text's words in place of its bytes."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for whole in batches for x in slices(whole)):
+            codes, ends = words_of(*_flat(b.column("text")))
+            offsets = np.concatenate(([0], ends * CODE)).astype(np.int32)
+            texts = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(codes)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), texts, b.column("digest")], ["doc_id", "text", "digest"])
+
+    return rows.mapInArrow(code, "doc_id long, text binary, digest binary")
 
 
 def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -245,26 +271,36 @@ def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets[1:] - offsets[0]
 
 
-def sketch(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """doc (a number of the row), doc_id, digest (SHA-256) and items of each row, written down."""
+def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the words `[^\\x20\\x09-\\x0D]+` of texts that lie one after the other in data, and where each text's end."""
+    solid = (data != 0x20) & ((data < 0x09) | (data > 0x0D))
+    cut = np.zeros(len(data) + 1, bool)
+    cut[0] = cut[ends] = True
+    before, after = np.concatenate(([False], solid)), np.concatenate((solid, [False]))
+    first, last = np.flatnonzero(after & (cut | ~before)), np.flatnonzero(before & (cut | ~after))
+    codes = (_Hashes(data).of(first, last) >> np.uint64(32)).astype(np.uint32)
+    return codes, np.searchsorted(first, ends)
+
+
+def sketch(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, step: int = 1) -> DataFrame:
+    """doc (a number of the row), doc_id, digest and items of each of the rows (doc_id, text, digest), written down."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in slices(whole)):
             texts = b.column("text")
             data, ends = _flat(texts)
             starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-            found = items_of(data, starts, ends, length, anchor)
+            found = items_of(data, starts, ends, length, anchor, step)
             of = np.searchsorted(starts, found[2], "right") - 1
             # empty texts share a start with the next one, which is the last of them
             found = [x.view(np.int64) if x.dtype == np.uint64 else x for x in found]
             found[2] = found[2] - starts[of]
             struct = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(found, _KINDS, strict=True)], _FIELDS)
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(texts) + 1)), pa.int32()), struct)
-            digests = pa.array([hashlib.sha256(t).digest() for t in texts.to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), digests, lists], ["doc_id", "digest", "items"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), lists], ["doc_id", "digest", "items"])
 
     schema = f"doc_id long, digest binary, items array<struct<{_ITEM.replace(' ', ': ').replace(',:', ',')}>>"
-    return checkpoint(_bytes_of(docs).mapInArrow(make, schema).withColumn("doc", F.monotonically_increasing_id()))
+    return checkpoint(rows.mapInArrow(make, schema).withColumn("doc", F.monotonically_increasing_id()))
 
 
 def _classes(known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -284,15 +320,14 @@ def _classes(known: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items, checkpoint(classes.join(d, F.col("key") == F.col("k")).drop("k"))
 
 
-def _sides(docs: DataFrame, known: DataFrame, classes: DataFrame) -> DataFrame:
+def _sides(rows: DataFrame, form, known: DataFrame, classes: DataFrame) -> DataFrame:
     """(key, ctx, d, single, right, left, before) of the different items of anchors that have several, from one text each."""
     some = classes.where("d > 1").groupBy("doc").agg(F.collect_list(F.struct("key", "ctx", "d", "n", "start", "before", "size")).alias("wanted"))
     some = checkpoint(known.select("doc", F.col("doc_id").alias("id"), F.col("digest").alias("sha")).join(some, "doc").drop("doc"))
-    rows = _bytes_of(docs).withColumn("digest", F.unhex(F.sha2("text", 256)))
     same = (F.col("digest") == F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("id"))
     if some.count() <= BROADCAST_KEYS:  # then only these texts are moved
         rows = rows.join(F.broadcast(some.select("sha", "id")), same, "left_semi")
-    rows = rows.join(some.hint("merge"), same).select("text", "wanted")
+    rows = form(rows).join(some.hint("merge"), same).select("text", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in slices(whole)):
@@ -345,45 +380,46 @@ def _found(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "ctx", "before", "after"])
 
 
-def _strings(crowded: DataFrame, length: int) -> DataFrame:
+def _strings(crowded: DataFrame, length: int, step: int = 1) -> DataFrame:
     """(key, ctx, single, gram, at) of each string of the items; at is its start, counted from the anchor."""
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["key", "ctx", "single", "gram", "at"], (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32())
         for b in batches:
             for key, ctx, single, right, left in zip(*(b.column(x).to_pylist() for x in ("key", "ctx", "single", "right", "left")), strict=True):
-                grams = _Hashes(np.frombuffer(left[::-1] + right, np.uint8)).grams(length).view(np.int64)
+                grams = _Hashes(np.frombuffer(left[::-1] + right, np.uint8)).grams(length)[::step].view(np.int64)
                 n = len(grams)
-                columns = (np.full(n, key), np.full(n, ctx), np.full(n, single), grams, np.arange(n) - len(left))
+                columns = (np.full(n, key), np.full(n, ctx), np.full(n, single), grams, np.arange(n) * step - len(left))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return crowded.dropDuplicates(["key", "ctx"]).mapInArrow(strings, "key long, ctx long, single boolean, gram long, at int")
 
 
-def _by_counts(crowded: DataFrame, length: int) -> DataFrame:
+def _by_counts(crowded: DataFrame, length: int, step: int) -> DataFrame:
     """_by_trees() for the items of crowded anchors: their strings are counted."""
-    strings = checkpoint(_strings(crowded, length))
+    strings = checkpoint(_strings(crowded, length, step))
     twice = strings.groupBy(F.col("key").alias("k"), F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = strings.where("single").join(twice, (F.col("key") == F.col("k")) & (F.col("gram") == F.col("g")), "left_semi")
     found = found.groupBy("key", "ctx").agg((-F.min("at")).alias("before"), (F.max("at") + length).alias("after"))
     return found.select("key", "ctx", F.col("before").cast("int"), F.col("after").cast("int"))
 
 
-def _covered(docs: DataFrame, known: DataFrame, length: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+def _covered(rows: DataFrame, form, known: DataFrame, length: int, crowd: int, step: int) -> tuple[DataFrame, DataFrame]:
     """The items of anchors that come twice, and how far from the anchor each different one of them is covered."""
     items, classes = _classes(known)
     whole = classes.where("n > 1").select("key", "ctx", "before", (F.col("size") - F.col("before")).alias("after"))
-    sides = _sides(docs, known, classes)
+    sides = _sides(rows, form, known, classes)
     found = whole.unionByName(_by_trees(sides.where(F.col("d") <= crowd), length))
     crowded = sides.where(F.col("d") > crowd)
     if not crowded.isEmpty():
-        found = found.unionByName(_by_counts(crowded, length))
+        found = found.unionByName(_by_counts(crowded, length, step))
     return items, checkpoint(found)
 
 
-def _spans(docs: DataFrame, known: DataFrame, length: int, crowd: int) -> DataFrame:
+def _spans(rows: DataFrame, form, length: int, anchor: int, crowd: int, step: int = 1) -> DataFrame:
     """(sha, spans) of each different text that loses something: [start, end) of what repeats cover, in no order."""
-    items, found = _covered(docs, known, length, crowd)
+    known = sketch(form(rows), length, anchor, step)
+    items, found = _covered(rows, form, known, length, crowd, step)
     # copies have the same spans: one of them is enough
     one = known.groupBy("digest").agg(F.min("doc").alias("doc")).select("doc", F.col("digest").alias("sha"))
     at = F.col("start") + F.col("was") - F.col("before")
@@ -408,28 +444,66 @@ _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that are left) of each row."""
-    return _judged(docs, length, anchor, crowd, _OUT, lambda kept: kept)
+    _hold(anchor, length)
+    rows = _bytes_of(docs)
+
+    def judge(doc_id: pa.Array, texts: list[bytes], found: list[list]) -> tuple[list, ...]:
+        return doc_id, *_lost(texts, found[0])
+
+    return _judged(rows, [_spans(rows, _as_bytes, length, anchor, crowd)], _OUT, judge)
+
 
+def passages(docs: DataFrame, words: int = WORDS, anchor: int = WORD_ANCHOR, crowd: int = WORD_CROWD) -> DataFrame:
+    """doc_id and n_passage_words (words in strings of so many words that stand anywhere else too) of each row."""
+    _hold(anchor, words)
+    rows = _bytes_of(docs)
 
-def _judged(docs: DataFrame, length: int, anchor: int, crowd: int, schema: str, of) -> DataFrame:
+    def judge(doc_id: pa.Array, texts: list[bytes], found: list[list]) -> tuple[list, ...]:
+        return doc_id, _words_in(found[0])
+
+    spans = _spans(rows, _as_words, words * CODE, anchor * CODE, crowd, CODE)
+    return _judged(rows, [spans], "doc_id long, n_passage_words long", judge)
+
+
+def _hold(anchor: int, length: int) -> None:
     if not 0 < anchor <= length:
         raise ValueError("an anchor has at most as many bytes as a string")
-    spans = _spans(docs, sketch(docs, length, anchor), length, crowd)
-    rows = _bytes_of(docs).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    rows = rows.join(spans.hint("merge"), F.col("digest") == F.col("sha"), "left").select("doc_id", "text", "spans")
-    names = [c.split()[0] for c in schema.split(", ")]
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _lost(texts: list[bytes], found: list) -> tuple[list[int], list[int], list[int], list[bytes]]:
+    """(bytes, removed, spans, kept) of texts, as lists."""
+    sizes, removed, runs, left = [], [], [], []
+    for text, spans in zip(texts, found, strict=True):
+        gone = _merged([(s["a"], s["b"]) for s in spans or []])
+        ends = [0, *(x for s in gone for x in s), len(text)]
+        kept = b"".join(text[a:z] for a, z in zip(ends[::2], ends[1::2], strict=True))
+        sizes.append(len(text))
+        removed.append(len(text) - len(kept))
+        runs.append(len(gone))
+        left.append(kept)
+    return sizes, removed, runs, left
+
+
+def _words_in(found: list) -> list[int]:
+    """The whole words in spans of codes."""
+    return [sum(b // CODE - -(-a // CODE) for a, b in _merged([(s["a"], s["b"]) for s in spans or []])) for spans in found]
+
+
+def _judged(rows: DataFrame, found: list[DataFrame], schema: str, judge) -> DataFrame:
+    """What judge(doc_id, texts, a list of spans for each of found) makes of the rows; texts are moved once."""
+    names, of = [c.split()[0] for c in schema.split(", ")], [f"spans{i}" for i in range(len(found))]
+    # all spans in one table, so that the join is a plain one that can be split
+    spans = found[0].withColumnRenamed("spans", of[0])
+    for name, more in zip(of[1:], found[1:], strict=True):
+        spans = spans.join(more.withColumnRenamed("spans", name), "sha", "full")
+    rows = rows.join(spans.hint("merge"), F.col("digest") == F.col("sha"), "left").select("doc_id", "text", *of)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in slices(whole)):
-            out: list[tuple] = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                gone = _merged([(s["a"], s["b"]) for s in spans or []])
-                ends = [0, *(x for s in gone for x in s), len(text)]
-                kept = b"".join(text[a:z] for a, z in zip(ends[::2], ends[1::2], strict=True))
-                out.append((len(text), len(text) - len(kept), len(gone), of(kept)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in zip(*out, strict=True))], names)
+            out = judge(b.column("doc_id"), b.column("text").to_pylist(), [b.column(c).to_pylist() for c in of])
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], names)
 
-    return rows.mapInArrow(judge, schema)
+    return rows.mapInArrow(make, schema)
 
 
 def maximal_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowd: int = CROWD) -> DataFrame:
@@ -439,9 +513,10 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     length - 1 bytes; a repeat's id is made of its bytes. Of crowded anchors the repeats are the strings of length
     bytes that come twice.
     """
-    known = sketch(docs, length, anchor)
+    rows = _bytes_of(docs)
+    known = sketch(rows, length, anchor)
     items, classes = _classes(known)
-    sides = _sides(docs, known, classes)
+    sides = _sides(rows, _as_bytes, known, classes)
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["key", "ctx", "id", "before", "long"], (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
@@ -475,5 +550,14 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = _OUT.replace("kept binary", "kept_sha256 string")
-    return _judged(table(spark, sf_dir, "documents"), LENGTH, ANCHOR, CROWD, schema, lambda kept: hashlib.sha256(kept).hexdigest())
+    """The digest of without_repeats(), with n_passage_words of passages() and whether a text has such a passage."""
+    rows = _bytes_of(table(spark, sf_dir, "documents"))
+    found = [_spans(rows, _as_bytes, LENGTH, ANCHOR, CROWD), _spans(rows, _as_words, WORDS * CODE, WORD_ANCHOR * CODE, WORD_CROWD, CODE)]
+
+    def judge(doc_id: pa.Array, texts: list[bytes], found: list[list]) -> tuple[list, ...]:
+        sizes, removed, runs, kept = _lost(texts, found[0])
+        words = _words_in(found[1])
+        return doc_id, sizes, removed, runs, [hashlib.sha256(x).hexdigest() for x in kept], words, [n > 0 for n in words]
+
+    schema = _OUT.replace("kept binary", "kept_sha256 string") + ", n_passage_words long, has_passage boolean"
+    return _judged(rows, found, schema, judge)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -158,3 +159,52 @@ def test_a_very_long_text(spark):
     rows = spark.createDataFrame([(1, text + "!"), (2, "?" + part[1000:1500])], SCHEMA)
     got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in repeats.without_repeats(rows).collect()}
     assert got == {1: (len(text), b"!"), 2: (500, b"?")}
+
+
+def brute_words(texts, n):
+    """How many words of each text stand in strings of n words that stand anywhere else too."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    times = Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
+    out = []
+    for w in words:
+        shared = set()
+        for i in range(len(w) - n + 1):
+            if times[tuple(w[i : i + n])] > 1:
+                shared.update(range(i, i + n))
+        out.append(len(shared))
+    return out
+
+
+@pytest.mark.parametrize("seed, crowd", [(1, 512), (2, 3), (3, 2)])
+def test_passages_equal_brute_force(spark, seed, crowd):
+    rng = random.Random(seed)
+    # words of one to three letters, parted by all kinds of white space and by what is none (U+00A0)
+    texts = ["".join(x + rng.choice([" ", "\n", "\t ", "\x0c", "\xa0"]) for x in re.findall("..?.?", t or "")) for t in made(seed, alphabet="abé")]
+    texts += ["", None, " \n ", "one", " ".join("word" for _ in range(30))]
+    rows = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
+    got = {r.doc_id: r.n_passage_words for r in repeats.passages(rows, words=5, anchor=2, crowd=crowd).collect()}
+    assert got == dict(enumerate(brute_words(texts, 5))) and any(got.values())
+
+
+def test_planted_passages_of_over_50_words_are_caught(spark, tmp_path):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    planted = [prose(n) for n in (51, 52, 55, 59, 49)]
+    # all too short for a string of LENGTH bytes
+    assert max(len(p) for p in planted) < repeats.LENGTH
+    texts = [f"{prose(rng.randint(0, 200))}\n{planted[i % 5]} {prose(rng.randint(0, 200))}" for i in range(30)] + [prose(300) for _ in range(30)]
+    spark.createDataFrame(list(enumerate(texts)), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = repeats.query(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows if r.has_passage} == {i for i in range(30) if i % 5 < 4}
+    assert {r.doc_id: r.n_passage_words for r in rows} == dict(enumerate(brute_words(texts, 50)))
+    # what is removed follows strings of 400 bytes, as before
+    assert all(r.n_removed == r.n_spans == 0 and r.kept_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
+
+
+def test_passages_of_the_query_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    want = dict(zip([d.doc_id for d in docs], brute_words([d.text for d in docs], repeats.WORDS), strict=True))
+    got = repeats.query(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: r.n_passage_words for r in got} == want and any(want.values())
+    assert all(r.has_passage == (r.n_passage_words > 0) for r in got)
